@@ -100,7 +100,7 @@ def pack(
     packet_tokens: int = 512,
     targets: dict[str, float] | None = None,
     end_id: int = 1,
-    rows_a_block: int = 20_000,
+    rows_a_block: int = 5_000,
     rounds_a_bin: int = 256,
 ) -> DataFrame:
     """Packs docs (doc_id, text, source) into sequences of ``window`` tokens.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import held_out
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -25,5 +27,46 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify_quality
+
+    scored = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import host_rules
+
+    return host_rules(table(spark, sf_dir, "documents")).drop("host", "host_rejected")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_language
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify_language(docs, docs.where(~held_out(F.col("doc_id"))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op4_quality": op4_quality,
+    "op5_host_rules": op5_host_rules,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_language_id": op8_language_id,
+}
 ORACLES: dict[str, str] = {}
