@@ -62,11 +62,54 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: The dated list of op3: fixed entries, and three for about half of the hosts seen (dates from a hash of the host).
+FIXED_ENTRIES = [
+    ("example.org", "block", "2024-03-01"),
+    ("example.org", "remove", "2024-04-15"),
+    ("example.net", "allow", "2024-02-01"),
+    ("example.com", "block", "2024-06-01"),
+    ("example.com", "allow", "2024-06-20"),
+    ("example.com", "remove", "2024-09-01"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import temporal_url_filter
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    captures = pages.withColumn("fetched", day(F.col("page_id") % 366))
+    hosts = pages.select(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("pattern")).where("pattern <> ''").distinct()
+    digit = lambda i: F.conv(F.substring(F.md5("pattern"), i, 2), 16, 10).cast("int")
+    steps = F.array(*[F.struct(F.lit(a).alias("action"), day(d).alias("listed")) for a, d in (("block", digit(1)), ("remove", digit(1) + 30), ("block", digit(1) + 30 + digit(3)))])
+    listed = hosts.where(digit(5) % 2 == 0).select("pattern", F.explode(steps).alias("e")).select("pattern", "e.action", "e.listed")
+    paths = hosts.where(digit(7) % 4 == 0).select(F.concat("pattern", F.lit("/en")).alias("pattern"), F.lit("allow").alias("action"), day(digit(1) + 10).alias("listed"))
+    fixed = spark.createDataFrame(FIXED_ENTRIES, "pattern string, action string, listed string").withColumn("listed", F.col("listed").cast("date"))
+    found = temporal_url_filter(captures, listed.unionByName(paths).unionByName(fixed))
+    return found.select("page_id", "url", "host", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), "verdict", "pattern", F.date_format("listed", "yyyy-MM-dd").alias("listed"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data, joined_spans
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined_spans("base"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_main_text": op2_main_text,
+    "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
     "op5_host_rules": op5_host_rules,
     "op6_decontaminate": op6_decontaminate,
     "op8_language_id": op8_language_id,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
