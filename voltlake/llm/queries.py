@@ -54,6 +54,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify_language
 
@@ -109,6 +115,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_host_rules": op5_host_rules,
     "op6_decontaminate": op6_decontaminate,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_language_id": op8_language_id,
     "op10_personal_data": op10_personal_data,
 }
