@@ -101,6 +101,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "host", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), "verdict", "pattern", F.date_format("listed", "yyyy-MM-dd").alias("listed"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, find_personal_data, joined_spans
 
@@ -117,6 +124,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_language_id": op8_language_id,
+    "op9_line_dedup": op9_line_dedup,
     "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
