@@ -85,6 +85,14 @@ def _context(before: Column) -> Column:
     return F.when(two.rlike(r"[\p{L}:=#]\S*$"), F.regexp_replace(two, r"\s+", " "))
 
 
+def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """How often each of the given patterns (two words) occurs in the texts: pattern, occurs."""
+    words = F.filter(F.split(F.lower(F.col("text")), r"\s+"), lambda w: w != "")
+    pairs = F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.concat(a, F.lit(" "), b))
+    said = texts.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(pairs).alias("pattern"))
+    return said.join(small(patterns.select("pattern"), patterns.count(), 120), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("occurs"))
+
+
 def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3, confidence: float = 0.8, smoothing: float = 1.0) -> DataFrame:
     """Finds personal data in docs (doc_id, text).
 
@@ -116,15 +124,16 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3,
 
     edges = rows.select(F.explode("mentions").alias("m")).select("m.*").where("pattern is not null and value <> ''")
     edges = edges.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("known").alias("known"))
-    support = edges.groupBy("pattern").agg(F.count_if("known").alias("supported"), F.count_if(~F.col("known")).alias("unseen"))
-    wanted = saved(support.where((F.col("supported") >= least_support) & (F.col("unseen") > 0)).select("pattern"), "patterns")
-    n_wanted = wanted.count()
+    support = edges.groupBy("pattern").agg(F.count_if("known").alias("supported"), F.count_if(~F.col("known")).alias("unseen"), F.sum("n").alias("before_ids"))
+    wanted = saved(support.where((F.col("supported") >= least_support) & (F.col("unseen") > 0)).select("pattern", "before_ids"), "patterns")
+    if wanted.limit(1).count():
+        # Texts with identifiers alone show already that most of these patterns occur too often to be trusted.
+        some = occurrences(base.where(F.col("text").rlike("[0-9@]")), wanted)
+        trusted = F.col("before_ids") >= confidence * (F.col("occurs") + smoothing)
+        wanted = saved(wanted.join(some, "pattern").where(trusted).select("pattern"), "patterns")
     found = None
-    if n_wanted:
-        words = F.filter(F.split(F.lower(F.col("text")), r"\s+"), lambda w: w != "")
-        said = base.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.concat(a, F.lit(" "), b))).alias("pattern"))
-        occurs = said.join(small(wanted, n_wanted, 120), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("occurs"))
-        edges = saved(edges.join(occurs, "pattern"), "edges")
+    if wanted.limit(1).count():
+        edges = saved(edges.join(occurrences(base, wanted), "pattern"), "edges")
         scores = edges.groupBy("value").agg(F.max(F.col("known").cast("double")).alias("score"))
         for _ in range(rounds):
             graph = edges.join(scores, "value")
