@@ -9,8 +9,6 @@ and only those are compared with the text word by word.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,48 +73,55 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes: int = 2 << 20) -> DataFrame:
-    """Finds benchmark (item_id, text) windows in docs (doc_id, text).
+FOUND = "n_words long, hits array<struct<`from`: long, `to`: long>>, n_hit long, items array<string>"
 
-    Returns a row per document: doc_id, n_words, hits (spans of words in any occurrence of a window, end
-    exclusive, merged), n_hit (words in them) and items (distinct item_ids as strings, sorted).
+
+def searcher(benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes: int = 2 << 20):
+    """A function text -> struct column (n_words, hits, n_hit, items) for the windows of benchmark (item_id, text).
 
     The benchmark is dealt by item into chunks of about ``chunk_bytes`` of text; each chunk's tables are
     broadcast on their own, and a document's spans of all chunks are merged in its row, so the size of
     a broadcast is bounded and no document is shuffled.
-
-    An item of fewer than ``window`` words is one window; an item or text that is null or without words
-    matches nothing. A null item_id counts as the empty id. Repeated rows are treated each on its own.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     chunks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / chunk_bytes))
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = dict(base.dtypes)["doc_id"]
     tables = []
     for c in range(chunks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c).collect()
-        tables.append(spark.sparkContext.broadcast(WuManber([tuple(r) for r in rows], window, block)))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts: list[list] = [[[], set()] for _ in range(len(pdf))]
-            texts = [words_of(t) for t in pdf["text"]]
-            for t in tables:
-                tables_here = t.value
-                for part, words in zip(parts, texts):
-                    spans, found = tables_here.scan(words)
-                    part[0] += spans
-                    part[1] |= found
-            merged = [_merged(p[0]) for p in parts]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "n_words": [len(w) for w in texts],
-                    "hits": [[{"from": a, "to": b} for a, b in m] for m in merged],
-                    "n_hit": [sum(b - a for a, b in m) for m in merged],
-                    "items": [sorted(p[1]) for p in parts],
-                }
-            )
-
-    return base.mapInPandas(search, f"doc_id {kind}, n_words long, hits array<struct<`from`: long, `to`: long>>, n_hit long, items array<string>")
+        tables.append(benchmark.sparkSession.sparkContext.broadcast(WuManber([tuple(r) for r in rows], window, block)))
+
+    @F.pandas_udf(FOUND)
+    def search(text: pd.Series) -> pd.DataFrame:
+        parts: list[list] = [[[], set()] for _ in range(len(text))]
+        texts = [words_of(t) for t in text]
+        for t in tables:
+            tables_here = t.value
+            for part, words in zip(parts, texts):
+                spans, found = tables_here.scan(words)
+                part[0] += spans
+                part[1] |= found
+        merged = [_merged(p[0]) for p in parts]
+        return pd.DataFrame(
+            {
+                "n_words": [len(w) for w in texts],
+                "hits": [[{"from": a, "to": b} for a, b in m] for m in merged],
+                "n_hit": [sum(b - a for a, b in m) for m in merged],
+                "items": [sorted(p[1]) for p in parts],
+            }
+        )
+
+    return search
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes: int = 2 << 20) -> DataFrame:
+    """Finds benchmark (item_id, text) windows of ``window`` words in docs (doc_id, text); see searcher.
+
+    Returns a row per document: doc_id, n_words, hits (spans of words in any occurrence of a window, end
+    exclusive, merged), n_hit (words in them) and items (distinct item_ids as strings, sorted).
+
+    An item of fewer than ``window`` words is one window; an item or text that is null or without words
+    matches nothing. A null item_id counts as the empty id. Repeated rows are treated each on its own.
+    Other columns are ignored.
+    """
+    search = searcher(benchmark, window, block, chunk_bytes)
+    return docs.select("doc_id", search(F.col("text").cast("string")).alias("found")).select("doc_id", "found.*")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS, BINS, RANK = 1024, 8, 8
@@ -99,16 +99,11 @@ def _featurise(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([m[0] for m in made], np.float32).reshape(-1, WORDS), np.array([m[1] for m in made], np.float64).reshape(-1, STATS)
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000, threshold: float = 0.3) -> DataFrame:
-    """Scores docs (doc_id, text, n_chars if there), learning from labels (doc_id, quality 0/1).
+def quality_scorer(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000):
+    """A function (text, n_chars) -> score column, learnt from labels (doc_id, quality 0/1) of docs.
 
     About ``max_train_rows`` labels (chosen by a hash of doc_id, never more than twice that) are learnt
-    from; they are few enough to be broadcast to their documents. Every whole text is scored.
-
-    Returns a row per document: doc_id, score (0 to 1, higher is likelier label 1) and predicted (1 if
-    score >= threshold). Null text counts as empty and is scored too; null n_chars is taken from the
-    text. Labels of null quality or null doc_id are not learnt from; with none left, or one class alone,
-    every score is that class's (1.0 if nothing is labelled). Repeated rows are scored alike.
+    from; they are few enough to be broadcast to their documents.
     """
     spark = docs.sparkSession
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("quality"))
@@ -116,7 +111,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6
     if share < 1:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     marks = marks.limit(2 * max_train_rows)
-    rows = _frame(docs, "doc_id").join(F.broadcast(marks), "doc_id").select("text", "n_chars", "quality")
+    rows = docs.select("doc_id", *inputs(docs)).join(F.broadcast(marks), "doc_id").select("text", "n_chars", "quality")
 
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,17 +125,43 @@ def classify_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6
         words = np.frombuffer(b"".join(sample["x"]), dtype="<f2").reshape(-1, WORDS).astype(np.float32)
         model = fit(words, np.frombuffer(b"".join(sample["s"]), dtype="<f8").reshape(-1, STATS), y)
     shared = spark.sparkContext.broadcast(model)
-    base = _frame(docs, "doc_id")
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part, now = pdf.iloc[at : at + 500], shared.value
-                if isinstance(now, float):
-                    p = np.full(len(part), now)
-                else:
-                    words, stats = _featurise(part)
-                    p = score(now, encode(words, stats, now["scale"])).astype(float)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "score": p, "predicted": (p >= threshold).astype("int32")})
-
-    return base.mapInPandas(predict, f"doc_id {dict(base.dtypes)['doc_id']}, score double, predicted int")
+    @F.pandas_udf("double")
+    def scored(text: pd.Series, n_chars: pd.Series) -> pd.Series:
+        now, out = shared.value, []
+        for at in range(0, len(text), 500):
+            part = pd.DataFrame({"text": text.iloc[at : at + 500], "n_chars": n_chars.iloc[at : at + 500]})
+            if isinstance(now, float):
+                out.append(np.full(len(part), now))
+            else:
+                words, stats = _featurise(part)
+                out.append(score(now, encode(words, stats, now["scale"])).astype(float))
+        return pd.Series(np.concatenate(out) if out else [], dtype="float64")
+
+    return scored
+
+
+def inputs(docs: DataFrame) -> list[Column]:
+    """The columns that a scorer takes, as text and n_chars."""
+    chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    return [F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), chars.alias("n_chars")]
+
+
+def _featurise(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    made = [words_and_structure(t, c) for t, c in zip(pdf["text"], pdf["n_chars"])]
+    return np.array([m[0] for m in made], np.float32).reshape(-1, WORDS), np.array([m[1] for m in made], np.float64).reshape(-1, STATS)
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000, threshold: float = 0.3) -> DataFrame:
+    """Scores docs (doc_id, text, n_chars if there), learning from labels (doc_id, quality 0/1); see quality_scorer.
+
+    Returns a row per document: doc_id, score (0 to 1, higher is likelier label 1) and predicted (1 if
+    score >= threshold). Every whole text is scored.
+
+    Null text counts as empty and is scored too; null n_chars is taken from the text. Labels of null
+    quality or null doc_id are not learnt from; with none left, or one class alone, every score is that
+    class's (1.0 if nothing is labelled). Repeated rows are scored alike. Other columns are ignored.
+    """
+    scorer = quality_scorer(docs, labels, max_train_rows)
+    scored = docs.select("doc_id", *inputs(docs)).select("doc_id", scorer("text", "n_chars").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
