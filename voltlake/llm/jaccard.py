@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved, small
-from .lists import components, count_table, distinct_sorted, first_pairs, least_overlap, rarity, tokens
+from .lists import components, count_table, distinct_sorted, first_pairs, least_overlap, rarity, shared_tokens, tokens
 from .textvec import chunks, mix, shingle_hashes, word_hashes
 
 _SALT = np.uint64(0x51ED270B9F2C4A3D)
@@ -37,10 +37,10 @@ def _shingles(texts: list, k: int) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield start, end, *shingle_hashes(h, doc, end - start, k)
 
 
-def _sets(pdf: pd.DataFrame, classes: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For every chunk of texts: its start, distinct tokens, the text of each, set sizes and their first positions."""
+def _sets(pdf: pd.DataFrame, classes: np.ndarray | None, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every chunk of texts: its start, distinct tokens (plain hashes without classes), the text of each, set sizes and their first positions."""
     for start, end, h, doc in _shingles(pdf["text"].tolist(), k):
-        t, doc = distinct_sorted(tokens(h, classes), doc)
+        t, doc = distinct_sorted(h if classes is None else tokens(h, classes), doc)
         n = np.bincount(doc, minlength=end - start)
         yield start, t, doc, n, np.cumsum(n) - n
 
@@ -96,60 +96,67 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start, t, _, n, at in _sets(pdf, None, k):
+                d1, d2 = _sum_by(mix(t), at, n), _sum_by(mix(t ^ _SALT), at, n)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start : start + len(n)].to_numpy(), "n": n, "d1": d1.view(np.int64), "d2": d2.view(np.int64)})
+
+    sizes = saved(base.mapInPandas(describe, "doc_id long, n long, d1 long, d2 long"), "sizes")
+    copies = saved(sizes.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "copies")
+    # One document of every class of equal sets; sets of one or two tokens are similar to none but their equals.
+    others = saved(sizes.join(copies, ["d1", "d2", "n"], "left").where("n < 3 or doc_id <> rep").select("doc_id").distinct(), "others")
+    single = base.join(small(others, others.count(), 16), "doc_id", "left_anti")
+
+    def owned(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids = pdf["doc_id"].to_numpy()
+        for start, t, doc, _, _ in _sets(pdf, None, k):
+            yield t, ids[start + doc]
+
+    # A set of n tokens that shares fewer than ceil(t * n) of them with all others together is similar to none.
+    n_tokens = copies.agg(F.sum("n")).first()[0] or 0
+    close = shared_tokens(single, owned, n_tokens).join(copies.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
+    close = saved(close.where(F.col("m") * share[1] >= F.col("n") * share[0]).select("doc_id").distinct(), "close")
+    near = single.join(small(close, close.count(), 16), "doc_id", "left_semi")
+
     def all_hashes(pdf: pd.DataFrame) -> Iterator[np.ndarray]:
         for _, _, h, _ in _shingles(pdf["text"].tolist(), k):
             yield h
 
-    counts = count_table(base.select("text"), all_hashes)
-    shared = base.sparkSession.sparkContext.broadcast((rarity(counts), np.maximum(counts - 2 * np.median(counts), 0).astype(np.float32)))
+    counts = count_table(near.select("text"), all_hashes)
+    shared = base.sparkSession.sparkContext.broadcast(rarity(counts))
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, excess = shared.value
         for pdf in batches:
-            for start, t, doc, n, at in _sets(pdf, classes, k):
+            for start, t, doc, n, at in _sets(pdf, shared.value, k):
                 need = least_overlap(n, share)
                 one, two = np.minimum(n - need + 1, n), np.minimum(n - need + 2, n)
                 place = np.arange(len(t)) - np.repeat(at, n)
                 # The expected length of a token's list, by its class.
                 length = 1.0 + 2.0 ** ((t >> np.uint64(56)).astype(np.float64) / 8)
-                heavy = np.bincount(doc, weights=length * (place < one[doc]), minlength=len(n))
-                d1, d2 = _sum_by(mix(t), at, n), _sum_by(mix(t ^ _SALT), at, n)
                 yield pd.DataFrame(
                     {
                         "doc_id": pdf["doc_id"].iloc[start : start + len(n)].to_numpy(),
                         "n": n,
-                        "d1": d1.view(np.int64),
-                        "d2": d2.view(np.int64),
-                        "prefix": [t[i : i + p].tobytes() if m > 2 else b"" for i, p, m in zip(at, two, n)],
+                        "prefix": [t[i : i + p].tobytes() for i, p in zip(at, two)],
+                        "set": [t[i : i + m].view(np.int64) for i, m in zip(at, n)],
                         "cost_light": two * (two - 1) / 2.0,
-                        "cost_heavy": heavy,
+                        "cost_heavy": np.bincount(doc, weights=length * (place < one[doc]), minlength=len(n)),
                     }
                 )
 
-    sets = saved(base.mapInPandas(summarise, "doc_id long, n long, d1 long, d2 long, prefix binary, cost_light double, cost_heavy double"), "sets")
-    copies = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    # One document of every class of equal sets; sets of one or two tokens are similar to none but their equals.
-    firsts = sets.where("n > 2").join(copies.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1"])
-    firsts = saved(firsts.select("doc_id", "n", "prefix", "cost_light", "cost_heavy"), "firsts")
+    firsts = saved(near.mapInPandas(summarise, "doc_id long, n long, prefix binary, set array<long>, cost_light double, cost_heavy double").where("n > 2"), "firsts")
     boundary = choose_boundary(firsts)
     p = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
     n_keys = firsts.agg(F.sum(p + F.when(F.col("n") <= boundary, p * (p + 1) / 2).otherwise(0))).first()[0] or 0
     fits = (F.col("n1") * share[1] >= F.col("n2") * share[0]) & (F.col("n2") * share[1] >= F.col("n1") * share[0])
 
-    pairs = saved(first_pairs(firsts, lambda pdf: make_keys(pdf, boundary, share), int(n_keys)).select("a1", "n1", "a2", "n2").distinct(), "pairs")
+    pairs = saved(first_pairs(firsts.select("doc_id", "n", "prefix"), lambda pdf: make_keys(pdf, boundary, share), int(n_keys)).select("a1", "n1", "a2", "n2").distinct(), "pairs")
     met = saved(pairs.select(F.col("a1").alias("doc_id")).union(pairs.select("a2")).distinct(), "met")
-    n_met = met.count()
-    met = small(met, n_met, 16)
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, _ = shared.value
-        for pdf in batches:
-            for start, t, _, n, at in _sets(pdf, classes, k):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start : start + len(n)].to_numpy(), "set": [t[i : i + m].view(np.int64) for i, m in zip(at, n)]})
-
-    full = saved(base.join(met, "doc_id", "left_semi").mapInPandas(whole, "doc_id long, set array<long>").dropDuplicates(["doc_id"]), "full")
+    met = small(met, met.count(), 16)
 
     def linked(pairs: DataFrame) -> DataFrame:
+        full = firsts.join(met, "doc_id", "left_semi")
         x, y = full.select(F.col("doc_id").alias("a1"), F.col("set").alias("s1")), full.select(F.col("doc_id").alias("a2"), F.col("set").alias("s2"))
         common = F.size(F.array_intersect("s1", "s2")).alias("common")
         compared = pairs.where(fits).join(x, "a1").join(y, "a2").select("a1", "a2", (F.size("s1") + F.size("s2")).alias("both"), common)
@@ -181,6 +188,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
     if late.limit(1).count():
         labels = components(links.union(late), saved)
 
-    rows = sets.select("doc_id", "n", "d1", "d2").join(copies, ["d1", "d2", "n"], "left")
+    rows = sizes.join(copies, ["d1", "d2", "n"], "left")
     labels = labels.select(F.col("id").alias("rep"), "label")
     return rows.join(small(labels, labels.count(), 24), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))

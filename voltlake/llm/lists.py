@@ -51,12 +51,20 @@ def tokens(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 def distinct_sorted(t: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of every group, ascending; group must be ascending already."""
-    order = np.lexsort((t, group))
+    if not len(t):
+        return t, group
+    order = None
+    if group[-1] < 1 << 20:
+        key = (group.astype(np.uint64) << np.uint64(44)) | (t >> np.uint64(20))
+        order = np.argsort(key)
+        key = key[order]
+        if ((key[1:] == key[:-1]) & (t[order[1:]] != t[order[:-1]])).any():
+            order = None  # different tokens of equal upper bits
+    if order is None:
+        order = np.lexsort((t, group))
     t, group = t[order], group[order]
-    if len(t):
-        new = np.concatenate(([True], (t[1:] != t[:-1]) | (group[1:] != group[:-1])))
-        t, group = t[new], group[new]
-    return t, group
+    new = np.concatenate(([True], (t[1:] != t[:-1]) | (group[1:] != group[:-1])))
+    return t[new], group[new]
 
 
 def least_overlap(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
@@ -149,3 +157,70 @@ def components(edges: DataFrame, save: Callable[[DataFrame, str], DataFrame], ro
         if not changed:
             return labels
     raise RuntimeError("components did not settle")
+
+
+def shared_tokens(sets: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[tuple[np.ndarray, np.ndarray]]], n_tokens: int, a_bucket: int = 500_000, a_task: int = 2_000_000) -> DataFrame:
+    """How many tokens of each set (doc_id: long) are in another set too: doc_id, m. Sets without any are left out.
+
+    hashes gives the distinct token hashes of chunks of sets and the doc_id of each. A task sends every
+    hash once, as 32 bits within its bucket; a hash that it has met twice itself is credited on the spot
+    and sent without an owner, so a token in any number of sets sends one entry a task. Two hashes that
+    share those bits can only raise m, by one in several thousand tokens at any size of the input.
+    """
+    buckets = max(12, math.ceil(n_tokens / a_bucket))
+
+    def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        h = np.concatenate([x[0] for x in held])
+        ids, owner = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
+        order = np.argsort(h)
+        h, owner = h[order], owner[order]
+        edge = h[1:] == h[:-1]
+        again = np.concatenate(([False], edge)) | np.concatenate((edge, [False]))
+        lead = again & np.concatenate(([True], ~edge))
+        own = np.bincount(owner[again], minlength=len(ids))
+        bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        low = h.astype(np.uint32)
+        out = []
+        named = np.flatnonzero(~again)
+        named = named[np.argsort(bucket[named] * len(ids) + owner[named])]
+        free = np.flatnonzero(lead)
+        free = free[np.argsort(bucket[free], kind="stable")]
+        cuts, free_cuts = np.searchsorted(bucket[named], np.arange(buckets + 1)), np.searchsorted(bucket[free], np.arange(buckets + 1))
+        for x in range(buckets):
+            mine, loose = named[cuts[x] : cuts[x + 1]], free[free_cuts[x] : free_cuts[x + 1]]
+            if len(mine) or len(loose):
+                who, count = np.unique(owner[mine], return_counts=True)
+                out.append((x, low[mine].tobytes(), ids[who].astype(np.int64).tobytes(), count.astype(np.uint32).tobytes(), low[loose].tobytes(), b"", b""))
+        some = np.flatnonzero(own)
+        if len(some):
+            out.append((int(ids[some[0]]) % buckets, b"", b"", b"", b"", ids[some].astype(np.int64).tobytes(), own[some].astype(np.uint32).tobytes()))
+        yield pd.DataFrame(out, columns=["bucket", "hashes", "ids", "counts", "free", "done", "done_counts"])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in batches:
+            for h, ids in hashes(pdf):
+                if len(h):
+                    held.append((h, ids))
+                    size += len(h)
+                if size >= a_task:
+                    yield from deal(held)
+                    held, size = [], 0
+        if held:
+            yield from deal(held)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        def all_of(column: str, kind: type) -> np.ndarray:
+            return np.frombuffer(b"".join(pdf[column]), kind)
+
+        h, owner = all_of("hashes", np.uint32), np.repeat(all_of("ids", np.int64), all_of("counts", np.uint32))
+        free = all_of("free", np.uint32)
+        _, which, count = np.unique(np.concatenate((h, free)), return_inverse=True, return_counts=True)
+        found = owner[count[which[: len(h)]] > 1]
+        ids = np.concatenate((found, all_of("done", np.int64)))
+        weight = np.concatenate((np.ones(len(found), np.int64), all_of("done_counts", np.uint32).astype(np.int64)))
+        ids, where = np.unique(ids, return_inverse=True)
+        return pd.DataFrame({"doc_id": ids, "m": np.bincount(where, weights=weight, minlength=len(ids)).astype(np.int64)})
+
+    dealt = sets.mapInPandas(fold, "bucket long, hashes binary, ids binary, counts binary, free binary, done binary, done_counts binary")
+    return dealt.groupBy("bucket").applyInPandas(merge, "doc_id long, m long").groupBy("doc_id").agg(F.sum("m").alias("m"))
