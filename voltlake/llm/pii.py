@@ -85,12 +85,22 @@ def _context(before: Column) -> Column:
     return F.when(two.rlike(r"[\p{L}:=#]\S*$"), F.regexp_replace(two, r"\s+", " "))
 
 
-def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often each of the given patterns (two words) occurs in the texts: pattern, occurs."""
+def occurrences(texts: DataFrame, patterns: DataFrame, most_literals: int = 5000) -> DataFrame:
+    """How often each of the given patterns (two words) occurs in the texts: pattern, occurs.
+
+    Up to most_literals patterns are a set within the expression, so that only their occurrences become
+    rows; more are joined.
+    """
     words = F.filter(F.split(F.lower(F.col("text")), r"\s+"), lambda w: w != "")
     pairs = F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.concat(a, F.lit(" "), b))
+    n = patterns.count()
+    if n <= most_literals:
+        known = [r[0] for r in patterns.select("pattern").collect()]
+        pairs = F.filter(pairs, lambda p: p.isin(known))
     said = texts.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(pairs).alias("pattern"))
-    return said.join(small(patterns.select("pattern"), patterns.count(), 120), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("occurs"))
+    if n > most_literals:
+        said = said.join(small(patterns.select("pattern"), n, 120), "pattern", "left_semi")
+    return said.groupBy("pattern").agg(F.count("*").alias("occurs"))
 
 
 def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3, confidence: float = 0.8, smoothing: float = 1.0) -> DataFrame:
