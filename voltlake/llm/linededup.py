@@ -1,46 +1,37 @@
 """Line dedup by an exact set-similarity join over the lines of all documents.
 
-A line is the set of its words, ordered from rare to frequent. Lines of similarity t share a token among
-the first n - ceil(t * n) + 1 of both (prefix filter); sizes must be within t of each other (length
-filter); and after a first common token at positions i and j at most 1 + min(n1 - i, n2 - j) - 1 tokens
-can be shared (positional filter). What is left is verified on the full sets. A line that is similar to
-an earlier line, by (doc_id, place in the document), is removed.
-
-Equal lines are joined by a hash aggregate. In each list, lines are compared with the list's earliest
-line first; those still without an earlier match are then compared with the other earlier lines of
-their lists. A group of copies is so never expanded into all its pairs.
+A line is the set of its words, ordered from rare to frequent. Of two lines of similarity t the shorter
+has a token among its first n - ceil(2t / (1 + t) n) + 1 that is among the first n - ceil(t n) + 1 of the
+longer (prefix filter); sizes must be within t of each other (length filter); after a common token at
+positions i and j at most min(n1 - i, n2 - j) tokens can be shared (positional filter), and no more than
+half of what both sizes leave after the odd bits of two bitmaps of the sets. What is left is verified on
+the full sets. A line that is similar to an earlier line, by (doc_id, place), is removed.
+
+Equal lines are joined by a hash aggregate first. The lists of the tokens are dealt out in blocks of
+columns and joined with numpy. A list that grows beyond ``hot`` lines is not expanded: its lines are
+compared with one of them, and only those still without an earlier match are then compared with all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small
-from .lists import count_table, distinct_sorted, first_pairs, least_overlap, rarity, tokens
+from .lists import Counts, distinct_sorted, least_overlap, rarity, summed, tokens
 from .textvec import chunks, mix, word_hashes
 
 _SALT = np.uint64(0x51ED270B9F2C4A3D)
 #: A line's place: 24 bits of its text's hash (parts rows of one doc_id), then its number.
 LINE_BITS = 32
-
-
-def _lines(pdf: pd.DataFrame, classes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """For every chunk of texts: row and number of each line with words, its tokens (ascending), sizes and first positions."""
-    texts = pdf["text"].tolist()
-    for start, end in chunks(texts):
-        h, doc, line = word_hashes(texts[start:end])
-        if not len(h):
-            continue
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])))
-        first = np.flatnonzero(new)
-        t, group = distinct_sorted(tokens(h, classes), np.cumsum(new) - 1)
-        n = np.bincount(group, minlength=len(first))
-        yield doc[first] + start, line[first], t, n, np.cumsum(n) - n
+#: The columns of an entry of a list: key, document, place, size, position of the token, bitmap.
+ENTRY = (("key", "<u4"), ("a", "<i8"), ("b", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("x", "<u8"), ("y", "<u8"))
+PAIR = "a1 long, b1 long, a2 long, b2 long"
 
 
 def _sum_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -48,99 +39,244 @@ def _sum_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total[at + n] - total[at]
 
 
-def _place(pdf: pd.DataFrame, row: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return (pdf["mark"].to_numpy()[row] << LINE_BITS) | line
+def _odd_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    total = np.concatenate((np.zeros(1, x.dtype), np.bitwise_xor.accumulate(x)))
+    return total[at + n] ^ total[at]
 
 
-def line_keys(pdf: pd.DataFrame, share: tuple[int, int]) -> pd.DataFrame:
-    """The lists of each line's prefix tokens; the last column is the token's position."""
-    n = pdf["n"].to_numpy()
-    p = n - least_overlap(n, share) + 1
-    key = np.frombuffer(b"".join(pdf["prefix"]), np.uint64)
-    place = np.arange(len(key)) - np.repeat(np.cumsum(p) - p, p)
-    return pd.DataFrame({"key": mix(key ^ _SALT).view(np.int64), "a": np.repeat(pdf["a"].to_numpy(), p), "b": np.repeat(pdf["b"].to_numpy(), p), "n": np.repeat(n, p), "light": place})
+def _lines(pdf: pd.DataFrame, classes: np.ndarray | None, only: bool | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """For every chunk of texts: row and place of each line with words, its tokens (ascending), sizes and first positions.
 
-
-def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words: int = 5) -> DataFrame:
-    """The lines to remove from docs (doc_id: an integer, text, mark): doc_id, mark and lines (their numbers, from 0)."""
-    counts = count_table(docs.select("text"), lambda pdf: (word_hashes(pdf["text"].iloc[a:b].tolist())[0] for a, b in chunks(pdf["text"].tolist())))
-    shared = docs.sparkSession.sparkContext.broadcast(rarity(counts))
-
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    classes: of rarity; without, tokens are plain hashes. only: True for the lines whose numbers are in
+    the column places, False for those that are not.
+    """
+    texts, mark = pdf["text"].tolist(), pdf["mark"].to_numpy()
+    for start, end in chunks(texts):
+        h, doc, line = word_hashes(texts[start:end])
+        if not len(h):
+            continue
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])))
+        group = np.cumsum(new) - 1
+        row, place = doc[new] + start, (mark[doc[new] + start] << LINE_BITS) | line[new]
+        if only is not None:
+            listed = [p for p in pdf["places"].iloc[start:end]]
+            count = [len(p) if p is not None else 0 for p in listed]
+            if sum(count) or only:
+                named = np.repeat(np.arange(start, end), count) << LINE_BITS | np.concatenate([p for p, c in zip(listed, count) if c] or [np.zeros(0, np.int64)]).astype(np.int64)
+                chosen = np.isin(row << LINE_BITS | line[new], named) == only
+                h, group = h[chosen[group]], (np.cumsum(chosen) - 1)[group[chosen[group]]]
+                row, place = row[chosen], place[chosen]
+            if not len(h):
+                continue
+        t, group = distinct_sorted(h if classes is None else tokens(h, classes), group)
+        n = np.bincount(group, minlength=len(row))
+        yield row, place, t, n, np.cumsum(n) - n
+
+
+def similar(pairs: np.ndarray | tuple, share: tuple[int, int]) -> np.ndarray:
+    """Which of the entry pairs (size, position, bitmap of both) the filters leave."""
+    n1, p1, x1, y1, n2, p2, x2, y2 = pairs
+    both = n1.astype(np.int64) + n2
+    least = -(-share[0] * both // (share[0] + share[1]))
+    keep = (n1 * share[1] >= n2 * share[0]) & (n2 * share[1] >= n1 * share[0]) & (np.minimum(n1 - p1, n2 - p2) >= least)
+    odd = np.bitwise_count(x1 ^ x2).astype(np.int64) + np.bitwise_count(y1 ^ y2)
+    return keep & ((both - odd) // 2 >= least)
+
+
+def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], least_words: int) -> Iterator[dict[str, np.ndarray]]:
+    """The entries of the prefix tokens of the lines that are not in places; keys still have 64 bits."""
+    for row, place, t, n, at in _lines(pdf, classes, only=False):
+        spread = mix(t ^ _SALT)
+        bit = np.uint64(1) << (spread >> np.uint64(58))
+        half = (spread >> np.uint64(57)) & np.uint64(1) == 1
+        x, y = _odd_by(np.where(half, bit, np.uint64(0)), at, n), _odd_by(np.where(half, np.uint64(0), bit), at, n)
+        use = np.flatnonzero(n >= least_words)
+        p = n[use] - least_overlap(n[use], share) + 1
+        pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+        line = np.repeat(use, p)
+        yield {"key": mix(t[at[line] + pos]), "a": pdf["doc_id"].to_numpy()[row[line]], "b": place[line], "n": n[line], "pos": pos, "x": x[line], "y": y[line]}
+
+
+def _star(e: dict[str, np.ndarray], lead: np.ndarray, at: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    keep = similar((*(e[c][lead] for c in ("n", "pos", "x", "y")), *(e[c][at] for c in ("n", "pos", "x", "y"))), share) & (lead != at)
+    return np.array([e["a"][lead], e["b"][lead], e["a"][at], e["b"][at]])[:, keep]
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First position of every run of equal keys, and the run of each position."""
+    head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    return np.flatnonzero(head), np.cumsum(head) - 1
+
+
+def candidate_pairs(texts: DataFrame, entries_of, n_entries: int, share: tuple[int, int], hot: int, a_bucket: int = 1_000_000, a_task: int = 1_500_000) -> DataFrame:
+    """Pairs of lines (PAIR) that the filters leave, and as (-1, key, -1, -1) the keys of lists that were not expanded."""
+    buckets = max(12, math.ceil(n_entries / a_bucket))
+
+    def deal(held: list[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        e = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        order = np.argsort(e["key"])
+        e = {c: v[order] for c, v in e.items()}
+        first, run = _runs(e["key"])
+        length = np.diff(np.append(first, len(run)))
+        warm = length[run] > hot
+        pairs, keys = b"", b""
+        send = ~warm
+        if warm.any():
+            send[first] = True
+            pairs = np.ascontiguousarray(_star(e, first[run[warm]], np.flatnonzero(warm), share)).astype("<i8").tobytes()
+            keys = e["key"][first[length > hot]].view(np.int64).astype("<i8")
+        bucket = ((e["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        chosen = np.flatnonzero(send)
+        chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
+        cuts = np.searchsorted(bucket[chosen], np.arange(buckets + 1))
+        rows = []
+        for x in range(buckets):
+            mine = chosen[cuts[x] : cuts[x + 1]]
+            here = keys[(keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets) == x].tobytes() if len(keys) else b""
+            if len(mine) or here:
+                rows.append((x, len(mine), b"".join(e[c][mine].astype(k).tobytes() for c, k in ENTRY), here, b""))
+        if pairs:
+            rows.append((int(e["a"][0]) % buckets, 0, b"", b"", pairs))
+        yield pd.DataFrame(rows, columns=["bucket", "size", "entries", "hot", "pairs"])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for pdf in batches:
-            for row, line, t, n, at in _lines(pdf, shared.value):
-                p = n - least_overlap(n, share) + 1
-                d1, d2 = _sum_by(mix(t), at, n).view(np.int64), _sum_by(mix(t ^ _SALT), at, n).view(np.int64)
-                use = np.flatnonzero(n >= least_words)
-                yield pd.DataFrame(
-                    {
-                        "a": pdf["doc_id"].to_numpy()[row[use]],
-                        "b": _place(pdf, row[use], line[use]),
-                        "n": n[use],
-                        "d1": d1[use],
-                        "d2": d2[use],
-                        "prefix": [t[at[i] : at[i] + p[i]].tobytes() for i in use],
-                    }
-                )
-
-    lines = saved(docs.mapInPandas(summarise, "a long, b long, n long, d1 long, d2 long, prefix binary"), "lines")
-    copies = lines.groupBy("d1", "d2").agg(F.min(F.struct("a", "b", "n", "prefix")).alias("first"))
-    firsts = saved(copies.select("d1", "d2", "first.*"), "firsts")
-    n_keys = firsts.agg(F.sum(F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1)).first()[0] or 0
-
-    both = F.col("n1") + F.col("n2")
-    least = F.ceil(both * share[0] / (share[0] + share[1]))
-    fits = (F.col("n1") * share[1] >= F.col("n2") * share[0]) & (F.col("n2") * share[1] >= F.col("n1") * share[0])
-
-    def reaches(i: str, j: str) -> Column:
-        return F.least(F.col("n1") - F.col(i), F.col("n2") - F.col(j)) >= least
-
-    pairs = saved(first_pairs(firsts.select("a", "b", "n", "prefix"), lambda pdf: line_keys(pdf, share), int(n_keys)), "pairs")
-    ids = ["a1", "b1", "a2", "b2"]
-    met = pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b")).union(pairs.select("a2", "b2")).distinct()
-    met = saved(met, "met")
-    n_met = met.count()
-    wanted = met.groupBy("a").agg(F.collect_list("b").alias("places"))
-    texts = docs.join(small(wanted, n_met, 32), docs["doc_id"] == F.col("a")).select("doc_id", "text", "mark", "places")
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for e in entries_of(pdf):
+                if len(e["key"]):
+                    held.append(e)
+                    size += len(e["key"])
+                if size >= a_task:
+                    yield from deal(held)
+                    held, size = [], 0
+        if held:
+            yield from deal(held)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in ENTRY}
+        for size, raw in zip(pdf["size"], pdf["entries"]):
+            at = 0
+            for c, k in ENTRY:
+                width = np.dtype(k).itemsize * size
+                parts[c].append(np.frombuffer(raw[at : at + width], k))
+                at += width
+        e = {c: np.concatenate(v) for c, v in parts.items()}
+        order = np.lexsort((e["n"], e["key"]))
+        e = {c: v[order] for c, v in e.items()}
+        first, run = _runs(e["key"])
+        length = np.diff(np.append(first, len(run)))
+        told = np.frombuffer(b"".join(pdf["hot"]), "<i8")
+        warm = (length > hot) | np.isin(e["key"][first], told.view(np.uint64).astype(np.uint32))
+        out = [np.frombuffer(p, "<i8").reshape(4, -1) for p in pdf["pairs"] if p]
+        if warm.any():
+            at = np.flatnonzero(warm[run])
+            out.append(_star(e, first[run[at]], at, share))
+            out.append(np.array([[-1, int(k), int(pdf["bucket"].iloc[0]), buckets] for k in e["key"][first[warm]]], np.int64).T)
+        # Sorted by size within a list: the shorter line first, up to the size that t allows.
+        n = e["n"].astype(np.int64)
+        shorter = np.flatnonzero(~warm[run] & (e["pos"] < n + (-2 * share[0] * n // (share[0] + share[1])) + 1))
+        scale = np.int64(1) << 31
+        upto = np.searchsorted(run * scale + n, run[shorter] * scale + n[shorter] * share[1] // share[0], side="right")
+        count = upto - shorter - 1
+        ends = np.cumsum(count)
+        start = 0
+        while start < len(shorter):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + 2_000_000, side="right")))
+            c = count[start:stop]
+            i = np.repeat(shorter[start:stop], c)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+            out.append(_star(e, i, j, share))
+            start = stop
+        pairs = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+        plain = pairs[0] >= 0
+        swap = plain & ((pairs[0] > pairs[2]) | ((pairs[0] == pairs[2]) & (pairs[1] > pairs[3])))
+        pairs[:, swap] = pairs[[2, 3, 0, 1]][:, swap]
+        return pd.DataFrame(pairs.T, columns=["a1", "b1", "a2", "b2"]).drop_duplicates()
+
+    dealt = texts.mapInPandas(fold, "bucket long, size long, entries binary, hot binary, pairs binary")
+    return dealt.groupBy("bucket").applyInPandas(merge, PAIR).distinct()
+
+
+def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words: int = 5, hot: int = 2000) -> DataFrame:
+    """The lines to remove from docs (doc_id: long, text, mark): doc_id, mark and lines (their numbers, from 0)."""
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counts()
         for pdf in batches:
-            places = [set(p) for p in pdf["places"]]
-            for row, line, t, n, at in _lines(pdf, shared.value):
-                b = _place(pdf, row, line)
-                use = [i for i in range(len(row)) if b[i] in places[row[i]]]
-                yield pd.DataFrame({"a": pdf["doc_id"].to_numpy()[row[use]], "b": b[use], "set": [t[at[i] : at[i] + n[i]].view(np.int64) for i in use]})
-
-    full = saved(texts.mapInPandas(whole, "a long, b long, set array<long>").dropDuplicates(["a", "b"]), "full")
+            for row, place, t, n, at in _lines(pdf, None):
+                counts.add(t)
+                use = np.flatnonzero(n >= least_words)
+                d1, d2 = _sum_by(mix(t), at, n).view(np.int64), _sum_by(mix(t ^ _SALT), at, n).view(np.int64)
+                yield pd.DataFrame({"a": pdf["doc_id"].to_numpy()[row[use]], "b": place[use], "n": n[use], "d1": d1[use], "d2": d2[use], "t": None})
+        yield pd.DataFrame({"a": [0], "b": [0], "n": [0], "d1": [0], "d2": [0], "t": [counts.packed()]})
+
+    described = saved(docs.mapInPandas(describe, "a long, b long, n long, d1 long, d2 long, t binary"), "lines")
+    lines = described.where("t is null").drop("t")
+    # A word counts once a line here, in equal lines too.
+    shared = docs.sparkSession.sparkContext.broadcast(rarity(summed(described.where("t is not null").select("t"))))
+    copies = saved(lines.groupBy("d1", "d2").agg(F.min(F.struct("a", "b")).alias("first"), F.max("n").alias("n")).select("d1", "d2", "first.*", "n"), "firsts")
+    n_entries = copies.agg(F.sum(F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1)).first()[0] or 0
+    firsts = copies.select("d1", "d2", F.col("a").alias("a0"), F.col("b").alias("b0"))
+    low = F.col("b").bitwiseAND(F.lit((1 << LINE_BITS) - 1))
+    by_doc = lambda df: df.groupBy(F.col("a").alias("_a"), F.shiftright("b", LINE_BITS).alias("_mark")).agg(F.collect_list(low).alias("places"))
+
+    def with_places(places: DataFrame, how: str) -> DataFrame:
+        size = places.agg(F.count("*"), F.sum(F.size("places"))).first()
+        places = small(places, 1, 64 * size[0] + 8 * (size[1] or 0))
+        return docs.join(places, (docs["doc_id"] == places["_a"]) & (docs["mark"] == places["_mark"]), how).select("doc_id", "text", "mark", "places")
+
+    again = saved(by_doc(lines.join(firsts, ["d1", "d2"]).where("a <> a0 or b <> b0")), "again")
+    fresh = with_places(again, "left")
+    found = saved(candidate_pairs(fresh, lambda pdf: _entries(pdf, shared.value, share, least_words), int(n_entries), share, hot), "pairs")
+    pairs, keys = found.where("a1 >= 0"), found.where("a1 < 0")
 
     def matched(pairs: DataFrame) -> DataFrame:
-        x, y = full.toDF("a1", "b1", "s1"), full.toDF("a2", "b2", "s2")
-        compared = pairs.join(x, ["a1", "b1"]).join(y, ["a2", "b2"])
-        compared = compared.select(*ids, (F.size("s1") + F.size("s2")).alias("both"), F.size(F.array_intersect("s1", "s2")).alias("common"))
-        return compared.where(F.col("common") * share[1] >= (F.col("both") - F.col("common")) * share[0]).select(*ids)
-
-    # The first line of a list is its earliest, so a match removes the other one.
-    tried = pairs.where(fits & reaches("l1", "l2")).select(*ids).distinct()
-    gone = saved(matched(tried).select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), "gone")
-
-    def list_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield line_keys(pdf, share)
-
-    listed = firsts.join(small(met, n_met, 24), ["a", "b"], "left_semi").select("a", "b", "n", "prefix")
-    listed = saved(listed.mapInPandas(list_rows, "key long, a long, b long, n long, light long"), "lists")
-    later = listed.join(gone, ["a", "b"], "left_anti").toDF("a2", "b2", "key", "n2", "l2")
-    earlier = listed.select("key", F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("n").alias("n1"), F.col("light").alias("l1"))
-    before = (F.col("a1") < F.col("a2")) | ((F.col("a1") == F.col("a2")) & (F.col("b1") < F.col("b2")))
-    rest = later.join(earlier, "key").where(before & fits & reaches("l1", "l2")).select(*ids).distinct().join(tried, ids, "left_anti")
-    gone = gone.union(matched(rest).select("a2", "b2")).distinct()
-
-    first = firsts.join(gone.withColumn("gone", F.lit(True)), ["a", "b"], "left").select("d1", "d2", F.col("a").alias("a0"), F.col("b").alias("b0"), "gone")
+        met = pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b")).union(pairs.select("a2", "b2")).distinct()
+        chosen = with_places(saved(by_doc(met), "met"), "inner")
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row, place, t, n, at in _lines(pdf, None, only=True):
+                    yield pd.DataFrame({"a": pdf["doc_id"].to_numpy()[row], "b": place, "set": [t[i : i + m].view(np.int64) for i, m in zip(at, n)]})
+
+        full = saved(chosen.mapInPandas(whole, "a long, b long, set array<long>"), "sets")
+        compared = pairs.join(full.toDF("a1", "b1", "s1"), ["a1", "b1"]).join(full.toDF("a2", "b2", "s2"), ["a2", "b2"])
+        compared = compared.select("a2", "b2", (F.size("s1") + F.size("s2")).alias("both"), F.size(F.array_intersect("s1", "s2")).alias("common"))
+        return compared.where(F.col("common") * share[1] >= (F.col("both") - F.col("common")) * share[0]).select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct()
+
+    gone = saved(matched(pairs), "gone")
+    n_hot = keys.count()
+    if n_hot:
+
+        def hot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for e in _entries(pdf, shared.value, share, least_words):
+                    bucket = ((e["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                    yield pd.DataFrame({"bucket": bucket, "low": e["key"].astype(np.uint32).astype(np.int64)} | {c: e[c].astype(np.int64) for c in ("a", "b", "n", "pos")} | {c: e[c].view(np.int64) for c in ("x", "y")})
+
+        buckets = keys.first()["b2"]
+        named = small(keys.select(F.col("b1").alias("low"), F.col("a2").alias("bucket")), n_hot, 24)
+        rows = fresh.mapInPandas(hot_rows, "bucket long, low long, a long, b long, n long, pos long, x long, y long")
+        rows = saved(rows.join(named, ["bucket", "low"], "left_semi"), "hot")
+        cols = ["a", "b", "n", "pos", "x", "y"]
+        later = rows.join(gone, ["a", "b"], "left_anti").select("bucket", "low", *[F.col(c).alias(f"{c}2") for c in cols])
+        earlier = rows.select("bucket", "low", *[F.col(c).alias(f"{c}1") for c in cols])
+        both = F.col("n1") + F.col("n2")
+        least = F.ceil(both * share[0] / (share[0] + share[1]))
+        odd = F.bit_count(F.col("x1").bitwiseXOR(F.col("x2"))) + F.bit_count(F.col("y1").bitwiseXOR(F.col("y2")))
+        fits = (F.col("n1") * share[1] >= F.col("n2") * share[0]) & (F.col("n2") * share[1] >= F.col("n1") * share[0])
+        fits = fits & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= least) & ((both - odd) / 2 >= least)
+        before = (F.col("a1") < F.col("a2")) | ((F.col("a1") == F.col("a2")) & (F.col("b1") < F.col("b2")))
+        rest = later.join(earlier, ["bucket", "low"]).where(before & fits).select("a1", "b1", "a2", "b2").distinct()
+        gone = saved(gone.union(matched(saved(rest, "pairs"))).distinct(), "gone")
+
+    first = firsts.join(gone.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.lit(True).alias("gone")), ["a0", "b0"], "left")
     removed = lines.select("a", "b", "d1", "d2").join(first, ["d1", "d2"]).where("gone or a <> a0 or b <> b0")
-    return removed.groupBy(F.col("a").alias("doc_id"), F.shiftright("b", LINE_BITS).alias("mark")).agg(F.collect_set(F.col("b").bitwiseAND(F.lit((1 << LINE_BITS) - 1))).alias("lines"))
+    return by_doc(removed).select(F.col("_a").alias("doc_id"), F.col("_mark").alias("mark"), F.array_distinct("places").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words: int = 5, hot: int = 2000) -> DataFrame:
     """Removes from docs (doc_id: an integer, text) every line whose words are similar to an earlier line's.
 
     Similar: Jaccard similarity of the sets of words ([^\\x20\\x09-\\x0D]+) >= share[0] / share[1]. Earlier: of
@@ -156,7 +292,7 @@ def dedup_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words
     kind = dict(docs.dtypes)["doc_id"]
     mark = F.pmod(F.xxhash64("text"), F.lit(1 << 24))
     base = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", mark)
-    removed = saved(similar_lines(base, share, least_words), "removed").toDF("_id", "_mark", "_lines")
+    removed = saved(similar_lines(base, share, least_words, hot), "removed").toDF("_id", "_mark", "_lines")
     size = removed.agg(F.count("*"), F.sum(F.size("_lines"))).first()
     removed = small(removed, 1, 48 * size[0] + 8 * (size[1] or 0))
     joined = docs.join(removed, (docs["doc_id"].cast("long") == F.col("_id")) & (F.pmod(F.xxhash64(docs["text"].cast("string")), F.lit(1 << 24)) == F.col("_mark")), "left")

@@ -15,34 +15,59 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLOTS_LOG2 = 20
+SLOTS_LOG2 = 22
 
 
-def count_table(df: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[np.ndarray]]) -> np.ndarray:
-    """Counts of hashes in 2^SLOTS_LOG2 slots, over all rows; summed in a tree, so its size bounds every step."""
+class Counts:
+    """Counts of hashes in 2^SLOTS_LOG2 slots within a task; hashes are gathered so that few passes over the table are made."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(1 << SLOTS_LOG2, np.int64)
-        for pdf in batches:
-            for h in hashes(pdf):
-                table += np.bincount((h >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64), minlength=len(table))
-        yield pd.DataFrame({"t": [np.minimum(table, 2**31 - 1).astype("<u4").tobytes()]})
+    def __init__(self) -> None:
+        self.table, self.held, self.size = np.zeros(1 << SLOTS_LOG2, np.int64), [], 0
+
+    def add(self, h: np.ndarray) -> None:
+        self.held.append((h >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64))
+        self.size += len(h)
+        if self.size >= 1 << 21:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.table += np.bincount(np.concatenate(self.held), minlength=len(self.table))
+        self.held, self.size = [], 0
+
+    def packed(self) -> bytes:
+        self.flush()
+        return np.minimum(self.table, 2**32 - 1).astype("<u4").tobytes()
+
+
+def summed(tables: DataFrame) -> np.ndarray:
+    """The sum of the packed tables in the only column of a frame, in a tree, so that a table's size bounds every step."""
 
     def add(a: bytes, b: bytes) -> bytes:
         x = np.frombuffer(a, "<u4").astype(np.int64) + np.frombuffer(b, "<u4")
         return np.minimum(x, 2**32 - 1).astype("<u4").tobytes()
 
-    tables = df.mapInPandas(count, "t binary").rdd.map(lambda r: bytes(r[0]))
-    parts = tables.getNumPartitions()
-    if not parts:
-        return np.zeros(1 << SLOTS_LOG2, np.int64)
-    return np.frombuffer(tables.treeReduce(add, depth=2 if parts < 1000 else 3), "<u4").astype(np.int64)
+    parts = tables.rdd.getNumPartitions()
+    total = tables.rdd.map(lambda r: bytes(r[0])).treeAggregate(b"", lambda a, b: add(a, b) if a else b, lambda a, b: add(a, b) if a and b else a or b, depth=2 if parts < 1000 else 3)
+    return np.frombuffer(total, "<u4").astype(np.int64) if total else np.zeros(1 << SLOTS_LOG2, np.int64)
+
+
+def count_table(df: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[np.ndarray]]) -> np.ndarray:
+    """Counts of hashes in slots, over all rows."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counts()
+        for pdf in batches:
+            for h in hashes(pdf):
+                counts.add(h)
+        yield pd.DataFrame({"t": [counts.packed()]})
+
+    return summed(df.mapInPandas(count, "t binary"))
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """A class of 0 to 255 for each slot: the logarithm of its count above the usual count of a slot."""
-    above = np.maximum(counts - 2 * np.median(counts), 0) + np.minimum(counts, 1)
-    return np.minimum(np.round(8 * np.log2(1 + above)), 255).astype(np.uint8)
+    """A class of 0 to 255 for each slot: the logarithm of its count."""
+    return np.minimum(np.round(8 * np.log2(1 + counts)), 255).astype(np.uint8)
 
 
 def tokens(h: np.ndarray, classes: np.ndarray) -> np.ndarray:

@@ -84,7 +84,7 @@ def shingle_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> t
     return h, d
 
 
-def chunks(texts: list, size: int = 1 << 20):
+def chunks(texts: list, size: int = 1 << 18):
     """Ranges of texts of about size characters each (at least one text)."""
     start, total = 0, 0
     for i, t in enumerate(texts):
