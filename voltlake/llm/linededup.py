@@ -108,7 +108,7 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(head), np.cumsum(head) - 1
 
 
-def candidate_pairs(texts: DataFrame, entries_of, n_entries: int, share: tuple[int, int], hot: int, a_bucket: int = 1_000_000, a_task: int = 1_500_000) -> DataFrame:
+def candidate_pairs(texts: DataFrame, entries_of, n_entries: int, share: tuple[int, int], hot: int, a_bucket: int = 300_000, a_task: int = 300_000) -> DataFrame:
     """Pairs of lines (PAIR) that the filters leave, and as (-1, key, -1, -1) the keys of lists that were not expanded."""
     buckets = max(12, math.ceil(n_entries / a_bucket))
 
@@ -182,7 +182,7 @@ def candidate_pairs(texts: DataFrame, entries_of, n_entries: int, share: tuple[i
         start = 0
         while start < len(shorter):
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + 2_000_000, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + 250_000, side="right")))
             c = count[start:stop]
             i = np.repeat(shorter[start:stop], c)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)

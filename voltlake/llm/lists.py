@@ -132,7 +132,7 @@ def _fold(rows: list[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
 PAIRS = "a1 long, b1 long, n1 long, l1 long, a2 long, b2 long, n2 long, l2 long"
 
 
-def first_pairs(sets: DataFrame, keys_of: Callable[[pd.DataFrame], pd.DataFrame], n_keys: int, a_bucket: int = 400_000, a_task: int = 2_000_000) -> DataFrame:
+def first_pairs(sets: DataFrame, keys_of: Callable[[pd.DataFrame], pd.DataFrame], n_keys: int, a_bucket: int = 300_000, a_task: int = 500_000) -> DataFrame:
     """Distinct pairs (first set of a list, another set of the list), for the lists of all keys of sets.
 
     The first set is that of least (a, b). A list is folded within each task before it is dealt out, so
@@ -184,7 +184,7 @@ def components(edges: DataFrame, save: Callable[[DataFrame, str], DataFrame], ro
     raise RuntimeError("components did not settle")
 
 
-def shared_tokens(sets: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[tuple[np.ndarray, np.ndarray]]], n_tokens: int, a_bucket: int = 500_000, a_task: int = 2_000_000) -> DataFrame:
+def shared_tokens(sets: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[tuple[np.ndarray, np.ndarray]]], n_tokens: int, a_bucket: int = 400_000, a_task: int = 1_000_000) -> DataFrame:
     """How many tokens of each set (doc_id: long) are in another set too: doc_id, m. Sets without any are left out.
 
     hashes gives the distinct token hashes of chunks of sets and the doc_id of each. A task sends every
