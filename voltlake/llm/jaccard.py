@@ -167,8 +167,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
 
     def list_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                yield make_keys(pdf.iloc[at : at + 2000], boundary, share)[["key", "a", "n"]]
+            for at in range(0, len(pdf), 500):
+                yield make_keys(pdf.iloc[at : at + 500], boundary, share)[["key", "a", "n"]]
 
     label: Column = F.coalesce("label", "a").alias("label")
     lists = firsts.join(met, "doc_id", "left_semi").select("doc_id", "n", "prefix").mapInPandas(list_rows, "key long, a long, n long")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLOTS_LOG2 = 22
+SLOTS_LOG2 = 20
 
 
 class Counts:
@@ -143,12 +143,13 @@ def first_pairs(sets: DataFrame, keys_of: Callable[[pd.DataFrame], pd.DataFrame]
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in batches:
-            rows = keys_of(pdf)
-            held.append(rows)
-            size += len(rows)
-            if size >= a_task:
-                yield from _fold(held, buckets)
-                held, size = [], 0
+            for at in range(0, len(pdf), 500):
+                rows = keys_of(pdf.iloc[at : at + 500])
+                held.append(rows)
+                size += len(rows)
+                if size >= a_task:
+                    yield from _fold(held, buckets)
+                    held, size = [], 0
         yield from _fold([r for r in held if len(r)], buckets)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
