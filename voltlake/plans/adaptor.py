@@ -61,3 +61,63 @@ raw as (
   from raw0
   window w as (partition by run_id, cycle_index order by data_point rows unbounded preceding))
 """
+
+
+def life_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as cycle summaries of long lives: 20 runs, a cycle for every four hours in which a run has events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    cycle = F.floor((F.unix_micros("ts") - F.lit(1704067200000000)) / 14400000000).cast("int")
+    rows = e.groupBy((F.col("user_id") % 20).alias("run_id"), cycle.alias("cycle_index")).agg(F.min("ts").alias("date_time"), (F.sum(F.round(F.col("value") * 100).cast("long")) % 64).alias("s"))
+    s, c, q = F.col("s"), F.col("cycle_index"), F.col("discharge_capacity")
+    rows = rows.withColumn("discharge_capacity", 1.125 - c / F.lit(512.0) - s / F.lit(4096.0))
+    rows = rows.withColumns(
+        {
+            "charge_capacity": q + F.lit(1 / 64),
+            "discharge_energy": 3 * q - s / F.lit(2048.0),
+            "charge_energy": 3 * q + F.lit(0.125),
+            "dc_internal_resistance": F.when(s % 11 != 0, (16 + s % 7) / F.lit(1024.0)).otherwise(0.0),
+            "temperature_maximum": (30 + s % 9).cast("double"),
+            "temperature_minimum": (20 + s % 5).cast("double"),
+            "time_temperature_integrated": F.when(s % 13 != 0, s * 2.0),
+            "charge_duration": 600.0 + s,
+        }
+    )
+    upto = W.partitionBy("run_id").orderBy("cycle_index").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("charge_throughput", F.sum("charge_capacity").over(upto)).drop("s")
+
+
+def life_diagnostics(summary: DataFrame) -> DataFrame:
+    """For the test tables: of every 30 cycles the first three are diagnostics."""
+    k = F.col("cycle_index") % 30
+    kinds = F.when(k == 0, "reset").when(k == 1, "rpt_0.2C").when(k == 2, "rpt_1C")
+    return summary.withColumn("cycle_type", kinds).where("cycle_type is not null")
+
+
+def life_curves(summary: DataFrame) -> DataFrame:
+    """Curves of 21 voltages for every cycle of the summaries."""
+    i = F.col("i")
+    rows = summary.select("run_id", "cycle_index", "discharge_capacity", "charge_capacity", "discharge_energy", "charge_energy", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"))
+    shape = i * i * (1 + F.col("cycle_index") % 4) / F.lit(1024.0)
+    return rows.select("run_id", "cycle_index", (2.5 + i / F.lit(16.0)).alias("voltage"), *[(F.col(c) * shape).alias(c) for c in ("discharge_capacity", "charge_capacity", "discharge_energy", "charge_energy")])
+
+
+LIFE_SQL = """
+life0 as (
+  select user_id % 20 as run_id, cast(floor((epoch_us(ts) - 1704067200000000) / 14400000000) as integer) as cycle_index, min(ts) as date_time,
+         cast(sum(cast(round(value * 100) as bigint)) % 64 as bigint) as s from events group by 1, 2),
+life1 as (select *, 1.125::double - cycle_index / 512.0::double - s / 4096.0::double as discharge_capacity from life0),
+life as (
+  select run_id, cycle_index, date_time, discharge_capacity, discharge_capacity + 0.015625::double as charge_capacity,
+         3 * discharge_capacity - s / 2048.0::double as discharge_energy, 3 * discharge_capacity + 0.125::double as charge_energy,
+         case when s % 11 <> 0 then (16 + s % 7) / 1024.0::double else 0.0::double end as dc_internal_resistance,
+         cast(30 + s % 9 as double) as temperature_maximum, cast(20 + s % 5 as double) as temperature_minimum,
+         case when s % 13 <> 0 then s * 2.0::double end as time_temperature_integrated, 600.0::double + s as charge_duration,
+         sum(discharge_capacity + 0.015625::double) over (partition by run_id order by cycle_index rows unbounded preceding) as charge_throughput,
+         row_number() over (partition by run_id order by cycle_index) - 1 as position
+  from life1),
+ldiag as (select *, case cycle_index % 30 when 0 then 'reset' when 1 then 'rpt_0.2C' else 'rpt_1C' end as cycle_type from life where cycle_index % 30 < 3),
+lcurves as (
+  select run_id, cycle_index, 2.5::double + i / 16.0::double as voltage, discharge_capacity * k as discharge_capacity, charge_capacity * k as charge_capacity,
+         discharge_energy * k as discharge_energy, charge_energy * k as charge_energy
+  from (select life.*, i, i * i * (1 + cycle_index % 4) / 1024.0::double as k from life, generate_series(0, 20) t(i)))
+"""

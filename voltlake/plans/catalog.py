@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cycles, interpolate, steps
-from .adaptor import raw_samples
+from ..operators import cycles, diagnostics, features, interpolate, life, matrix, steps, validate
+from .adaptor import life_curves, life_diagnostics, life_summary, raw_samples
 
 QUERIES = {}
 
@@ -83,3 +83,99 @@ def cycle_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diagnostic_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_samples(spark, sf_dir)
     return interpolate.interpolate_diagnostic(raw, diagnostic_cycles(raw), 7, 7, v_delta_min=0.002)
+
+
+@query
+def diagnostic_from_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.from_step_numbers(raw_samples(spark, sf_dir), {"hppc": ("contains", [(0, 1, 2, 3, 4)]), "rpt": ("exact", [(0, 3), (1, 2, 4)])})
+
+
+@query
+def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {
+        "charge_capacity": {"max": 1.5, "min": 0.0, "type": "float"},
+        "cycle_index": {"min": 0, "max_at_least": 1, "type": "integer"},
+        "temperature": {"max": 34.0, "min": 20.0, "type": "float"},
+        "test_time": {"type": "float", "monotonic": "increasing"},
+        "voltage": {"max": 3.25, "min": 2.0, "min_is_below": 2.002, "type": "float"},
+    }
+    return validate.validate(raw_samples(spark, sf_dir), rules)
+
+
+@query
+def cell_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return life.cycle_life(life_summary(spark, sf_dir), [0.98, 0.9, 0.8, 0.7], n_cutoff=40)
+
+
+@query
+def capacity_at_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return life.capacities_at(life_summary(spark, sf_dir), [20, 60, 100, 140, 180])
+
+
+@query
+def cycles_to_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.trajectory(life_summary(spark, sf_dir))
+
+
+@query
+def fraction_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.fraction_left(life_diagnostics(life_summary(spark, sf_dir)), "discharge_energy", "rpt_0.2C", 60)
+
+
+@query
+def fraction_remaining_nx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = life_summary(spark, sf_dir)
+    return diagnostics.fraction_left_nx(summary, life_diagnostics(summary))
+
+
+@query
+def threshold_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = life_summary(spark, sf_dir)
+    left = diagnostics.fraction_left_nx(summary, life_diagnostics(summary), cycle_types=["rpt_0.2C"])
+    return diagnostics.threshold_crossing(left, "normalized_regular_throughput", threshold=0.85, n=101).select("run_id", F.round("crossing", 6).alias("crossing"))
+
+
+@query
+def delta_q_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = life_summary(spark, sf_dir)
+    return features.delta_q(summary, life_curves(summary), digits=6)
+
+
+@query
+def cycle_statistic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curves = life_curves(life_summary(spark, sf_dir))
+    return features.cycle_statistics(curves, curves, 10, 100, digits=6)
+
+
+@query
+def diagnostic_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.summary_differences(life_diagnostics(life_summary(spark, sf_dir)), types=("reset", "rpt_0.2C", "rpt_1C"))
+
+
+@query
+def exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = life_summary(spark, sf_dir)
+    left = diagnostics.fraction_left_nx(summary, life_diagnostics(summary), cycle_types=["rpt_0.2C"])
+    return features.exclusion_criteria(summary, left, 1.0, n=80, throughput_cutoff=75.0, end_of_life=0.8, full_cycles_cutoff=110.0)
+
+
+def _two_featurizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = life_summary(spark, sf_dir)
+    ends = life.capacities_at(summary, [20, 160])
+    return matrix.feature_matrix([(ends, "Capacities", {"at": [20, 160]}), (life.cycles_to(summary, [0.9, 0.8]), "Trajectory", {"t": [0.9, 0.8]})])
+
+
+@query
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.without_hash(_two_featurizers(spark, sf_dir))
+
+
+@query
+def clean_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = life_summary(spark, sf_dir).where("run_id < 4").select((F.col("run_id") * 1000 + F.col("cycle_index")).alias("run_id"), F.try_divide(F.lit(1.0), F.col("dc_internal_resistance")).alias("g"), "time_temperature_integrated", "charge_duration")
+    return matrix.clean(rows, 0.5, 0.6, "median")
+
+
+@query
+def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.folds(life_summary(spark, sf_dir).select("run_id", "cycle_index"), 5, seed=3, group="run_id")

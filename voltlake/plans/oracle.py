@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .adaptor import RAW_SQL
+from .adaptor import LIFE_SQL, RAW_SQL
 
 DIAGNOSTIC = """
 diag as (select distinct run_id, cycle_index, case cycle_index when 0 then 'reset' else 'hppc' end as cycle_type
@@ -184,3 +184,162 @@ acc as (
     )
     + f" select u.*, cycle_type, step_type from (select * from out_flat union all select * from out_wide) u join span using ({DIAG_KEYS})",
 }
+
+
+def _life(*parts: str) -> str:
+    return "with " + ",\n".join(p.strip() for p in (LIFE_SQL, *parts))
+
+
+NOMINAL = """
+nom as (select run_id, count(*) as n, max_by(discharge_capacity, position) as last_q,
+               case when count(*) > 40 then median(discharge_capacity) filter (where position < 40) else 1.1::double end as nominal from life group by run_id)"""
+
+
+def _lives(at: list[float]) -> str:
+    values = ", ".join(f"({t}::double)" for t in at)
+    return f"""
+lives as (select run_id, threshold, case when last_q / nominal <= threshold then pos else n + 1 end as cycle_life, case when last_q / nominal <= threshold then cyc end as cycle_index
+          from (select nom.*, threshold, (select min(position) from life l where l.run_id = nom.run_id and discharge_capacity < threshold * nominal) as pos,
+                       (select min(cycle_index) from life l where l.run_id = nom.run_id and discharge_capacity < threshold * nominal) as cyc
+                from nom, (values {values}) t(threshold)))"""
+
+
+TRAJECTORY = [0.98, 0.95, 0.92, 0.89, 0.86, 0.83, 0.8]
+
+FRACTIONS = """
+reg as (select run_id, cycle_index, sum(discharge_energy) over (partition by run_id order by cycle_index rows unbounded preceding) as tp,
+               cycle_index - lag(cycle_index) over (partition by run_id order by cycle_index) as step
+        from life where cycle_index <> 0 and (run_id, cycle_index) not in (select (run_id, cycle_index) from ldiag)),
+init as (select run_id, (select max_by(tp, cycle_index) from reg r where r.run_id = g.run_id and r.cycle_index < g.gap_at) as tp0, last_reg
+         from (select run_id, min(cycle_index) filter (where step > 1) as gap_at, max(cycle_index) as last_reg from reg group by run_id) g),
+dia as (select *, sum(discharge_energy) over w as tp, discharge_energy / first_value(discharge_energy) over w as frac from ldiag window w as (partition by run_id order by cycle_index rows unbounded preceding)),
+nx as (select d.run_id, d.cycle_index, d.cycle_type, frac as fractional_metric, tp0 as initial_regular_throughput,
+              coalesce((select max(tp) from reg r where r.run_id = d.run_id and r.cycle_index < d.cycle_index) / tp0, 0) as normalized_regular_throughput,
+              coalesce((select max(tp) from dia r where r.run_id = d.run_id and r.cycle_index < d.cycle_index) / tp0, 0) as normalized_diagnostic_throughput,
+              cast(floor(epoch_us(date_time) / 1000000) as bigint) as epoch_time
+       from dia d join init on d.run_id = init.run_id where tp0 is not null and d.cycle_index <= last_reg)"""
+
+
+def _statistics(prefix: str, quantity: str) -> str:
+    g1 = "skewness(d) * (count(d) - 2) / sqrt(count(d) * (count(d) - 1))"
+    found = ("var_pop(d)", "min(d)", "avg(d)", g1, "kurtosis(d) + 3", "sum(abs(d))", "sum(d * d)")
+    names = ("var", "min", "mean", "skew", "kurtosis", "sum", "sum_square")
+    columns = ", ".join(f"round(log10(nullif(abs({f}), 0)), 6) as {prefix}_{n}" for f, n in zip(found, names))
+    return f"""st_{prefix} as (select run_id, {columns} from (
+      select run_id, voltage, max({quantity}) filter (where cycle_index = 100) - max({quantity}) filter (where cycle_index = 10) as d from lcurves group by all) where d is not null group by run_id)"""
+
+
+STATS = {"charging_capacity": "charge_capacity", "discharging_capacity": "discharge_capacity", "charging_energy": "charge_energy", "discharging_energy": "discharge_energy"}
+
+_pairs = [(t, c) for t in ("reset", "rpt_0.2C", "rpt_1C") for c in ("discharge_capacity", "discharge_energy", "charge_capacity", "charge_energy")]
+_nth = "max({c}) filter (where cycle_type = '{t}' and nth = {p})"
+
+
+def _change(t: str, c: str) -> str:
+    a, b = _nth.format(c=c, t=t, p=0), _nth.format(c=c, t=t, p=1)
+    return f"({b} - {a}) / nullif({a}, 0)"
+
+
+def _delta_q() -> str:
+    d = "discharge_capacity"
+    p = lambda f, a, b: f"{f} filter (where position between {a} and {b})"
+    at = lambda c, k: f"max({c}) filter (where position = {k})"
+    ir = "nullif(dc_internal_resistance, 0)"
+    columns = {
+        "discharge_capacity_cycle_2": at(d, 1),
+        "max_discharge_capacity_difference": f"{p(f'max({d})', 0, 99)} - {at(d, 1)}",
+        "discharge_capacity_cycle_100": at(d, 99),
+        "integrated_time_temperature_cycles_1:100": f"coalesce({p('sum(time_temperature_integrated)', 0, 99)}, 0)",
+        "charge_time_cycles_1:5": p("avg(charge_duration)", 1, 5),
+        "max_temperature_cycles_1:100": p("max(temperature_maximum)", 1, 99),
+        "min_temperature_cycles_1:100": p("min(temperature_minimum)", 1, 99),
+        "slope_discharge_capacity_cycle_number_2:100": p(f"regr_slope({d}, position)", 1, 99),
+        "intercept_discharge_capacity_cycle_number_2:100": p(f"regr_intercept({d}, position)", 1, 99),
+        "slope_discharge_capacity_cycle_number_91:100": p(f"regr_slope({d}, position)", 90, 99),
+        "intercept_discharge_capacity_cycle_number_91:100": p(f"regr_intercept({d}, position)", 90, 99),
+        "min_internal_resistance_cycles_2:100": p(f"min({ir})", 1, 99),
+        "internal_resistance_cycle_2": at("dc_internal_resistance", 1),
+        "internal_resistance_difference_cycles_2:100": f"{at('dc_internal_resistance', 99)} - {at('dc_internal_resistance', 1)}",
+        "nominal_capacity_by_median": p(f"median({d})", 0, 39),
+    }
+    g1 = "skewness(d) * (count(d) - 2) / sqrt(count(d) * (count(d) - 1))"
+    shape = {"min": "min(d)", "mean": "avg(d)", "variance": "var_pop(d)", "skew": g1, "kurtosis": "kurtosis_pop(d)", "first": "min_by(d, voltage)"}
+    curve = ", ".join(f'round(log10(nullif(abs({f}), 0)), 6) as "abs_{k}_discharge_capacity_difference_cycles_2:100"' for k, f in shape.items())
+    return (
+        _life(
+            f"cd as (select run_id, voltage, max({d}) filter (where cycle_index = 99) - max({d}) filter (where cycle_index = 9) as d from lcurves group by all)",
+            f"shape as (select run_id, {curve} from cd where d is not null group by run_id)",
+            "main as (select run_id, " + ", ".join(f'round({f}, 6) as "{k}"' for k, f in columns.items()) + " from life group by run_id having count(*) > 99)",
+        )
+        + " select * from main left join shape using (run_id)"
+    )
+
+
+def _message(column: str, bad: str, text: str) -> str:
+    at = f"min(idx) filter (where {bad})"
+    value = f"min_by({column}, idx) filter (where {bad})"
+    return f"case when count(*) filter (where {bad}) > 0 then '{text} ' || {at} || ':{{sep}}value=' || cast({value} as varchar) end"
+
+
+ORACLES |= {
+    "diagnostic_from_steps": _with("sets as (select run_id, cycle_index, list_sort(list_distinct(list(step_index))) as s from raw group by all)")
+    + " select run_id, cycle_index, case when s = [0, 1, 2, 3, 4] then 'hppc' else 'rpt' end as cycle_type from sets where s = [0, 1, 2, 3, 4] or s = [0, 3] or s = [1, 2, 4]",
+    "validation": _with("rows as (select *, data_point - min(data_point) over (partition by run_id) as idx from raw)")
+    + " select run_id, reason = '' as valid, reason from (select run_id, coalesce("
+    + ", ".join(
+        (
+            _message("charge_capacity", "charge_capacity > 1.5", "charge_capacity is higher than allowed max 1.5 at index").format(sep=" "),
+            "case when max(cycle_index) < 1 then 'cycle_index needs to reach at least 1 for processing, instead found:value=' || min_by(cycle_index, idx) end",
+            _message("temperature", "temperature > 34", "temperature is higher than allowed max 34.0 at index").format(sep=" "),
+            _message("temperature", "temperature < 20", "temperature is lower than allowed min 20.0 at index").format(sep=""),
+            _message("voltage", "voltage > 3.25", "voltage is higher than allowed max 3.25 at index").format(sep=" "),
+            _message("voltage", "voltage < 2.0", "voltage is lower than allowed min 2.0 at index").format(sep=""),
+            "case when min(voltage) > 2.002 then 'voltage needs to reach under None for processing, instead found:value=' || min_by(voltage, idx) end",
+        )
+    )
+    + ", '') as reason from rows group by run_id)",
+    "cell_life": _life(NOMINAL, _lives([0.98, 0.9, 0.8, 0.7])) + " select * from lives",
+    "capacity_at_cycles": _life() + " select run_id, " + ", ".join(f"coalesce(max(discharge_capacity) filter (where position = {p}), 0) as cycle_{p}" for p in (20, 60, 100, 140, 180)) + " from life group by run_id",
+    "cycles_to_capacity": _life(NOMINAL, _lives(TRAJECTORY)) + " select run_id, " + ", ".join(f'max(cycle_life) filter (where threshold = {t}::double) as "capacity_{t}"' for t in TRAJECTORY) + " from lives group by run_id",
+    "fraction_remaining": _life() + " select * from (select run_id, cycle_index, discharge_energy / min_by(discharge_energy, cycle_index) over (partition by run_id) as fractional_metric from ldiag where cycle_type = 'rpt_0.2C') where cycle_index > 60",
+    "fraction_remaining_nx": _life(FRACTIONS) + " select * from nx",
+    "threshold_targets": _life(
+        FRACTIONS,
+        "pts as (select run_id, cycle_index, normalized_regular_throughput as x, fractional_metric as y, row_number() over (partition by run_id order by cycle_index desc) as back from nx where cycle_type = 'rpt_0.2C')",
+        """ends as (select run_id, min(y) > 0.85::double as beyond, min(x) as lo, max(x) as xm, max(x) filter (where back = 1) as x1, max(y) filter (where back = 1) as y1,
+                     max(x) filter (where back = 2) as x0, max(y) filter (where back = 2) as y0 from pts group by run_id)""",
+        "bnd as (select *, case when beyond then x0 + (0.85::double - 0.1::double - y0) * (x1 - x0) / nullif(y1 - y0, 0) else xm end as hi from ends)",
+        "g as (select distinct bnd.*, case when i = 100 then hi else lo + i * ((hi - lo) / 100) end as x from bnd, generate_series(0, 100) t(i) where hi is not null)",
+        """v as (select g.*, (select coalesce(min_by(p.y, p.cycle_index), null) from pts p where p.run_id = g.run_id and p.x = g.x) as hit,
+                  (select arg_max(struct_pack(x := p.x, y := p.y), (p.x, p.cycle_index)) from pts p where p.run_id = g.run_id and p.x < g.x) as l,
+                  (select arg_min(struct_pack(x := p.x, y := p.y), (p.x, p.cycle_index)) from pts p where p.run_id = g.run_id and p.x > g.x) as r from g)""",
+        """w as (select run_id, x, abs(case when beyond and x > x1 then y1 + (x - x1) * ((y1 - y0) / nullif(x1 - x0, 0)) when hit is not null then hit when l is null then null when r is null then l.y
+                  else l.y + (r.y - l.y) * ((x - l.x) / (r.x - l.x)) end - 0.85::double) as off from v)""",
+    )
+    + " select run_id, round(arg_min(x, (off, x)), 6) as crossing from w where off is not null group by run_id",
+    "delta_q_features": _delta_q(),
+    "cycle_statistic_features": _life(*[_statistics(k, v) for k, v in STATS.items()]) + " select * from st_charging_capacity " + " ".join(f"full join st_{k} using (run_id)" for k in list(STATS)[1:]),
+    "diagnostic_differences": _life("nth as (select *, row_number() over (partition by run_id, cycle_type order by cycle_index) - 1 as nth from ldiag)")
+    + " select run_id, " + ", ".join(f'{_change(t, c)} as "diag_sum_diff_0_1_{t}{c}"' for t, c in _pairs) + " from nth group by run_id",
+    "exclusion": _life(
+        FRACTIONS,
+        "f as (select * from nx where cycle_type = 'rpt_0.2C')",
+        "e as (select run_id, max_by(fractional_metric, cycle_index) filter (where fractional_metric is not null) as frac, min(cycle_index) filter (where fractional_metric < 0.8) as below, max(cycle_index) as last_at from f group by run_id)",
+        "c as (select *, case when frac < 0.8 then below else last_at end as cutoff from e)",
+        "x as (select c.*, (select charge_throughput from life l where l.run_id = c.run_id and position = 80) as t80, (select max_by(charge_throughput, cycle_index) from life l where l.run_id = c.run_id and l.cycle_index <= c.cutoff) / 1.0 as efc from c)",
+    )
+    + """ select run_id, frac as fractional_capacity_at_EOT, frac < 0.8 as is_below_fractional_capacity_at_EOT, t80 as first_n_cycles_throughput, efc as equivalent_full_cycles_at_EOL,
+           coalesce(t80 > 75, false) as is_above_first_n_cycles_throughput, coalesce(efc > 110, false) as is_above_equivalent_full_cycles_at_EOL,
+           coalesce(frac < 0.8, false) and coalesce(t80 > 75, false) and coalesce(efc > 110, false) as to_include from x""",
+    "feature_matrix": _life(NOMINAL, _lives([0.9, 0.8]), "caps as (select run_id, coalesce(max(discharge_capacity) filter (where position = 20), 0) as a, coalesce(max(discharge_capacity) filter (where position = 160), 0) as b from life group by run_id)")
+    + """ select run_id, any_value(a) as "cycle_20::Capacities", any_value(b) as "cycle_160::Capacities", max(cycle_life) filter (where threshold = 0.9::double)::double as "capacity_0.9::Trajectory",
+           max(cycle_life) filter (where threshold = 0.8::double)::double as "capacity_0.8::Trajectory" from caps join lives using (run_id) group by run_id""",
+    "clean_matrix": _life(
+        "m as (select run_id * 1000 + cycle_index as run_id, 1.0::double / nullif(dc_internal_resistance, 0) as g, time_temperature_integrated as t, charge_duration as c from life where run_id < 4)",
+        "k as (select * from m where (g is not null)::int + (t is not null)::int + (c is not null)::int >= 1.8)",
+        "f as (select median(g) as g, median(t) as t, median(c) as c from k)",
+    )
+    + " select k.run_id, coalesce(k.g, f.g) as g, coalesce(k.t, f.t) as time_temperature_integrated, coalesce(k.c, f.c) as charge_duration from k, f",
+    "grouped_folds": _life("h as (select distinct run_id, md5('3:' || run_id) as h from life)", "r as (select run_id, (row_number() over (partition by substr(h, 1, 2) order by h) + ('0x' || substr(h, 1, 2))::int) % 5 as fold from h)")
+    + " select life.run_id, cycle_index, cast(fold as int) as fold from life join r using (run_id)",
+}
