@@ -127,4 +127,3 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_personal_data": op10_personal_data,
 }
-ORACLES: dict[str, str] = {}
