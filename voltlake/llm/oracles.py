@@ -47,8 +47,8 @@ counts as (
 rules as (select *, n_words < 50 as f1, 100 * n_repeat_words > 50 * n_words as f2, 100 * n_symbols > 50 * n_words as f3 from counts),
 hosts as (select source, count(*) as n, sum(f1::int) as a, sum(f2::int) as b, sum(f3::int) as c from rules group by source),
 prior as (select avg(a / n) as ma, var_pop(a / n) as va, avg(b / n) as mb, var_pop(b / n) as vb, avg(c / n) as mc, var_pop(c / n) as vc from hosts),
-weight as (select *, case when va > 0 then least(greatest(ma * (1 - ma) / va - 1, 0), 1e6) else 1e6 end as wa, case when vb > 0 then least(greatest(mb * (1 - mb) / vb - 1, 0), 1e6) else 1e6 end as wb,
-                   case when vc > 0 then least(greatest(mc * (1 - mc) / vc - 1, 0), 1e6) else 1e6 end as wc from prior),
+weight as (select *, case when va > 0 then least(greatest(ma * (1 - ma) / va - 1, 2), 1e6) else 1e6 end as wa, case when vb > 0 then least(greatest(mb * (1 - mb) / vb - 1, 2), 1e6) else 1e6 end as wb,
+                   case when vc > 0 then least(greatest(mc * (1 - mc) / vc - 1, 2), 1e6) else 1e6 end as wc from prior),
 verdict as (select source, (a + ma * wa) / (n + wa) > 0.5 or (b + mb * wb) / (n + wb) > 0.5 or (c + mc * wc) / (n + wc) > 0.5 as rejected from hosts, weight)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 or f2 as base_failed, not (f1 or f2) and not rejected as kept
 from rules join verdict on rules.source is not distinct from verdict.source

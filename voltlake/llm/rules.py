@@ -88,7 +88,7 @@ def host_rules(docs: DataFrame, host: str = "source", least_words: int = 50, mos
     for r in RULES:
         mean, var = row[f"{r}_mean"] or 0.0, row[f"{r}_var"] or 0.0
         weight = mean * (1 - mean) / var - 1 if var > 0 else 1e6
-        weight = min(max(weight, 0.0), 1e6)
+        weight = min(max(weight, 2.0), 1e6)  # at least as strong as a uniform prior
         over.append((F.col(r) + mean * weight) / (F.col("n") + weight) > limit)
     bad = over[0]
     for x in over[1:]:
