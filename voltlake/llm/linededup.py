@@ -8,8 +8,10 @@ half of what both sizes leave after the odd bits of two bitmaps of the sets. Wha
 the full sets. A line that is similar to an earlier line, by (doc_id, place), is removed.
 
 Equal lines are joined by a hash aggregate first. The lists of the tokens are dealt out in blocks of
-columns and joined with numpy. A list that grows beyond ``hot`` lines is not expanded: its lines are
-compared with one of them, and only those still without an earlier match are then compared with all.
+columns and joined with numpy. One match removes a line, so in each block a line is first verified
+against the likeliest of its earlier candidates; only if that fails are the others. A list that grows
+beyond ``hot`` lines is not expanded: its lines are compared with one of them, and only those still
+without an earlier match are then compared with all.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import BROADCAST_BYTES, saved, small
 from .lists import Counts, distinct_sorted, least_overlap, rarity, summed, tokens
 from .textvec import chunks, mix, word_hashes
 
@@ -31,7 +33,7 @@ _SALT = np.uint64(0x51ED270B9F2C4A3D)
 LINE_BITS = 32
 #: The columns of an entry of a list: key, document, place, size, position of the token, bitmap.
 ENTRY = (("key", "<u4"), ("a", "<i8"), ("b", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("x", "<u8"), ("y", "<u8"))
-PAIR = "a1 long, b1 long, a2 long, b2 long"
+PAIR = "a1 long, b1 long, a2 long, b2 long, more int, rest binary"
 
 
 def _sum_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -99,7 +101,22 @@ def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], lea
 
 def _star(e: dict[str, np.ndarray], lead: np.ndarray, at: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     keep = similar((*(e[c][lead] for c in ("n", "pos", "x", "y")), *(e[c][at] for c in ("n", "pos", "x", "y"))), share) & (lead != at)
-    return np.array([e["a"][lead], e["b"][lead], e["a"][at], e["b"][at]])[:, keep]
+    odd = np.bitwise_count(e["x"][lead] ^ e["x"][at]).astype(np.int64) + np.bitwise_count(e["y"][lead] ^ e["y"][at])
+    return np.array([e["a"][lead], e["b"][lead], e["a"][at], e["b"][at], odd])[:, keep]
+
+
+def _best(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (earlier, later, odd bits): the likeliest one of each later line, whether it has others, and the others."""
+    swap = (pairs[0] > pairs[2]) | ((pairs[0] == pairs[2]) & (pairs[1] > pairs[3]))
+    pairs[:4, swap] = pairs[[2, 3, 0, 1]][:, swap]
+    order = np.lexsort((pairs[1], pairs[0], pairs[4], pairs[3], pairs[2]))
+    pairs = pairs[:4, order]
+    if not pairs.shape[1]:
+        return pairs, np.zeros(0, np.int64), pairs
+    pairs = pairs[:, np.concatenate(([True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)))]
+    first = np.concatenate(([True], (pairs[2:, 1:] != pairs[2:, :-1]).any(axis=0)))
+    size = np.diff(np.append(np.flatnonzero(first), pairs.shape[1]))
+    return pairs[:, first], (size > 1).astype(np.int64), pairs[:, ~first]
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +126,10 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidate_pairs(texts: DataFrame, entries_of, n_entries: int, share: tuple[int, int], hot: int, a_bucket: int = 300_000, a_task: int = 300_000) -> DataFrame:
-    """Pairs of lines (PAIR) that the filters leave, and as (-1, key, -1, -1) the keys of lists that were not expanded."""
+    """Pairs of lines (PAIR) that the filters leave: the likeliest for each later line, with the others packed in rest.
+
+    Rows of a1 = -1 hold the others; rows of a1 = -2 the keys of lists that were not expanded (b1, in bucket a2 of b2).
+    """
     buckets = max(12, math.ceil(n_entries / a_bucket))
 
     def deal(held: list[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
@@ -167,11 +187,11 @@ def candidate_pairs(texts: DataFrame, entries_of, n_entries: int, share: tuple[i
         length = np.diff(np.append(first, len(run)))
         told = np.frombuffer(b"".join(pdf["hot"]), "<i8")
         warm = (length > hot) | np.isin(e["key"][first], told.view(np.uint64).astype(np.uint32))
-        out = [np.frombuffer(p, "<i8").reshape(4, -1) for p in pdf["pairs"] if p]
+        out, keys = [np.frombuffer(p, "<i8").reshape(5, -1) for p in pdf["pairs"] if p], []
         if warm.any():
             at = np.flatnonzero(warm[run])
             out.append(_star(e, first[run[at]], at, share))
-            out.append(np.array([[-1, int(k), int(pdf["bucket"].iloc[0]), buckets] for k in e["key"][first[warm]]], np.int64).T)
+            keys = [(-2, int(k), int(pdf["bucket"].iloc[0]), buckets, 0, None) for k in e["key"][first[warm]]]
         # Sorted by size within a list: the shorter line first, up to the size that t allows.
         n = e["n"].astype(np.int64)
         shorter = np.flatnonzero(~warm[run] & (e["pos"] < n + (-2 * share[0] * n // (share[0] + share[1])) + 1))
@@ -188,14 +208,14 @@ def candidate_pairs(texts: DataFrame, entries_of, n_entries: int, share: tuple[i
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
             out.append(_star(e, i, j, share))
             start = stop
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-        plain = pairs[0] >= 0
-        swap = plain & ((pairs[0] > pairs[2]) | ((pairs[0] == pairs[2]) & (pairs[1] > pairs[3])))
-        pairs[:, swap] = pairs[[2, 3, 0, 1]][:, swap]
-        return pd.DataFrame(pairs.T, columns=["a1", "b1", "a2", "b2"]).drop_duplicates()
+        best, more, rest = _best(np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64))
+        rows = pd.DataFrame(best.T, columns=["a1", "b1", "a2", "b2"]).assign(more=more, rest=None)
+        if rest.shape[1]:
+            keys.append((-1, 0, 0, 0, 0, np.ascontiguousarray(rest).tobytes()))
+        return pd.concat([rows, pd.DataFrame(keys, columns=rows.columns)]) if keys else rows
 
     dealt = texts.mapInPandas(fold, "bucket long, size long, entries binary, hot binary, pairs binary")
-    return dealt.groupBy("bucket").applyInPandas(merge, PAIR).distinct()
+    return dealt.groupBy("bucket").applyInPandas(merge, PAIR)
 
 
 def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words: int = 5, hot: int = 2000) -> DataFrame:
@@ -229,7 +249,8 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
     again = saved(by_doc(lines.join(firsts, ["d1", "d2"]).where("a <> a0 or b <> b0")), "again")
     fresh = with_places(again, "left")
     found = saved(candidate_pairs(fresh, lambda pdf: _entries(pdf, shared.value, share, least_words), int(n_entries), share, hot), "pairs")
-    pairs, keys = found.where("a1 >= 0"), found.where("a1 < 0")
+    ids = ["a1", "b1", "a2", "b2"]
+    pairs, packed, keys = found.where("rest is null and a1 <> -2"), found.where("rest is not null"), found.where("a1 = -2")
 
     def matched(pairs: DataFrame) -> DataFrame:
         met = pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b")).union(pairs.select("a2", "b2")).distinct()
@@ -245,7 +266,29 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
         compared = compared.select("a2", "b2", (F.size("s1") + F.size("s2")).alias("both"), F.size(F.array_intersect("s1", "s2")).alias("common"))
         return compared.where(F.col("common") * share[1] >= (F.col("both") - F.col("common")) * share[0]).select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct()
 
-    gone = saved(matched(pairs), "gone")
+    best = pairs.select(*ids).distinct()
+    gone = saved(matched(best), "gone")
+    # Lines that did not match their likeliest candidate but have others.
+    open_lines = saved(pairs.where("more = 1").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct().join(gone, ["a", "b"], "left_anti"), "open")
+    n_open = open_lines.count()
+    if n_open:
+        few = 16 * n_open <= BROADCAST_BYTES
+        named = docs.sparkSession.sparkContext.broadcast(np.sort(np.ascontiguousarray(open_lines.toPandas().to_numpy(np.int64)).view([("a", np.int64), ("b", np.int64)]).ravel()) if few else None)
+
+        def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for raw in pdf["rest"]:
+                    rest = np.frombuffer(raw, np.int64).reshape(4, -1)
+                    if named.value is not None:
+                        later = np.ascontiguousarray(rest[2:].T).view([("a", np.int64), ("b", np.int64)]).ravel()
+                        rest = rest[:, named.value[np.minimum(np.searchsorted(named.value, later), len(named.value) - 1)] == later]
+                    yield pd.DataFrame(rest.T, columns=ids)
+
+        others = packed.select("rest").mapInPandas(unpack, "a1 long, b1 long, a2 long, b2 long")
+        if not few:
+            others = others.join(open_lines.toDF("a2", "b2"), ["a2", "b2"], "left_semi").select(*ids)
+        others = saved(others.distinct().join(best, ids, "left_anti"), "pairs")
+        gone = saved(gone.union(matched(others)).distinct(), "gone")
     n_hot = keys.count()
     if n_hot:
 
