@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cycles, diagnostics, features, interpolate, life, matrix, steps, validate
-from .adaptor import life_curves, life_diagnostics, life_summary, raw_samples
+from ..operators import cycles, diagnostics, features, halfcell, hppc, interpolate, life, matrix, models, steps, validate, waveform
+from ..streaming import pauses
+from .adaptor import hppc_curves, life_curves, life_diagnostics, life_summary, raw_samples
 
 QUERIES = {}
 
@@ -179,3 +180,81 @@ def clean_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.folds(life_summary(spark, sf_dir).select("run_id", "cycle_index"), 5, seed=3, group="run_id")
+
+
+@query
+def pulse_resistances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curves = hppc_curves(spark, sf_dir)
+    return hppc.resistances(hppc.windows_of(curves, hppc.step_roles(curves, 2.0)))
+
+
+@query
+def pulse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curves = hppc_curves(spark, sf_dir)
+    rows = hppc.windows_of(curves, hppc.step_roles(curves, 2.0))
+    return hppc.resistance_change(hppc.resistances(rows), 1, 3).join(hppc.rest_voltage_change(rows, 1, digits=6), "run_id")
+
+
+@query
+def diffusion_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curves = hppc_curves(spark, sf_dir)
+    found = hppc.diffusion(hppc.windows_of(curves, hppc.step_roles(curves, 2.0)))
+    return found.select("run_id", "position", "window", F.round("slope", 6).alias("slope"))
+
+
+@query
+def drive_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trace = raw_samples(spark, sf_dir).select(F.col("run_id").alias("wave_id"), F.col("test_time").alias("time"), (F.abs("current") * 8).alias("velocity"))
+    return waveform.power_from_velocity(trace).select("wave_id", "time", F.round("power", 4).alias("power"))
+
+
+@query
+def tester_waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trace = raw_samples(spark, sf_dir).select(F.col("run_id").alias("wave_id"), F.col("data_point").alias("time"), (F.floor(F.col("current")) * (F.col("step_index") != 1).cast("int")).cast("double").alias("power"))
+    return waveform.waveform_steps(trace).select("wave_id", "step", "state", "control_mode", "value", "limit_value", "duration", "operation")
+
+
+@query
+def spliced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_samples(spark, sf_dir).select("run_id", "data_point", "cycle_index", "test_time")
+    second = raw.where("cycle_index >= 3").withColumns({"data_point": F.row_number().over(Window.partitionBy("run_id").orderBy("data_point")), "cycle_index": F.col("cycle_index") - 3})
+    return waveform.splice(raw.where("cycle_index < 3"), second)
+
+
+@query
+def test_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pauses.sessions(raw_samples(spark, sf_dir), "6 hours")
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("started", "ended")})
+
+
+@query
+def live_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pauses.live_summary(raw_samples(spark, sf_dir)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+@query
+def component_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    fitted = models.Components(rows.where("vec_id % 5 <> 0"))
+    return fitted.outliers(rows).select("vec_id", F.round("error", 6).alias("error"), "outside", "unlike")
+
+
+@query
+def linear_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = life_summary(spark, sf_dir).select((F.col("run_id") * 1000 + F.col("cycle_index")).alias("run_id"), "charge_duration", "temperature_maximum", F.col("cycle_index").alias("age"), F.col("discharge_capacity").alias("q"))
+    model, names, _ = models.train_linear(rows, ["charge_duration", "temperature_maximum", "age"], "q", alphas=[0.0001, 0.01], ratios=[0.5], n_folds=3)
+    return models.predict_linear(model, names, rows).withColumn("prediction", F.round("prediction", 6))
+
+
+@query
+def electrode_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells made from known electrodes, fitted back."""
+    pe = [(i / 50, 3.4 + 0.9 * (1 - i / 50) ** 0.5) for i in range(51)][::-1]
+    pe = [(1 - q, v) for q, v in pe]
+    ne = [(i / 50, 0.6 * (1 - i / 50) ** 2 + 0.05) for i in range(51)]
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 8).alias("run_id")).distinct()
+    truth = runs.select("run_id", F.lit(0).alias("cycle_index"), (F.col("run_id") / 40.0).alias("lli"), (1.3 + F.col("run_id") / 80.0).alias("q_pe"), (1.2 + F.col("run_id") / 100.0).alias("q_ne"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("i"))
+    cells = truth.withColumn("q", F.col("i") / 40.0)
+    cells = cells.withColumn("voltage", halfcell.emulate(pe, ne, F.col("q"), F.col("lli"), F.col("q_pe"), F.col("q_ne")))
+    fitted = halfcell.fit_electrodes(cells, pe, ne, {"lli": (0.0, 0.3), "q_pe": (1.2, 1.6), "q_ne": (1.1, 1.5)})
+    return fitted.select("run_id", "cycle_index", F.round("error", 2).alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .adaptor import LIFE_SQL, RAW_SQL
+from .adaptor import HPPC_SQL, LIFE_SQL, RAW_SQL
 
 DIAGNOSTIC = """
 diag as (select distinct run_id, cycle_index, case cycle_index when 0 then 'reset' else 'hppc' end as cycle_type
@@ -343,3 +343,69 @@ ORACLES |= {
     "grouped_folds": _life("h as (select distinct run_id, md5('3:' || run_id) as h from life)", "r as (select run_id, (row_number() over (partition by substr(h, 1, 2) order by h) + ('0x' || substr(h, 1, 2))::int) % 5 as fold from h)")
     + " select life.run_id, cycle_index, cast(fold as int) as fold from life join r using (run_id)",
 }
+
+_RES = """
+res as (
+  select run_id, p, w, {columns}
+  from (select run_id, p, w, max(v) filter (where s = 0 and k = 11) as vd, max(v) filter (where s = 2 and k = 11) as vc,
+               max(v) filter (where s = 1 and k = 0) as d0, max(v) filter (where s = 1 and k = 1) as d3, max(v) filter (where s = 1 and k = 11) as de,
+               max(v) filter (where s = 3 and k = 0) as c0, max(v) filter (where s = 3 and k = 1) as c3, max(v) filter (where s = 3 and k = 11) as ce from hp group by all))""".format(
+    columns=", ".join(f"({side}{t} - v{side}) / {current}::double as r_{side}_{name}" for side, current in (("c", 1.5), ("d", -2.0)) for t, name in (("0", "0s"), ("3", "3s"), ("e", "end")))
+)
+_G1 = "skewness(d) * (count(d) - 2) / sqrt(count(d) * (count(d) - 1))"
+
+
+def _hppc(*parts: str) -> str:
+    return "with " + ",\n".join(p.strip() for p in (HPPC_SQL, *parts))
+
+
+def _res_change(c: str, w: int) -> str:
+    a, b = (f"max({c}) filter (where p = {p} and w = {w})" for p in (0, 1))
+    return f'({b} - {a}) / nullif({a}, 0) as "{c}_{w}0"'
+
+
+_NAMES = [f"r_{side}_{t}" for side in ("c", "d") for t in ("0s", "3s", "end")]
+
+ORACLES |= {
+    "pulse_resistances": _hppc(_RES) + " select run_id, p as position, w as \"window\", " + ", ".join(_NAMES) + " from res",
+    "pulse_features": _hppc(
+        _RES,
+        "chg as (select run_id, " + ", ".join(_res_change(c, w) for c in _NAMES for w in range(3)) + " from res group by run_id)",
+        "ocv as (select run_id, w, max(v) filter (where p = 0) - max(v) filter (where p = 1) as d from hp where s = 0 and k = 2 group by all)",
+        f"st as (select run_id, round(var_pop(d), 6) as var_ocv, round(min(d), 6) as min_ocv, round(avg(d), 6) as mean_ocv, round({_G1}, 6) as skew_ocv, round(kurtosis(d) + 3, 6) as kurtosis_ocv, round(sum(abs(d)), 6) as sum_ocv, round(sum(d * d), 6) as sum_square_ocv from ocv group by run_id)",
+    )
+    + " select * from chg join st using (run_id)",
+    "diffusion_slopes": _hppc()
+    + " select run_id, p as position, w as \"window\", round(regr_slope(v - v0, sqrt(t + 22) - sqrt(t)), 6) as slope from (select *, k * 2.0::double as t, min(v) over (partition by run_id, p, w) as v0 from hp where s = 2) where w > 0 and k >= 8 group by all",
+    "drive_power": _with(
+        "tr as (select run_id as wave_id, test_time as t, abs(current) * 8 * (1600.0::double / 3600.0::double) as v from raw)",
+        "gr as (select *, t - lag(t) over w as h0, lead(t) over w - t as h1, v - lag(v) over w as b0, lead(v) over w - v as b1 from tr window w as (partition by wave_id order by t))",
+        "gg as (select *, coalesce((b0 / h0 * h1 + b1 / h1 * h0) / (h0 + h1), b0 / h0, b1 / h1) as g from gr)",
+    )
+    + " select wave_id, t as time, round(-(1500.0::double * g + 0.01::double * 1500.0::double * 9.8::double + 0.5::double * 1.225::double * 0.34::double * 1.75::double * v * v) * v, 4) as power from gg",
+    "tester_waveform": _with(
+        "tr as (select run_id as wave_id, data_point as t, case when step_index <> 1 then floor(current) else 0 end as pw from raw)",
+        "sc as (select *, pw / max(abs(pw)) over (partition by wave_id) as x from tr)",
+        "nw as (select *, coalesce((x <> lag(x) over (partition by wave_id order by t))::int, 0) as new from sc)",
+        "st as (select *, cast(sum(new) over (partition by wave_id order by t rows unbounded preceding) as bigint) as step from nw)",
+        "gp as (select wave_id, step, count(*) as duration, min_by(x, t) as x from st group by all)",
+    )
+    + """ select wave_id, step, case when x <= 0 then 'D' else 'C' end as state, case when x = 0 then 'I' else 'P' end as control_mode, round(abs(x), 5) as value,
+           case when x <= 0 then 2.7::double else 4.2::double end as limit_value, duration, case when x <= 0 then '<=' else '>=' end as operation from gp""",
+    "spliced_runs": _with(
+        "a as (select run_id, data_point, cycle_index, test_time from raw where cycle_index < 3)",
+        "b as (select run_id, row_number() over (partition by run_id order by data_point) as data_point, cycle_index - 3 as cycle_index, test_time from raw where cycle_index >= 3)",
+        "ae as (select run_id, max_by(data_point, data_point) as d, max_by(cycle_index, data_point) as c, max_by(test_time, data_point) as t from a group by run_id)",
+        "bs as (select run_id, min_by(data_point, data_point) as d, min_by(cycle_index, data_point) as c, min_by(test_time, data_point) as t from b group by run_id)",
+    )
+    + """ select *, 1 as part from a union all
+          select b.run_id, b.data_point + case when bs.d < ae.d then ae.d else 0 end, b.cycle_index + case when bs.c < ae.c then ae.c else 0 end, b.test_time + case when bs.t < ae.t then ae.t else 0 end, 2
+          from b left join ae using (run_id) left join bs using (run_id)""",
+    "test_sessions": _with(
+        "g as (select run_id, date_time, case when epoch_us(date_time) - epoch_us(lag(date_time) over w) >= 21600000000 then 1 else 0 end as new from raw window w as (partition by run_id order by date_time))",
+        "s as (select *, sum(new) over (partition by run_id order by date_time rows unbounded preceding) as sid from g)",
+    )
+    + " select run_id, strftime(min(date_time), '%Y-%m-%d %H:%M:%S.%f') as started, strftime(max(date_time), '%Y-%m-%d %H:%M:%S.%f') as ended, count(*) as samples from s group by run_id, sid",
+    "live_cycles": _with()
+    + " select run_id, cycle_index, strftime(date_trunc('day', date_time), '%Y-%m-%d') as window_start, max(charge_capacity) as charge_capacity, max(discharge_capacity) as discharge_capacity, max(temperature) as temperature_maximum, count(*) as samples from raw group by all",
+}
