@@ -99,24 +99,47 @@ def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], lea
         yield {"key": mix(t[at[line] + pos]), "a": pdf["doc_id"].to_numpy()[row[line]], "b": place[line], "n": n[line], "pos": pos, "x": x[line], "y": y[line]}
 
 
-def _star(e: dict[str, np.ndarray], lead: np.ndarray, at: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    keep = similar((*(e[c][lead] for c in ("n", "pos", "x", "y")), *(e[c][at] for c in ("n", "pos", "x", "y"))), share) & (lead != at)
-    odd = np.bitwise_count(e["x"][lead] ^ e["x"][at]).astype(np.int64) + np.bitwise_count(e["y"][lead] ^ e["y"][at])
-    return np.array([e["a"][lead], e["b"][lead], e["a"][at], e["b"][at], odd])[:, keep]
-
-
-def _best(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs (earlier, later, odd bits): the likeliest one of each later line, whether it has others, and the others."""
-    swap = (pairs[0] > pairs[2]) | ((pairs[0] == pairs[2]) & (pairs[1] > pairs[3]))
-    pairs[:4, swap] = pairs[[2, 3, 0, 1]][:, swap]
-    order = np.lexsort((pairs[1], pairs[0], pairs[4], pairs[3], pairs[2]))
-    pairs = pairs[:4, order]
-    if not pairs.shape[1]:
-        return pairs, np.zeros(0, np.int64), pairs
-    pairs = pairs[:, np.concatenate(([True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)))]
-    first = np.concatenate(([True], (pairs[2:, 1:] != pairs[2:, :-1]).any(axis=0)))
-    size = np.diff(np.append(np.flatnonzero(first), pairs.shape[1]))
-    return pairs[:, first], (size > 1).astype(np.int64), pairs[:, ~first]
+def _similar_at(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Which entry pairs (i, j) the filters leave."""
+    return similar((*(e[c][i] for c in ("n", "pos", "x", "y")), *(e[c][j] for c in ("n", "pos", "x", "y"))), share) & (i != j)
+
+
+class _Pairs:
+    """Distinct pairs (earlier, later) of the lines of a block, as numbers."""
+
+    def __init__(self, e: dict[str, np.ndarray]):
+        order = np.lexsort((e["b"], e["a"]))
+        a, b = e["a"][order], e["b"][order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        self.line = np.empty(len(a), np.int64)
+        self.line[order] = np.cumsum(new) - 1
+        at = order[new]
+        self.a, self.b, self.x, self.y = (e[c][at] for c in ("a", "b", "x", "y"))
+        self.codes, self.size = [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        i, j = self.line[i], self.line[j]
+        self.codes.append(np.minimum(i, j) * len(self.a) + np.maximum(i, j))
+        self.size += len(i)
+        if self.size > 1_000_000:
+            self.codes = [np.unique(np.concatenate(self.codes))]
+            self.size = len(self.codes[0]) // 2
+
+    def named(self, codes: np.ndarray) -> np.ndarray:
+        i, j = codes // len(self.a), codes % len(self.a)
+        return np.array([self.a[i], self.b[i], self.a[j], self.b[j]])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The likeliest earlier line of each later one (fewest odd bits), whether there are others, and those."""
+        if not self.codes:
+            return np.zeros((4, 0), np.int64), np.zeros(0, np.int64), np.zeros((4, 0), np.int64)
+        codes = np.unique(np.concatenate(self.codes))
+        i, j = codes // len(self.a), codes % len(self.a)
+        odd = np.bitwise_count(self.x[i] ^ self.x[j]).astype(np.int64) + np.bitwise_count(self.y[i] ^ self.y[j])
+        codes, j = (v[np.lexsort((i, odd, j))] for v in (codes, j))
+        first = np.concatenate(([True], j[1:] != j[:-1]))
+        size = np.diff(np.append(np.flatnonzero(first), len(j)))
+        return self.named(codes[first]), (size > 1).astype(np.int64), self.named(codes[~first])
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +166,11 @@ def candidate_pairs(texts: DataFrame, entries_of, n_entries: int, share: tuple[i
         send = ~warm
         if warm.any():
             send[first] = True
-            pairs = np.ascontiguousarray(_star(e, first[run[warm]], np.flatnonzero(warm), share)).astype("<i8").tobytes()
+            at = np.flatnonzero(warm)
+            at = at[_similar_at(e, first[run[at]], at, share)]
+            found = _Pairs(e)
+            found.add(first[run[at]], at)
+            pairs = np.ascontiguousarray(found.named(np.unique(np.concatenate(found.codes)))).astype("<i8").tobytes()
             keys = e["key"][first[length > hot]].view(np.int64).astype("<i8")
         bucket = ((e["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         chosen = np.flatnonzero(send)
@@ -187,10 +214,11 @@ def candidate_pairs(texts: DataFrame, entries_of, n_entries: int, share: tuple[i
         length = np.diff(np.append(first, len(run)))
         told = np.frombuffer(b"".join(pdf["hot"]), "<i8")
         warm = (length > hot) | np.isin(e["key"][first], told.view(np.uint64).astype(np.uint32))
-        out, keys = [np.frombuffer(p, "<i8").reshape(5, -1) for p in pdf["pairs"] if p], []
+        found, keys = _Pairs(e), []
         if warm.any():
             at = np.flatnonzero(warm[run])
-            out.append(_star(e, first[run[at]], at, share))
+            at = at[_similar_at(e, first[run[at]], at, share)]
+            found.add(first[run[at]], at)
             keys = [(-2, int(k), int(pdf["bucket"].iloc[0]), buckets, 0, None) for k in e["key"][first[warm]]]
         # Sorted by size within a list: the shorter line first, up to the size that t allows.
         n = e["n"].astype(np.int64)
@@ -206,9 +234,14 @@ def candidate_pairs(texts: DataFrame, entries_of, n_entries: int, share: tuple[i
             c = count[start:stop]
             i = np.repeat(shorter[start:stop], c)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-            out.append(_star(e, i, j, share))
+            keep = _similar_at(e, i, j, share)
+            found.add(i[keep], j[keep])
             start = stop
-        best, more, rest = _best(np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64))
+        best, more, rest = found.best()
+        stars = [np.frombuffer(p, "<i8").reshape(4, -1) for p in pdf["pairs"] if p]
+        if stars:
+            stars = np.concatenate(stars, axis=1)
+            best, more = np.concatenate((best, stars), axis=1), np.concatenate((more, np.zeros(stars.shape[1], np.int64)))
         rows = pd.DataFrame(best.T, columns=["a1", "b1", "a2", "b2"]).assign(more=more, rest=None)
         if rest.shape[1]:
             keys.append((-1, 0, 0, 0, 0, np.ascontiguousarray(rest).tobytes()))

@@ -12,12 +12,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLOTS_LOG2 = 20
 
 
+def pack_counts(table: np.ndarray) -> bytes:
+    return pa.compress(np.minimum(table, 2**32 - 1).astype("<u4").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, decompressed_size=4 << SLOTS_LOG2, codec="zstd", asbytes=True), "<u4").astype(np.int64)
+
+
 class Counts:
     """Counts of hashes in 2^SLOTS_LOG2 slots within a task; hashes are gathered so that few passes over the table are made."""
 
@@ -37,19 +46,18 @@ class Counts:
 
     def packed(self) -> bytes:
         self.flush()
-        return np.minimum(self.table, 2**32 - 1).astype("<u4").tobytes()
+        return pack_counts(self.table)
 
 
 def summed(tables: DataFrame) -> np.ndarray:
     """The sum of the packed tables in the only column of a frame, in a tree, so that a table's size bounds every step."""
 
     def add(a: bytes, b: bytes) -> bytes:
-        x = np.frombuffer(a, "<u4").astype(np.int64) + np.frombuffer(b, "<u4")
-        return np.minimum(x, 2**32 - 1).astype("<u4").tobytes()
+        return pack_counts(unpack_counts(a) + unpack_counts(b))
 
     parts = tables.rdd.getNumPartitions()
     total = tables.rdd.map(lambda r: bytes(r[0])).treeAggregate(b"", lambda a, b: add(a, b) if a else b, lambda a, b: add(a, b) if a and b else a or b, depth=2 if parts < 1000 else 3)
-    return np.frombuffer(total, "<u4").astype(np.int64) if total else np.zeros(1 << SLOTS_LOG2, np.int64)
+    return unpack_counts(total) if total else np.zeros(1 << SLOTS_LOG2, np.int64)
 
 
 def count_table(df: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[np.ndarray]]) -> np.ndarray:

@@ -4,26 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
-_RNG = np.random.default_rng(20240101)
-_BYTE = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
+#: The lowest i bytes of a number.
+_LOWEST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 #: A-Z become a-z.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for i, p in enumerate((_P, _P_INV)):
-            table = np.full(size, p, np.uint64)
-            table[0] = 1
-            _powers[i] = np.cumprod(table, dtype=np.uint64)
-    return _powers[0], _powers[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -39,21 +27,27 @@ def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarra
     """Hashes of the words ([^\\x20\\x09-\\x0D]+) of all texts in order, the text of each, and its line (\\n-split) in that text."""
     raw = [t.encode() if t else b"" for t in texts]
     starts = np.cumsum([0] + [len(r) + 1 for r in raw])
-    buf = b"\n".join(raw)
+    buf = b"\n".join(raw) + b"\n" * 16
     if lower:
         buf = buf.translate(LOWER)
     b = np.frombuffer(buf, dtype=np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    up, down = _power_tables(len(b) + 1)
-    space = _SPACE[b]
-    edge = np.diff(space.astype(np.int8), prepend=1, append=1)
-    first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up[: len(b)], dtype=np.uint64)))
-    h = mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
+    word = ~_SPACE[b]
+    first = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+    if word[0]:
+        first = np.concatenate(([0], first))
+    end = np.flatnonzero(word[:-1] & ~word[1:]) + 1
+    size = end - first
+    # Words are hashed eight bytes at a time; few are longer.
+    eight = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+    h = mix((eight[first] & _LOWEST[np.minimum(size, 8)]) * _P + size.astype(np.uint64))
+    left, done = np.flatnonzero(size > 8), 8
+    while len(left):
+        h[left] = mix(h[left] * _Q + (eight[first[left] + done] & _LOWEST[np.minimum(size[left] - done, 8)]))
+        done += 8
+        left = left[size[left] > done]
     doc = np.searchsorted(starts, first, side="right") - 1
-    newlines = np.concatenate((np.zeros(1, np.int64), np.cumsum(b == 10)))
-    line = newlines[first] - newlines[starts[doc]]
+    newlines = np.flatnonzero(b == 10)
+    line = np.searchsorted(newlines, first) - np.searchsorted(newlines, starts)[doc]
     return h, doc, line
 
 
