@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm.common import held_out, saved, small
-from voltlake.llm.decontam import searcher
+from voltlake.llm.decontam import MOST_CHUNKS, decontaminate, n_chunks, searcher
 from voltlake.llm.jaccard import near_duplicates
 from voltlake.llm.linededup import dedup_lines
 from voltlake.llm.packing import pack
@@ -14,6 +14,10 @@ from voltlake.llm.quality import inputs, quality_scorer
 from voltlake.llm.queries import table, tokenizer_path
 
 
+#: Bytes of benchmark text in one table of the search.
+CHUNK = 2 << 20
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     scorer = quality_scorer(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
@@ -42,8 +46,11 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
-    search = searcher(table(spark, sf_dir, "benchmark"))
-    return docs.where(search(F.col("text").cast("string"))["n_hit"] == 0)
+    benchmark = table(spark, sf_dir, "benchmark")
+    if n_chunks(benchmark, CHUNK) <= MOST_CHUNKS:
+        return docs.where(searcher(benchmark, chunk_bytes=CHUNK)(F.col("text").cast("string"))["n_hit"] == 0)
+    hit = saved(decontaminate(docs, benchmark, chunk_bytes=CHUNK).where("n_hit > 0").select("doc_id").distinct(), "hit")
+    return docs.join(small(hit, hit.count(), 16), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -160,12 +160,12 @@ def brute_components(docs):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("boundary", [None, 0, 12, 10**6])
-def test_near_duplicates_by_brute_force(spark, monkeypatch, boundary):
-    docs = near_copies()
+@pytest.mark.parametrize(("boundary", "hot"), [(None, 64), (0, 2), (12, 2), (10**6, 3)])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, boundary, hot):
+    docs = [(i - 5, t) for i, t in near_copies()]
     if boundary is not None:
         monkeypatch.setattr(jaccard, "choose_boundary", lambda sets: boundary)
-    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
 
 
@@ -218,7 +218,7 @@ def test_line_dedup_by_brute_force(spark, hot):
     docs = []
     for i, (_, t) in enumerate(near_copies(40, 9)):
         w = t.split()
-        docs.append((i, "\n".join(" ".join(w[k : k + r.choice((4, 8, 12))]) for k in range(0, len(w), 12)) + "\n"))
+        docs.append((i - 5, "\n".join(" ".join(w[k : k + r.choice((4, 8, 12))]) for k in range(0, len(w), 12)) + "\n"))
     gone = brute_lines(docs)
     got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), hot=hot).collect()
     assert gone and {r.doc_id: r.text for r in got} == {i: "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in gone) for i, t in docs}

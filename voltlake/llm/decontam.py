@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: A-Z become a-z; bytes outside 0-9, a-z and 0x80-0xFF part words (as code points: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+).
 _WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -74,54 +76,82 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 FOUND = "n_words long, hits array<struct<`from`: long, `to`: long>>, n_hit long, items array<string>"
+#: Chunks of the benchmark whose tables a task may hold at once.
+MOST_CHUNKS = 8
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
 
 
-def searcher(benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes: int = 2 << 20):
+def n_chunks(benchmark: DataFrame, chunk_bytes: int) -> int:
+    return max(1, math.ceil((_items(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0) / chunk_bytes))
+
+
+def searcher(benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes: int = 2 << 20, only: tuple[int, int, int] | None = None):
     """A function text -> struct column (n_words, hits, n_hit, items) for the windows of benchmark (item_id, text).
 
-    The benchmark is dealt by item into chunks of about ``chunk_bytes`` of text; each chunk's tables are
-    broadcast on their own, and a document's spans of all chunks are merged in its row, so the size of
-    a broadcast is bounded and no document is shuffled.
+    The benchmark is dealt by item into chunks of about ``chunk_bytes`` of text, and each chunk's tables are
+    broadcast on their own. More than MOST_CHUNKS are refused; decontaminate() then searches in passes.
+    only: (first chunk, last chunk + 1, number of chunks) to search for.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
-    chunks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / chunk_bytes))
+    items = _items(benchmark)
+    chunks = only[2] if only else n_chunks(benchmark, chunk_bytes)
+    some = range(*only[:2]) if only else range(chunks)
+    if len(some) > MOST_CHUNKS:
+        raise ValueError(f"the benchmark has {len(some)} chunks of {chunk_bytes} bytes; search them in passes")
     tables = []
-    for c in range(chunks):
+    for c in some:
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c).collect()
         tables.append(benchmark.sparkSession.sparkContext.broadcast(WuManber([tuple(r) for r in rows], window, block)))
 
     @F.pandas_udf(FOUND)
     def search(text: pd.Series) -> pd.DataFrame:
-        parts: list[list] = [[[], set()] for _ in range(len(text))]
-        texts = [words_of(t) for t in text]
-        for t in tables:
-            tables_here = t.value
-            for part, words in zip(parts, texts):
-                spans, found = tables_here.scan(words)
-                part[0] += spans
-                part[1] |= found
-        merged = [_merged(p[0]) for p in parts]
-        return pd.DataFrame(
-            {
-                "n_words": [len(w) for w in texts],
-                "hits": [[{"from": a, "to": b} for a, b in m] for m in merged],
-                "n_hit": [sum(b - a for a, b in m) for m in merged],
-                "items": [sorted(p[1]) for p in parts],
-            }
-        )
+        rows = []
+        for t in text:
+            words = words_of(t)
+            spans, items = [], set()
+            for table in tables:
+                s, i = table.value.scan(words)
+                spans += s
+                items |= i
+            merged = _merged(spans)
+            rows.append((len(words), [{"from": a, "to": b} for a, b in merged], sum(b - a for a, b in merged), sorted(items)))
+        return pd.DataFrame(rows, columns=["n_words", "hits", "n_hit", "items"])
 
     return search
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes: int = 2 << 20) -> DataFrame:
-    """Finds benchmark (item_id, text) windows of ``window`` words in docs (doc_id, text); see searcher.
+    """Finds benchmark (item_id, text) windows of ``window`` words in docs (doc_id, text).
 
     Returns a row per document: doc_id, n_words, hits (spans of words in any occurrence of a window, end
     exclusive, merged), n_hit (words in them) and items (distinct item_ids as strings, sorted).
 
+    A benchmark of up to MOST_CHUNKS chunks is searched for in one pass without any shuffle. A larger one
+    takes a pass for every MOST_CHUNKS chunks, whose results are joined by doc_id and a hash of the text.
+
     An item of fewer than ``window`` words is one window; an item or text that is null or without words
     matches nothing. A null item_id counts as the empty id. Repeated rows are treated each on its own.
     Other columns are ignored.
     """
-    search = searcher(benchmark, window, block, chunk_bytes)
-    return docs.select("doc_id", search(F.col("text").cast("string")).alias("found")).select("doc_id", "found.*")
+    chunks = n_chunks(benchmark, chunk_bytes)
+    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    passes = [(c, min(c + MOST_CHUNKS, chunks), chunks) for c in range(0, chunks, MOST_CHUNKS)]
+    if len(passes) == 1:
+        return base.select("doc_id", searcher(benchmark, window, block, chunk_bytes, passes[0])("text").alias("found")).select("doc_id", "found.*")
+    rows = base.withColumn("mark", F.xxhash64("doc_id", "text"))
+    hits = None
+    for one in passes:
+        found = rows.select("mark", searcher(benchmark, window, block, chunk_bytes, one)("text").alias("f")).where("f.n_hit > 0").select("mark", "f.hits", "f.items")
+        found = saved(found.dropDuplicates(["mark"]), "hits")
+        hits = found if hits is None else hits.unionByName(found)
+    whole = hits.groupBy("mark").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # Spans in order are merged where they touch.
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["to"] >= x["from"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["from"].alias("from"), F.greatest(F.element_at(acc, -1)["to"], x["to"]).alias("to"))))).otherwise(F.array_append(acc, x))
+    none = F.array().cast("array<struct<`from`: long, `to`: long>>")
+    whole = whole.select("mark", F.aggregate("h", none, step).alias("hits"), "items")
+    n_words = searcher(benchmark.limit(0), window, block, chunk_bytes, (0, 1, 1))
+    out = rows.select("doc_id", "mark", n_words("text")["n_words"].alias("n_words")).join(whole, "mark", "left")
+    hits = F.coalesce("hits", none)
+    return out.select("doc_id", "n_words", hits.alias("hits"), F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"]).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

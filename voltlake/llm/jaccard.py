@@ -8,10 +8,11 @@ sets plus scanning for all larger ones costs least. Every candidate pair is veri
 A pair of similarity t shares at least a = ceil(t * n) tokens with a set of n, so with tokens in one
 common order the first n - a + k tokens of both share k of them: k = 1 for lists, k = 2 for subsets.
 
-What is asked for is connection, not all pairs. Exact copies are one class. In a first round the sets of
-a list are compared with its first set only; once those links are joined into components, the second
+What is asked for is connection, not all pairs. Exact copies are one class. In a list of over ``hot`` sets
+all are first compared with one of them only; once the links are joined into components, the second
 round compares, list by list, what is still in different components. So no group of copies, however
-large, is expanded into all its pairs, and no link between components is missed.
+large, is expanded into all its pairs, and no link between components is missed. Length and positional
+filters hold in both rounds.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, small
-from .lists import components, count_table, distinct_sorted, first_pairs, least_overlap, rarity, shared_tokens, tokens
+from .common import BROADCAST_BYTES, saved, small
+from .lists import candidate_pairs, components, count_table, distinct_sorted, least_overlap, rarity, shared_tokens, tokens
 from .textvec import chunks, mix, shingle_hashes, word_hashes
 
 _SALT = np.uint64(0x51ED270B9F2C4A3D)
@@ -50,28 +51,26 @@ def _sum_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total[at + n] - total[at]
 
 
-def make_keys(pdf: pd.DataFrame, boundary: int, share: tuple[int, int]) -> pd.DataFrame:
-    """The lists each set is in: key, doc_id (a), 0 (b), size and whether it is light."""
-    n = pdf["n"].to_numpy()
-    a = pdf["doc_id"].to_numpy()
+def entries(pdf: pd.DataFrame, boundary: int, share: tuple[int, int]) -> Iterator[dict[str, np.ndarray]]:
+    """The lists each set (doc_id, n, prefix) is in. The position of a 2-subset is that of its later token, less one."""
+    n, a = pdf["n"].to_numpy(), pdf["doc_id"].to_numpy()
     out = []
-    light = n <= boundary
-    for size in np.unique(n[light]):
+    for size in np.unique(n[n <= boundary]):
         rows = np.flatnonzero(n == size)
         prefix = np.frombuffer(b"".join(pdf["prefix"].iloc[rows]), np.uint64).reshape(len(rows), -1)
         i, j = np.triu_indices(prefix.shape[1], 1)
         keys = mix(prefix[:, i] * np.uint64(0x9E3779B97F4A7C15) + prefix[:, j])
-        out.append((keys.ravel(), np.repeat(a[rows], len(i)), np.full(keys.size, size), np.ones(keys.size, np.int64)))
-    # Lists hold the heavy sets, and the light ones that are large enough to be similar to one.
+        out.append((keys.ravel(), np.repeat(a[rows], len(i)), np.full(keys.size, size), np.tile(j - 1, len(rows))))
+    # Lists of tokens hold the heavy sets, and the light ones that are large enough to be similar to one.
     rows = np.flatnonzero((n > boundary) | (n * share[1] >= share[0] * (boundary + 1)))
     if len(rows):
         one = n[rows] - least_overlap(n[rows], share) + 1
         keys = np.concatenate([np.frombuffer(pdf["prefix"].iloc[r], np.uint64)[:p] for r, p in zip(rows, one)])
-        out.append((mix(keys ^ _SALT), np.repeat(a[rows], one), np.repeat(n[rows], one), np.repeat((n[rows] <= boundary).astype(np.int64), one)))
-    if not out:
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("key", "a", "b", "n", "light")})
-    key, a, n, light = (np.concatenate(x) for x in zip(*out))
-    return pd.DataFrame({"key": key.view(np.int64), "a": a, "b": np.zeros(len(a), np.int64), "n": n, "light": light})
+        out.append((mix(keys ^ _SALT), np.repeat(a[rows], one), np.repeat(n[rows], one), np.arange(len(keys)) - np.repeat(np.cumsum(one) - one, one)))
+    if out:
+        key, a, n, pos = (np.concatenate(x) for x in zip(*out))
+        none = np.zeros(len(key), np.uint64)
+        yield {"key": key, "a": a, "b": none.view(np.int64), "n": n, "pos": pos, "x": none, "y": none}
 
 
 def choose_boundary(sets: DataFrame) -> int:
@@ -83,7 +82,7 @@ def choose_boundary(sets: DataFrame) -> int:
     return int(best["n"]) if best["n"] is not None and best["cost"] < best["all_heavy"] else 0
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 100), hot: int = 64) -> DataFrame:
     """Components of docs (doc_id: an integer, text) under Jaccard similarity >= share[0] / share[1] of their sets.
 
     Words are runs of [^\\x20\\x09-\\x0D] with A-Z in lower case; a set has the distinct windows of k words,
@@ -149,44 +148,58 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
     boundary = choose_boundary(firsts)
     p = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
     n_keys = firsts.agg(F.sum(p + F.when(F.col("n") <= boundary, p * (p + 1) / 2).otherwise(0))).first()[0] or 0
-    fits = (F.col("n1") * share[1] >= F.col("n2") * share[0]) & (F.col("n2") * share[1] >= F.col("n1") * share[0])
+    def entries_of(pdf: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
+        for at in range(0, len(pdf), 500):
+            yield from entries(pdf.iloc[at : at + 500], boundary, share)
 
-    pairs = saved(first_pairs(firsts.select("doc_id", "n", "prefix"), lambda pdf: make_keys(pdf, boundary, share), int(n_keys)).select("a1", "n1", "a2", "n2").distinct(), "pairs")
-    met = saved(pairs.select(F.col("a1").alias("doc_id")).union(pairs.select("a2")).distinct(), "met")
-    met = small(met, met.count(), 16)
+    found = saved(candidate_pairs(firsts.select("doc_id", "n", "prefix"), entries_of, int(n_keys), share, hot, every=True), "pairs")
+    pairs = found.where("more >= 0").select("a1", "a2").distinct()
+    keys = found.where("more = -2").select(F.col("b1").alias("low"), F.col("a2").alias("bucket"), F.col("b2").alias("buckets")).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
-        full = firsts.join(met, "doc_id", "left_semi")
+        met = pairs.select(F.col("a1").alias("doc_id")).union(pairs.select("a2")).distinct()
+        full = firsts.select("doc_id", "set").join(met, "doc_id", "left_semi")
         x, y = full.select(F.col("doc_id").alias("a1"), F.col("set").alias("s1")), full.select(F.col("doc_id").alias("a2"), F.col("set").alias("s2"))
         common = F.size(F.array_intersect("s1", "s2")).alias("common")
-        compared = pairs.where(fits).join(x, "a1").join(y, "a2").select("a1", "a2", (F.size("s1") + F.size("s2")).alias("both"), common)
+        compared = pairs.join(x, "a1").join(y, "a2").select("a1", "a2", (F.size("s1") + F.size("s2")).alias("both"), common)
         return compared.where(F.col("common") * share[1] >= (F.col("both") - F.col("common")) * share[0]).select(F.col("a1").alias("u"), F.col("a2").alias("v"))
 
     links = saved(linked(pairs), "links")
     labels = components(links, saved)
-
-    def list_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                yield make_keys(pdf.iloc[at : at + 500], boundary, share)[["key", "a", "n"]]
-
-    label: Column = F.coalesce("label", "a").alias("label")
-    lists = firsts.join(met, "doc_id", "left_semi").select("doc_id", "n", "prefix").mapInPandas(list_rows, "key long, a long, n long")
-    n_labels = labels.count()
-    lists = saved(lists.join(small(labels.withColumnRenamed("id", "a"), n_labels, 24), "a", "left").select("key", "a", "n", label), "lists")
-    parts = lists.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", "n").alias("main")).where("parts > 1").select("key", "main")
-    # In a list of several components, those outside its largest one are compared with all others.
-    mixed = saved(lists.join(mixed, "key").distinct(), "mixed")
-    left = mixed.where("label <> main").select("key", F.col("a").alias("a1"), F.col("n").alias("n1"), F.col("label").alias("label1"))
-    right = mixed.select("key", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("label").alias("label2"), "main")
-    rest = left.join(right, "key").where((F.col("label1") != F.col("label2")) & fits & ((F.col("label2") == F.col("main")) | (F.col("a1") < F.col("a2"))))
-    low, high = F.least("a1", "a2"), F.greatest("a1", "a2")
-    n_low, n_high = F.when(F.col("a1") <= F.col("a2"), F.col("n1")).otherwise(F.col("n2")), F.when(F.col("a1") <= F.col("a2"), F.col("n2")).otherwise(F.col("n1"))
-    rest = rest.select(low.alias("a1"), n_low.alias("n1"), high.alias("a2"), n_high.alias("n2")).distinct()
-    late = saved(linked(rest.join(pairs.select("a1", "a2"), ["a1", "a2"], "left_anti")), "links")
-    if late.limit(1).count():
-        labels = components(links.union(late), saved)
+    n_hot = keys.count()
+    if n_hot:
+        # Lists that were not expanded: what is still in different components is compared.
+        few = 8 * n_hot <= BROADCAST_BYTES
+        wanted = base.sparkSession.sparkContext.broadcast(np.sort(keys.select("low").toPandas()["low"].to_numpy(np.int64)) if few else None)
+        buckets = keys.first()["buckets"]
+
+        def hot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for e in entries_of(pdf):
+                    low = e["key"].astype(np.uint32).astype(np.int64)
+                    use = np.flatnonzero(np.isin(low, wanted.value)) if wanted.value is not None else np.arange(len(low))
+                    bucket = ((e["key"][use] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                    yield pd.DataFrame({"low": low[use], "bucket": bucket, "a": e["a"][use], "n": e["n"][use], "pos": e["pos"][use]})
+
+        lists = firsts.select("doc_id", "n", "prefix").mapInPandas(hot_rows, "low long, bucket long, a long, n long, pos long")
+        lists = lists.join(small(keys.drop("buckets"), n_hot, 24), ["low", "bucket"], "left_semi")
+        lists = lists.join(small(labels.withColumnRenamed("id", "a"), labels.count(), 24), "a", "left").withColumn("label", F.coalesce("label", "a"))
+        parts = lists.groupBy("low", "bucket", "label").agg(F.count("*").alias("size"))
+        mixed = parts.groupBy("low", "bucket").agg(F.count("*").alias("parts"), F.max_by("label", "size").alias("main")).where("parts > 1").drop("parts")
+        lists = saved(lists.join(mixed, ["low", "bucket"]), "lists")
+        near_start = F.col("pos1") < F.col("n1") - F.ceil(F.col("n1") * 2 * share[0] / (share[0] + share[1])) + 1
+        cols = ["a", "n", "pos", "label"]
+        left = lists.select("low", "bucket", "main", *[F.col(c).alias(f"{c}1") for c in cols]).where(near_start)
+        right = lists.select("low", "bucket", *[F.col(c).alias(f"{c}2") for c in cols])
+        least = F.ceil((F.col("n1") + F.col("n2")) * share[0] / (share[0] + share[1]))
+        fits = (F.col("n1") <= F.col("n2")) & (F.col("n2") * share[0] <= F.col("n1") * share[1]) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= least)
+        rest = None
+        for a, b in ((left.where("label1 <> main"), right), (left.where("label1 = main"), right.join(mixed, ["low", "bucket"]).where("label2 <> main").drop("main"))):
+            one = a.join(b, ["low", "bucket"]).where((F.col("label1") != F.col("label2")) & fits).select(F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2"))
+            rest = one if rest is None else rest.union(one)
+        late = saved(linked(saved(rest.distinct().join(pairs, ["a1", "a2"], "left_anti"), "pairs")), "links")
+        if late.limit(1).count():
+            labels = components(links.union(late), saved)
 
     rows = sizes.join(copies, ["d1", "d2", "n"], "left")
     labels = labels.select(F.col("id").alias("rep"), "label")

@@ -16,7 +16,6 @@ without an earlier match are then compared with all.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, saved, small
-from .lists import Counts, distinct_sorted, least_overlap, rarity, summed, tokens
+from .lists import Counts, candidate_pairs, distinct_sorted, least_overlap, rarity, summed, tokens
 from .textvec import chunks, mix, word_hashes
 
 _SALT = np.uint64(0x51ED270B9F2C4A3D)
 #: A line's place: 24 bits of its text's hash (parts rows of one doc_id), then its number.
 LINE_BITS = 32
-#: The columns of an entry of a list: key, document, place, size, position of the token, bitmap.
-ENTRY = (("key", "<u4"), ("a", "<i8"), ("b", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("x", "<u8"), ("y", "<u8"))
-PAIR = "a1 long, b1 long, a2 long, b2 long, more int, rest binary"
-
 
 def _sum_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     total = np.concatenate((np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)))
@@ -75,16 +70,6 @@ def _lines(pdf: pd.DataFrame, classes: np.ndarray | None, only: bool | None = No
         yield row, place, t, n, np.cumsum(n) - n
 
 
-def similar(pairs: np.ndarray | tuple, share: tuple[int, int]) -> np.ndarray:
-    """Which of the entry pairs (size, position, bitmap of both) the filters leave."""
-    n1, p1, x1, y1, n2, p2, x2, y2 = pairs
-    both = n1.astype(np.int64) + n2
-    least = -(-share[0] * both // (share[0] + share[1]))
-    keep = (n1 * share[1] >= n2 * share[0]) & (n2 * share[1] >= n1 * share[0]) & (np.minimum(n1 - p1, n2 - p2) >= least)
-    odd = np.bitwise_count(x1 ^ x2).astype(np.int64) + np.bitwise_count(y1 ^ y2)
-    return keep & ((both - odd) // 2 >= least)
-
-
 def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], least_words: int) -> Iterator[dict[str, np.ndarray]]:
     """The entries of the prefix tokens of the lines that are not in places; keys still have 64 bits."""
     for row, place, t, n, at in _lines(pdf, classes, only=False):
@@ -99,158 +84,6 @@ def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], lea
         yield {"key": mix(t[at[line] + pos]), "a": pdf["doc_id"].to_numpy()[row[line]], "b": place[line], "n": n[line], "pos": pos, "x": x[line], "y": y[line]}
 
 
-def _similar_at(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """Which entry pairs (i, j) the filters leave."""
-    return similar((*(e[c][i] for c in ("n", "pos", "x", "y")), *(e[c][j] for c in ("n", "pos", "x", "y"))), share) & (i != j)
-
-
-class _Pairs:
-    """Distinct pairs (earlier, later) of the lines of a block, as numbers."""
-
-    def __init__(self, e: dict[str, np.ndarray]):
-        order = np.lexsort((e["b"], e["a"]))
-        a, b = e["a"][order], e["b"][order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        self.line = np.empty(len(a), np.int64)
-        self.line[order] = np.cumsum(new) - 1
-        at = order[new]
-        self.a, self.b, self.x, self.y = (e[c][at] for c in ("a", "b", "x", "y"))
-        self.codes, self.size = [], 0
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        i, j = self.line[i], self.line[j]
-        self.codes.append(np.minimum(i, j) * len(self.a) + np.maximum(i, j))
-        self.size += len(i)
-        if self.size > 1_000_000:
-            self.codes = [np.unique(np.concatenate(self.codes))]
-            self.size = len(self.codes[0]) // 2
-
-    def named(self, codes: np.ndarray) -> np.ndarray:
-        i, j = codes // len(self.a), codes % len(self.a)
-        return np.array([self.a[i], self.b[i], self.a[j], self.b[j]])
-
-    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The likeliest earlier line of each later one (fewest odd bits), whether there are others, and those."""
-        if not self.codes:
-            return np.zeros((4, 0), np.int64), np.zeros(0, np.int64), np.zeros((4, 0), np.int64)
-        codes = np.unique(np.concatenate(self.codes))
-        i, j = codes // len(self.a), codes % len(self.a)
-        odd = np.bitwise_count(self.x[i] ^ self.x[j]).astype(np.int64) + np.bitwise_count(self.y[i] ^ self.y[j])
-        codes, j = (v[np.lexsort((i, odd, j))] for v in (codes, j))
-        first = np.concatenate(([True], j[1:] != j[:-1]))
-        size = np.diff(np.append(np.flatnonzero(first), len(j)))
-        return self.named(codes[first]), (size > 1).astype(np.int64), self.named(codes[~first])
-
-
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First position of every run of equal keys, and the run of each position."""
-    head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-    return np.flatnonzero(head), np.cumsum(head) - 1
-
-
-def candidate_pairs(texts: DataFrame, entries_of, n_entries: int, share: tuple[int, int], hot: int, a_bucket: int = 300_000, a_task: int = 300_000) -> DataFrame:
-    """Pairs of lines (PAIR) that the filters leave: the likeliest for each later line, with the others packed in rest.
-
-    Rows of a1 = -1 hold the others; rows of a1 = -2 the keys of lists that were not expanded (b1, in bucket a2 of b2).
-    """
-    buckets = max(12, math.ceil(n_entries / a_bucket))
-
-    def deal(held: list[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        e = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-        order = np.argsort(e["key"])
-        e = {c: v[order] for c, v in e.items()}
-        first, run = _runs(e["key"])
-        length = np.diff(np.append(first, len(run)))
-        warm = length[run] > hot
-        pairs, keys = b"", b""
-        send = ~warm
-        if warm.any():
-            send[first] = True
-            at = np.flatnonzero(warm)
-            at = at[_similar_at(e, first[run[at]], at, share)]
-            found = _Pairs(e)
-            found.add(first[run[at]], at)
-            pairs = np.ascontiguousarray(found.named(np.unique(np.concatenate(found.codes)))).astype("<i8").tobytes()
-            keys = e["key"][first[length > hot]].view(np.int64).astype("<i8")
-        bucket = ((e["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        chosen = np.flatnonzero(send)
-        chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
-        cuts = np.searchsorted(bucket[chosen], np.arange(buckets + 1))
-        rows = []
-        for x in range(buckets):
-            mine = chosen[cuts[x] : cuts[x + 1]]
-            here = keys[(keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets) == x].tobytes() if len(keys) else b""
-            if len(mine) or here:
-                rows.append((x, len(mine), b"".join(e[c][mine].astype(k).tobytes() for c, k in ENTRY), here, b""))
-        if pairs:
-            rows.append((int(e["a"][0]) % buckets, 0, b"", b"", pairs))
-        yield pd.DataFrame(rows, columns=["bucket", "size", "entries", "hot", "pairs"])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for pdf in batches:
-            for e in entries_of(pdf):
-                if len(e["key"]):
-                    held.append(e)
-                    size += len(e["key"])
-                if size >= a_task:
-                    yield from deal(held)
-                    held, size = [], 0
-        if held:
-            yield from deal(held)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in ENTRY}
-        for size, raw in zip(pdf["size"], pdf["entries"]):
-            at = 0
-            for c, k in ENTRY:
-                width = np.dtype(k).itemsize * size
-                parts[c].append(np.frombuffer(raw[at : at + width], k))
-                at += width
-        e = {c: np.concatenate(v) for c, v in parts.items()}
-        order = np.lexsort((e["n"], e["key"]))
-        e = {c: v[order] for c, v in e.items()}
-        first, run = _runs(e["key"])
-        length = np.diff(np.append(first, len(run)))
-        told = np.frombuffer(b"".join(pdf["hot"]), "<i8")
-        warm = (length > hot) | np.isin(e["key"][first], told.view(np.uint64).astype(np.uint32))
-        found, keys = _Pairs(e), []
-        if warm.any():
-            at = np.flatnonzero(warm[run])
-            at = at[_similar_at(e, first[run[at]], at, share)]
-            found.add(first[run[at]], at)
-            keys = [(-2, int(k), int(pdf["bucket"].iloc[0]), buckets, 0, None) for k in e["key"][first[warm]]]
-        # Sorted by size within a list: the shorter line first, up to the size that t allows.
-        n = e["n"].astype(np.int64)
-        shorter = np.flatnonzero(~warm[run] & (e["pos"] < n + (-2 * share[0] * n // (share[0] + share[1])) + 1))
-        scale = np.int64(1) << 31
-        upto = np.searchsorted(run * scale + n, run[shorter] * scale + n[shorter] * share[1] // share[0], side="right")
-        count = upto - shorter - 1
-        ends = np.cumsum(count)
-        start = 0
-        while start < len(shorter):
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + 250_000, side="right")))
-            c = count[start:stop]
-            i = np.repeat(shorter[start:stop], c)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-            keep = _similar_at(e, i, j, share)
-            found.add(i[keep], j[keep])
-            start = stop
-        best, more, rest = found.best()
-        stars = [np.frombuffer(p, "<i8").reshape(4, -1) for p in pdf["pairs"] if p]
-        if stars:
-            stars = np.concatenate(stars, axis=1)
-            best, more = np.concatenate((best, stars), axis=1), np.concatenate((more, np.zeros(stars.shape[1], np.int64)))
-        rows = pd.DataFrame(best.T, columns=["a1", "b1", "a2", "b2"]).assign(more=more, rest=None)
-        if rest.shape[1]:
-            keys.append((-1, 0, 0, 0, 0, np.ascontiguousarray(rest).tobytes()))
-        return pd.concat([rows, pd.DataFrame(keys, columns=rows.columns)]) if keys else rows
-
-    dealt = texts.mapInPandas(fold, "bucket long, size long, entries binary, hot binary, pairs binary")
-    return dealt.groupBy("bucket").applyInPandas(merge, PAIR)
-
-
 def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words: int = 5, hot: int = 2000) -> DataFrame:
     """The lines to remove from docs (doc_id: long, text, mark): doc_id, mark and lines (their numbers, from 0)."""
 
@@ -283,7 +116,7 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
     fresh = with_places(again, "left")
     found = saved(candidate_pairs(fresh, lambda pdf: _entries(pdf, shared.value, share, least_words), int(n_entries), share, hot), "pairs")
     ids = ["a1", "b1", "a2", "b2"]
-    pairs, packed, keys = found.where("rest is null and a1 <> -2"), found.where("rest is not null"), found.where("a1 = -2")
+    pairs, packed, keys = found.where("more >= 0"), found.where("more = -1"), found.where("more = -2")
 
     def matched(pairs: DataFrame) -> DataFrame:
         met = pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b")).union(pairs.select("a2", "b2")).distinct()

@@ -106,75 +106,192 @@ def least_overlap(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     return -(-a * n // b)
 
 
-KEYS = "key long, a long, b long, n long, light int"
-
-
-def _fold(rows: list[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
-    """One task's keys: pairs of each list with its first set here, and the lists' first sets for the other tasks."""
-    if not rows:
-        return
-    df = pd.concat(rows, ignore_index=True)
-    df = df.sort_values(["key", "a", "b"], kind="stable", ignore_index=True)
-    key = df["key"].to_numpy()
-    head = np.concatenate(([True], key[1:] != key[:-1]))
-    at = np.flatnonzero(head)[np.cumsum(head) - 1]
-    a, b, n, light = (df[c].to_numpy() for c in ("a", "b", "n", "light"))
-    pairs = pd.DataFrame({"a1": a[at], "b1": b[at], "n1": n[at], "l1": light[at], "a2": a, "b2": b, "n2": n, "l2": light})[~head].drop_duplicates()
-    lead = df[head]
-    bucket = (lead["key"].to_numpy().view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    lead, bucket = lead.iloc[order], bucket[order]
-    ends = np.flatnonzero(np.diff(bucket, append=-1)) + 1
-    out, start = [], 0
-    for end in ends:
-        part = lead.iloc[start:end]
-        out.append((int(bucket[start]), np.ascontiguousarray(part[["key", "a", "b", "n", "light"]].to_numpy(np.int64).T).tobytes(), b""))
-        start = end
-    if len(pairs):
-        own = (pairs["a2"].to_numpy() % buckets).astype(np.int64)
-        for x in np.unique(own):
-            out.append((int(x), b"", np.ascontiguousarray(pairs[own == x].to_numpy(np.int64).T).tobytes()))
-    yield pd.DataFrame(out, columns=["bucket", "keys", "pairs"])
-
-
-PAIRS = "a1 long, b1 long, n1 long, l1 long, a2 long, b2 long, n2 long, l2 long"
-
-
-def first_pairs(sets: DataFrame, keys_of: Callable[[pd.DataFrame], pd.DataFrame], n_keys: int, a_bucket: int = 300_000, a_task: int = 500_000) -> DataFrame:
-    """Distinct pairs (first set of a list, another set of the list), for the lists of all keys of sets.
-
-    The first set is that of least (a, b). A list is folded within each task before it is dealt out, so
-    a list of any length sends one entry a task, and its pairs are as many as its sets.
+#: The columns of an entry of a list: key, document, place, size, position of the token, bitmap.
+ENTRY = (("key", "<u4"), ("a", "<i8"), ("b", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("x", "<u8"), ("y", "<u8"))
+PAIR = "a1 long, b1 long, a2 long, b2 long, more int, rest binary"
+
+
+
+def similar(pairs: np.ndarray | tuple, share: tuple[int, int]) -> np.ndarray:
+    """Which of the entry pairs (size, position, bitmap of both) the filters leave."""
+    n1, p1, x1, y1, n2, p2, x2, y2 = pairs
+    both = n1.astype(np.int64) + n2
+    least = -(-share[0] * both // (share[0] + share[1]))
+    keep = (n1 * share[1] >= n2 * share[0]) & (n2 * share[1] >= n1 * share[0]) & (np.minimum(n1 - p1, n2 - p2) >= least)
+    odd = np.bitwise_count(x1 ^ x2).astype(np.int64) + np.bitwise_count(y1 ^ y2)
+    return keep & ((both - odd) // 2 >= least)
+
+
+def _similar_at(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Which entry pairs (i, j) the filters leave."""
+    return similar((*(e[c][i] for c in ("n", "pos", "x", "y")), *(e[c][j] for c in ("n", "pos", "x", "y"))), share) & (i != j)
+
+
+class _Pairs:
+    """Distinct pairs (earlier, later) of the lines of a block, as numbers."""
+
+    def __init__(self, e: dict[str, np.ndarray]):
+        order = np.lexsort((e["b"], e["a"]))
+        a, b = e["a"][order], e["b"][order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        self.line = np.empty(len(a), np.int64)
+        self.line[order] = np.cumsum(new) - 1
+        at = order[new]
+        self.a, self.b, self.x, self.y = (e[c][at] for c in ("a", "b", "x", "y"))
+        self.codes, self.size = [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        i, j = self.line[i], self.line[j]
+        self.codes.append(np.minimum(i, j) * len(self.a) + np.maximum(i, j))
+        self.size += len(i)
+        if self.size > 1_000_000:
+            self.codes = [np.unique(np.concatenate(self.codes))]
+            self.size = len(self.codes[0]) // 2
+
+    def named(self, codes: np.ndarray) -> np.ndarray:
+        i, j = codes // len(self.a), codes % len(self.a)
+        return np.array([self.a[i], self.b[i], self.a[j], self.b[j]])
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes = np.unique(np.concatenate(self.codes)) if self.codes else np.zeros(0, np.int64)
+        return self.named(codes), np.zeros(len(codes), np.int64), np.zeros((4, 0), np.int64)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The likeliest earlier line of each later one (fewest odd bits), whether there are others, and those."""
+        codes = np.unique(np.concatenate(self.codes)) if self.codes else np.zeros(0, np.int64)
+        if not len(codes):
+            return self.all()
+        i, j = codes // len(self.a), codes % len(self.a)
+        odd = np.bitwise_count(self.x[i] ^ self.x[j]).astype(np.int64) + np.bitwise_count(self.y[i] ^ self.y[j])
+        codes, j = (v[np.lexsort((i, odd, j))] for v in (codes, j))
+        first = np.concatenate(([True], j[1:] != j[:-1]))
+        size = np.diff(np.append(np.flatnonzero(first), len(j)))
+        return self.named(codes[first]), (size > 1).astype(np.int64), self.named(codes[~first])
+
+
+def _leads(e: dict[str, np.ndarray], run: np.ndarray, first: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """For each list the entry that others are compared with: its first one of a position where smaller sets are looked for."""
+    n = e["n"].astype(np.int64)
+    near = np.flatnonzero(e["pos"] < n + (-2 * share[0] * n // (share[0] + share[1])) + 1)
+    lead = first.copy()
+    lists, at = np.unique(run[near], return_index=True)
+    lead[lists] = near[at]
+    return lead
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First position of every run of equal keys, and the run of each position."""
+    head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    return np.flatnonzero(head), np.cumsum(head) - 1
+
+
+def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterator[dict[str, np.ndarray]]], n_entries: int, share: tuple[int, int], hot: int, every: bool = False, a_bucket: int = 300_000, a_task: int = 300_000) -> DataFrame:
+    """Pairs (PAIR) of sets that meet in a list and pass the filters.
+
+    entries_of gives the ENTRY columns of sets (keys of 64 bits). A pair is looked for from its smaller set,
+    in the lists of the first n - ceil(2t / (1 + t) n) + 1 positions of that set. every: all pairs; else
+    the likeliest for each later set (by a, b; more = 1 if it has others), and the others packed in rows of
+    more = -1. Lists of more than ``hot`` sets are not expanded: their sets are paired with one of them, and
+    the keys are told in rows of more = -2 (b1, in bucket a2 of b2). A task folds such lists before it deals them out, so that a list of
+    any length sends one entry a task.
     """
-    buckets = max(12, math.ceil(n_keys / a_bucket))
+    buckets = max(12, math.ceil(n_entries / a_bucket))
+
+    def deal(held: list[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        e = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        order = np.argsort(e["key"])
+        e = {c: v[order] for c, v in e.items()}
+        first, run = _runs(e["key"])
+        length = np.diff(np.append(first, len(run)))
+        warm = length[run] > hot
+        pairs, keys = b"", b""
+        send = ~warm
+        if warm.any():
+            lead = _leads(e, run, first, share)
+            send[lead] = True
+            at = np.flatnonzero(warm)
+            at = at[_similar_at(e, lead[run[at]], at, share)]
+            found = _Pairs(e)
+            found.add(lead[run[at]], at)
+            pairs = np.ascontiguousarray(found.named(np.unique(np.concatenate(found.codes)))).astype("<i8").tobytes()
+            keys = e["key"][first[length > hot]].view(np.int64).astype("<i8")
+        bucket = ((e["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        chosen = np.flatnonzero(send)
+        chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
+        cuts = np.searchsorted(bucket[chosen], np.arange(buckets + 1))
+        rows = []
+        for x in range(buckets):
+            mine = chosen[cuts[x] : cuts[x + 1]]
+            here = keys[(keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets) == x].tobytes() if len(keys) else b""
+            if len(mine) or here:
+                rows.append((x, len(mine), b"".join(e[c][mine].astype(k).tobytes() for c, k in ENTRY), here, b""))
+        if pairs:
+            rows.append((int(e["a"][0]) % buckets, 0, b"", b"", pairs))
+        yield pd.DataFrame(rows, columns=["bucket", "size", "entries", "hot", "pairs"])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                rows = keys_of(pdf.iloc[at : at + 500])
-                held.append(rows)
-                size += len(rows)
+            for e in entries_of(pdf):
+                if len(e["key"]):
+                    held.append(e)
+                    size += len(e["key"])
                 if size >= a_task:
-                    yield from _fold(held, buckets)
+                    yield from deal(held)
                     held, size = [], 0
-        yield from _fold([r for r in held if len(r)], buckets)
+        if held:
+            yield from deal(held)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [np.frombuffer(p, np.int64).reshape(8, -1) for p in pdf["pairs"] if p]
-        entries = [np.frombuffer(p, np.int64).reshape(5, -1) for p in pdf["keys"] if p]
-        if entries:
-            key, a, b, n, light = np.concatenate(entries, axis=1)
-            order = np.lexsort((b, a, key))
-            key, a, b, n, light = (x[order] for x in (key, a, b, n, light))
-            head = np.concatenate(([True], key[1:] != key[:-1]))
-            at = np.flatnonzero(head)[np.cumsum(head) - 1]
-            found.append(np.array([a[at], b[at], n[at], light[at], a, b, n, light])[:, ~head])
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((8, 0), np.int64)
-        return pd.DataFrame(dict(zip(("a1", "b1", "n1", "l1", "a2", "b2", "n2", "l2"), pairs)))
-
-    folded = sets.mapInPandas(fold, "bucket long, keys binary, pairs binary")
-    return folded.groupBy("bucket").applyInPandas(merge, PAIRS).where("a1 <> a2 or b1 <> b2").distinct()
+        parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in ENTRY}
+        for size, raw in zip(pdf["size"], pdf["entries"]):
+            at = 0
+            for c, k in ENTRY:
+                width = np.dtype(k).itemsize * size
+                parts[c].append(np.frombuffer(raw[at : at + width], k))
+                at += width
+        e = {c: np.concatenate(v) for c, v in parts.items()}
+        order = np.lexsort((e["n"], e["key"]))
+        e = {c: v[order] for c, v in e.items()}
+        first, run = _runs(e["key"])
+        length = np.diff(np.append(first, len(run)))
+        told = np.frombuffer(b"".join(pdf["hot"]), "<i8")
+        warm = (length > hot) | np.isin(e["key"][first], told.view(np.uint64).astype(np.uint32))
+        found, keys = _Pairs(e), []
+        if warm.any():
+            lead, at = _leads(e, run, first, share), np.flatnonzero(warm[run])
+            at = at[_similar_at(e, lead[run[at]], at, share)]
+            found.add(lead[run[at]], at)
+            keys = [(0, int(k), int(pdf["bucket"].iloc[0]), buckets, -2, None) for k in e["key"][first[warm]]]
+        # Sorted by size within a list: the shorter line first, up to the size that t allows.
+        n = e["n"].astype(np.int64)
+        shorter = np.flatnonzero(~warm[run] & (e["pos"] < n + (-2 * share[0] * n // (share[0] + share[1])) + 1))
+        scale = np.int64(1) << 31
+        upto = np.searchsorted(run * scale + n, run[shorter] * scale + n[shorter] * share[1] // share[0], side="right")
+        count = upto - shorter - 1
+        ends = np.cumsum(count)
+        start = 0
+        while start < len(shorter):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + 250_000, side="right")))
+            c = count[start:stop]
+            i = np.repeat(shorter[start:stop], c)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+            keep = _similar_at(e, i, j, share)
+            found.add(i[keep], j[keep])
+            start = stop
+        best, more, rest = found.all() if every else found.best()
+        stars = [np.frombuffer(p, "<i8").reshape(4, -1) for p in pdf["pairs"] if p]
+        if stars:
+            stars = np.concatenate(stars, axis=1)
+            best, more = np.concatenate((best, stars), axis=1), np.concatenate((more, np.zeros(stars.shape[1], np.int64)))
+        rows = pd.DataFrame(best.T, columns=["a1", "b1", "a2", "b2"]).assign(more=more, rest=None)
+        if rest.shape[1]:
+            keys.append((0, 0, 0, 0, -1, np.ascontiguousarray(rest).tobytes()))
+        return pd.concat([rows, pd.DataFrame(keys, columns=rows.columns)]) if keys else rows
+
+    dealt = sets.mapInPandas(fold, "bucket long, size long, entries binary, hot binary, pairs binary")
+    return dealt.groupBy("bucket").applyInPandas(merge, PAIR)
 
 
 def components(edges: DataFrame, save: Callable[[DataFrame, str], DataFrame], rounds: int = 60) -> DataFrame:
