@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +54,15 @@ def with_prefix(df: DataFrame, key: str, value: str, out: str, fan: int = 1024)
         .withColumn(out, (F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long"))
         .drop("_up", "_base")
     )
+
+
+def trimmed(parts: Iterable) -> Iterator:
+    """parts, and then freed memory back to the system: Python workers live on after their tasks."""
+    import pyarrow as pa
+
+    yield from parts
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, saved, small
+from .common import BROADCAST_BYTES, saved, small, trimmed
 from .lists import candidate_pairs, components, count_table, distinct_sorted, least_overlap, rarity, shared_tokens, tokens
 from .textvec import chunks, mix, shingle_hashes, word_hashes
 
@@ -82,7 +82,7 @@ def choose_boundary(sets: DataFrame) -> int:
     return int(best["n"]) if best["n"] is not None and best["cost"] < best["all_heavy"] else 0
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 100), hot: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 100), hot: int = 8) -> DataFrame:
     """Components of docs (doc_id: an integer, text) under Jaccard similarity >= share[0] / share[1] of their sets.
 
     Words are runs of [^\\x20\\x09-\\x0D] with A-Z in lower case; a set has the distinct windows of k words,
@@ -101,7 +101,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
                 d1, d2 = _sum_by(mix(t), at, n), _sum_by(mix(t ^ _SALT), at, n)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start : start + len(n)].to_numpy(), "n": n, "d1": d1.view(np.int64), "d2": d2.view(np.int64)})
 
-    sizes = saved(base.mapInPandas(describe, "doc_id long, n long, d1 long, d2 long"), "sizes")
+    sizes = saved(base.mapInPandas(lambda b: trimmed(describe(b)), "doc_id long, n long, d1 long, d2 long"), "sizes")
     copies = saved(sizes.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "copies")
     # One document of every class of equal sets; sets of one or two tokens are similar to none but their equals.
     others = saved(sizes.join(copies, ["d1", "d2", "n"], "left").where("n < 3 or doc_id <> rep").select("doc_id").distinct(), "others")
@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
                     }
                 )
 
-    firsts = saved(near.mapInPandas(summarise, "doc_id long, n long, prefix binary, set array<long>, cost_light double, cost_heavy double").where("n > 2"), "firsts")
+    firsts = saved(near.mapInPandas(lambda b: trimmed(summarise(b)), "doc_id long, n long, prefix binary, set array<long>, cost_light double, cost_heavy double").where("n > 2"), "firsts")
     boundary = choose_boundary(firsts)
     p = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
     n_keys = firsts.agg(F.sum(p + F.when(F.col("n") <= boundary, p * (p + 1) / 2).otherwise(0))).first()[0] or 0
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
                     bucket = ((e["key"][use] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                     yield pd.DataFrame({"low": low[use], "bucket": bucket, "a": e["a"][use], "n": e["n"][use], "pos": e["pos"][use]})
 
-        lists = firsts.select("doc_id", "n", "prefix").mapInPandas(hot_rows, "low long, bucket long, a long, n long, pos long")
+        lists = firsts.select("doc_id", "n", "prefix").mapInPandas(lambda b: trimmed(hot_rows(b)), "low long, bucket long, a long, n long, pos long")
         lists = lists.join(small(keys.drop("buckets"), n_hot, 24), ["low", "bucket"], "left_semi")
         lists = lists.join(small(labels.withColumnRenamed("id", "a"), labels.count(), 24), "a", "left").withColumn("label", F.coalesce("label", "a"))
         parts = lists.groupBy("low", "bucket", "label").agg(F.count("*").alias("size"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, saved, small
+from .common import BROADCAST_BYTES, saved, small, trimmed
 from .lists import Counts, candidate_pairs, distinct_sorted, least_overlap, rarity, summed, tokens
 from .textvec import chunks, mix, word_hashes
 
@@ -97,7 +97,7 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
                 yield pd.DataFrame({"a": pdf["doc_id"].to_numpy()[row[use]], "b": place[use], "n": n[use], "d1": d1[use], "d2": d2[use], "t": None})
         yield pd.DataFrame({"a": [0], "b": [0], "n": [0], "d1": [0], "d2": [0], "t": [counts.packed()]})
 
-    described = saved(docs.mapInPandas(describe, "a long, b long, n long, d1 long, d2 long, t binary"), "lines")
+    described = saved(docs.mapInPandas(lambda b: trimmed(describe(b)), "a long, b long, n long, d1 long, d2 long, t binary"), "lines")
     lines = described.where("t is null").drop("t")
     # A word counts once a line here, in equal lines too.
     shared = docs.sparkSession.sparkContext.broadcast(rarity(summed(described.where("t is not null").select("t"))))
@@ -127,7 +127,7 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
                 for row, place, t, n, at in _lines(pdf, None, only=True):
                     yield pd.DataFrame({"a": pdf["doc_id"].to_numpy()[row], "b": place, "set": [t[i : i + m].view(np.int64) for i, m in zip(at, n)]})
 
-        full = saved(chosen.mapInPandas(whole, "a long, b long, set array<long>"), "sets")
+        full = saved(chosen.mapInPandas(lambda b: trimmed(whole(b)), "a long, b long, set array<long>"), "sets")
         compared = pairs.join(full.toDF("a1", "b1", "s1"), ["a1", "b1"]).join(full.toDF("a2", "b2", "s2"), ["a2", "b2"])
         compared = compared.select("a2", "b2", (F.size("s1") + F.size("s2")).alias("both"), F.size(F.array_intersect("s1", "s2")).alias("common"))
         return compared.where(F.col("common") * share[1] >= (F.col("both") - F.col("common")) * share[0]).select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct()
@@ -166,7 +166,7 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
 
         buckets = keys.first()["b2"]
         named = small(keys.select(F.col("b1").alias("low"), F.col("a2").alias("bucket")), n_hot, 24)
-        rows = fresh.mapInPandas(hot_rows, "bucket long, low long, a long, b long, n long, pos long, x long, y long")
+        rows = fresh.mapInPandas(lambda b: trimmed(hot_rows(b)), "bucket long, low long, a long, b long, n long, pos long, x long, y long")
         rows = saved(rows.join(named, ["bucket", "low"], "left_semi"), "hot")
         cols = ["a", "b", "n", "pos", "x", "y"]
         later = rows.join(gone, ["a", "b"], "left_anti").select("bucket", "low", *[F.col(c).alias(f"{c}2") for c in cols])

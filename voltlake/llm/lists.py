@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 SLOTS_LOG2 = 20
 
 
@@ -70,7 +72,7 @@ def count_table(df: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[np.ndar
                 counts.add(h)
         yield pd.DataFrame({"t": [counts.packed()]})
 
-    return summed(df.mapInPandas(count, "t binary"))
+    return summed(df.mapInPandas(lambda b: trimmed(count(b)), "t binary"))
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
@@ -185,7 +187,7 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(head), np.cumsum(head) - 1
 
 
-def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterator[dict[str, np.ndarray]]], n_entries: int, share: tuple[int, int], hot: int, every: bool = False, a_bucket: int = 300_000, a_task: int = 300_000) -> DataFrame:
+def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterator[dict[str, np.ndarray]]], n_entries: int, share: tuple[int, int], hot: int, every: bool = False, a_bucket: int = 200_000, a_task: int = 250_000) -> DataFrame:
     """Pairs (PAIR) of sets that meet in a list and pass the filters.
 
     entries_of gives the ENTRY columns of sets (keys of 64 bits). A pair is looked for from its smaller set,
@@ -290,8 +292,8 @@ def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterat
             keys.append((0, 0, 0, 0, -1, np.ascontiguousarray(rest).tobytes()))
         return pd.concat([rows, pd.DataFrame(keys, columns=rows.columns)]) if keys else rows
 
-    dealt = sets.mapInPandas(fold, "bucket long, size long, entries binary, hot binary, pairs binary")
-    return dealt.groupBy("bucket").applyInPandas(merge, PAIR)
+    dealt = sets.mapInPandas(lambda b: trimmed(fold(b)), "bucket long, size long, entries binary, hot binary, pairs binary")
+    return dealt.groupBy("bucket").applyInPandas(lambda pdf: pd.concat(trimmed([merge(pdf)])), PAIR)
 
 
 def components(edges: DataFrame, save: Callable[[DataFrame, str], DataFrame], rounds: int = 60) -> DataFrame:
@@ -310,7 +312,7 @@ def components(edges: DataFrame, save: Callable[[DataFrame, str], DataFrame], ro
     raise RuntimeError("components did not settle")
 
 
-def shared_tokens(sets: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[tuple[np.ndarray, np.ndarray]]], n_tokens: int, a_bucket: int = 400_000, a_task: int = 1_000_000) -> DataFrame:
+def shared_tokens(sets: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[tuple[np.ndarray, np.ndarray]]], n_tokens: int, a_bucket: int = 300_000, a_task: int = 500_000) -> DataFrame:
     """How many tokens of each set (doc_id: long) are in another set too: doc_id, m. Sets without any are left out.
 
     hashes gives the distinct token hashes of chunks of sets and the doc_id of each. A task sends every
@@ -373,5 +375,5 @@ def shared_tokens(sets: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[tup
         ids, where = np.unique(ids, return_inverse=True)
         return pd.DataFrame({"doc_id": ids, "m": np.bincount(where, weights=weight, minlength=len(ids)).astype(np.int64)})
 
-    dealt = sets.mapInPandas(fold, "bucket long, hashes binary, ids binary, counts binary, free binary, done binary, done_counts binary")
-    return dealt.groupBy("bucket").applyInPandas(merge, "doc_id long, m long").groupBy("doc_id").agg(F.sum("m").alias("m"))
+    dealt = sets.mapInPandas(lambda b: trimmed(fold(b)), "bucket long, hashes binary, ids binary, counts binary, free binary, done binary, done_counts binary")
+    return dealt.groupBy("bucket").applyInPandas(lambda pdf: pd.concat(trimmed([merge(pdf)])), "doc_id long, m long").groupBy("doc_id").agg(F.sum("m").alias("m"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, with_prefix
+from .common import saved, trimmed, with_prefix
 
 #: The word pattern of byte-level BPE tokenizers (fixed values).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -125,7 +125,7 @@ def pack(
     )
     kind = dict(rows.dtypes)["doc_id"]
     tokens = saved(
-        rows.mapInPandas(lambda b: _tokenize(b, tokenizer_path, end_id), f"row long, doc_id {kind}, source string, n long, _ids binary"),
+        rows.mapInPandas(lambda b: trimmed(_tokenize(b, tokenizer_path, end_id)), f"row long, doc_id {kind}, source string, n long, _ids binary"),
         "tokens",
     )
     n_rows, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -197,5 +197,5 @@ def pack(
     return (
         tokens.join(pieces, "row")
         .select("doc_id", "source", "n", "_ids", "pieces")
-        .mapInPandas(_cut, f"doc_id {kind}, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+        .mapInPandas(lambda b: trimmed(_cut(b)), f"doc_id {kind}, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
     )
