@@ -179,3 +179,17 @@ def test_streamed_sessions(spark, tmp_path):
     q.stop()
     streamed = {(r.started, r.samples) for r in spark.sql("select * from sessions").collect()}
     assert len(batch) == 3 and len(streamed) == 2 and streamed < batch
+
+
+def test_protocol_durations(spark):
+    from voltlake.operators import protocols
+
+    row = spark.createDataFrame([(7, 3.6, 30.0, 1.0, 4.2, 30.0, 5.0, 2.0, 2.7, 15.0, 4.84)], "seq_num int, charge_constant_current_1 double, charge_percent_limit_1 double, charge_constant_current_2 double, charge_cutoff_voltage double, charge_constant_voltage_time double, charge_rest_time double, discharge_constant_current_1 double, discharge_cutoff_voltage double, discharge_rest_time double, capacity_nominal double")
+    got = {r.step: (r.value, r.end_value) for r in protocols.regular_cycle(row).collect()}
+    assert got == {1: (17.424, "00:05:00"), 2: (4.84, "4.2"), 3: (4.2, "00:30:00"), 4: (None, "00:05:00"), 5: (9.68, "2.7"), 6: (None, "00:15:00")}
+    assert protocols.first_rest(row).first().rest == "04:24:00"
+
+
+def test_project_rules():
+    assert validate.rules_of("FastCharge", "arbin") is validate.LFP_RULES and validate.rules_of("Unknown", "maccor") is validate.RULES["maccor-lfp"]
+    assert validate.rules_of("Iris", "arbin")["charge_capacity"]["max"] == 100.0

@@ -21,7 +21,8 @@ def rows(df, columns):
 @pytest.mark.parametrize("name", sorted(oracle.ORACLES))
 def test_sql(spark, small_tables, name):
     con = duckdb.connect()
-    con.execute(f"create view events as select * from read_parquet('{small_tables}/events.parquet')")
+    for t in ("events", "part"):
+        con.execute(f"create view {t} as select * from read_parquet('{small_tables}/{t}.parquet')")
     want = con.execute(oracle.ORACLES[name]).df()
     got = catalog.QUERIES[name](spark, small_tables).toPandas()
     columns = sorted(want.columns)

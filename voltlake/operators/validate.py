@@ -7,15 +7,54 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The rules of the first supported schema, per column in the order they are checked.
-LFP_RULES = {
-    "charge_capacity": {"max": 2.0, "min": 0.0, "type": "float"},
-    "cycle_index": {"min": 0, "max_at_least": 1, "type": "integer"},
-    "discharge_capacity": {"max": 2.0, "min": 0.0, "type": "float"},
-    "temperature": {"max": 80.0, "min": 20.0, "type": "float"},
-    "test_time": {"type": "float"},
-    "voltage": {"max": 3.8, "min": 0.0, "type": "float"},
+
+def _cell(capacity: float, v_max: float, v_min: float = 0.0, t_max: float = 80.0, t_min: float = 20.0) -> dict[str, dict]:
+    amount = {"max": capacity, "min": 0.0, "type": "float"}
+    return {
+        "charge_capacity": amount,
+        "cycle_index": {"min": 0, "max_at_least": 1, "type": "integer"},
+        "discharge_capacity": amount,
+        "temperature": {"max": t_max, "min": t_min, "type": "float"},
+        "test_time": {"type": "float"},
+        "voltage": {"max": v_max, "min": v_min, "type": "float"},
+    }
+
+
+#: The rules of each supported kind of cell, per column in the order they are checked.
+LFP_RULES = _cell(2.0, 3.8)
+RULES = {
+    "arbin-lfp": LFP_RULES,
+    "arbin-18650-2170": _cell(6.0, 5.0, 2.0, 500.0, 0.0),
+    "arbin-nmc-phev": _cell(100.0, 5.0, 0.0, 500.0, 0.0),
+    "novonix": _cell(2.0, 5.0),
+    "maccor-2170": {
+        "data_point": {"type": "integer"},
+        "cycle_index": {"min": 0, "min_is_below": 2, "max_at_least": 1, "type": "integer", "monotonic": "increasing"},
+        "_state": {"type": "string"},
+        "voltage": {"max": 5.0, "min": 0, "type": "float"},
+        "current": {"max": 15.0, "min": -15.0, "min_is_below": 0.0, "type": "float"},
+        "test_time": {"min": 0.0, "type": "float"},
+        "step_time": {"min": 0.0, "type": "float"},
+    },
+    "maccor-lfp": {"data_point": {"type": "integer"}, "_state": {"type": "string"}, "voltage": {"max": 4.4, "min": 0.0, "type": "float"}},
 }
+#: The rules of a project's files, by vendor.
+PROJECTS = {
+    "Iris": {"arbin": "arbin-nmc-phev"},
+    "xIris": {"arbin": "arbin-nmc-phev"},
+    "PreDiag": {"maccor": "maccor-2170"},
+    "PredictionDiagnostics": {"maccor": "maccor-2170"},
+    "FastCharge": {"arbin": "arbin-lfp"},
+    "ClosedLoopOED": {"arbin": "arbin-lfp"},
+    "Talos": {"arbin": "arbin-18650-2170", "maccor": "maccor-2170"},
+    "PriorLAMVal": {"arbin": "arbin-18650-2170"},
+    "LAMVal": {"arbin": "arbin-18650-2170"},
+}
+
+
+def rules_of(project: str, vendor: str) -> dict[str, dict]:
+    """The rules of a project's files of one vendor; the vendor's default where the project has none."""
+    return RULES[PROJECTS.get(project, {}).get(vendor, {"arbin": "arbin-lfp", "maccor": "maccor-lfp"}.get(vendor, vendor))]
 
 
 def validate(raw: DataFrame, rules: dict[str, dict]) -> DataFrame:

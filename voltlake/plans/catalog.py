@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cycles, diagnostics, features, halfcell, hppc, interpolate, life, matrix, models, steps, validate, waveform
+from ..operators import cycles, diagnostics, features, halfcell, hppc, interpolate, life, matrix, models, protocols, steps, validate, waveform
 from ..streaming import pauses
 from .adaptor import hppc_curves, life_curves, life_diagnostics, life_summary, raw_samples
 
@@ -258,3 +258,23 @@ def electrode_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cells.withColumn("voltage", halfcell.emulate(pe, ne, F.col("q"), F.col("lli"), F.col("q_pe"), F.col("q_ne")))
     fitted = halfcell.fit_electrodes(cells, pe, ne, {"lli": (0.0, 0.3), "q_pe": (1.2, 1.6), "q_ne": (1.1, 1.5)})
     return fitted.select("run_id", "cycle_index", F.round("error", 2).alias("error"))
+
+
+@query
+def protocol_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    size = F.col("p_size")
+    parameters = part.select(
+        F.col("p_partkey").alias("seq_num"),
+        (size / 16.0).alias("charge_constant_current_1"),
+        (20 + size).alias("charge_percent_limit_1"),
+        (size / 32.0).alias("charge_constant_current_2"),
+        (3.5 + size / 64.0).alias("charge_cutoff_voltage"),
+        (size % 30).alias("charge_constant_voltage_time"),
+        (size % 7).alias("charge_rest_time"),
+        (size / 8.0).alias("discharge_constant_current_1"),
+        (2.5 + size / 128.0).alias("discharge_cutoff_voltage"),
+        (size % 11).alias("discharge_rest_time"),
+        F.lit(4.5).alias("capacity_nominal"),
+    )
+    return protocols.regular_cycle(parameters).drop("end_value").join(protocols.first_rest(parameters), "seq_num")

@@ -409,3 +409,14 @@ ORACLES |= {
     "live_cycles": _with()
     + " select run_id, cycle_index, strftime(date_trunc('day', date_time), '%Y-%m-%d') as window_start, max(charge_capacity) as charge_capacity, max(discharge_capacity) as discharge_capacity, max(temperature) as temperature_maximum, count(*) as samples from raw group by all",
 }
+
+ORACLES["protocol_steps"] = """
+with p as (select p_partkey as seq_num, p_size / 16.0::double as c1, p_size / 32.0::double as c2, 3.5::double + p_size / 64.0::double as v, p_size / 8.0::double as d1, (10800 + 720 * (p_partkey % 96)) % 86400 as s from part),
+st as (select seq_num, 1 as step, 'Charge' as kind, 'Current' as mode, round_even(c1 * 4.5::double, 3) as value, 'StepTime' as end_type from p
+       union all select seq_num, 2, 'Charge', 'Current', round_even(c2 * 4.5::double, 3), 'Voltage' from p
+       union all select seq_num, 3, 'Charge', 'Voltage', v, 'StepTime' from p
+       union all select seq_num, 4, 'Rest', '', null, 'StepTime' from p
+       union all select seq_num, 5, 'Dischrge', 'Current', round_even(d1 * 4.5::double, 3), 'Voltage' from p
+       union all select seq_num, 6, 'Rest', '', null, 'StepTime' from p)
+select st.*, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) as rest from st join p using (seq_num)
+"""
