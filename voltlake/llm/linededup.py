@@ -10,8 +10,8 @@ the full sets. A line that is similar to an earlier line, by (doc_id, place), is
 Equal lines are joined by a hash aggregate first. The lists of the tokens are dealt out in blocks of
 columns and joined with numpy. One match removes a line, so in each block a line is first verified
 against the likeliest of its earlier candidates; only if that fails are the others. A list that grows
-beyond ``hot`` lines is not expanded: its lines are compared with one of them, and only those still
-without an earlier match are then compared with all.
+beyond ``hot`` lines is not expanded: its lines are compared with one of them, then those left with the
+earliest of them, until a round removes few; only what is still left is compared with all earlier lines.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .textvec import chunks, mix, word_hashes
 _SALT = np.uint64(0x51ED270B9F2C4A3D)
 #: A line's place: 24 bits of its text's hash (parts rows of one doc_id), then its number.
 LINE_BITS = 32
+#: Numbers of 64 bits in the larger bitmaps, for lists that were not expanded.
+WIDE = 8
 
 def _sum_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     total = np.concatenate((np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)))
@@ -70,21 +72,23 @@ def _lines(pdf: pd.DataFrame, classes: np.ndarray | None, only: bool | None = No
         yield row, place, t, n, np.cumsum(n) - n
 
 
-def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], least_words: int) -> Iterator[dict[str, np.ndarray]]:
-    """The entries of the prefix tokens of the lines that are not in places; keys still have 64 bits."""
+def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], least_words: int, wide: bool = False) -> Iterator[dict[str, np.ndarray]]:
+    """The entries of the prefix tokens of the lines that are not in places; keys still have 64 bits. wide: with larger bitmaps too."""
     for row, place, t, n, at in _lines(pdf, classes, only=False):
         spread = mix(t ^ _SALT)
         bit = np.uint64(1) << (spread >> np.uint64(58))
         half = (spread >> np.uint64(57)) & np.uint64(1) == 1
         x, y = _odd_by(np.where(half, bit, np.uint64(0)), at, n), _odd_by(np.where(half, np.uint64(0), bit), at, n)
+        part = (spread >> np.uint64(48)) & np.uint64(WIDE - 1)
+        more = {f"w{i}": _odd_by(np.where(part == i, bit, np.uint64(0)), at, n) for i in range(WIDE if wide else 0)}
         use = np.flatnonzero(n >= least_words)
         p = n[use] - least_overlap(n[use], share) + 1
         pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
         line = np.repeat(use, p)
-        yield {"key": mix(t[at[line] + pos]), "a": pdf["doc_id"].to_numpy()[row[line]], "b": place[line], "n": n[line], "pos": pos, "x": x[line], "y": y[line]}
+        yield {"key": mix(t[at[line] + pos]), "a": pdf["doc_id"].to_numpy()[row[line]], "b": place[line], "n": n[line], "pos": pos, "x": x[line], "y": y[line]} | {c: v[line] for c, v in more.items()}
 
 
-def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words: int = 5, hot: int = 2000) -> DataFrame:
+def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words: int = 5, hot: int = 2000, rounds: int = 8, few_left: int = 50) -> DataFrame:
     """The lines to remove from docs (doc_id: long, text, mark): doc_id, mark and lines (their numbers, from 0)."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,16 +122,19 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
     ids = ["a1", "b1", "a2", "b2"]
     pairs, packed, keys = found.where("more >= 0"), found.where("more = -1"), found.where("more = -2")
 
-    def matched(pairs: DataFrame) -> DataFrame:
-        met = pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b")).union(pairs.select("a2", "b2")).distinct()
-        chosen = with_places(saved(by_doc(met), "met"), "inner")
+    def sets_of(named: DataFrame) -> DataFrame:
+        chosen = with_places(saved(by_doc(named), "met"), "inner")
 
         def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for row, place, t, n, at in _lines(pdf, None, only=True):
                     yield pd.DataFrame({"a": pdf["doc_id"].to_numpy()[row], "b": place, "set": [t[i : i + m].view(np.int64) for i, m in zip(at, n)]})
 
-        full = saved(chosen.mapInPandas(lambda b: trimmed(whole(b)), "a long, b long, set array<long>"), "sets")
+        return saved(chosen.mapInPandas(lambda b: trimmed(whole(b)), "a long, b long, set array<long>"), "sets")
+
+    def matched(pairs: DataFrame, full: DataFrame | None = None) -> DataFrame:
+        if full is None:
+            full = sets_of(pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b")).union(pairs.select("a2", "b2")).distinct())
         compared = pairs.join(full.toDF("a1", "b1", "s1"), ["a1", "b1"]).join(full.toDF("a2", "b2", "s2"), ["a2", "b2"])
         compared = compared.select("a2", "b2", (F.size("s1") + F.size("s2")).alias("both"), F.size(F.array_intersect("s1", "s2")).alias("common"))
         return compared.where(F.col("common") * share[1] >= (F.col("both") - F.col("common")) * share[0]).select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct()
@@ -160,25 +167,41 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
 
         def hot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for e in _entries(pdf, shared.value, share, least_words):
-                    bucket = ((e["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                    yield pd.DataFrame({"bucket": bucket, "low": e["key"].astype(np.uint32).astype(np.int64)} | {c: e[c].astype(np.int64) for c in ("a", "b", "n", "pos")} | {c: e[c].view(np.int64) for c in ("x", "y")})
+                for e in _entries(pdf, shared.value, share, least_words, wide=True):
+                    low = e["key"].astype(np.uint32).astype(np.int64)
+                    use = np.flatnonzero(np.isin(low, wanted.value)) if wanted.value is not None else np.arange(len(low))
+                    bucket = ((e["key"][use] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                    yield pd.DataFrame({"bucket": bucket, "low": low[use]} | {c: e[c][use].astype(np.int64) for c in ("a", "b", "n", "pos")} | {c: e[c][use].view(np.int64) for c in bits})
 
+        bits = [f"w{i}" for i in range(WIDE)]
         buckets = keys.first()["b2"]
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(keys.select("b1").toPandas()["b1"].to_numpy(np.int64)) if 8 * n_hot <= BROADCAST_BYTES else None)
         named = small(keys.select(F.col("b1").alias("low"), F.col("a2").alias("bucket")), n_hot, 24)
-        rows = fresh.mapInPandas(lambda b: trimmed(hot_rows(b)), "bucket long, low long, a long, b long, n long, pos long, x long, y long")
+        rows = fresh.mapInPandas(lambda b: trimmed(hot_rows(b)), "bucket long, low long, a long, b long, n long, pos long, " + ", ".join(f"{c} long" for c in bits))
         rows = saved(rows.join(named, ["bucket", "low"], "left_semi"), "hot")
-        cols = ["a", "b", "n", "pos", "x", "y"]
-        later = rows.join(gone, ["a", "b"], "left_anti").select("bucket", "low", *[F.col(c).alias(f"{c}2") for c in cols])
-        earlier = rows.select("bucket", "low", *[F.col(c).alias(f"{c}1") for c in cols])
+        full = sets_of(rows.select("a", "b").distinct())
+        cols = ["a", "b", "n", "pos", *bits]
         both = F.col("n1") + F.col("n2")
         least = F.ceil(both * share[0] / (share[0] + share[1]))
-        odd = F.bit_count(F.col("x1").bitwiseXOR(F.col("x2"))) + F.bit_count(F.col("y1").bitwiseXOR(F.col("y2")))
+        odd = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in bits), F.lit(0))
         fits = (F.col("n1") * share[1] >= F.col("n2") * share[0]) & (F.col("n2") * share[1] >= F.col("n1") * share[0])
         fits = fits & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= least) & ((both - odd) / 2 >= least)
-        before = (F.col("a1") < F.col("a2")) | ((F.col("a1") == F.col("a2")) & (F.col("b1") < F.col("b2")))
-        rest = later.join(earlier, ["bucket", "low"]).where(before & fits).select("a1", "b1", "a2", "b2").distinct()
-        gone = saved(gone.union(matched(saved(rest, "pairs"))).distinct(), "gone")
+        fits = fits & ((F.col("a1") < F.col("a2")) | ((F.col("a1") == F.col("a2")) & (F.col("b1") < F.col("b2"))))
+
+        def candidates(earlier: DataFrame) -> DataFrame:
+            later = rows.join(gone, ["a", "b"], "left_anti").select("bucket", "low", *[F.col(c).alias(f"{c}2") for c in cols])
+            earlier = earlier.select("bucket", "low", *[F.col(c).alias(f"{c}1") for c in cols])
+            return saved(later.join(earlier, ["bucket", "low"]).where(fits).select(*ids).distinct(), "pairs")
+
+        # A list may hold several groups: the earliest line that is left in it leads one group after the other.
+        for _ in range(rounds):
+            leads = rows.join(gone, ["a", "b"], "left_anti").groupBy("bucket", "low").agg(F.min(F.struct(*cols)).alias("lead")).select("bucket", "low", "lead.*")
+            more = saved(matched(candidates(leads), full), "gone")
+            n_more = more.count()
+            gone = saved(gone.union(more).distinct(), "gone")
+            if n_more < few_left:
+                break
+        gone = saved(gone.union(matched(candidates(rows), full)).distinct(), "gone")
 
     first = firsts.join(gone.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.lit(True).alias("gone")), ["a0", "b0"], "left")
     removed = lines.select("a", "b", "d1", "d2").join(first, ["d1", "d2"]).where("gone or a <> a0 or b <> b0")

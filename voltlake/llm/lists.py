@@ -171,13 +171,25 @@ class _Pairs:
         return self.named(codes[first]), (size > 1).astype(np.int64), self.named(codes[~first])
 
 
-def _leads(e: dict[str, np.ndarray], run: np.ndarray, first: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """For each list the entry that others are compared with: its first one of a position where smaller sets are looked for."""
+def _leads(e: dict[str, np.ndarray], run: np.ndarray, first: np.ndarray, share: tuple[int, int], warm: np.ndarray) -> np.ndarray:
+    """For each list the entry that others are compared with, of those at a position where smaller sets are looked for.
+
+    In the lists marked warm it is the one whose bitmap is nearest to the majority of the list's: the text
+    that copies were made from rather than one of the copies.
+    """
     n = e["n"].astype(np.int64)
     near = np.flatnonzero(e["pos"] < n + (-2 * share[0] * n // (share[0] + share[1])) + 1)
     lead = first.copy()
     lists, at = np.unique(run[near], return_index=True)
     lead[lists] = near[at]
+    ends = np.append(first[1:], len(run))
+    for i in np.flatnonzero(warm):
+        x, y = e["x"][first[i] : ends[i]], e["y"][first[i] : ends[i]]
+        own = near[np.searchsorted(near, first[i]) : np.searchsorted(near, ends[i])]
+        if len(own) and x.any():
+            bits = np.unpackbits(np.stack((x, y), axis=1).view(np.uint8), axis=1)
+            usual = bits.mean(axis=0) > 0.5
+            lead[i] = own[np.argmin((bits[own - first[i]] != usual).sum(axis=1))]
     return lead
 
 
@@ -209,8 +221,8 @@ def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterat
         pairs, keys = b"", b""
         send = ~warm
         if warm.any():
-            lead = _leads(e, run, first, share)
-            send[lead] = True
+            lead = _leads(e, run, first, share, length > hot)
+            send[lead[length > hot]] = True
             at = np.flatnonzero(warm)
             at = at[_similar_at(e, lead[run[at]], at, share)]
             found = _Pairs(e)
@@ -261,7 +273,7 @@ def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterat
         warm = (length > hot) | np.isin(e["key"][first], told.view(np.uint64).astype(np.uint32))
         found, keys = _Pairs(e), []
         if warm.any():
-            lead, at = _leads(e, run, first, share), np.flatnonzero(warm[run])
+            lead, at = _leads(e, run, first, share, warm), np.flatnonzero(warm[run])
             at = at[_similar_at(e, lead[run[at]], at, share)]
             found.add(lead[run[at]], at)
             keys = [(0, int(k), int(pdf["bucket"].iloc[0]), buckets, -2, None) for k in e["key"][first[warm]]]
