@@ -193,3 +193,27 @@ def test_protocol_durations(spark):
 def test_project_rules():
     assert validate.rules_of("FastCharge", "arbin") is validate.LFP_RULES and validate.rules_of("Unknown", "maccor") is validate.RULES["maccor-lfp"]
     assert validate.rules_of("Iris", "arbin")["charge_capacity"]["max"] == 100.0
+
+
+def test_ewma(spark):
+    import pandas as pd
+    from voltlake.operators import smooth
+
+    x = [1.0, 4.0, 2.0, 8.0, 5.0, 7.0]
+    df = spark.createDataFrame([("r", i, v) for i, v in enumerate(x)], "run_id string, i int, x double")
+    for how in ({"alpha": 0.3}, {"com": 0.1}, {"alpha": 1.0}):
+        got = [r.m for r in smooth.ewma(df, ["run_id"], "i", "x", "m", **how).orderBy("i").collect()]
+        assert np.allclose(got, pd.Series(x).ewm(**how).mean())
+
+
+def test_monotone_cubic(spark):
+    from voltlake.operators import smooth
+
+    knots = spark.createDataFrame([("r", float(i), v) for i, v in enumerate((0.0, 0.0, 1.0, 3.0, 3.0, 2.0))], "run_id string, x double, y double")
+    bounds = spark.createDataFrame([("r", -1.0, 6.0)], "run_id string, lo double, hi double")
+    got = {round(r.x, 6): r.y for r in smooth.monotone_cubic(knots, bounds, ["run_id"], "x", "y", 29).collect()}
+    assert got[-1.0] is None and got[6.0] is None and [got[float(i)] for i in range(6)] == [0, 0, 1, 3, 3, 2]
+    inside = [got[i / 4] for i in range(21)]
+    assert all(b >= a for a, b in zip(inside[:13], inside[1:13])) and got[0.5] == 0 and got[3.5] == 3
+    # Slopes 0 and 4/3 at the ends of the piece from 1 to 2, by hand at its middle.
+    assert math.isclose(got[1.5], 0.5 * 0 + 0.125 * 1 * 0 + 0.5 * 1 - 0.125 * (2 / (1 / 1 + 1 / 2)))

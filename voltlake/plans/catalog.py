@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cycles, diagnostics, features, halfcell, hppc, interpolate, life, matrix, models, protocols, steps, validate, waveform
+from ..operators import cycles, diagnostics, features, halfcell, hppc, interpolate, life, matrix, models, protocols, smooth, steps, validate, waveform
 from ..streaming import pauses
 from .adaptor import hppc_curves, life_curves, life_diagnostics, life_summary, raw_samples
 
@@ -278,3 +278,16 @@ def protocol_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(4.5).alias("capacity_nominal"),
     )
     return protocols.regular_cycle(parameters).drop("end_value").join(protocols.first_rest(parameters), "seq_num")
+
+
+@query
+def smoothed_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_samples(spark, sf_dir).select("run_id", "data_point", "voltage")
+    return smooth.ewma(raw, ["run_id"], "data_point", "voltage", "smooth", alpha=0.6).select("run_id", "data_point", F.round("smooth", 9).alias("smooth"))
+
+
+@query
+def smooth_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    knots = life_summary(spark, sf_dir).where("cycle_index % 10 < 3").select("run_id", F.col("cycle_index").cast("double").alias("cycle"), "discharge_capacity")
+    bounds = knots.groupBy("run_id").agg(F.min("cycle").alias("lo"), F.max("cycle").alias("hi"))
+    return smooth.monotone_cubic(knots, bounds, ["run_id"], "cycle", "discharge_capacity", 65).select("run_id", F.round("cycle", 6).alias("cycle"), F.round("discharge_capacity", 8).alias("discharge_capacity"))

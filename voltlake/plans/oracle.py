@@ -420,3 +420,25 @@ st as (select seq_num, 1 as step, 'Charge' as kind, 'Current' as mode, round_eve
        union all select seq_num, 6, 'Rest', '', null, 'StepTime' from p)
 select st.*, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) as rest from st join p using (seq_num)
 """
+
+ORACLES["smoothed_voltage"] = _with("v as (select run_id, data_point, voltage from raw)") + (
+    " select a.run_id, a.data_point, round(sum(b.voltage * pow(0.4::double, a.data_point - b.data_point)) / sum(pow(0.4::double, a.data_point - b.data_point)), 9) as smooth"
+    " from v a join v b on a.run_id = b.run_id and b.data_point between a.data_point - 43 and a.data_point group by all"
+)
+
+
+def _end(ha: str, sa: str, hb: str, sb: str) -> str:
+    d = f"((2 * {ha} + {hb}) * {sa} - {ha} * {sb}) / ({ha} + {hb})"
+    return f"case when {sb} is null then {sa} when sign({d}) <> sign({sa}) then 0 when sign({sa}) <> sign({sb}) and abs({d}) > 3 * abs({sa}) then 3 * {sa} else {d} end"
+
+
+ORACLES["smooth_capacity"] = _life(
+    "kn as (select run_id, cycle_index::double as x, discharge_capacity as y from life where cycle_index % 10 < 3)",
+    "k1 as (select *, lead(x) over w - x as h, (lead(y) over w - y) / (lead(x) over w - x) as s from kn window w as (partition by run_id order by x))",
+    "k2 as (select *, lag(h) over w as h0, lag(s) over w as s0, lead(h) over w as h2, lead(s) over w as s2, lag(h, 2) over w as h00, lag(s, 2) over w as s00 from k1 window w as (partition by run_id order by x))",
+    f"k3 as (select run_id, x, y, case when h0 is null then {_end('h', 's', 'h2', 's2')} when h is null then {_end('h0', 's0', 'h00', 's00')} when s0 * s <= 0 then 0 else (3 * h + 3 * h0) / ((2 * h + h0) / s0 + (h + 2 * h0) / s) end as d from k2)",
+    "k4 as (select *, lead(x) over w as x1, lead(y) over w as y1, lead(d) over w as d1 from k3 window w as (partition by run_id order by x))",
+    "b as (select run_id, min(x) as lo, max(x) as hi from kn group by run_id)",
+    "g as (select distinct run_id, case when i = 64 then hi else lo + i * ((hi - lo) / 64) end as c from b, generate_series(0, 64) t(i))",
+    "j as (select g.run_id, c, k4.*, (c - x) / (x1 - x) as t from g asof join k4 on g.run_id = k4.run_id and g.c >= k4.x)",
+) + """ select run_id, round(c, 6) as cycle, round(case when c = x then y else (1 + 2 * t) * (1 - t) * (1 - t) * y + t * (1 - t) * (1 - t) * (x1 - x) * d + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * (x1 - x) * d1 end, 8) as discharge_capacity from j"""
