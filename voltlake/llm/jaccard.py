@@ -149,8 +149,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
     p = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
     n_keys = firsts.agg(F.sum(p + F.when(F.col("n") <= boundary, p * (p + 1) / 2).otherwise(0))).first()[0] or 0
     def entries_of(pdf: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
-        for at in range(0, len(pdf), 500):
-            yield from entries(pdf.iloc[at : at + 500], boundary, share)
+        n = pdf["n"].to_numpy()
+        p = n - least_overlap(n, share) + 1
+        made = np.cumsum(np.where(n <= boundary, p + p * (p + 1) // 2, p)) // 50_000
+        for at in np.flatnonzero(np.diff(made, prepend=-1)):
+            yield from entries(pdf[made == made[at]], boundary, share)
 
     found = saved(candidate_pairs(firsts.select("doc_id", "n", "prefix"), entries_of, int(n_keys), share, hot, every=True), "pairs")
     pairs = found.where("more >= 0").select("a1", "a2").distinct()
