@@ -116,7 +116,8 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
         places = small(places, 1, 64 * size[0] + 8 * (size[1] or 0))
         return docs.join(places, (docs["doc_id"] == places["_a"]) & (docs["mark"] == places["_mark"]), how).select("doc_id", "text", "mark", "places")
 
-    again = saved(by_doc(lines.join(firsts, ["d1", "d2"]).where("a <> a0 or b <> b0")), "again")
+    lines = saved(lines.join(firsts, ["d1", "d2"]).select("a", "b", "a0", "b0"), "classes")
+    again = saved(by_doc(lines.where("a <> a0 or b <> b0")), "again")
     fresh = with_places(again, "left")
     found = saved(candidate_pairs(fresh, lambda pdf: _entries(pdf, shared.value, share, least_words), int(n_entries), share, hot), "pairs")
     ids = ["a1", "b1", "a2", "b2"]
@@ -203,8 +204,8 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
                 break
         gone = saved(gone.union(matched(candidates(rows), full)).distinct(), "gone")
 
-    first = firsts.join(gone.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.lit(True).alias("gone")), ["a0", "b0"], "left")
-    removed = lines.select("a", "b", "d1", "d2").join(first, ["d1", "d2"]).where("gone or a <> a0 or b <> b0")
+    marked = small(gone.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.lit(True).alias("gone")), gone.count(), 32)
+    removed = lines.join(marked, ["a0", "b0"], "left").where("gone or a <> a0 or b <> b0")
     return by_doc(removed).select(F.col("_a").alias("doc_id"), F.col("_mark").alias("mark"), F.array_distinct("places").alias("lines"))
 
 
