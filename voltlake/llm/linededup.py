@@ -232,6 +232,7 @@ def dedup_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words
     lines = F.split(docs["text"].cast("string"), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_lines", i.cast("long"))), "\n")
     text = F.when(F.col("_lines").isNull(), docs["text"].cast("string")).otherwise(kept)
-    n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.size(lines)).cast("long")
+    breaks = F.length(docs["text"].cast("string")) - F.length(F.replace(docs["text"].cast("string"), F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce(breaks + 1, F.lit(0)).cast("long")
     others = [docs[c] for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
     return joined.select(docs["doc_id"].cast(kind), text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"), *others)
