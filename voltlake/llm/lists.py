@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import saved, trimmed
 
 SLOTS_LOG2 = 20
 
@@ -51,15 +51,22 @@ class Counts:
         return pack_counts(self.table)
 
 
-def summed(tables: DataFrame) -> np.ndarray:
-    """The sum of the packed tables in the only column of a frame, in a tree, so that a table's size bounds every step."""
+def summed(tables: DataFrame, fan: int = 16) -> np.ndarray:
+    """The sum of the packed tables in the only column (t) of a frame, ``fan`` of them at a time, in a tree."""
 
-    def add(a: bytes, b: bytes) -> bytes:
-        return pack_counts(unpack_counts(a) + unpack_counts(b))
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << SLOTS_LOG2, np.int64)
+        for pdf in batches:
+            for t in pdf["t"]:
+                total += unpack_counts(t)
+        yield pd.DataFrame({"t": [pack_counts(total)]})
 
-    parts = tables.rdd.getNumPartitions()
-    total = tables.rdd.map(lambda r: bytes(r[0])).treeAggregate(b"", lambda a, b: add(a, b) if a else b, lambda a, b: add(a, b) if a and b else a or b, depth=2 if parts < 1000 else 3)
-    return unpack_counts(total) if total else np.zeros(1 << SLOTS_LOG2, np.int64)
+    left = max(2, tables.count())
+    while left > 1:
+        left = math.ceil(left / fan)
+        tables = tables.repartition(left).mapInPandas(lambda b: trimmed(add(b)), "t binary")
+    found = tables.collect()
+    return unpack_counts(found[0][0]) if found else np.zeros(1 << SLOTS_LOG2, np.int64)
 
 
 def count_table(df: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[np.ndarray]]) -> np.ndarray:
@@ -72,7 +79,7 @@ def count_table(df: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[np.ndar
                 counts.add(h)
         yield pd.DataFrame({"t": [counts.packed()]})
 
-    return summed(df.mapInPandas(lambda b: trimmed(count(b)), "t binary"))
+    return summed(saved(df.mapInPandas(lambda b: trimmed(count(b)), "t binary"), "counts"))
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
