@@ -224,6 +224,15 @@ def test_line_dedup_by_brute_force(spark, hot):
     assert gone and {r.doc_id: r.text for r in got} == {i: "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in gone) for i, t in docs}
 
 
+@pytest.mark.parametrize("hot", [2, 2000])
+def test_line_dedup_keeps_repeated_rows(spark, hot):
+    """Rows of equal doc_id and text are one document: no copy of a line is earlier than itself."""
+    first, second, near = "a b c d e f g h", "k l m n o p q r", "a b c d e f g z"
+    docs = [(1, f"{first}\n{second}")] * 3 + [(2, f"{near}\nnew words are in this line")] * 2 + [(3, first)]
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), hot=hot).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == [(1, f"{first}\n{second}", 0)] * 3 + [(2, "new words are in this line", 1)] * 2 + [(3, "", 1)]
+
+
 def test_word_hashes():
     texts = ["A b\n\nc  b", None, "", "  b c ", "x y z w v"]
     h, doc, line = textvec.word_hashes(texts, lower=True)

@@ -151,6 +151,8 @@ class _Pairs:
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         i, j = self.line[i], self.line[j]
+        other = i != j  # repeated rows give a line several entries; none is earlier than itself
+        i, j = i[other], j[other]
         self.codes.append(np.minimum(i, j) * len(self.a) + np.maximum(i, j))
         self.size += len(i)
         if self.size > 1_000_000:
