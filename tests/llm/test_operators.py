@@ -282,6 +282,15 @@ def test_personal_data_is_discovered(spark):
     assert got[100] == "id:27:42" and got[101] == "" and got[0].startswith("email:27:")
 
 
+def test_personal_data_of_later_rounds(spark):
+    """A context of two seeds is supported by a token that the first round found, and finds another."""
+    first = [(i, f"write to my address u{i}@mail.org at once") for i in range(20)] + [(50, "write to my address agent7@localhost now")]
+    second = [(100 + i, f"you reach via u{i % 2}@mail.org again") for i in range(40)] + [(200, "you reach via agent7@localhost again"), (201, "you reach via other8@localhost again")]
+    found = find_personal_data(spark.createDataFrame(first + second, "doc_id long, text string"))
+    got = {r.doc_id: r.s for r in found.select("doc_id", joined_spans("spans").alias("s")).collect()}
+    assert got[50] == "id:20:36" and got[200] == "id:14:30" and got[201] == "id:14:30"
+
+
 def test_personal_data_is_native(spark):
     df = find_personal_data(spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string"))
     assert "Python" not in df._jdf.queryExecution().toString()

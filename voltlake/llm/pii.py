@@ -133,18 +133,33 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3,
     rows = saved(rows.withColumn("mentions", F.transform("tokens", lambda t: mention(t, F.col("base")))).drop("tokens"), "spans")
 
     edges = rows.select(F.explode("mentions").alias("m")).select("m.*").where("pattern is not null and value <> ''")
-    edges = edges.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("known").alias("known"))
-    support = edges.groupBy("pattern").agg(F.count_if("known").alias("supported"), F.count_if(~F.col("known")).alias("unseen"), F.sum("n").alias("before_ids"))
-    wanted = saved(support.where((F.col("supported") >= least_support) & (F.col("unseen") > 0)).select("pattern", "before_ids"), "patterns")
+    edges = edges.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("known").alias("known"), F.max(~F.col("known")).alias("open"))
+    edges = saved(edges, "edges")
+    known = edges.where("known").select("value").distinct().withColumn("score", F.lit(1.0))
+    # What no round can trust is left out. Words of shorter patterns are whole, so these occur before_ids times at least.
+    cut_words = F.length("pattern") >= 40
+    support = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.max("open").alias("open"), F.sum("n").alias("before_ids"))
+    able = support.where(F.col("open") & (F.col("values") >= least_support) & (cut_words | (F.col("before_ids") / (F.col("before_ids") + smoothing) >= confidence)))
+    edges = edges.join(able.select("pattern", "before_ids"), "pattern").join(known, "value", "left")
+    edges = saved(edges.select("pattern", "value", "n", "before_ids", F.coalesce("score", F.lit(0.0)).alias("score")), "edges")
+    # Upper bound of what each round can find: as if every pattern with support were trusted.
+    reached, wanted = edges.where("score > 0").select("value").distinct(), edges.select("pattern", "before_ids").limit(0)
+    for k in range(rounds):
+        hopeful = edges.join(reached, "value").groupBy("pattern", "before_ids").agg(F.count("*").alias("support"), F.sum("n").alias("seen"))
+        hopeful = hopeful.where((F.col("support") >= least_support) & (cut_words | (F.col("seen") / (F.col("before_ids") + smoothing) >= confidence)))
+        wanted = saved(hopeful.select("pattern", "before_ids"), "patterns")
+        if k < rounds - 1:
+            reached = saved(reached.union(edges.join(wanted.select("pattern"), "pattern").select("value")).distinct(), "reached")
     if wanted.limit(1).count():
         # Texts with identifiers alone show already that most of these patterns occur too often to be trusted.
         some = occurrences(base.where(F.col("text").rlike("[0-9@]")), wanted)
-        trusted = F.col("before_ids") >= confidence * (F.col("occurs") + smoothing)
+        trusted = F.col("before_ids") / (F.col("occurs") + smoothing) >= confidence
         wanted = saved(wanted.join(some, "pattern").where(trusted).select("pattern"), "patterns")
     found = None
     if wanted.limit(1).count():
         edges = saved(edges.join(occurrences(base, wanted), "pattern"), "edges")
-        scores = edges.groupBy("value").agg(F.max(F.col("known").cast("double")).alias("score"))
+        scores = edges.groupBy("value").agg(F.max("score").alias("score"))
+        edges = edges.drop("score")
         for _ in range(rounds):
             graph = edges.join(scores, "value")
             patterns = graph.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.max("occurs") + smoothing)).alias("p"), F.count_if(F.col("score") >= confidence).alias("support"))
