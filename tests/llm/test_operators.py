@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from voltlake.llm import html, jaccard, linededup, lists, packing, queries, rules, textvec
 from voltlake.llm.decontam import WuManber, decontaminate, words_of
-from voltlake.llm.langid import codewords
+from voltlake.llm.langid import codewords, equal_share, identify_language
 from voltlake.llm.pii import find_personal_data, joined_spans
 from voltlake.llm.quality import score
 
@@ -303,6 +303,17 @@ def test_codewords():
         assert len({tuple(x) for x in m.tolist()}) == k and (np.abs(m.sum(axis=0)) < k).all()
 
 
+def test_rare_language_is_learnt(spark):
+    """A language of one row in 900 is learnt from, whatever the share of its rows; a text in many rows counts once."""
+    r = random.Random(1)
+    common = [(" ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(6)), "xx") for _ in range(600)] + [("abc def abc", "xx")] * 300
+    rows = spark.createDataFrame([*common, ("\u0436\u0448\u0449 \u0448\u0449\u0436", "yy")], "text string, lang string")
+    docs = spark.createDataFrame([(1, "\u0448\u0449\u0436 \u0436\u0448\u0449"), (2, "abcde fabcd")], "doc_id long, text string")
+    got = {x.doc_id: x.lang_pred for x in identify_language(docs, rows, max_train_rows=20).collect()}
+    assert got == {1: "yy", 2: "xx"}
+    assert equal_share([1, 900], 20) == 19 and equal_share([3, 4], 20) == 4 and equal_share([50, 50], 20) == 10
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     p = {"w0": np.array([0.1]), "w": rng.normal(size=6), "v": rng.normal(size=(6, 3))}

@@ -91,11 +91,25 @@ def decode(model: dict, x: np.ndarray, ambiguous_below: float) -> tuple[str, flo
     return str(model["langs"][order[0]]), float(p[order[0]]), bool(lead < ambiguous_below)
 
 
+def equal_share(sizes: list[int], total: int) -> float:
+    """What each of the groups may have at most so that all have ``total`` together."""
+    share = float(total)
+    for i, n in enumerate(sorted(sizes)):
+        share = total / (len(sizes) - i)
+        if n >= share:
+            break
+        total -= n
+    else:
+        share = float(max(sizes, default=0))
+    return share
+
+
 def identify_language(docs: DataFrame, labelled: DataFrame, max_train_rows: int = 4000, ambiguous_below: float = 0.2) -> DataFrame:
     """Predicts the language of docs (doc_id, text), learning from labelled (text, lang).
 
-    About ``max_train_rows`` labelled rows (chosen by a hash, never more than twice that) are learnt
-    from; counts of languages and predictions cover all rows and whole texts.
+    About ``max_train_rows`` labelled texts (never more than twice that) are learnt from: the same number
+    of each language, or all it has, chosen by a hash, equal ones once, and at least one of each. Counts of
+    languages cover all labelled rows, predictions all docs and whole texts.
 
     Returns a row per document: doc_id, lang_pred, score (0 to 1) and ambiguous. Null text, or text
     without a letter: 'und', 0.0, true; so are all rows when nothing is labelled. Labelled rows of null
@@ -103,10 +117,13 @@ def identify_language(docs: DataFrame, labelled: DataFrame, max_train_rows: int
     """
     spark = docs.sparkSession
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    n = rows.count()
-    share = max_train_rows / max(n, 1)
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Texts of hash 0 to 2^30 - 1, equal ones once; the smallest hash of a language is always in.
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    sizes = rows.groupBy("lang", F.xxhash64("text").alias("t")).agg(F.min("h").alias("h")).groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
+    quota = equal_share([r["n"] for r in sizes], max_train_rows)
+    upto = [(r["lang"], max(r["least"], int(min(1.0, quota / r["n"]) * (1 << 30)) - 1)) for r in sizes]
+    upto = spark.createDataFrame(upto, "lang string, upto long")
+    rows = rows.join(F.broadcast(upto), "lang").where(F.col("h") <= F.col("upto")).select("text", "lang").distinct()
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
