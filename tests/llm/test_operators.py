@@ -314,6 +314,13 @@ def test_rare_language_is_learnt(spark):
     assert equal_share([1, 900], 20) == 19 and equal_share([3, 4], 20) == 4 and equal_share([50, 50], 20) == 10
 
 
+def test_text_after_the_last_tag():
+    text = lambda page: [b[0] for b in html.blocks_of(page)]
+    assert text("<p>one</p>when a < b the <3 rest stays") == ["one", "when a < b the <3 rest stays"]
+    assert text("no tag, 1 < 2 holds") == ["no tag, 1 < 2 holds"] and text("<p>one</p>two <a href='x") == ["one", "two"]
+    assert text("<p>one</p><script>if (a < b") == ["one"] and text("<p>one</p><!-- a > b < c") == ["one"]
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     p = {"w0": np.array([0.1]), "w": rng.normal(size=6), "v": rng.normal(size=(6, 3))}

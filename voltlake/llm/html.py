@@ -42,6 +42,8 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-z!?/][^>]*>|<[!?][^>]*>",
     re.I | re.S,
 )
+#: The start of a tag that is cut off; any other '<' is text.
+_TAIL = re.compile(r"<[a-z/!?]", re.I)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME = re.compile(r"[a-z]+", re.I)
 _WORD = re.compile(r"\w+")
@@ -65,8 +67,8 @@ def _noisy(tag: str, attrs: str) -> bool:
 def blocks_of(html: str) -> list[tuple[str, float, bool, bool]]:
     """Non-empty blocks in page order: text, share of its characters in links, in boilerplate markup, in an article."""
     end = html.rfind(">") + 1
-    tail = html.find("<", end)
-    html, rest = html[:end], html[end : tail if tail >= 0 else None]
+    tail = _TAIL.search(html, end)
+    html, rest = html[:end], html[end : tail.start() if tail else None]
     out: list[Block] = [Block(False, False)]
     noise_tag, noise_depth, region, link, at = "", 0, 0, 0, 0
 
@@ -79,6 +81,8 @@ def blocks_of(html: str) -> list[tuple[str, float, bool, bool]]:
     for m in _TOKEN.finditer(html):
         add(html[at : m.start()])
         at = m.end()
+        if at == end and (m["raw"] and not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I) or m[0].startswith("<!--") and not m[0].endswith("-->")):
+            rest = ""  # still inside an element or comment that is cut off
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
