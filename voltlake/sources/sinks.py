@@ -32,7 +32,7 @@ def from_column_lists(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def status_report(files: DataFrame, validation: DataFrame, structured: DataFrame) -> DataFrame:
-    """One row for each file: its digest, whether it was valid and why not, whether it was structured."""
+    """One row for each file: whether it was valid and why not, whether it was structured."""
     done = structured.select("run_id").distinct().withColumn("structured", F.lit(True))
     return files.join(validation, "run_id", "left").join(done, "run_id", "left").withColumn("structured", F.coalesce("structured", F.lit(False)))
 
