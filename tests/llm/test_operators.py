@@ -169,6 +169,34 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, boundary, hot):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
 
 
+def test_large_groups_by_brute_force(spark):
+    """Groups of near copies, of which some are similar to few others or to none, and a passage that all share."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    passage = " ".join(r.choice(words) for _ in range(60))
+    docs = []
+    for _ in range(3):
+        base = [r.choice(words) for _ in range(120)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(r.choice((0, 1, 2, 3, 4, 5, 6))):
+                w[r.randrange(len(w))] = r.choice(words)
+            docs.append((len(docs), " ".join(w)))
+    docs += [(1000 + i, passage + " " + " ".join(r.choice(words) for _ in range(r.choice((5, 10, 15, 20))))) for i in range(60)]
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), hot=3).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(docs)
+
+
+def test_near_duplicates_of_odd_keys(spark):
+    """Null doc_ids beside large ones, and one doc_id with several texts."""
+    big = 2**53 + 1
+    text = [" ".join(f"w{i}" for i in range(a, a + 40)) for a in (0, 100, 200)]
+    rows = [(None, text[0]), (big, text[0]), (big + 2, text[0] + " x"), (None, text[2]), (7, text[1]), (8, text[2]), (9, text[1]), (9, text[2]), (9, "a b")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = [(None, 36, big), (big, 36, big), (big + 2, 37, big), (None, 36, 7), (7, 36, 7), (8, 36, 7), (9, 36, 7), (9, 36, 7), (9, 1, 7)]
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={a}, n_shingles={b}, component_id={c})" for a, b, c in want)
+
+
 def test_chain_of_links(spark):
     """Each text is similar to the next alone; the ends are not similar, yet connected."""
     words = [f"w{i}" for i in range(400)]

@@ -9,24 +9,27 @@ A pair of similarity t shares at least a = ceil(t * n) tokens with a set of n, s
 common order the first n - a + k tokens of both share k of them: k = 1 for lists, k = 2 for subsets.
 
 What is asked for is connection, not all pairs. Exact copies are one class. In a list of over ``hot`` sets
-all are first compared with one of them only; once the links are joined into components, the second
-round compares, list by list, what is still in different components. So no group of copies, however
-large, is expanded into all its pairs, and no link between components is missed. Length and positional
-filters hold in both rounds.
+all are first compared with one leader, the set whose other tokens are in long lists most often, so that
+all lists of a group of near copies name the same one. The links found are contracted to components.
+The second round takes from each such list the pairs of components that still meet in it, and compares
+the sets of the smaller one with those of the larger in blocks of bounded size, until one pair links
+them. So no group of copies is expanded into all its pairs, and no link between components is missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, saved, small, trimmed
-from .lists import candidate_pairs, components, count_table, distinct_sorted, least_overlap, rarity, shared_tokens, tokens
+from .lists import components, count_table, distinct_sorted, least_overlap, rarity, runs_of, shared_tokens, sum_by, tokens
 from .textvec import chunks, mix, shingle_hashes, word_hashes
 
 _SALT = np.uint64(0x51ED270B9F2C4A3D)
@@ -38,19 +41,14 @@ def _shingles(texts: list, k: int) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield start, end, *shingle_hashes(h, doc, end - start, k)
 
 
-def _sets(pdf: pd.DataFrame, classes: np.ndarray | None, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(texts: list, classes: np.ndarray | None, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For every chunk of texts: its start, distinct tokens (plain hashes without classes), the text of each, set sizes and their first positions."""
-    for start, end, h, doc in _shingles(pdf["text"].tolist(), k):
+    for start, end, h, doc in _shingles(texts, k):
         t, doc = distinct_sorted(h if classes is None else tokens(h, classes), doc)
         n = np.bincount(doc, minlength=end - start)
         yield start, t, doc, n, np.cumsum(n) - n
 
 
-def _sum_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    total = np.concatenate((np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)))
-    return total[at + n] - total[at]
-
-
 def entries(pdf: pd.DataFrame, boundary: int, share: tuple[int, int]) -> Iterator[dict[str, np.ndarray]]:
     """The lists each set (doc_id, n, prefix) is in. The position of a 2-subset is that of its later token, less one."""
     n, a = pdf["n"].to_numpy(), pdf["doc_id"].to_numpy()
@@ -68,9 +66,7 @@ def entries(pdf: pd.DataFrame, boundary: int, share: tuple[int, int]) -> Iterato
         keys = np.concatenate([np.frombuffer(pdf["prefix"].iloc[r], np.uint64)[:p] for r, p in zip(rows, one)])
         out.append((mix(keys ^ _SALT), np.repeat(a[rows], one), np.repeat(n[rows], one), np.arange(len(keys)) - np.repeat(np.cumsum(one) - one, one)))
     if out:
-        key, a, n, pos = (np.concatenate(x) for x in zip(*out))
-        none = np.zeros(len(key), np.uint64)
-        yield {"key": key, "a": a, "b": none.view(np.int64), "n": n, "pos": pos, "x": none, "y": none}
+        yield dict(zip(("key", "a", "n", "pos"), (np.concatenate(x) for x in zip(*out))))
 
 
 def choose_boundary(sets: DataFrame) -> int:
@@ -82,6 +78,269 @@ def choose_boundary(sets: DataFrame) -> int:
     return int(best["n"]) if best["n"] is not None and best["cost"] < best["all_heavy"] else 0
 
 
+#: The columns of a list's entry, packed: key within its bucket, document or label, size of the set, position of the token.
+ENTRY = (("key", "<u4"), ("a", "<i8"), ("n", "<i4"), ("pos", "<i4"))
+_DEALT = "bucket long, size long, entries binary, hot binary, pairs binary"
+
+
+def _pack(e: dict[str, np.ndarray], at: np.ndarray) -> bytes:
+    return b"".join(e[c][at].astype(k).tobytes() for c, k in ENTRY)
+
+
+def _unpack(sizes: pd.Series, raws: pd.Series) -> dict[str, np.ndarray]:
+    parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in ENTRY}
+    for size, raw in zip(sizes, raws):
+        at = 0
+        for c, k in ENTRY:
+            width = np.dtype(k).itemsize * size
+            parts[c].append(np.frombuffer(raw[at : at + width], k))
+            at += width
+    return {c: np.concatenate(v or [np.zeros(0, k)]) for (c, k), v in zip(ENTRY, parts.values())}
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _near_sizes(n1: np.ndarray, n2: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    return (n1 * share[1] >= n2 * share[0]) & (n2 * share[1] >= n1 * share[0])
+
+
+def _can_link(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Length and positional filter of the entry pairs (i, j)."""
+    n1, n2 = e["n"][i].astype(np.int64), e["n"][j].astype(np.int64)
+    least = -(-share[0] * (n1 + n2) // (share[0] + share[1]))
+    return _near_sizes(n1, n2, share) & (np.minimum(n1 - e["pos"][i], n2 - e["pos"][j]) >= least)
+
+
+def _stars(e: dict[str, np.ndarray], run: np.ndarray, warm: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (leader, member) of the lists marked warm, and the leaders' entries.
+
+    A list is led by the set that has the largest share of its entries in warm lists (then the smallest id).
+    """
+    in_warm = warm[run]
+    if not in_warm.any():
+        return np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+    ids, who = np.unique(e["a"], return_inverse=True)
+    part = np.bincount(who, weights=in_warm, minlength=len(ids)) / np.bincount(who, minlength=len(ids))
+    rank = np.empty(len(ids), np.int64)
+    rank[np.lexsort((ids, -part))] = np.arange(len(ids))
+    at = np.flatnonzero(in_warm)
+    at = at[np.lexsort((rank[who[at]], run[at]))]
+    head = np.concatenate(([True], run[at][1:] != run[at][:-1]))
+    lead = np.repeat(at[head], np.diff(np.append(np.flatnonzero(head), len(at))))
+    use = _near_sizes(e["n"][lead].astype(np.int64), e["n"][at].astype(np.int64), share) & (who[lead] != who[at])
+    codes = np.unique(who[lead[use]] * len(ids) + who[at[use]])
+    return np.stack((ids[codes // len(ids)], ids[codes % len(ids)])), at[head]
+
+
+def _expanded(e: dict[str, np.ndarray], run: np.ndarray, use: np.ndarray, share: tuple[int, int], names: np.ndarray, step: int = 250_000) -> np.ndarray:
+    """Distinct pairs of names that meet in the lists marked use and pass the filters; entries are sorted by list and size.
+
+    The smaller set is looked for at its first n - ceil(2t / (1 + t) n) + 1 positions.
+    """
+    n = e["n"].astype(np.int64)
+    ids, who = np.unique(names, return_inverse=True)
+    shorter = np.flatnonzero(use[run] & (e["pos"] < n + (-2 * share[0] * n // (share[0] + share[1])) + 1))
+    scale = np.int64(1) << 31
+    upto = np.searchsorted(run * scale + n, run[shorter] * scale + n[shorter] * share[1] // share[0], side="right")
+    count, codes, size, at = upto - shorter - 1, [np.zeros(0, np.int64)], 0, 0
+    ends = np.cumsum(count)
+    while at < len(shorter):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
+        c = count[at:stop]
+        i = np.repeat(shorter[at:stop], c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        keep = (who[i] != who[j]) & _can_link(e, i, j, share)
+        x, y = who[i[keep]], who[j[keep]]
+        codes.append(np.minimum(x, y) * len(ids) + np.maximum(x, y))
+        size += len(x)
+        if size > 1_000_000:
+            codes = [np.unique(np.concatenate(codes))]
+            size = len(codes[0]) // 2
+        at = stop
+    codes = np.unique(np.concatenate(codes))
+    return np.stack((ids[codes // max(len(ids), 1)], ids[codes % max(len(ids), 1)]))
+
+
+def _folded(entries_of: Callable, deal: Callable, a_task: int) -> Callable:
+    """A mapInPandas function that deals out the entries of a task, about a_task at a time."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in batches:
+            for e in entries_of(pdf):
+                held.append(e)
+                size += len(e["key"])
+                if size >= a_task:
+                    yield deal({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+                    held, size = [], 0
+        if held:
+            yield deal({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+
+    return lambda batches: trimmed(fold(batches))
+
+
+def _rows(e: dict[str, np.ndarray], chosen: np.ndarray, hot: np.ndarray, stars: np.ndarray, buckets: int) -> pd.DataFrame:
+    """One row for each bucket: the chosen entries, the (64-bit) keys that are hot and the pairs found."""
+    parts = []
+    for of in (_bucket(e["key"][chosen], buckets), _bucket(hot, buckets), (mix(stars[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+        order = np.argsort(of, kind="stable")
+        parts.append((order, np.searchsorted(of[order], np.arange(buckets + 1))))
+    rows = []
+    for x in range(buckets):
+        mine, keys, pairs = (order[cuts[x] : cuts[x + 1]] for order, cuts in parts)
+        if len(mine) or len(keys) or len(pairs):
+            rows.append((x, len(mine), _pack(e, chosen[mine]), hot[keys].astype("<u4").tobytes(), np.ascontiguousarray(stars[:, pairs]).astype("<i8").tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "size", "entries", "hot", "pairs"])
+
+
+def first_round(sets: DataFrame, entries_of: Callable, buckets: int, share: tuple[int, int], hot: int, a_task: int = 300_000) -> DataFrame:
+    """Candidates (x, y) of sets, and the lists of over ``hot`` sets (a row of n_keys > 0 has all keys of a bucket).
+
+    Short lists give all pairs that pass the filters, others the pairs with their leader. A task folds long
+    lists before it deals them out, so that a list of any length sends one entry a task.
+    """
+
+    def deal(e: dict[str, np.ndarray]) -> pd.DataFrame:
+        order = np.argsort(e["key"])
+        e = {c: v[order] for c, v in e.items()}
+        first, run = runs_of(e["key"])
+        warm = np.diff(np.append(first, len(run))) > hot
+        stars, leads = _stars(e, run, warm, share)
+        return _rows(e, np.concatenate((np.flatnonzero(~warm[run]), leads)), e["key"][first[warm]], stars, buckets)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = _unpack(pdf["size"], pdf["entries"])
+        order = np.lexsort((e["n"], e["key"]))
+        e = {c: v[order] for c, v in e.items()}
+        first, run = runs_of(e["key"])
+        told = np.frombuffer(b"".join(pdf["hot"]), "<u4")
+        warm = (np.diff(np.append(first, len(run))) > hot) | np.isin(e["key"][first], told)
+        stars, _ = _stars(e, run, warm, share)
+        y, v = np.concatenate([_expanded(e, run, ~warm, share, e["a"]), stars, *(np.frombuffer(p, "<i8").reshape(2, -1) for p in pdf["pairs"] if p)], axis=1)
+        order = np.lexsort((v, y))
+        y, v = y[order], v[order]
+        new = np.append(True, (y[1:] != y[:-1]) | (v[1:] != v[:-1]))[: len(y)]
+        out = pd.DataFrame({"bucket": int(pdf["bucket"].iloc[0]), "n_keys": 0, "keys": None, "x": v[new], "y": y[new]})
+        if warm.any():
+            lists = [(int(pdf["bucket"].iloc[0]), int(warm.sum()), e["key"][first[warm]].astype("<u4").tobytes(), 0, 0)]
+            out = pd.concat([out, pd.DataFrame(lists, columns=out.columns)])
+        return out
+
+    dealt = sets.mapInPandas(_folded(entries_of, deal, a_task), _DEALT)
+    return dealt.groupBy("bucket").applyInPandas(lambda pdf: pd.concat(trimmed([merge(pdf)])), "bucket long, n_keys long, keys binary, x long, y long")
+
+
+def meetings(sets: DataFrame, entries_of: Callable, keys: DataFrame, n_keys: int, buckets: int, share: tuple[int, int], a_task: int = 300_000) -> DataFrame:
+    """Pairs of labels (x, y) of which sets (doc_id, n, prefix, label) meet in one of the lists keys (bucket, keys) and pass the filters.
+
+    Sets of one label and size in a list are told by the earliest position, so a group of any size sends
+    few entries a task.
+    """
+    few = 4 * n_keys <= BROADCAST_BYTES
+    wanted = sets.sparkSession.sparkContext.broadcast(np.unique(np.frombuffer(b"".join(r[0] for r in keys.select("keys").collect()), "<u4")) if few else None)
+
+    def labelled(pdf: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
+        where = pdf["doc_id"].to_numpy()
+        order = np.argsort(where, kind="stable")
+        label = pdf["label"].to_numpy()[order]
+        for e in entries_of(pdf):
+            if wanted.value is not None:
+                use = np.isin(e["key"].astype(np.uint32), wanted.value)
+                e = {c: v[use] for c, v in e.items()}
+            yield e | {"a": label[np.searchsorted(where[order], e["a"])]}
+
+    def least_positions(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        order = np.lexsort((e["pos"], e["a"], e["n"], e["key"]))
+        e = {c: v[order] for c, v in e.items()}
+        new = np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["n"][1:] != e["n"][:-1]) | (e["a"][1:] != e["a"][:-1]))) if len(order) else np.zeros(0, bool)
+        return {c: v[new] for c, v in e.items()}
+
+    def deal(e: dict[str, np.ndarray]) -> pd.DataFrame:
+        e = least_positions(e)
+        return _rows(e, np.arange(len(e["key"])), np.zeros(0, np.uint64), np.zeros((2, 0), np.int64), buckets)
+
+    def merge(pdf: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        e = least_positions(_unpack(pdf["size"], pdf["entries"]))
+        first, run = runs_of(e["key"])
+        found = _expanded(e, run, np.isin(e["key"][first], np.frombuffer(b"".join(listed["keys"]), "<u4")), share, e["a"])
+        return pd.DataFrame({"x": found[0], "y": found[1]})
+
+    dealt = sets.mapInPandas(_folded(labelled, deal, a_task), _DEALT)
+    return dealt.groupBy("bucket").cogroup(keys.groupBy("bucket")).applyInPandas(lambda a, b: pd.concat(trimmed([merge(a, b)])), "x long, y long").distinct()
+
+
+def _linked_in_block(member: list[np.ndarray], visitor: list[np.ndarray], labels: np.ndarray, share: tuple[int, int]) -> set[int]:
+    """Which labels of the visitors have a set that is similar to a member. The sets of the smaller side are looked for one by one."""
+    turned = len(member) < len(visitor)
+    few, many = (member, visitor) if turned else (visitor, member)
+    n = np.array([len(s) for s in many])
+    p = n - least_overlap(n, share) + 1
+    owner = np.repeat(np.arange(len(many)), p)
+    pos = np.arange(len(owner)) - np.repeat(np.cumsum(p) - p, p)
+    token = np.concatenate([s[:k] for s, k in zip(many, p)])
+    order = np.argsort(token, kind="stable")
+    token, owner, pos = token[order], owner[order], pos[order]
+    done: set[int] = set()
+    for k, s in enumerate(few):
+        if not turned and labels[k] in done:
+            continue
+        m = len(s)
+        first = s[: m + (-share[0] * m // share[1]) + 1]
+        lo, hi = np.searchsorted(token, first), np.searchsorted(token, first, side="right")
+        count = hi - lo
+        at = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        least = -(-share[0] * (m + n[owner[at]]) // (share[0] + share[1]))
+        fits = _near_sizes(np.int64(m), n[owner[at]], share) & (np.minimum(m - np.repeat(np.arange(len(first)), count), n[owner[at]] - pos[at]) >= least)
+        found = np.unique(owner[at[fits]])
+        if turned and done:
+            found = found[[labels[i] not in done for i in found]]
+        for start in range(0, len(found), 64):
+            some = found[start : start + 64]
+            every = np.concatenate([many[i] for i in some])
+            place = np.minimum(np.searchsorted(s, every), m - 1)
+            common = np.add.reduceat((s[place] == every).astype(np.int64), np.cumsum(n[some]) - n[some])
+            good = some[common * share[1] >= (m + n[some] - common) * share[0]]
+            if turned:
+                done.update(labels[good].tolist())
+            elif len(good):
+                done.add(int(labels[k]))
+                break
+    return done
+
+
+def links(visits: DataFrame, sets: DataFrame, share: tuple[int, int], a_side: int = 512, a_block: int = 2_000) -> DataFrame:
+    """Links (u, v) between labels: visits (x, y, size of y) whose sets (doc_id, set, label) have a similar pair.
+
+    The sets of y are dealt into parts of about a_side, those of all its visitors too; every pair of parts
+    meets once, in a block of bounded size with others.
+    """
+    inner = visits.select("x", "y", F.ceil(F.col("size") / a_side).alias("parts"))
+    guests = saved(sets.select("doc_id", F.col("label").alias("x")).join(inner, "x"), "guests")
+    hosts = guests.groupBy("y").agg(F.ceil(F.count("*") / a_side).alias("turns"), F.first("parts").alias("parts"))
+    part = lambda of: F.pmod(F.xxhash64("doc_id"), F.col(of))
+    each = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1))
+    coming = guests.join(hosts.select("y", "turns"), "y").select(F.lit(True).alias("guest"), "doc_id", "x", "y", part("turns").alias("turn"), each("parts").alias("part"))
+    staying = sets.select("doc_id", F.col("label").alias("y")).join(hosts, "y").select(F.lit(False).alias("guest"), "doc_id", F.col("y").alias("x"), "y", each("turns").alias("turn"), part("parts").alias("part"))
+    rows = saved(coming.unionByName(staying), "rows")
+    blocks = max(12, math.ceil(rows.count() / a_block))
+    whole = rows.join(sets.select("doc_id", "set"), "doc_id").withColumn("block", F.pmod(F.xxhash64("y", "part", "turn"), F.lit(blocks)))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (y, _, _), one in pdf.groupby(["y", "part", "turn"], sort=False):
+            guest = one["guest"].to_numpy()
+            tokens = [np.frombuffer(s, np.uint64) for s in one["set"]]
+            if guest.any() and not guest.all():
+                labels = one["x"].to_numpy()[guest]
+                found = _linked_in_block([t for t, g in zip(tokens, guest) if not g], [t for t, g in zip(tokens, guest) if g], labels, share)
+                out += [(x, y) for x in found]
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return whole.groupBy("block").applyInPandas(lambda pdf: pd.concat(trimmed([compare(pdf)])), "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 100), hot: int = 8) -> DataFrame:
     """Components of docs (doc_id: an integer, text) under Jaccard similarity >= share[0] / share[1] of their sets.
 
@@ -91,25 +350,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
     Returns a row per document: doc_id, n_shingles and component_id (the smallest doc_id reachable).
 
     Null, empty or blank text: an empty set, linked with nothing. Repeated rows are copies of each other;
-    rows that share a doc_id share its component. An empty table gives no rows. Other columns are ignored.
+    rows that share a doc_id are one document, linked with whatever one of its texts is linked with. Rows
+    of null doc_id are compared with nothing: they have the component of their exact copies, or null. A
+    text of any length is one set. An empty table gives no rows. Other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start, t, _, n, at in _sets(pdf, None, k):
-                d1, d2 = _sum_by(mix(t), at, n), _sum_by(mix(t ^ _SALT), at, n)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start : start + len(n)].to_numpy(), "n": n, "d1": d1.view(np.int64), "d2": d2.view(np.int64)})
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, t, _, n, at in _sets(batch["text"].to_pylist(), None, k):
+                digests = [sum_by(x, at, n).view(np.int64) for x in (mix(t), mix(t ^ _SALT))]
+                part = batch.slice(start, len(n))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["mark"], *map(pa.array, (n, *digests))], names=["doc_id", "mark", "n", "d1", "d2"])
 
-    sizes = saved(base.mapInPandas(lambda b: trimmed(describe(b)), "doc_id long, n long, d1 long, d2 long"), "sizes")
+    base = base.withColumn("mark", F.xxhash64("text"))
+    sizes = saved(base.mapInArrow(lambda b: trimmed(describe(b)), "doc_id long, mark long, n long, d1 long, d2 long"), "sizes")
     copies = saved(sizes.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "copies")
+    named = sizes.where("doc_id is not null").join(copies, ["d1", "d2", "n"], "left")
     # One document of every class of equal sets; sets of one or two tokens are similar to none but their equals.
-    others = saved(sizes.join(copies, ["d1", "d2", "n"], "left").where("n < 3 or doc_id <> rep").select("doc_id").distinct(), "others")
-    single = base.join(small(others, others.count(), 16), "doc_id", "left_anti")
+    others = saved(named.where("n < 3 or doc_id <> rep").select("doc_id", "mark").distinct(), "others")
+    single = base.where("doc_id is not null").join(small(others, others.count(), 24), ["doc_id", "mark"], "left_anti").select("doc_id", "text")
+    # The classes of one document with several texts are linked.
+    reps = named.where("n > 0").select("doc_id", "rep")
+    same = reps.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w").select("doc_id", "v")
+    same = reps.join(same, "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v")
 
     def owned(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids = pdf["doc_id"].to_numpy()
-        for start, t, doc, _, _ in _sets(pdf, None, k):
+        for start, t, doc, _, _ in _sets(pdf["text"].tolist(), None, k):
             yield t, ids[start + doc]
 
     # A set of n tokens that shares fewer than ceil(t * n) of them with all others together is similar to none.
@@ -127,7 +395,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start, t, doc, n, at in _sets(pdf, shared.value, k):
+            for start, t, doc, n, at in _sets(pdf["text"].tolist(), shared.value, k):
                 need = least_overlap(n, share)
                 one, two = np.minimum(n - need + 1, n), np.minimum(n - need + 2, n)
                 place = np.arange(len(t)) - np.repeat(at, n)
@@ -138,16 +406,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
                         "doc_id": pdf["doc_id"].iloc[start : start + len(n)].to_numpy(),
                         "n": n,
                         "prefix": [t[i : i + p].tobytes() for i, p in zip(at, two)],
-                        "set": [t[i : i + m].view(np.int64) for i, m in zip(at, n)],
+                        "set": [t[i : i + m].tobytes() for i, m in zip(at, n)],
                         "cost_light": two * (two - 1) / 2.0,
                         "cost_heavy": np.bincount(doc, weights=length * (place < one[doc]), minlength=len(n)),
                     }
                 )
 
-    firsts = saved(near.mapInPandas(lambda b: trimmed(summarise(b)), "doc_id long, n long, prefix binary, set array<long>, cost_light double, cost_heavy double").where("n > 2"), "firsts")
+    firsts = saved(near.mapInPandas(lambda b: trimmed(summarise(b)), "doc_id long, n long, prefix binary, set binary, cost_light double, cost_heavy double").where("n > 2"), "firsts")
     boundary = choose_boundary(firsts)
     p = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
     n_keys = firsts.agg(F.sum(p + F.when(F.col("n") <= boundary, p * (p + 1) / 2).otherwise(0))).first()[0] or 0
+    buckets = max(12, math.ceil(n_keys / 300_000))
+
     def entries_of(pdf: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
         n = pdf["n"].to_numpy()
         p = n - least_overlap(n, share) + 1
@@ -155,55 +425,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
         for at in np.flatnonzero(np.diff(made, prepend=-1)):
             yield from entries(pdf[made == made[at]], boundary, share)
 
-    found = saved(candidate_pairs(firsts.select("doc_id", "n", "prefix"), entries_of, int(n_keys), share, hot, every=True), "pairs")
-    pairs = found.where("more >= 0").select("a1", "a2").distinct()
-    keys = found.where("more = -2").select(F.col("b1").alias("low"), F.col("a2").alias("bucket"), F.col("b2").alias("buckets")).distinct()
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        met = pairs.select(F.col("a1").alias("doc_id")).union(pairs.select("a2")).distinct()
-        full = firsts.select("doc_id", "set").join(met, "doc_id", "left_semi")
-        x, y = full.select(F.col("doc_id").alias("a1"), F.col("set").alias("s1")), full.select(F.col("doc_id").alias("a2"), F.col("set").alias("s2"))
-        common = F.size(F.array_intersect("s1", "s2")).alias("common")
-        compared = pairs.join(x, "a1").join(y, "a2").select("a1", "a2", (F.size("s1") + F.size("s2")).alias("both"), common)
-        return compared.where(F.col("common") * share[1] >= (F.col("both") - F.col("common")) * share[0]).select(F.col("a1").alias("u"), F.col("a2").alias("v"))
-
-    links = saved(linked(pairs), "links")
-    labels = components(links, saved)
-    n_hot = keys.count()
+    found = saved(first_round(firsts.select("doc_id", "n", "prefix"), entries_of, buckets, share, hot), "pairs")
+    pairs = saved(found.where("n_keys = 0").select("x", "y", F.lit(1).alias("size")).distinct(), "visits")
+    near_links = saved(links(pairs, firsts.select("doc_id", "set", F.col("doc_id").alias("label")), share).union(same), "links")
+    labels = components(near_links, saved)
+    keys = found.where("n_keys > 0").select("bucket", "n_keys", "keys")
+    n_hot = keys.agg(F.sum("n_keys")).first()[0]
     if n_hot:
         # Lists that were not expanded: what is still in different components is compared.
-        few = 8 * n_hot <= BROADCAST_BYTES
-        wanted = base.sparkSession.sparkContext.broadcast(np.sort(keys.select("low").toPandas()["low"].to_numpy(np.int64)) if few else None)
-        buckets = keys.first()["buckets"]
-
-        def hot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for e in entries_of(pdf):
-                    low = e["key"].astype(np.uint32).astype(np.int64)
-                    use = np.flatnonzero(np.isin(low, wanted.value)) if wanted.value is not None else np.arange(len(low))
-                    bucket = ((e["key"][use] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                    yield pd.DataFrame({"low": low[use], "bucket": bucket, "a": e["a"][use], "n": e["n"][use], "pos": e["pos"][use]})
-
-        lists = firsts.select("doc_id", "n", "prefix").mapInPandas(lambda b: trimmed(hot_rows(b)), "low long, bucket long, a long, n long, pos long")
-        lists = lists.join(small(keys.drop("buckets"), n_hot, 24), ["low", "bucket"], "left_semi")
-        lists = lists.join(small(labels.withColumnRenamed("id", "a"), labels.count(), 24), "a", "left").withColumn("label", F.coalesce("label", "a"))
-        parts = lists.groupBy("low", "bucket", "label").agg(F.count("*").alias("size"))
-        mixed = parts.groupBy("low", "bucket").agg(F.count("*").alias("parts"), F.max_by("label", "size").alias("main")).where("parts > 1").drop("parts")
-        lists = saved(lists.join(mixed, ["low", "bucket"]), "lists")
-        near_start = F.col("pos1") < F.col("n1") - F.ceil(F.col("n1") * 2 * share[0] / (share[0] + share[1])) + 1
-        cols = ["a", "n", "pos", "label"]
-        left = lists.select("low", "bucket", "main", *[F.col(c).alias(f"{c}1") for c in cols]).where(near_start)
-        right = lists.select("low", "bucket", *[F.col(c).alias(f"{c}2") for c in cols])
-        least = F.ceil((F.col("n1") + F.col("n2")) * share[0] / (share[0] + share[1]))
-        fits = (F.col("n1") <= F.col("n2")) & (F.col("n2") * share[0] <= F.col("n1") * share[1]) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= least)
-        rest = None
-        for a, b in ((left.where("label1 <> main"), right), (left.where("label1 = main"), right.join(mixed, ["low", "bucket"]).where("label2 <> main").drop("main"))):
-            one = a.join(b, ["low", "bucket"]).where((F.col("label1") != F.col("label2")) & fits).select(F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2"))
-            rest = one if rest is None else rest.union(one)
-        late = saved(linked(saved(rest.distinct().join(pairs, ["a1", "a2"], "left_anti"), "pairs")), "links")
+        sizes_of = labels.groupBy("label").agg(F.count("*").cast("int").alias("size"))
+        known = saved(labels.join(sizes_of, "label").select(F.col("id").alias("doc_id"), "label", "size"), "known")
+        grouped = firsts.join(small(known, known.count(), 32), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).withColumn("size", F.coalesce("size", F.lit(1)))
+        met = saved(meetings(grouped.select("doc_id", "n", "prefix", "label"), entries_of, keys.drop("n_keys"), n_hot, buckets, share), "met")
+        of = grouped.select("label", "size").distinct()
+        met = met.join(of.toDF("x", "size_x"), "x").join(of.toDF("y", "size_y"), "y")
+        swap = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("x") > F.col("y")))
+        visits = met.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), F.greatest("size_x", "size_y").alias("size"))
+        late = saved(links(saved(visits, "visits"), grouped.select("doc_id", "set", "label"), share), "links")
         if late.limit(1).count():
-            labels = components(links.union(late), saved)
+            labels = components(near_links.union(late), saved)
 
     rows = sizes.join(copies, ["d1", "d2", "n"], "left")
     labels = labels.select(F.col("id").alias("rep"), "label")
-    return rows.join(small(labels, labels.count(), 24), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
+    component = F.coalesce("label", "rep", "doc_id")
+    return rows.join(small(labels, labels.count(), 24), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

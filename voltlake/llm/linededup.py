@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, saved, small, trimmed
-from .lists import Counts, candidate_pairs, distinct_sorted, least_overlap, rarity, summed, tokens
+from .lists import Counts, candidate_pairs, distinct_sorted, least_overlap, rarity, sum_by, summed, tokens
 from .textvec import chunks, mix, word_hashes
 
 _SALT = np.uint64(0x51ED270B9F2C4A3D)
@@ -33,10 +33,6 @@ LINE_BITS = 32
 #: Numbers of 64 bits in the larger bitmaps, for lists that were not expanded.
 WIDE = 8
 
-def _sum_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    total = np.concatenate((np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)))
-    return total[at + n] - total[at]
-
 
 def _odd_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     total = np.concatenate((np.zeros(1, x.dtype), np.bitwise_xor.accumulate(x)))
@@ -97,7 +93,7 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
             for row, place, t, n, at in _lines(pdf, None):
                 counts.add(t)
                 use = np.flatnonzero(n >= least_words)
-                d1, d2 = _sum_by(mix(t), at, n).view(np.int64), _sum_by(mix(t ^ _SALT), at, n).view(np.int64)
+                d1, d2 = sum_by(mix(t), at, n).view(np.int64), sum_by(mix(t ^ _SALT), at, n).view(np.int64)
                 yield pd.DataFrame({"a": pdf["doc_id"].to_numpy()[row[use]], "b": place[use], "n": n[use], "d1": d1[use], "d2": d2[use], "t": None})
         yield pd.DataFrame({"a": [0], "b": [0], "n": [0], "d1": [0], "d2": [0], "t": [counts.packed()]})
 

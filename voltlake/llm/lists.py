@@ -109,6 +109,12 @@ def distinct_sorted(t: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nd
     return t[new], group[new]
 
 
+def sum_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the n values of x from each position at on."""
+    total = np.concatenate((np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)))
+    return total[at + n] - total[at]
+
+
 def least_overlap(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     """ceil(t * n): what a set of n tokens has in common at least with any set of Jaccard similarity t = share[0] / share[1]."""
     a, b = share
@@ -120,7 +126,6 @@ ENTRY = (("key", "<u4"), ("a", "<i8"), ("b", "<i8"), ("n", "<i4"), ("pos", "<i4"
 PAIR = "a1 long, b1 long, a2 long, b2 long, more int, rest binary"
 
 
-
 def similar(pairs: np.ndarray | tuple, share: tuple[int, int]) -> np.ndarray:
     """Which of the entry pairs (size, position, bitmap of both) the filters leave."""
     n1, p1, x1, y1, n2, p2, x2, y2 = pairs
@@ -202,7 +207,7 @@ def _leads(e: dict[str, np.ndarray], run: np.ndarray, first: np.ndarray, share:
     return lead
 
 
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First position of every run of equal keys, and the run of each position."""
     head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
     return np.flatnonzero(head), np.cumsum(head) - 1
@@ -224,7 +229,7 @@ def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterat
         e = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
         order = np.argsort(e["key"])
         e = {c: v[order] for c, v in e.items()}
-        first, run = _runs(e["key"])
+        first, run = runs_of(e["key"])
         length = np.diff(np.append(first, len(run)))
         warm = length[run] > hot
         pairs, keys = b"", b""
@@ -276,7 +281,7 @@ def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterat
         e = {c: np.concatenate(v) for c, v in parts.items()}
         order = np.lexsort((e["n"], e["key"]))
         e = {c: v[order] for c, v in e.items()}
-        first, run = _runs(e["key"])
+        first, run = runs_of(e["key"])
         length = np.diff(np.append(first, len(run)))
         told = np.frombuffer(b"".join(pdf["hot"]), "<i8")
         warm = (length > hot) | np.isin(e["key"][first], told.view(np.uint64).astype(np.uint32))
