@@ -8,12 +8,13 @@ sets plus scanning for all larger ones costs least. Every candidate pair is veri
 A pair of similarity t shares at least a = ceil(t * n) tokens with a set of n, so with tokens in one
 common order the first n - a + k tokens of both share k of them: k = 1 for lists, k = 2 for subsets.
 
-What is asked for is connection, not all pairs. Exact copies are one class. In a list of over ``hot`` sets
-all are first compared with one leader, the set whose other tokens are in long lists most often, so that
-all lists of a group of near copies name the same one. The links found are contracted to components.
-The second round takes from each such list the pairs of components that still meet in it, and compares
-the sets of the smaller one with those of the larger in blocks of bounded size, until one pair links
-them. So no group of copies is expanded into all its pairs, and no link between components is missed.
+What is asked for is connection, not all pairs. Exact copies are one class. In the first round a set is
+compared with the leaders of few of its lists only, chosen by hash: of a list's sets the one whose prefix is the most
+frequent in the corpus, so that all lists of a group of near copies name the same one. The links found
+are contracted to components. The second round takes from every list the pairs of components that still
+meet in it, and compares the sets of the smaller one with those of the larger in blocks of bounded size,
+until one pair links them. So no group of copies is expanded into all its pairs, and no link between
+components is missed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, saved, small, trimmed
+from .common import saved, small, trimmed
 from .lists import components, count_table, distinct_sorted, least_overlap, rarity, runs_of, shared_tokens, sum_by, tokens
 from .textvec import chunks, mix, shingle_hashes, word_hashes
 
@@ -49,13 +50,23 @@ def _sets(texts: list, classes: np.ndarray | None, k: int) -> Iterator[tuple[int
         yield start, t, doc, n, np.cumsum(n) - n
 
 
-def entries(pdf: pd.DataFrame, boundary: int, share: tuple[int, int]) -> Iterator[dict[str, np.ndarray]]:
-    """The lists each set (doc_id, n, prefix) is in. The position of a 2-subset is that of its later token, less one."""
+def entries(pdf: pd.DataFrame, boundary: int, share: tuple[int, int], some: int = 0) -> Iterator[dict[str, np.ndarray]]:
+    """The lists each set (doc_id, n, prefix) is in. The position of a 2-subset is that of its later token, less one.
+
+    some: only the lists of so many tokens of each prefix, those of least hash among the tokens counted twice.
+    """
+    once = rarity(np.array([1]))[0]
+
+    def order(t: np.ndarray) -> np.ndarray:
+        return np.where(t >> np.uint64(56) <= once, ~np.uint64(0), mix(t ^ _SALT))
+
     n, a = pdf["n"].to_numpy(), pdf["doc_id"].to_numpy()
     out = []
     for size in np.unique(n[n <= boundary]):
         rows = np.flatnonzero(n == size)
         prefix = np.frombuffer(b"".join(pdf["prefix"].iloc[rows]), np.uint64).reshape(len(rows), -1)
+        if some:
+            prefix = np.sort(np.take_along_axis(prefix, np.argsort(order(prefix), axis=1)[:, :some], axis=1), axis=1)
         i, j = np.triu_indices(prefix.shape[1], 1)
         keys = mix(prefix[:, i] * np.uint64(0x9E3779B97F4A7C15) + prefix[:, j])
         out.append((keys.ravel(), np.repeat(a[rows], len(i)), np.full(keys.size, size), np.tile(j - 1, len(rows))))
@@ -64,7 +75,11 @@ def entries(pdf: pd.DataFrame, boundary: int, share: tuple[int, int]) -> Iterato
     if len(rows):
         one = n[rows] - least_overlap(n[rows], share) + 1
         keys = np.concatenate([np.frombuffer(pdf["prefix"].iloc[r], np.uint64)[:p] for r, p in zip(rows, one)])
-        out.append((mix(keys ^ _SALT), np.repeat(a[rows], one), np.repeat(n[rows], one), np.arange(len(keys)) - np.repeat(np.cumsum(one) - one, one)))
+        row, pos = np.repeat(rows, one), np.arange(len(keys)) - np.repeat(np.cumsum(one) - one, one)
+        if some:
+            use = np.lexsort((order(keys), row))[pos < some]
+            keys, row, pos = keys[use], row[use], pos[use]
+        out.append((mix(keys ^ _SALT), a[row], n[row], pos))
     if out:
         yield dict(zip(("key", "a", "n", "pos"), (np.concatenate(x) for x in zip(*out))))
 
@@ -80,7 +95,7 @@ def choose_boundary(sets: DataFrame) -> int:
 
 #: The columns of a list's entry, packed: key within its bucket, document or label, size of the set, position of the token.
 ENTRY = (("key", "<u4"), ("a", "<i8"), ("n", "<i4"), ("pos", "<i4"))
-_DEALT = "bucket long, size long, entries binary, hot binary, pairs binary"
+_DEALT = "bucket long, size long, entries binary, pairs binary"
 
 
 def _pack(e: dict[str, np.ndarray], at: np.ndarray) -> bytes:
@@ -113,25 +128,17 @@ def _can_link(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, share: tup
     return _near_sizes(n1, n2, share) & (np.minimum(n1 - e["pos"][i], n2 - e["pos"][j]) >= least)
 
 
-def _stars(e: dict[str, np.ndarray], run: np.ndarray, warm: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (leader, member) of the lists marked warm, and the leaders' entries.
+def _stars(e: dict[str, np.ndarray], share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (leader, member) of the lists of entries sorted by list and then from the leader on, and the leaders' entries."""
+    first, run = runs_of(e["key"])
+    lead = first[run]
+    use = np.flatnonzero((e["a"][lead] != e["a"]) & _near_sizes(e["n"][lead].astype(np.int64), e["n"].astype(np.int64), share))
+    return _distinct(np.stack((e["a"][lead[use]], e["a"][use]))), first
 
-    A list is led by the set that has the largest share of its entries in warm lists (then the smallest id).
-    """
-    in_warm = warm[run]
-    if not in_warm.any():
-        return np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
-    ids, who = np.unique(e["a"], return_inverse=True)
-    part = np.bincount(who, weights=in_warm, minlength=len(ids)) / np.bincount(who, minlength=len(ids))
-    rank = np.empty(len(ids), np.int64)
-    rank[np.lexsort((ids, -part))] = np.arange(len(ids))
-    at = np.flatnonzero(in_warm)
-    at = at[np.lexsort((rank[who[at]], run[at]))]
-    head = np.concatenate(([True], run[at][1:] != run[at][:-1]))
-    lead = np.repeat(at[head], np.diff(np.append(np.flatnonzero(head), len(at))))
-    use = _near_sizes(e["n"][lead].astype(np.int64), e["n"][at].astype(np.int64), share) & (who[lead] != who[at])
-    codes = np.unique(who[lead[use]] * len(ids) + who[at[use]])
-    return np.stack((ids[codes // len(ids)], ids[codes % len(ids)])), at[head]
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
+    return pairs[:, np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))[: pairs.shape[1]]]
 
 
 def _expanded(e: dict[str, np.ndarray], run: np.ndarray, use: np.ndarray, share: tuple[int, int], names: np.ndarray, step: int = 250_000) -> np.ndarray:
@@ -181,94 +188,85 @@ def _folded(entries_of: Callable, deal: Callable, a_task: int) -> Callable:
     return lambda batches: trimmed(fold(batches))
 
 
-def _rows(e: dict[str, np.ndarray], chosen: np.ndarray, hot: np.ndarray, stars: np.ndarray, buckets: int) -> pd.DataFrame:
-    """One row for each bucket: the chosen entries, the (64-bit) keys that are hot and the pairs found."""
+def _rows(e: dict[str, np.ndarray], chosen: np.ndarray, pairs: np.ndarray, buckets: int) -> pd.DataFrame:
+    """One row for each bucket: the chosen entries, and the pairs found."""
     parts = []
-    for of in (_bucket(e["key"][chosen], buckets), _bucket(hot, buckets), (mix(stars[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+    for of in (_bucket(e["key"][chosen], buckets), (mix(pairs[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
         order = np.argsort(of, kind="stable")
         parts.append((order, np.searchsorted(of[order], np.arange(buckets + 1))))
     rows = []
     for x in range(buckets):
-        mine, keys, pairs = (order[cuts[x] : cuts[x + 1]] for order, cuts in parts)
-        if len(mine) or len(keys) or len(pairs):
-            rows.append((x, len(mine), _pack(e, chosen[mine]), hot[keys].astype("<u4").tobytes(), np.ascontiguousarray(stars[:, pairs]).astype("<i8").tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "size", "entries", "hot", "pairs"])
+        mine, found = (order[cuts[x] : cuts[x + 1]] for order, cuts in parts)
+        if len(mine) or len(found):
+            rows.append((x, len(mine), _pack(e, chosen[mine]), np.ascontiguousarray(pairs[:, found]).astype("<i8").tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "size", "entries", "pairs"])
 
 
-def first_round(sets: DataFrame, entries_of: Callable, buckets: int, share: tuple[int, int], hot: int, a_task: int = 300_000) -> DataFrame:
-    """Candidates (x, y) of sets, and the lists of over ``hot`` sets (a row of n_keys > 0 has all keys of a bucket).
+def first_round(sets: DataFrame, entries_of: Callable, buckets: int, share: tuple[int, int], a_task: int = 300_000) -> DataFrame:
+    """Candidates (x, y) of sets (doc_id, n, prefix, central): each set x with the leaders y of three of its lists.
 
-    Short lists give all pairs that pass the filters, others the pairs with their leader. A task folds long
-    lists before it deals them out, so that a list of any length sends one entry a task.
+    A list is led by its most central set (then the smallest id). A task folds its part of a list before
+    it deals it out, so that a list of any length sends one entry a task.
     """
 
-    def deal(e: dict[str, np.ndarray]) -> pd.DataFrame:
-        order = np.argsort(e["key"])
+    def ranked(pdf: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
+        where = pdf["doc_id"].to_numpy()
+        order = np.argsort(where, kind="stable")
+        central = pdf["central"].to_numpy()[order]
+        for e in entries_of(pdf, 3):
+            yield e | {"pos": -central[np.searchsorted(where[order], e["a"])]}  # in the place of a position: the rank
+
+    def led(e: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        order = np.lexsort((e["a"], e["pos"], e["key"]))
         e = {c: v[order] for c, v in e.items()}
-        first, run = runs_of(e["key"])
-        warm = np.diff(np.append(first, len(run))) > hot
-        stars, leads = _stars(e, run, warm, share)
-        return _rows(e, np.concatenate((np.flatnonzero(~warm[run]), leads)), e["key"][first[warm]], stars, buckets)
+        return e, *_stars(e, share)
+
+    def deal(e: dict[str, np.ndarray]) -> pd.DataFrame:
+        e, pairs, leads = led(e)
+        return _rows(e, leads, pairs, buckets)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = _unpack(pdf["size"], pdf["entries"])
-        order = np.lexsort((e["n"], e["key"]))
-        e = {c: v[order] for c, v in e.items()}
-        first, run = runs_of(e["key"])
-        told = np.frombuffer(b"".join(pdf["hot"]), "<u4")
-        warm = (np.diff(np.append(first, len(run))) > hot) | np.isin(e["key"][first], told)
-        stars, _ = _stars(e, run, warm, share)
-        y, v = np.concatenate([_expanded(e, run, ~warm, share, e["a"]), stars, *(np.frombuffer(p, "<i8").reshape(2, -1) for p in pdf["pairs"] if p)], axis=1)
-        order = np.lexsort((v, y))
-        y, v = y[order], v[order]
-        new = np.append(True, (y[1:] != y[:-1]) | (v[1:] != v[:-1]))[: len(y)]
-        out = pd.DataFrame({"bucket": int(pdf["bucket"].iloc[0]), "n_keys": 0, "keys": None, "x": v[new], "y": y[new]})
-        if warm.any():
-            lists = [(int(pdf["bucket"].iloc[0]), int(warm.sum()), e["key"][first[warm]].astype("<u4").tobytes(), 0, 0)]
-            out = pd.concat([out, pd.DataFrame(lists, columns=out.columns)])
-        return out
-
-    dealt = sets.mapInPandas(_folded(entries_of, deal, a_task), _DEALT)
-    return dealt.groupBy("bucket").applyInPandas(lambda pdf: pd.concat(trimmed([merge(pdf)])), "bucket long, n_keys long, keys binary, x long, y long")
-
-
-def meetings(sets: DataFrame, entries_of: Callable, keys: DataFrame, n_keys: int, buckets: int, share: tuple[int, int], a_task: int = 300_000) -> DataFrame:
-    """Pairs of labels (x, y) of which sets (doc_id, n, prefix, label) meet in one of the lists keys (bucket, keys) and pass the filters.
+        _, pairs, _ = led(_unpack(pdf["size"], pdf["entries"]))
+        y, x = _distinct(np.concatenate([pairs, *(np.frombuffer(p, "<i8").reshape(2, -1) for p in pdf["pairs"] if p)], axis=1))
+        return pd.DataFrame({"x": x, "y": y})
+
+    dealt = sets.mapInPandas(_folded(ranked, deal, a_task), _DEALT)
+    return dealt.groupBy("bucket").applyInPandas(lambda pdf: pd.concat(trimmed([merge(pdf)])), "x long, y long").distinct()
+
+
+def meetings(sets: DataFrame, entries_of: Callable, buckets: int, share: tuple[int, int], a_task: int = 300_000) -> DataFrame:
+    """Pairs of labels (x, y) of which sets (doc_id, n, prefix, label) meet in a list and pass the filters.
 
     Sets of one label and size in a list are told by the earliest position, so a group of any size sends
     few entries a task.
     """
-    few = 4 * n_keys <= BROADCAST_BYTES
-    wanted = sets.sparkSession.sparkContext.broadcast(np.unique(np.frombuffer(b"".join(r[0] for r in keys.select("keys").collect()), "<u4")) if few else None)
 
     def labelled(pdf: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
         where = pdf["doc_id"].to_numpy()
         order = np.argsort(where, kind="stable")
         label = pdf["label"].to_numpy()[order]
         for e in entries_of(pdf):
-            if wanted.value is not None:
-                use = np.isin(e["key"].astype(np.uint32), wanted.value)
-                e = {c: v[use] for c, v in e.items()}
             yield e | {"a": label[np.searchsorted(where[order], e["a"])]}
 
     def least_positions(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         order = np.lexsort((e["pos"], e["a"], e["n"], e["key"]))
         e = {c: v[order] for c, v in e.items()}
-        new = np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["n"][1:] != e["n"][:-1]) | (e["a"][1:] != e["a"][:-1]))) if len(order) else np.zeros(0, bool)
+        new = np.append(True, (e["key"][1:] != e["key"][:-1]) | (e["n"][1:] != e["n"][:-1]) | (e["a"][1:] != e["a"][:-1]))[: len(order)]
         return {c: v[new] for c, v in e.items()}
 
     def deal(e: dict[str, np.ndarray]) -> pd.DataFrame:
         e = least_positions(e)
-        return _rows(e, np.arange(len(e["key"])), np.zeros(0, np.uint64), np.zeros((2, 0), np.int64), buckets)
+        return _rows(e, np.arange(len(e["key"])), np.zeros((2, 0), np.int64), buckets)
 
-    def merge(pdf: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         e = least_positions(_unpack(pdf["size"], pdf["entries"]))
         first, run = runs_of(e["key"])
-        found = _expanded(e, run, np.isin(e["key"][first], np.frombuffer(b"".join(listed["keys"]), "<u4")), share, e["a"])
-        return pd.DataFrame({"x": found[0], "y": found[1]})
+        several = np.bincount(run[e["a"] != e["a"][first[run]]], minlength=len(first)) > 0
+        x, y = _expanded(e, run, several, share, e["a"])
+        return pd.DataFrame({"x": x, "y": y})
 
     dealt = sets.mapInPandas(_folded(labelled, deal, a_task), _DEALT)
-    return dealt.groupBy("bucket").cogroup(keys.groupBy("bucket")).applyInPandas(lambda a, b: pd.concat(trimmed([merge(a, b)])), "x long, y long").distinct()
+    return dealt.groupBy("bucket").applyInPandas(lambda pdf: pd.concat(trimmed([merge(pdf)])), "x long, y long").distinct()
 
 
 def _linked_in_block(member: list[np.ndarray], visitor: list[np.ndarray], labels: np.ndarray, share: tuple[int, int]) -> set[int]:
@@ -341,7 +339,7 @@ def links(visits: DataFrame, sets: DataFrame, share: tuple[int, int], a_side: in
     return whole.groupBy("block").applyInPandas(lambda pdf: pd.concat(trimmed([compare(pdf)])), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 100), hot: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:
     """Components of docs (doc_id: an integer, text) under Jaccard similarity >= share[0] / share[1] of their sets.
 
     Words are runs of [^\\x20\\x09-\\x0D] with A-Z in lower case; a set has the distinct windows of k words,
@@ -407,43 +405,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
                         "n": n,
                         "prefix": [t[i : i + p].tobytes() for i, p in zip(at, two)],
                         "set": [t[i : i + m].tobytes() for i, m in zip(at, n)],
+                        # How frequent the prefix is: of near copies, it is highest for the text that they were made from.
+                        "central": np.bincount(doc, weights=((t >> np.uint64(56)) << np.uint64(8)) * (place < one[doc]), minlength=len(n)).astype(np.int64) // np.maximum(one, 1),
                         "cost_light": two * (two - 1) / 2.0,
                         "cost_heavy": np.bincount(doc, weights=length * (place < one[doc]), minlength=len(n)),
                     }
                 )
 
-    firsts = saved(near.mapInPandas(lambda b: trimmed(summarise(b)), "doc_id long, n long, prefix binary, set binary, cost_light double, cost_heavy double").where("n > 2"), "firsts")
+    firsts = saved(near.mapInPandas(lambda b: trimmed(summarise(b)), "doc_id long, n long, prefix binary, set binary, central long, cost_light double, cost_heavy double").where("n > 2"), "firsts")
     boundary = choose_boundary(firsts)
     p = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
     n_keys = firsts.agg(F.sum(p + F.when(F.col("n") <= boundary, p * (p + 1) / 2).otherwise(0))).first()[0] or 0
     buckets = max(12, math.ceil(n_keys / 300_000))
 
-    def entries_of(pdf: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
+    def entries_of(pdf: pd.DataFrame, some: int = 0) -> Iterator[dict[str, np.ndarray]]:
         n = pdf["n"].to_numpy()
         p = n - least_overlap(n, share) + 1
         made = np.cumsum(np.where(n <= boundary, p + p * (p + 1) // 2, p)) // 50_000
         for at in np.flatnonzero(np.diff(made, prepend=-1)):
-            yield from entries(pdf[made == made[at]], boundary, share)
+            yield from entries(pdf[made == made[at]], boundary, share, some)
 
-    found = saved(first_round(firsts.select("doc_id", "n", "prefix"), entries_of, buckets, share, hot), "pairs")
-    pairs = saved(found.where("n_keys = 0").select("x", "y", F.lit(1).alias("size")).distinct(), "visits")
+    pairs = first_round(firsts.select("doc_id", "n", "prefix", "central"), entries_of, buckets, share)
+    pairs = saved(pairs.withColumn("size", F.lit(1)), "visits")
     near_links = saved(links(pairs, firsts.select("doc_id", "set", F.col("doc_id").alias("label")), share).union(same), "links")
     labels = components(near_links, saved)
-    keys = found.where("n_keys > 0").select("bucket", "n_keys", "keys")
-    n_hot = keys.agg(F.sum("n_keys")).first()[0]
-    if n_hot:
-        # Lists that were not expanded: what is still in different components is compared.
-        sizes_of = labels.groupBy("label").agg(F.count("*").cast("int").alias("size"))
-        known = saved(labels.join(sizes_of, "label").select(F.col("id").alias("doc_id"), "label", "size"), "known")
-        grouped = firsts.join(small(known, known.count(), 32), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).withColumn("size", F.coalesce("size", F.lit(1)))
-        met = saved(meetings(grouped.select("doc_id", "n", "prefix", "label"), entries_of, keys.drop("n_keys"), n_hot, buckets, share), "met")
-        of = grouped.select("label", "size").distinct()
-        met = met.join(of.toDF("x", "size_x"), "x").join(of.toDF("y", "size_y"), "y")
-        swap = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("x") > F.col("y")))
-        visits = met.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), F.greatest("size_x", "size_y").alias("size"))
-        late = saved(links(saved(visits, "visits"), grouped.select("doc_id", "set", "label"), share), "links")
-        if late.limit(1).count():
-            labels = components(near_links.union(late), saved)
+    # What is still in different components is compared wherever it meets.
+    sizes_of = labels.groupBy("label").agg(F.count("*").cast("int").alias("size"))
+    known = saved(labels.join(sizes_of, "label").select(F.col("id").alias("doc_id"), "label", "size"), "known")
+    grouped = firsts.join(small(known, known.count(), 32), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).withColumn("size", F.coalesce("size", F.lit(1)))
+    met = meetings(grouped.select("doc_id", "n", "prefix", "label"), entries_of, buckets, share)
+    of = grouped.select("label", "size").distinct()
+    met = met.join(of.toDF("x", "size_x"), "x").join(of.toDF("y", "size_y"), "y")
+    swap = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("x") > F.col("y")))
+    visits = met.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), F.greatest("size_x", "size_y").alias("size"))
+    late = saved(links(saved(visits, "visits"), grouped.select("doc_id", "set", "label"), share), "links")
+    joined = components(late, saved).select(F.col("id").alias("label"), F.col("label").alias("last"))
+    labels = labels.join(joined, "label", "full").select(F.coalesce("id", "label").alias("id"), F.coalesce("last", "label").alias("label"))
+    labels = saved(labels, "labels")
 
     rows = sizes.join(copies, ["d1", "d2", "n"], "left")
     labels = labels.select(F.col("id").alias("rep"), "label")
