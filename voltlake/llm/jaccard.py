@@ -3,7 +3,8 @@
 Documents are sets of word shingles. Small (light) sets meet through the enumerated 2-subsets of their
 prefixes, large (heavy) sets by scanning the inverted lists of their prefix tokens; light sets close in
 size to the heavy ones are in those lists too. The boundary is the size at which enumerating all smaller
-sets plus scanning for all larger ones costs least. Every candidate pair is verified on the full sets.
+sets plus scanning for all larger ones costs least; to deal out an entry costs as much as to scan several
+pairs. Every candidate pair is verified on the full sets.
 
 A pair of similarity t shares at least a = ceil(t * n) tokens with a set of n, so with tokens in one
 common order the first n - a + k tokens of both share k of them: k = 1 for lists, k = 2 for subsets.
@@ -34,6 +35,8 @@ from .lists import components, count_table, distinct_sorted, least_overlap, rari
 from .textvec import chunks, mix, shingle_hashes, word_hashes
 
 _SALT = np.uint64(0x51ED270B9F2C4A3D)
+#: Pairs that are scanned in the time in which one entry is dealt out, sorted and sent.
+ENTRY_COST = 32
 
 
 def _shingles(texts: list, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -407,8 +410,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
                         "set": [t[i : i + m].tobytes() for i, m in zip(at, n)],
                         # How frequent the prefix is: of near copies, it is highest for the text that they were made from.
                         "central": np.bincount(doc, weights=((t >> np.uint64(56)) << np.uint64(8)) * (place < one[doc]), minlength=len(n)).astype(np.int64) // np.maximum(one, 1),
-                        "cost_light": two * (two - 1) / 2.0,
-                        "cost_heavy": np.bincount(doc, weights=length * (place < one[doc]), minlength=len(n)),
+                        "cost_light": ENTRY_COST * two * (two - 1) / 2.0,
+                        "cost_heavy": np.bincount(doc, weights=(ENTRY_COST + length) * (place < one[doc]), minlength=len(n)),
                     }
                 )
 
@@ -433,7 +436,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (75, 1
     sizes_of = labels.groupBy("label").agg(F.count("*").cast("int").alias("size"))
     known = saved(labels.join(sizes_of, "label").select(F.col("id").alias("doc_id"), "label", "size"), "known")
     grouped = firsts.join(small(known, known.count(), 32), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).withColumn("size", F.coalesce("size", F.lit(1)))
-    met = meetings(grouped.select("doc_id", "n", "prefix", "label"), entries_of, buckets, share)
+    met = saved(meetings(grouped.select("doc_id", "n", "prefix", "label"), entries_of, buckets, share), "met")
     of = grouped.select("label", "size").distinct()
     met = met.join(of.toDF("x", "size_x"), "x").join(of.toDF("y", "size_y"), "y")
     swap = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("x") > F.col("y")))

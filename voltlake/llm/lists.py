@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, trimmed
+from .textvec import mix
 
 SLOTS_LOG2 = 20
 
@@ -168,15 +169,11 @@ class _Pairs:
         i, j = codes // len(self.a), codes % len(self.a)
         return np.array([self.a[i], self.b[i], self.a[j], self.b[j]])
 
-    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes = np.unique(np.concatenate(self.codes)) if self.codes else np.zeros(0, np.int64)
-        return self.named(codes), np.zeros(len(codes), np.int64), np.zeros((4, 0), np.int64)
-
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The likeliest earlier line of each later one (fewest odd bits), whether there are others, and those."""
         codes = np.unique(np.concatenate(self.codes)) if self.codes else np.zeros(0, np.int64)
         if not len(codes):
-            return self.all()
+            return np.zeros((4, 0), np.int64), codes, np.zeros((4, 0), np.int64)
         i, j = codes // len(self.a), codes % len(self.a)
         odd = np.bitwise_count(self.x[i] ^ self.x[j]).astype(np.int64) + np.bitwise_count(self.y[i] ^ self.y[j])
         codes, j = (v[np.lexsort((i, odd, j))] for v in (codes, j))
@@ -213,11 +210,11 @@ def runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(head), np.cumsum(head) - 1
 
 
-def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterator[dict[str, np.ndarray]]], n_entries: int, share: tuple[int, int], hot: int, every: bool = False, a_bucket: int = 300_000, a_task: int = 300_000) -> DataFrame:
+def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterator[dict[str, np.ndarray]]], n_entries: int, share: tuple[int, int], hot: int, a_bucket: int = 300_000, a_task: int = 300_000) -> DataFrame:
     """Pairs (PAIR) of sets that meet in a list and pass the filters.
 
     entries_of gives the ENTRY columns of sets (keys of 64 bits). A pair is looked for from its smaller set,
-    in the lists of the first n - ceil(2t / (1 + t) n) + 1 positions of that set. every: all pairs; else
+    in the lists of the first n - ceil(2t / (1 + t) n) + 1 positions of that set. Given are
     the likeliest for each later set (by a, b; more = 1 if it has others), and the others packed in rows of
     more = -1. Lists of more than ``hot`` sets are not expanded: their sets are paired with one of them, and
     the keys are told in rows of more = -2 (b1, in bucket a2 of b2). A task folds such lists before it deals them out, so that a list of
@@ -308,7 +305,7 @@ def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterat
             keep = _similar_at(e, i, j, share)
             found.add(i[keep], j[keep])
             start = stop
-        best, more, rest = found.all() if every else found.best()
+        best, more, rest = found.best()
         stars = [np.frombuffer(p, "<i8").reshape(4, -1) for p in pdf["pairs"] if p]
         if stars:
             stars = np.concatenate(stars, axis=1)
@@ -347,6 +344,7 @@ def shared_tokens(sets: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[tup
     share those bits can only raise m, by one in several thousand tokens at any size of the input.
     """
     buckets = max(12, math.ceil(n_tokens / a_bucket))
+    parts = max(12, buckets // 4)
 
     def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
         h = np.concatenate([x[0] for x in held])
@@ -388,6 +386,10 @@ def shared_tokens(sets: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[tup
         if held:
             yield from deal(held)
 
+    def added(ids: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, where = np.unique(ids, return_inverse=True)
+        return ids.astype(np.int64), np.bincount(where, weights=weight, minlength=len(ids)).astype(np.int64)
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         def all_of(column: str, kind: type) -> np.ndarray:
             return np.frombuffer(b"".join(pdf[column]), kind)
@@ -398,8 +400,18 @@ def shared_tokens(sets: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[tup
         found = owner[count[which[: len(h)]] > 1]
         ids = np.concatenate((found, all_of("done", np.int64)))
         weight = np.concatenate((np.ones(len(found), np.int64), all_of("done_counts", np.uint32).astype(np.int64)))
-        ids, where = np.unique(ids, return_inverse=True)
-        return pd.DataFrame({"doc_id": ids, "m": np.bincount(where, weights=weight, minlength=len(ids)).astype(np.int64)})
+        ids, count = added(ids, weight)
+        part = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(x, ids[mine].tobytes(), count[mine].tobytes()) for x in range(parts) if len(mine := order[cuts[x] : cuts[x + 1]])]
+        return pd.DataFrame(rows, columns=["part", "ids", "counts"])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, count = added(np.frombuffer(b"".join(pdf["ids"]), np.int64), np.frombuffer(b"".join(pdf["counts"]), np.int64))
+        return pd.DataFrame({"doc_id": ids, "m": count})
 
     dealt = sets.mapInPandas(lambda b: trimmed(fold(b)), "bucket long, hashes binary, ids binary, counts binary, free binary, done binary, done_counts binary")
-    return dealt.groupBy("bucket").applyInPandas(lambda pdf: pd.concat(trimmed([merge(pdf)])), "doc_id long, m long").groupBy("doc_id").agg(F.sum("m").alias("m"))
+    # The counts of a bucket go on in packed parts, so that a set takes no row of its own for each bucket.
+    counted = dealt.groupBy("bucket").applyInPandas(lambda pdf: pd.concat(trimmed([merge(pdf)])), "part long, ids binary, counts binary")
+    return counted.groupBy("part").applyInPandas(total, "doc_id long, m long")
