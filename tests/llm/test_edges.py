@@ -27,7 +27,7 @@ ROWS = [
     (7, "a" * 100_000, "la", "b", 100_000),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ("row", "n", "score", "host", "key", "label", "queue", "mark", "n_lines", "found", "spans", "a", "b")
+CLASH = ("_id", "_mark", "_lines", "lines", "doc", "row", "n", "score", "host", "key", "label", "queue", "mark", "n_lines", "found", "spans", "a", "b")
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +69,8 @@ def test_urls(spark):
     entries = spark.createDataFrame([("example.com", "block", "2024-01-05"), ("example.com", "allow", "2024-01-05"), (None, "block", "2024-01-01"), ("a.example.com", "odd", "2024-01-01"), ("example.com", "remove", "2024-01-06")], "pattern string, action string, listed string")
     got = sorted((r.page_id, r.verdict) for r in temporal_url_filter(caps.withColumn("host", F.lit(1)), entries).collect())
     assert got == [(1, "block"), (1, "block"), (2, "none"), (3, "none"), (4, "none")]
+    shuffled = temporal_url_filter(caps, entries, most_bytes=0, a_part=1)
+    assert sorted((r.page_id, r.verdict) for r in shuffled.collect()) == got
     assert {r.verdict for r in temporal_url_filter(caps, entries.limit(0)).collect()} == {"none"}
     assert temporal_url_filter(caps.limit(0), entries).count() == 0
 
@@ -109,7 +111,7 @@ def test_language(docs, none):
 
 def test_lines(docs, none):
     by = {r.doc_id: r for r in dedup_lines(docs).collect()}
-    assert by[5].text == "short" and by[5].n_removed == 1 and by[1].n_removed == 0 and by[2].text is None and by[5]["row"] == "clash row"
+    assert by[5].text == "" and by[5].n_removed == 2 and by[1].n_removed == 0 and by[2].text is None and by[5]["row"] == "clash row"
     assert dedup_lines(none).count() == 0
 
 

@@ -10,10 +10,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from voltlake.llm import html, jaccard, linededup, lists, packing, queries, rules, textvec
-from voltlake.llm.decontam import WuManber, decontaminate, words_of
+from voltlake.llm.decontam import WuManber, _block_hashes, decontaminate, words_of
 from voltlake.llm.langid import codewords, equal_share, identify_language
 from voltlake.llm.pii import find_personal_data, joined_spans
 from voltlake.llm.quality import score
+from voltlake.llm.textvec import word_hashes
 
 
 @pytest.fixture(scope="module")
@@ -108,6 +109,15 @@ def test_host_verdicts(spark):
     assert got[1000].kept and got[5000].base_failed and not got[5000].host_rejected
 
 
+def test_host_query_rejects_a_host(spark, tmp_path):
+    """Of 20 hosts one fails far more often than the others, though less than half of the time; its good documents go."""
+    short, good = "too short", " ".join(f"w{i}" for i in range(80))
+    rows = [(h * 100 + i, f"h{h}", short if i % 100 < (30 if h == 7 else 3 + h % 3) else good) for h in range(20) for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_host_rules(spark, str(tmp_path)).collect()
+    assert all(r.kept == (not r.base_failed and r.doc_id // 100 != 7) for r in got) and sum(not r.base_failed and not r.kept for r in got) == 70
+
+
 def brute_hits(text, items, window=10):
     words, hit, found = words_of(text), set(), set()
     for item, t in items:
@@ -132,10 +142,22 @@ def test_decontaminate_by_brute_force(spark, chunk):
 
 
 def test_wu_manber_skips():
-    w = WuManber([("1", "a b c d e f g h i j k l")])
-    (m, b, shift, buckets), = w.groups
-    assert (m, b) == (10, 3) and shift[(b"j", b"k", b"l")] == 0 and shift[(b"a", b"b", b"c")] == 7 and len(buckets) == 3
+    w = WuManber([("1", "a b c d e f g h i j k l"), ("2", "x y")])
+    short, long = w.groups
+    h = lambda t: long.shift[long.slot(_block_hashes(word_hashes([t])[0], 3))].tolist()
+    assert (short.m, short.block, long.m, long.block) == (2, 2, 10, 3) and len(long.starts) == 3
+    assert h("j k l") == [0] and h("a b c") == [7] and h("q r s") == [8]
     assert w.scan(b"x x a b c d e f g h i j k y".split()) == ([(2, 12), (3, 13)], {"1"})
+    assert w.scan(b"x x y".split()) == ([(1, 3)], {"2"}) and WuManber([]).scan([b"a"]) == ([], set())
+
+
+def test_wu_manber_tables_are_small():
+    """About ten bytes for each byte of the benchmark."""
+    import pickle
+
+    r = random.Random(4)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(50_000))
+    assert len(pickle.dumps(WuManber([("1", text)]))) < 12 * len(text)
 
 
 def shingles(text, k=5):
@@ -234,7 +256,7 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
 
 
-def brute_lines(docs, least=5):
+def brute_lines(docs, least=1):
     lines = [(i, j, frozenset(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, t in sorted(docs) for j, x in enumerate(t.split("\n"))]
     lines = [x for x in lines if len(x[2]) >= least]
     return {(i, j) for k, (i, j, s) in enumerate(lines) if any(100 * len(s & o) >= 75 * len(s | o) for _, _, o in lines[:k])}
@@ -319,6 +341,26 @@ def test_personal_data_of_later_rounds(spark):
     assert got[50] == "id:20:36" and got[200] == "id:14:30" and got[201] == "id:14:30"
 
 
+def test_labelled_seeds_and_contexts_after(spark):
+    """Values that a name is set to are seeds; short ones are found by the contexts that the seeds make, before and after."""
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 1)) + "7"
+    texts = [(i, f'w{i}x said. token = "{key(40)}" y{i}z on.') for i in range(12)] + [(50, 'the last token = "ab12" was short')]
+    texts += [(100 + i, f"q{i}q p{i}p u{i}@mail.org signed for it") for i in range(12)] + [(150, "qq pp agent7@localhost signed for it")]
+    texts += [(200, "total = 12 and the key: none at all"), (201, "api_key=Zx9" + key(30) + ", then")]
+    got = {x.doc_id: x for x in find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).withColumn("s", joined_spans("spans")).collect()}
+    at = texts[0][1].index('"') + 1
+    assert got[0].s == f"id:{at}:{at + 40}" and got[0].n_id == 1 and got[50].s == "id:18:22" and got[150].s == "id:6:22"
+    assert got[200].s == "" and got[201].s == "id:0:41" and got[100].s.startswith("email:")
+
+
+def test_personal_data_takes_linear_time(spark):
+    """Running sums and overlaps of thousands of matches in one text."""
+    text = " ".join(f"u{i}@mail.org and {i}" for i in range(9000))
+    row = find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).withColumn("s", joined_spans("base")).first()
+    assert row.n_email == 9000 and row.s == brute_spans(text)
+
+
 def test_personal_data_is_native(spark):
     df = find_personal_data(spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string"))
     assert "Python" not in df._jdf.queryExecution().toString()

@@ -14,12 +14,15 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or what setCheckpointDir was given.
+
+    Without either, a folder under the warehouse in local mode, and an error on a cluster.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return where.rstrip("/")
 
 
@@ -40,17 +43,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def with_prefix(df: DataFrame, key: str, value: str, out: str, fan: int = 1024) -> DataFrame:
-    """Adds the sum of value over all smaller keys (key: long, unique, from 0) in two levels, so no task sees all rows."""
+def with_prefix(df: DataFrame, key: str, value: str, out: str, fan: int = 1024, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the sum of value over all smaller keys (key: long, unique, from 0) in two levels, so no task sees all rows.
+
+    within: columns without nulls; sums are over the rows of equal ones, where keys are unique.
+    """
     from pyspark.sql import Window as W
 
-    upper = df.groupBy((F.col(key) / fan).cast("long").alias("_up")).agg(F.sum(value).alias("_sum"))
-    before = W.orderBy("_up").rowsBetween(W.unboundedPreceding, -1)
-    upper = upper.select("_up", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy("_up").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    upper = df.groupBy(*within, (F.col(key) / fan).cast("long").alias("_up")).agg(F.sum(value).alias("_sum"))
+    before = W.partitionBy(*within).orderBy("_up").rowsBetween(W.unboundedPreceding, -1)
+    upper = upper.select(*within, "_up", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = W.partitionBy(*within, "_up").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     return (
         df.withColumn("_up", (F.col(key) / fan).cast("long"))
-        .join(upper, "_up")
+        .join(upper, [*within, "_up"])
         .withColumn(out, (F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long"))
         .drop("_up", "_base")
     )

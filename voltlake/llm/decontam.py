@@ -2,18 +2,22 @@
 
 The patterns are the benchmark's word windows. For every pattern length a shift table says how far the
 scan may jump after a block of ``block`` words: a block that ends no pattern moves the window on by
-several words at once. Where the shift is 0 the block's bucket holds the few patterns that end with it,
-and only those are compared with the text word by word.
+several words at once. Where the shift is 0 the bucket of the block's hash holds the few patterns that
+end with it, and only those are compared with the text byte by byte. The tables are arrays, about ten
+bytes for each byte of the benchmark.
 """
 
 from __future__ import annotations
 
 import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
+from .textvec import mix, word_hashes
 
 #: A-Z become a-z; bytes outside 0-9, a-z and 0x80-0xFF part words (as code points: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+).
 _WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -23,46 +27,76 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORDS).split() if text else []
 
 
+class _Group:
+    """Patterns of m words: where each starts, the shift of every block hash, and buckets by the last block's hash."""
+
+    def __init__(self, m: int, block: int, h: np.ndarray, starts: np.ndarray):
+        self.m, self.block = m, min(block, m)
+        blocks = _block_hashes(h, self.block)
+        self.bits = max(10, int(np.ceil(np.log2(8 * len(starts)))))
+        self.shift = np.full(1 << self.bits, m - self.block + 1, np.uint8 if m < 256 else np.int64)
+        for j in range(m - self.block + 1):  # the block that ends m - block - j words before the pattern does
+            np.minimum.at(self.shift, self.slot(blocks[starts + j]), m - self.block - j)
+        last = blocks[starts + m - self.block]
+        order = np.argsort(last, kind="stable")
+        self.last, self.starts = last[order], starts[order]
+
+    def slot(self, blocks: np.ndarray) -> np.ndarray:
+        return (blocks >> np.uint64(64 - self.bits)).astype(np.int64)
+
+
+def _block_hashes(h: np.ndarray, block: int) -> np.ndarray:
+    """A hash for every ``block`` words in a row."""
+    n = max(len(h) - block + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for i in range(block):
+        out = (out + h[i : i + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mix(out)
+
+
 class WuManber:
     """Tables for one bounded set of items; each window of ``window`` words of an item is a pattern."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = 10, block: int = 3):
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item_id, text in items:
-            words = words_of(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + window]), set()).add(item_id)
+        texts = [(i, w) for i, w in sorted((i, words_of(t)) for i, t in items) if w]
+        self.names, self.words = [i for i, _ in texts], b" ".join(x for _, w in texts for x in w) + b" "
+        n = np.array([len(w) for _, w in texts], np.int64)
+        size = np.array([len(x) + 1 for _, w in texts for x in w], np.int64)
+        self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))  # where each word starts
+        self.item = np.repeat(np.arange(len(n)), n)
+        h, first = _hashes(self.words), np.cumsum(n) - n
         self.groups = []
-        for m in sorted({len(p) for p in found}):
-            b = min(block, m)
-            shift: dict[tuple[bytes, ...], int] = {}
-            buckets: dict[tuple[bytes, ...], list] = {}
-            for p, ids in found.items():
-                if len(p) == m:
-                    for j in range(b, m + 1):
-                        key = p[j - b : j]
-                        shift[key] = min(shift.get(key, m), m - j)
-                    buckets.setdefault(p[m - b :], []).append((list(p), sorted(ids)))
-            self.groups.append((m, b, shift, buckets))
+        for m in np.unique(np.minimum(n, window)).tolist():
+            own = np.minimum(n, window) == m
+            starts = np.concatenate([np.arange(a, a + k - m + 1) for a, k in zip(first[own], n[own])])
+            self.groups.append(_Group(m, block, h, starts))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words (end exclusive) where patterns occur, and the items they belong to."""
-        spans, items = [], set()
-        for m, b, shift, buckets in self.groups:
-            end, n, far = m, len(words), m - b + 1
+        spans, found = [], set()
+        h = _hashes(b" ".join(words) + b" ") if words else np.zeros(0, np.uint64)
+        for g in self.groups:
+            blocks = _block_hashes(h, g.block)
+            steps = g.shift[g.slot(blocks)].tolist()
+            end, n, back = g.m, len(words), g.block
             while end <= n:
-                key = tuple(words[end - b : end])
-                step = shift.get(key, far)
+                step = steps[end - back]
                 if not step:
-                    text = words[end - m : end]
-                    for pattern, ids in buckets[key]:
-                        if text == pattern:
-                            spans.append((end - m, end))
-                            items.update(ids)
-                            break
+                    text, hit, last = b" ".join(words[end - g.m : end]) + b" ", False, blocks[end - back]
+                    for k in range(int(np.searchsorted(g.last, last)), int(np.searchsorted(g.last, last, side="right"))):
+                        start = g.starts[k]
+                        if self.words[self.at[start] : self.at[start + g.m]] == text:
+                            hit = True
+                            found.add(int(self.item[start]))
+                    if hit:
+                        spans.append((end - g.m, end))
                     step = 1
                 end += step
-        return spans, items
+        return spans, {self.names[i] for i in found}
+
+
+def _hashes(words: bytes) -> np.ndarray:
+    return word_hashes([words])[0]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -92,7 +126,7 @@ def searcher(benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes
     """A function text -> struct column (n_words, hits, n_hit, items) for the windows of benchmark (item_id, text).
 
     The benchmark is dealt by item into chunks of about ``chunk_bytes`` of text, and each chunk's tables are
-    broadcast on their own. More than MOST_CHUNKS are refused; decontaminate() then searches in passes.
+    broadcast on their own. More than MOST_CHUNKS are refused; hit_texts() and decontaminate() then search in passes.
     only: (first chunk, last chunk + 1, number of chunks) to search for.
     """
     items = _items(benchmark)
@@ -122,6 +156,21 @@ def searcher(benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes
     return search
 
 
+def _passes(benchmark: DataFrame, chunk_bytes: int) -> list[tuple[int, int, int]]:
+    chunks = n_chunks(benchmark, chunk_bytes)
+    return [(c, min(c + MOST_CHUNKS, chunks), chunks) for c in range(0, chunks, MOST_CHUNKS)]
+
+
+def hit_texts(texts: DataFrame, benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes: int = 2 << 20) -> DataFrame:
+    """What the benchmark hits in texts (text), in as many passes as it takes: mark (xxhash64 of the text), hits and items, a row a pass."""
+    out = None
+    for one in _passes(benchmark, chunk_bytes):
+        found = texts.select(F.xxhash64("text").alias("mark"), searcher(benchmark, window, block, chunk_bytes, one)("text").alias("f"))
+        found = saved(found.where("f.n_hit > 0").select("mark", "f.hits", "f.items").dropDuplicates(["mark"]), "hits")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes: int = 2 << 20) -> DataFrame:
     """Finds benchmark (item_id, text) windows of ``window`` words in docs (doc_id, text).
 
@@ -129,23 +178,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     exclusive, merged), n_hit (words in them) and items (distinct item_ids as strings, sorted).
 
     A benchmark of up to MOST_CHUNKS chunks is searched for in one pass without any shuffle. A larger one
-    takes a pass for every MOST_CHUNKS chunks, whose results are joined by doc_id and a hash of the text.
+    takes a pass for every MOST_CHUNKS chunks, whose results are joined by a hash of the text.
 
     An item of fewer than ``window`` words is one window; an item or text that is null or without words
-    matches nothing. A null item_id counts as the empty id. Repeated rows are treated each on its own.
-    Other columns are ignored.
+    matches nothing. A null item_id counts as the empty id; a null doc_id is returned as null. Repeated
+    rows are treated each on its own. Texts of any length are searched whole. An empty table gives no
+    rows, an empty benchmark no hits. Other columns are ignored.
     """
-    chunks = n_chunks(benchmark, chunk_bytes)
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    passes = [(c, min(c + MOST_CHUNKS, chunks), chunks) for c in range(0, chunks, MOST_CHUNKS)]
+    passes = _passes(benchmark, chunk_bytes)
     if len(passes) == 1:
         return base.select("doc_id", searcher(benchmark, window, block, chunk_bytes, passes[0])("text").alias("found")).select("doc_id", "found.*")
-    rows = base.withColumn("mark", F.xxhash64("doc_id", "text"))
-    hits = None
-    for one in passes:
-        found = rows.select("mark", searcher(benchmark, window, block, chunk_bytes, one)("text").alias("f")).where("f.n_hit > 0").select("mark", "f.hits", "f.items")
-        found = saved(found.dropDuplicates(["mark"]), "hits")
-        hits = found if hits is None else hits.unionByName(found)
+    rows = base.withColumn("mark", F.xxhash64("text"))
+    hits = hit_texts(base, benchmark, window, block, chunk_bytes)
     whole = hits.groupBy("mark").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # Spans in order are merged where they touch.
     step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["to"] >= x["from"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["from"].alias("from"), F.greatest(F.element_at(acc, -1)["to"], x["to"]).alias("to"))))).otherwise(F.array_append(acc, x))

@@ -28,6 +28,8 @@ STOP_WORDS = frozenset(
 )
 #: Elements that hold no article text, elements that do not part blocks, and words in class, id or role that mark boilerplate.
 NOISE_TAGS = frozenset("nav header footer aside form menu dialog button select option noscript template svg canvas object audio video label fieldset head".split())
+#: Items of lists and tables: full of links, they are menus, even inside an article.
+ITEM_TAGS = frozenset("li ul ol dl dd dt td th tr table".split())
 INLINE_TAGS = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_WORDS = frozenset(
@@ -37,6 +39,8 @@ NOISE_WORDS = frozenset(
         "widget pagination pager toolbar contentinfo complementary search alert dialog"
     ).split()
 )
+#: First parts of class names that only describe an element which is not such a thing itself.
+FLAG_WORDS = frozenset("no not non has have with without is hide show layout page body wrap wrapper container".split())
 _RAW = "script|style|title|textarea|iframe|xmp|noembed|noframes"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-z!?/][^>]*>|<[!?][^>]*>",
@@ -50,26 +54,34 @@ _WORD = re.compile(r"\w+")
 
 
 class Block:
-    __slots__ = ("parts", "links", "noise", "region")
+    __slots__ = ("parts", "links", "noise", "region", "item")
 
-    def __init__(self, noise: bool, region: bool):
-        self.parts, self.links, self.noise, self.region = [], 0, noise, region
+    def __init__(self, noise: bool, region: bool, item: bool):
+        self.parts, self.links, self.noise, self.region, self.item = [], 0, noise, region, item
 
 
 def _noisy(tag: str, attrs: str) -> bool:
+    """Is an element boilerplate by its tag, or by a class, id or role that is a noise word or begins or ends with one?"""
     if tag in NOISE_TAGS:
         return True
     if "=" not in attrs:
         return False
-    return any(w.lower() in NOISE_WORDS for value in _ATTR.findall(attrs) for w in _NAME.findall(value))
-
-
-def blocks_of(html: str) -> list[tuple[str, float, bool, bool]]:
-    """Non-empty blocks in page order: text, share of its characters in links, in boilerplate markup, in an article."""
+    for value in _ATTR.findall(attrs):
+        for name in value.strip("\"'").lower().split():
+            parts = _NAME.findall(name)
+            if parts and parts[0] not in FLAG_WORDS and (parts[0] in NOISE_WORDS or parts[-1] in NOISE_WORDS):
+                # An article is itself, whatever its classes are called, unless one is nothing but a comment.
+                if tag not in ("article", "main") or tag == "article" and name in ("comment", "comments"):
+                    return True
+    return False
+
+
+def blocks_of(html: str) -> list[tuple[str, float, bool, bool, bool]]:
+    """Non-empty blocks in page order: text, share of its characters in links, in boilerplate markup, in an article, a list item."""
     end = html.rfind(">") + 1
     tail = _TAIL.search(html, end)
     html, rest = html[:end], html[end : tail.start() if tail else None]
-    out: list[Block] = [Block(False, False)]
+    out: list[Block] = [Block(False, False, False)]
     noise_tag, noise_depth, region, link, at = "", 0, 0, 0, 0
 
     def add(text: str) -> None:
@@ -95,7 +107,7 @@ def blocks_of(html: str) -> list[tuple[str, float, bool, bool]]:
                 noise_depth += -1 if closing else 1
                 if not noise_depth:
                     noise_tag = ""
-            elif main and not closing and not region and not _noisy("", m["attrs"]):
+            elif main and not closing and not region and not _noisy(tag, m["attrs"]):
                 noise_tag = ""  # an element left open does not swallow the article
         elif not closing and tag not in VOID_TAGS and tag not in ("html", "body") and _noisy(tag, m["attrs"]):
             noise_tag, noise_depth = tag, 1
@@ -105,20 +117,22 @@ def blocks_of(html: str) -> list[tuple[str, float, bool, bool]]:
             add(" ")
         elif tag not in INLINE_TAGS or (bool(noise_tag), region > 0) != before:
             link = 0
-            out.append(Block(bool(noise_tag), region > 0))
+            out.append(Block(bool(noise_tag), region > 0, tag in ITEM_TAGS and not closing))
     add(html[at:] + rest)
     found = []
     for b in out:
         text = " ".join(unescape("".join(b.parts)).split())
         if text:
-            found.append((text, min(1.0, b.links / len(text)), b.noise, b.region))
+            found.append((text, min(1.0, b.links / len(text)), b.noise, b.region, b.item))
     return found
 
 
-def first_pass(text: str, links: float, noise: bool, region: bool, has_region: bool, long_words: int = 20, stop_high: float = 0.25, stop_low: float = 0.1, link_most: float = 0.5) -> bool | None:
+def first_pass(text: str, links: float, noise: bool, region: bool, item: bool, has_region: bool, long_words: int = 20, stop_high: float = 0.25, stop_low: float = 0.1, link_most: float = 0.5) -> bool | None:
     """True: article text; False: boilerplate; None: ambiguous."""
-    if noise or has_region and not region or links > link_most:
+    if noise or has_region and not region:
         return False
+    if links > link_most:
+        return None if region and not item else False  # a linked paragraph of an article goes with its neighbours
     words = _WORD.findall(text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
     if len(words) < long_words:
@@ -170,12 +184,15 @@ def extract_text(pages: DataFrame) -> DataFrame:
     newlines; white space in a block is one space; character references are decoded).
 
     Null or empty html, or a page without article text: empty text. Elements left open, markup cut off
-    at the end and stray '<' are tolerated. Repeated rows are extracted alike.
+    at the end and stray '<' are tolerated. A null page_id or url is returned as null. Pages of any length
+    are read whole. Repeated rows are extracted alike. An empty table gives no rows; other columns are
+    ignored.
     """
-    base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    # Ids as text: pandas would round integers beside a null.
+    base = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": [main_text(h) for h in pdf["html"]]})
 
-    return base.mapInPandas(run, f"page_id {dict(base.dtypes)['page_id']}, url string, text string")
+    return base.mapInPandas(run, "page_id string, url string, text string").withColumn("page_id", F.col("page_id").cast(dict(pages.dtypes)["page_id"]))

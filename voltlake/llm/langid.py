@@ -113,7 +113,9 @@ def identify_language(docs: DataFrame, labelled: DataFrame, max_train_rows: int
 
     Returns a row per document: doc_id, lang_pred, score (0 to 1) and ambiguous. Null text, or text
     without a letter: 'und', 0.0, true; so are all rows when nothing is labelled. Labelled rows of null
-    text or lang, or without letters, are not learnt from. Repeated rows are treated alike.
+    text or lang, or without letters, are not learnt from. A null doc_id is returned as null. A text of any
+    length is read whole. Repeated rows are treated alike. An empty table gives no rows; other columns are
+    ignored.
     """
     spark = docs.sparkSession
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -137,7 +139,7 @@ def identify_language(docs: DataFrame, labelled: DataFrame, max_train_rows: int
         x = np.frombuffer(b"".join(sample["x"]), dtype="<f2").reshape(-1, DIMS).astype(np.float32)
         model = fit(x, sample["lang"].to_numpy(dtype=str))
     shared = spark.sparkContext.broadcast(model)
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))  # ids as text: pandas would round them beside a null
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -148,4 +150,5 @@ def identify_language(docs: DataFrame, labelled: DataFrame, max_train_rows: int
             found = pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
             yield found.assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "lang_pred", "score", "ambiguous"]]
 
-    return base.mapInPandas(predict, f"doc_id {dict(base.dtypes)['doc_id']}, lang_pred string, score double, ambiguous boolean")
+    found = base.mapInPandas(predict, "doc_id string, lang_pred string, score double, ambiguous boolean")
+    return found.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))

@@ -5,7 +5,8 @@ has a token among its first n - ceil(2t / (1 + t) n) + 1 that is among the first
 longer (prefix filter); sizes must be within t of each other (length filter); after a common token at
 positions i and j at most min(n1 - i, n2 - j) tokens can be shared (positional filter), and no more than
 half of what both sizes leave after the odd bits of two bitmaps of the sets. What is left is verified on
-the full sets. A line that is similar to an earlier line, by (doc_id, place), is removed.
+the full sets. A line that is similar to an earlier line, by (doc_id, place), is removed. Sets so small
+that only an equal one is similar (of one or two words) are in no list.
 
 Equal lines are joined by a hash aggregate first. The lists of the tokens are dealt out in blocks of
 columns and joined with numpy. One match removes a line, so in each block a line is first verified
@@ -68,7 +69,7 @@ def _lines(pdf: pd.DataFrame, classes: np.ndarray | None, only: bool | None = No
         yield row, place, t, n, np.cumsum(n) - n
 
 
-def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], least_words: int, wide: bool = False) -> Iterator[dict[str, np.ndarray]]:
+def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], wide: bool = False) -> Iterator[dict[str, np.ndarray]]:
     """The entries of the prefix tokens of the lines that are not in places; keys still have 64 bits. wide: with larger bitmaps too."""
     for row, place, t, n, at in _lines(pdf, classes, only=False):
         spread = mix(t ^ _SALT)
@@ -77,14 +78,14 @@ def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], lea
         x, y = _odd_by(np.where(half, bit, np.uint64(0)), at, n), _odd_by(np.where(half, np.uint64(0), bit), at, n)
         part = (spread >> np.uint64(48)) & np.uint64(WIDE - 1)
         more = {f"w{i}": _odd_by(np.where(part == i, bit, np.uint64(0)), at, n) for i in range(WIDE if wide else 0)}
-        use = np.flatnonzero(n >= least_words)
+        use = np.flatnonzero((least_overlap(n, share) < n) | (n * share[1] // share[0] > n))
         p = n[use] - least_overlap(n[use], share) + 1
         pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
         line = np.repeat(use, p)
         yield {"key": mix(t[at[line] + pos]), "a": pdf["doc_id"].to_numpy()[row[line]], "b": place[line], "n": n[line], "pos": pos, "x": x[line], "y": y[line]} | {c: v[line] for c, v in more.items()}
 
 
-def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words: int = 5, hot: int = 2000, rounds: int = 8, few_left: int = 50) -> DataFrame:
+def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int = 2000, rounds: int = 8, few_left: int = 50) -> DataFrame:
     """The lines to remove from docs (doc_id: long, text, mark): doc_id, mark and lines (their numbers, from 0)."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,9 +93,8 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
         for pdf in batches:
             for row, place, t, n, at in _lines(pdf, None):
                 counts.add(t)
-                use = np.flatnonzero(n >= least_words)
                 d1, d2 = sum_by(mix(t), at, n).view(np.int64), sum_by(mix(t ^ _SALT), at, n).view(np.int64)
-                yield pd.DataFrame({"a": pdf["doc_id"].to_numpy()[row[use]], "b": place[use], "n": n[use], "d1": d1[use], "d2": d2[use], "t": None})
+                yield pd.DataFrame({"a": pdf["doc_id"].to_numpy()[row], "b": place, "n": n, "d1": d1, "d2": d2, "t": None})
         yield pd.DataFrame({"a": [0], "b": [0], "n": [0], "d1": [0], "d2": [0], "t": [counts.packed()]})
 
     described = saved(docs.mapInPandas(lambda b: trimmed(describe(b)), "a long, b long, n long, d1 long, d2 long, t binary"), "lines")
@@ -115,7 +115,7 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
     lines = saved(lines.join(firsts, ["d1", "d2"]).select("a", "b", "a0", "b0"), "classes")
     again = saved(by_doc(lines.where("a <> a0 or b <> b0")), "again")
     fresh = with_places(again, "left")
-    found = saved(candidate_pairs(fresh, lambda pdf: _entries(pdf, shared.value, share, least_words), int(n_entries), share, hot), "pairs")
+    found = saved(candidate_pairs(fresh, lambda pdf: _entries(pdf, shared.value, share), int(n_entries), share, hot), "pairs")
     ids = ["a1", "b1", "a2", "b2"]
     pairs, packed, keys = found.where("more >= 0"), found.where("more = -1"), found.where("more = -2")
 
@@ -164,7 +164,7 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
 
         def hot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for e in _entries(pdf, shared.value, share, least_words, wide=True):
+                for e in _entries(pdf, shared.value, share, wide=True):
                     low = e["key"].astype(np.uint32).astype(np.int64)
                     use = np.flatnonzero(np.isin(low, wanted.value)) if wanted.value is not None else np.arange(len(low))
                     bucket = ((e["key"][use] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -205,30 +205,33 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_wor
     return by_doc(removed).select(F.col("_a").alias("doc_id"), F.col("_mark").alias("mark"), F.array_distinct("places").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), least_words: int = 5, hot: int = 2000) -> DataFrame:
+def dedup_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int = 2000) -> DataFrame:
     """Removes from docs (doc_id: an integer, text) every line whose words are similar to an earlier line's.
 
     Similar: Jaccard similarity of the sets of words ([^\\x20\\x09-\\x0D]+) >= share[0] / share[1]. Earlier: of
-    a smaller doc_id, or higher up in the same document. Lines of fewer than ``least_words`` different
-    words are never compared nor removed. Words are kept as 56-bit hashes.
+    a smaller doc_id, or higher up in the same document. Lines without words are neither compared nor
+    removed, all others are, however short or long. Words are kept as 56-bit hashes.
 
     Returns docs' rows: doc_id, text (without those lines), n_lines and n_removed, and docs' other columns.
 
-    Null text stays null, with 0 lines. Rows of the same doc_id and text are one document to each other
+    Null text stays null, with 0 lines. Rows of null doc_id come out as they are, and no line is compared
+    with theirs. docs' other columns may have any names (own n_lines and n_removed are replaced). Rows of the same doc_id and text are one document to each other
     and come out alike; rows of one doc_id with different texts are parted by a hash of the text, which
     also orders them. An empty table gives no rows.
     """
     kind = dict(docs.dtypes)["doc_id"]
     mark = F.pmod(F.xxhash64("text"), F.lit(1 << 24))
     base = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", mark)
-    removed = saved(similar_lines(base, share, least_words, hot), "removed").toDF("_id", "_mark", "_lines")
-    size = removed.agg(F.count("*"), F.sum(F.size("_lines"))).first()
+    removed = saved(similar_lines(base, share, hot), "removed")
+    size = removed.agg(F.count("*"), F.sum(F.size("lines"))).first()
     removed = small(removed, 1, 48 * size[0] + 8 * (size[1] or 0))
-    joined = docs.join(removed, (docs["doc_id"].cast("long") == F.col("_id")) & (F.pmod(F.xxhash64(docs["text"].cast("string")), F.lit(1 << 24)) == F.col("_mark")), "left")
-    lines = F.split(docs["text"].cast("string"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_lines", i.cast("long"))), "\n")
-    text = F.when(F.col("_lines").isNull(), docs["text"].cast("string")).otherwise(kept)
-    breaks = F.length(docs["text"].cast("string")) - F.length(F.replace(docs["text"].cast("string"), F.lit("\n"), F.lit("")))
+    # docs' own columns travel in a struct, so that none of them clashes with a name used here.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    rows = rows.select("doc", F.col("doc")["doc_id"].cast("long").alias("doc_id"), F.col("doc")["text"].cast("string").alias("text"))
+    joined = rows.withColumn("mark", mark).join(removed, ["doc_id", "mark"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("lines", i.cast("long"))), "\n")
+    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept)
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     n_lines = F.coalesce(breaks + 1, F.lit(0)).cast("long")
-    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
-    return joined.select(docs["doc_id"].cast(kind), text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"), *others)
+    others = [F.col("doc")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
+    return joined.select(F.col("doc_id").cast(kind).alias("doc_id"), text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), *others)

@@ -49,7 +49,9 @@ hosts as (select source, count(*) as n, sum(f1::int) as a, sum(f2::int) as b, su
 prior as (select avg(a / n) as ma, var_pop(a / n) as va, avg(b / n) as mb, var_pop(b / n) as vb, avg(c / n) as mc, var_pop(c / n) as vc from hosts),
 weight as (select *, case when va > 0 then least(greatest(ma * (1 - ma) / va - 1, 2), 1e6) else 1e6 end as wa, case when vb > 0 then least(greatest(mb * (1 - mb) / vb - 1, 2), 1e6) else 1e6 end as wb,
                    case when vc > 0 then least(greatest(mc * (1 - mc) / vc - 1, 2), 1e6) else 1e6 end as wc from prior),
-verdict as (select source, (a + ma * wa) / (n + wa) > 0.5 or (b + mb * wb) / (n + wb) > 0.5 or (c + mc * wc) / (n + wc) > 0.5 as rejected from hosts, weight)
+most as (select *, case when va > 0 then least(0.5, ma + 3 * sqrt(ma * (1 - ma) / (wa + 1))) else 0.5 end as la, case when vb > 0 then least(0.5, mb + 3 * sqrt(mb * (1 - mb) / (wb + 1))) else 0.5 end as lb,
+                 case when vc > 0 then least(0.5, mc + 3 * sqrt(mc * (1 - mc) / (wc + 1))) else 0.5 end as lc from weight),
+verdict as (select source, (a + ma * wa) / (n + wa) > la or (b + mb * wb) / (n + wb) > lb or (c + mc * wc) / (n + wc) > lc as rejected from hosts, most)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 or f2 as base_failed, not (f1 or f2) and not rejected as kept
 from rules join verdict on rules.source is not distinct from verdict.source
 """
@@ -85,7 +87,7 @@ select words.doc_id, coalesce(n, 0) as n_shingles, least(words.doc_id, coalesce(
 OP9 = rf"""
 with ls as (select doc_id, l, i from (select doc_id, string_split(text, chr(10)) as a from documents where text is not null), unnest(a) with ordinality u(l, i)),
 sets as (select doc_id, i, list_sort(list_distinct(regexp_extract_all(l, '{_WORD}'))) as w from ls),
-big as (select doc_id, i, w, len(w) as n, row_number() over (order by doc_id, i) as id from sets where len(w) >= 5),
+big as (select doc_id, i, w, len(w) as n, row_number() over (order by doc_id, i) as id from sets where len(w) >= 1),
 -- Equal sets: the first one stands for all.
 firsts as (select w, min(id) as id, any_value(n) as n from big group by w),
 tok as (select id, n, unnest(w) as t from firsts),

@@ -113,19 +113,20 @@ def pack(
     but the rest at the very end, which is dealt into sequences whose lengths are powers of two, so
     nothing is padded.
 
-    Null or empty text: the end id alone. Null source: a queue of its own. Repeated rows and doc_ids are
-    packed once a row. An empty table gives no rows. Other columns are ignored, whatever their names.
+    Null or empty text: the end id alone. Null source: a queue of its own. Null doc_id: packed like any
+    other. Repeated rows and doc_ids are packed once a row. A text of any length is cut into packets. An
+    empty table gives no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        F.col("doc_id"),
+        F.col("doc_id").cast("string").alias("doc_id"),  # as text: pandas would round integers beside a null
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
     )
-    kind = dict(rows.dtypes)["doc_id"]
+    kind = dict(docs.dtypes)["doc_id"]
     tokens = saved(
-        rows.mapInPandas(lambda b: trimmed(_tokenize(b, tokenizer_path, end_id)), f"row long, doc_id {kind}, source string, n long, _ids binary"),
+        rows.mapInPandas(lambda b: trimmed(_tokenize(b, tokenizer_path, end_id)), "row long, doc_id string, source string, n long, _ids binary"),
         "tokens",
     )
     n_rows, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -135,15 +136,15 @@ def pack(
     mixed = F.xxhash64(F.col("doc_id"), F.lit("order"))
     counts = tokens.select("row", queue.alias("queue"), mixed.alias("mixed"), "n").withColumn("block", F.floor(F.pmod(F.col("mixed") / 2.0**64 + 0.5, F.lit(1.0)) * blocks))
     of_block = counts.groupBy("queue", "block").agg(F.sum("n").alias("block_n"))
-    all_of = W.partitionBy("queue")
-    earlier = all_of.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    natural = F.sum("block_n").over(all_of) / F.lit(float(max(total, 1)))
+    queues = of_block.groupBy("queue").agg(F.sum("block_n").alias("queue_n"))
+    natural = F.col("queue_n") / F.lit(float(max(total, 1)))
     share = natural
     if targets:
         whole = float(sum(targets.values()))
         wanted = F.create_map(*[x for k, v in targets.items() for x in (F.lit(f"={k}"), F.lit(v / whole))])
         share = F.coalesce(F.try_element_at(wanted, F.col("queue")), natural)
-    of_block = of_block.select("queue", "block", F.coalesce(F.sum("block_n").over(earlier), F.lit(0)).alias("block_at"), F.greatest(share * window, F.lit(1e-6)).alias("quantum"))
+    queues = queues.select("queue", F.greatest(share * window, F.lit(1e-6)).alias("quantum"))
+    of_block = with_prefix(of_block, "block", "block_n", "block_at", within=("queue",)).join(queues, "queue").select("queue", "block", "block_at", "quantum")
 
     in_block = W.partitionBy("queue", "block").orderBy("mixed", "row").rowsBetween(W.unboundedPreceding, 0)
     served = counts.withColumn("upto", F.sum("n").over(in_block)).join(of_block, ["queue", "block"])
@@ -197,5 +198,6 @@ def pack(
     return (
         tokens.join(pieces, "row")
         .select("doc_id", "source", "n", "_ids", "pieces")
-        .mapInPandas(lambda b: trimmed(_cut(b)), f"doc_id {kind}, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+        .mapInPandas(lambda b: trimmed(_cut(b)), "doc_id string, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+        .withColumn("doc_id", F.col("doc_id").cast(kind))
     )

@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are the identifiers that fixed patterns find (email, ip, card, phone). The two words before an
-identifier are a lexical pattern. Patterns and the identifier-like tokens they precede form a graph that
-is scored in rounds: a pattern is as good as the share of its occurrences that precede known
-identifiers, an unseen token is as good as its best pattern, and tokens found in one round support
-patterns in the next. Tokens of high-confidence patterns are added as kind 'id'.
+Seeds are the identifiers that fixed patterns find (email, ip, card, phone) and long runs of letters and
+digits that a name is set to (``token = "..."``). The two words before an identifier are a lexical pattern,
+and so are the two after it. Patterns and the identifier-like tokens beside them form a graph that is
+scored in rounds: a pattern is as good as the share of its occurrences that are beside known identifiers,
+an unseen token is as good as its best pattern, and tokens found in one round support patterns in the
+next. Labelled seeds and tokens of high-confidence patterns are added as kind 'id'.
 """
 
 from __future__ import annotations
@@ -25,28 +26,72 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+"
 
 
-def matches(df: DataFrame, text: str, regex: str, out: str, needs: str) -> DataFrame:
-    """Adds out: the matches of regex in order, as array of (start, end, hit, before), in code points.
+#: A seed of kind id: so long a run of letters and digits, at least one of each, in a token that a name is set to.
+RUN = r"[A-Za-z0-9+/_-]{20,}"
+LABELLED = rf"^[^\s=:]*[A-Za-z][^\s=:]*[=:][\"']?{RUN}"
+BLOCK = 64
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    before: the last characters of the text between this match and the last one. needs: a cheap pattern
-    without which there can be no match.
+def running(values: Column, zero: int, op) -> Column:
+    """For each of values (array<int>) the combination by op (zero: its neutral value) of all before it.
+
+    In two levels, blocks of BLOCK values and then within them, so that no long array is copied for every value.
     """
-    hits, gaps = f"_{out}_hits", f"_{out}_gaps"
-    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,hit:string,before:string>>").alias("out"))
-    zero = zero.withField("out", F.coalesce(zero["out"], F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")))
+    start = F.array(F.lit(zero))
+    follow = lambda acc, v: F.array_append(acc, op(F.element_at(acc, -1), v))
+
+    def combined(blocks: Column) -> Column:
+        bases = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, F.lit(zero), op)), start, follow)
+        inner = lambda b, base: F.aggregate(b, F.array(base), follow, lambda acc: F.slice(acc, F.lit(1), F.size(b)))
+        return F.flatten(F.zip_with(blocks, F.slice(bases, F.lit(1), F.size(blocks)), inner))
+
+    last = lambda v: F.greatest(F.floor((F.size(v) - 1) / BLOCK), F.lit(0)).cast("int")
+    blocks = _let(values, lambda v: F.transform(F.sequence(F.lit(0), last(v)), lambda b: F.slice(v, b * BLOCK + 1, BLOCK)))
+    return _let(blocks, combined)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(80)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
+def matches(df: DataFrame, text: str, regex: str, out: str, needs: str) -> DataFrame:
+    """Adds out: the matches of regex in order, as array of (start, end, hit, before, after), in code points.
+
+    before: the last characters of the text between this match and the last one; after: the first ones up
+    to the next. needs: a cheap pattern without which there can be no match. Takes linear time.
+    """
+    hits, gaps, at = f"_{out}_hits", f"_{out}_gaps", f"_{out}_at"
+    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string,after:string>>")
     found = F.when(F.col(text).rlike(needs), F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0)))
     df = df.withColumn(hits, found)
     df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.split(F.col(text), regex, -1)))
-    pairs = F.zip_with(F.slice(F.col(gaps), F.lit(1), F.size(hits)), F.col(hits), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    made = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    return df.withColumn(out, F.when(F.col(gaps).isNotNull(), made).otherwise(zero["out"])).drop(hits, gaps)
+    sizes = F.zip_with(F.slice(F.col(gaps), F.lit(1), F.size(hits)), F.col(hits), lambda g, h: F.length(g) + F.length(h))
+    df = df.withColumn(at, F.when(F.col(gaps).isNotNull(), running(sizes, 0, lambda a, b: a + b)))
+    one = lambda x: F.struct(
+        (x["at"] + F.length(x["gap"])).alias("start"),
+        (x["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
+        x["hit"].alias("hit"),
+        F.right(x["gap"], F.lit(80)).alias("before"),
+        F.left(x["next"], F.lit(80)).alias("after"),
+    )
+    zipped = F.arrays_zip(F.slice(F.col(gaps), F.lit(1), F.size(hits)).alias("gap"), F.slice(F.col(gaps), F.lit(2), F.size(hits)).alias("next"), F.col(hits).alias("hit"), F.col(at).alias("at"))
+    return df.withColumn(out, F.when(F.col(gaps).isNotNull(), F.transform(zipped, one)).otherwise(none)).drop(hits, gaps, at)
+
+
+def touched(tokens: Column, spans: Column) -> Column:
+    """Which of tokens (in order) a span overlaps, as array<boolean>: running maxima of ends and minima of starts over both, by start."""
+    each = lambda x, span: F.struct(x["start"].alias("start"), F.lit(not span).alias("token"), x["end"].alias("end"))
+    last = 2**31 - 1
+
+    def seen(both: Column) -> Column:
+        ends = running(F.transform(both, lambda x: F.when(x["token"], 0).otherwise(x["end"])), 0, lambda a, b: F.greatest(a, b))
+        starts = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(x["token"], last).otherwise(x["start"]))), last, lambda a, b: F.least(a, b)))
+        hit = lambda z: F.struct(z["x"]["token"].alias("token"), ((z["e"] > z["x"]["start"]) | (z["s"] < z["x"]["end"])).alias("hit"))
+        return F.transform(F.arrays_zip(both.alias("x"), ends.alias("e"), starts.alias("s")), hit)
+
+    both = F.array_sort(F.concat(F.transform(spans, lambda x: each(x, True)), F.transform(tokens, lambda x: each(x, False))))
+    return F.transform(F.filter(_let(both, seen), lambda z: z["token"]), lambda z: z["hit"])
 
 
 def _digits(hit: Column) -> Column:
@@ -80,41 +125,51 @@ def _joined(spans: Column) -> Column:
 
 
 def _context(before: Column) -> Column:
-    """The last two words before a token, in lower case; null if the last has no letter or sign of assignment."""
+    """'<' and the last two words before a token, in lower case; null if the last has no letter or sign of assignment."""
     two = F.regexp_extract(F.lower(before), r"(\S{1,38}\s{1,4}\S{1,38})\s{1,4}$", 1)
-    return F.when(two.rlike(r"[\p{L}:=#]\S*$"), F.regexp_replace(two, r"\s+", " "))
+    return F.when(two.rlike(r"[\p{L}:=#]\S*$"), F.concat(F.lit("<"), F.regexp_replace(two, r"\s+", " ")))
+
+
+def _context_after(after: Column) -> Column:
+    """'>' and the two words after a token, in lower case; null if the first has no letter."""
+    two = F.regexp_extract(F.lower(after), r"^\s{1,4}(\S{1,38}\s{1,4}\S{1,38})(?:\s|$)", 1)
+    return F.when(two.rlike(r"^\S*\p{L}"), F.concat(F.lit(">"), F.regexp_replace(two, r"\s+", " ")))
 
 
 def occurrences(texts: DataFrame, patterns: DataFrame, most_literals: int = 5000) -> DataFrame:
-    """How often each of the given patterns (two words) occurs in the texts: pattern, occurs.
+    """How often the two words of each of the given patterns occur in the texts: pattern, occurs.
 
     Up to most_literals patterns are a set within the expression, so that only their occurrences become
     rows; more are joined.
     """
     words = F.filter(F.split(F.lower(F.col("text")), r"\s+"), lambda w: w != "")
     pairs = F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.concat(a, F.lit(" "), b))
-    n = patterns.count()
+    wanted = patterns.select(F.substring("pattern", 2, 1 << 20).alias("said")).distinct()
+    n = wanted.count()
     if n <= most_literals:
-        known = [r[0] for r in patterns.select("pattern").collect()]
+        known = [r[0] for r in wanted.collect()]
         pairs = F.filter(pairs, lambda p: p.isin(known))
-    said = texts.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(pairs).alias("pattern"))
+    said = texts.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(pairs).alias("said"))
     if n > most_literals:
-        said = said.join(small(patterns.select("pattern"), n, 120), "pattern", "left_semi")
-    return said.groupBy("pattern").agg(F.count("*").alias("occurs"))
+        said = said.join(small(wanted, n, 120), "said", "left_semi")
+    counts = said.groupBy("said").agg(F.count("*").alias("occurs"))
+    return patterns.select("pattern", F.substring("pattern", 2, 1 << 20).alias("said")).join(counts, "said").select("pattern", "occurs")
 
 
 def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3, confidence: float = 0.8, smoothing: float = 1.0) -> DataFrame:
     """Finds personal data in docs (doc_id, text).
 
-    A pattern needs ``least_support`` different identifiers known before it and a share of known
+    A pattern needs ``least_support`` different identifiers known beside it and a share of known
     identifiers of at least ``confidence`` among all its occurrences in the corpus (plus
-    ``smoothing``), whatever follows it there.
+    ``smoothing``), whatever is beside it there.
 
-    Returns a row per document: doc_id, n_email, n_ip, n_card, n_phone (long), base and spans (arrays of
-    kind, start, end, by kind and start; code points, end exclusive; spans has what the patterns
-    discovered too, as kind 'id').
+    Returns a row per document: doc_id, n_email, n_ip, n_card, n_phone, n_id (long), base and spans (arrays
+    of kind, start, end, by kind and start; code points, end exclusive; spans has the labelled seeds and
+    what the patterns discovered too, as kind 'id').
 
-    Null text counts as empty. Repeated rows are searched each on its own. An empty table gives no rows.
+    Null text counts as empty, a null doc_id is returned as null. Repeated rows are searched each on its
+    own. Texts of any length are searched whole, in linear time. An empty table gives no rows. Other
+    columns are ignored.
     """
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = base
@@ -124,20 +179,26 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3,
         rows = rows.withColumn(kind, _kept(kind))
     rows = matches(rows, "text", TOKEN, "tokens", "[0-9@]")
     rows = rows.select("row", "doc_id", *KINDS, F.concat(*KINDS).alias("base"), "tokens")
-    # A token is known if a span of the base lies on it; trailing punctuation is not part of it.
-    def mention(t: Column, spans: Column) -> Column:
-        value = F.regexp_replace(t["hit"], r"[^\p{L}0-9]{1,9}$", "")
-        known = F.exists(spans, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
-        return F.struct(t["start"].alias("start"), (t["start"] + F.length(value)).alias("end"), F.lower(value).alias("value"), known.alias("known"), _context(t["before"]).alias("pattern"))
-
-    rows = saved(rows.withColumn("mentions", F.transform("tokens", lambda t: mention(t, F.col("base")))).drop("tokens"), "spans")
-
-    edges = rows.select(F.explode("mentions").alias("m")).select("m.*").where("pattern is not null and value <> ''")
+    # A token is known if a span of the base lies on it, or if it is a labelled seed; quotes and punctuation are not part of it.
+    def mention(t: Column, touched: Column) -> Column:
+        head = F.length(F.regexp_extract(t["hit"], r"^[^\p{L}0-9+]{1,9}", 0))
+        value = F.regexp_replace(F.substring(t["hit"], head + 1, F.length(t["hit"])), r"[^\p{L}0-9]{1,9}$", "")
+        before = _context(t["before"])
+        run = F.regexp_extract(value, RUN + "$", 0)
+        named = F.coalesce(before.rlike("[=:]$") & value.rlike(f"^{RUN}$"), F.lit(False)) | value.rlike(LABELLED)
+        seed = named & run.rlike("[0-9]") & run.rlike("[A-Za-z]")
+        start = t["start"] + head
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), F.lower(value).alias("value"), touched.alias("base"), (seed & ~touched).alias("seed"), (touched | seed).alias("known"), F.array_compact(F.array(before, _context_after(t["after"]))).alias("patterns"))
+
+    rows = rows.withColumn("touched", F.when(F.size("tokens") > 0, touched(F.col("tokens"), F.col("base"))).otherwise(F.array().cast("array<boolean>")))
+    rows = saved(rows.withColumn("mentions", F.zip_with("tokens", "touched", mention)).drop("tokens", "touched"), "spans")
+
+    edges = rows.select(F.explode("mentions").alias("m")).where("m.value <> ''").select("m.value", "m.known", F.explode("m.patterns").alias("pattern"))
     edges = edges.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("known").alias("known"), F.max(~F.col("known")).alias("open"))
     edges = saved(edges, "edges")
     known = edges.where("known").select("value").distinct().withColumn("score", F.lit(1.0))
     # What no round can trust is left out. Words of shorter patterns are whole, so these occur before_ids times at least.
-    cut_words = F.length("pattern") >= 40
+    cut_words = F.length("pattern") >= 41
     support = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.max("open").alias("open"), F.sum("n").alias("before_ids"))
     able = support.where(F.col("open") & (F.col("values") >= least_support) & (cut_words | (F.col("before_ids") / (F.col("before_ids") + smoothing) >= confidence)))
     edges = edges.join(able.select("pattern", "before_ids"), "pattern").join(known, "value", "left")
@@ -167,13 +228,17 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3,
             best = edges.join(good, "pattern").groupBy("value").agg(F.max("p").alias("p"))
             scores = saved(scores.join(best, "value", "left").select("value", F.greatest("score", F.coalesce("p", F.lit(0.0))).alias("score")), "scores")
         found = good if rounds else None
-    spans = F.col("base")
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    span = lambda m: F.struct(F.lit("id").alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
+    ids = F.transform(F.filter("mentions", lambda m: m["seed"]), span)
     if found is not None:
-        unseen = rows.select("row", F.explode("mentions").alias("m")).where(~F.col("m.known")).join(found.select(F.col("pattern").alias("_p")), F.col("m.pattern") == F.col("_p"))
-        more = unseen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), F.col("m.start").alias("start"), F.col("m.end").alias("end")))).alias("more"))
+        beside = rows.select("row", F.explode("mentions").alias("m")).where("not m.known and m.value <> ''").select("row", "m", F.explode("m.patterns").alias("pattern"))
+        beside = beside.join(small(found.select("pattern"), found.count(), 120), "pattern", "left_semi")
+        more = beside.groupBy("row").agg(F.collect_set(span(F.col("m"))).alias("more"))
         rows = rows.join(more, "row", "left")
-        spans = F.concat(F.col("base"), F.coalesce(F.col("more"), F.array().cast("array<struct<kind:string,start:int,end:int>>")))
-    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], "base", spans.alias("spans"))
+        ids = F.array_sort(F.concat(ids, F.coalesce("more", empty)))
+    rows = rows.withColumn("ids", ids)
+    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in (*KINDS, "ids")], "base", F.concat("base", "ids").alias("spans")).withColumnRenamed("n_ids", "n_id")
 
 
 def joined_spans(spans: str) -> Column:

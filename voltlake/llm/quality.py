@@ -89,11 +89,6 @@ def fit(words: np.ndarray, stats: np.ndarray, y: np.ndarray, epochs: int = 30, b
     return p | {"scale": scale}
 
 
-def _frame(df: DataFrame, *more) -> DataFrame:
-    chars = F.col("n_chars").cast("double") if "n_chars" in df.columns else F.lit(None).cast("double")
-    return df.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), chars.alias("n_chars"), *more)
-
-
 def _featurise(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     made = [words_and_structure(t, c) for t, c in zip(pdf["text"], pdf["n_chars"])]
     return np.array([m[0] for m in made], np.float32).reshape(-1, WORDS), np.array([m[1] for m in made], np.float64).reshape(-1, STATS)
@@ -147,11 +142,6 @@ def inputs(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), chars.alias("n_chars")]
 
 
-def _featurise(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    made = [words_and_structure(t, c) for t, c in zip(pdf["text"], pdf["n_chars"])]
-    return np.array([m[0] for m in made], np.float32).reshape(-1, WORDS), np.array([m[1] for m in made], np.float64).reshape(-1, STATS)
-
-
 def classify_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000, threshold: float = 0.3) -> DataFrame:
     """Scores docs (doc_id, text, n_chars if there), learning from labels (doc_id, quality 0/1); see quality_scorer.
 
@@ -160,7 +150,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6
 
     Null text counts as empty and is scored too; null n_chars is taken from the text. Labels of null
     quality or null doc_id are not learnt from; with none left, or one class alone, every score is that
-    class's (1.0 if nothing is labelled). Repeated rows are scored alike. Other columns are ignored.
+    class's (1.0 if nothing is labelled). Several labels of one doc_id, or rows of one doc_id, are learnt
+    from each; a null doc_id is returned as null and has no label. Texts of any length are read whole.
+    Repeated rows are scored alike. An empty table gives no rows. Other columns are ignored.
     """
     scorer = quality_scorer(docs, labels, max_train_rows)
     scored = docs.select("doc_id", *inputs(docs)).select("doc_id", scorer("text", "n_chars").alias("score"))

@@ -2,11 +2,13 @@
 
 Documents fail rules on their own text. Failures are counted by host, the host's rate of each rule is
 shrunk towards an empirical beta prior (moments over all hosts), so that a host of few documents is
-not judged by chance, and the verdict on the host is joined back to its documents.
+not judged by chance. A host whose shrunk rate stands out from that prior is rejected, and the verdict
+is joined back to its documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import BROADCAST_BYTES, saved, small
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -54,28 +56,30 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = pd.DataFrame([text_counts(t) for t in pdf["text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], index=pdf.index)
-        yield pd.concat([pdf[["doc_id", "host"]], found.astype("int64")], axis=1)
+        yield pd.concat([pdf[["row", "doc_id", "host"]], found.astype("int64")], axis=1)
 
 
-def host_rules(docs: DataFrame, host: str = "source", least_words: int = 50, most_repeated: int = 50, most_symbols: int = 50, limit: float = 0.5) -> DataFrame:
+def host_rules(docs: DataFrame, host: str = "source", least_words: int = 50, most_repeated: int = 50, most_symbols: int = 50, limit: float = 0.5, deviations: float = 3.0, salts: int = 16) -> DataFrame:
     """Counts and verdicts for docs (doc_id, text and the column named by ``host``).
 
     A document is short below least_words words, repetitive if over most_repeated per cent of its words
     lie in repeated 3-word windows, and heavy in symbols if it has over most_symbols of them per 100
-    words. base_failed: short or repetitive. A host is rejected if its shrunk rate of any rule is
-    over limit.
+    words. base_failed: short or repetitive. A host is rejected if its shrunk rate of any rule is over
+    limit, or more than ``deviations`` standard deviations of the prior above the prior's mean.
 
     Returns a row per document: doc_id, host, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, host_rejected and kept.
 
-    Null text counts as no words. Documents of null host form one host. With a single host, or hosts
-    whose rates are all equal, the prior has no spread and the common rate decides. Repeated rows count
-    each.
+    Null text counts as no words. Documents of null host form one host; a null doc_id is returned as null.
+    With a single host, or hosts whose rates are all equal, the prior has no spread and limit alone
+    decides. Texts of any length are read whole. Repeated rows count each. An empty table gives no rows;
+    other columns are ignored. More rejected hosts than may be broadcast are joined in ``salts`` parts each.
     """
-    rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    counts = rows.mapInPandas(_counts, f"doc_id {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
-    counts = saved(counts, "counts")
+    # Ids as text: pandas would round integers beside a null.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
+    counts = rows.mapInPandas(_counts, "row long, doc_id string, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    counts = saved(counts.withColumn("doc_id", F.col("doc_id").cast(kind)), "counts")
     fails = {
         "short": F.col("n_words") < least_words,
         "repetitive": 100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"),
@@ -89,19 +93,25 @@ def host_rules(docs: DataFrame, host: str = "source", least_words: int = 50, mos
         mean, var = row[f"{r}_mean"] or 0.0, row[f"{r}_var"] or 0.0
         weight = mean * (1 - mean) / var - 1 if var > 0 else 1e6
         weight = min(max(weight, 2.0), 1e6)  # at least as strong as a uniform prior
-        over.append((F.col(r) + mean * weight) / (F.col("n") + weight) > limit)
+        most = min(limit, mean + deviations * math.sqrt(mean * (1 - mean) / (weight + 1))) if var > 0 else limit
+        over.append((F.col(r) + mean * weight) / (F.col("n") + weight) > most)
     bad = over[0]
     for x in over[1:]:
         bad = bad | x
     # Rejected hosts alone are joined back, by a null-safe text key.
     key = F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit("null"))
-    rejected = hosts.where(bad).select(key.alias("_host"), F.lit(True).alias("_bad"))
-    rejected = small(rejected, rejected.count(), 128)
+    rejected = saved(hosts.where(bad).select(key.alias("_host"), F.lit(True).alias("_bad")), "rejected")
+    n = rejected.count()
+    if 128 * n > BROADCAST_BYTES:  # a host may hold a large share of all rows
+        part, each = F.pmod(F.xxhash64("row"), F.lit(salts)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    else:
+        part = each = F.lit(0).cast("long")
     return (
         counts.withColumn("_host", key)
-        .join(rejected, "_host", "left")
+        .withColumn("_part", part)
+        .join(small(rejected.withColumn("_part", each), n, 128), ["_host", "_part"], "left")
         .withColumn("base_failed", fails["short"] | fails["repetitive"])
         .withColumn("host_rejected", F.coalesce("_bad", F.lit(False)))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
-        .drop("_host", "_bad")
+        .drop("_host", "_part", "_bad", "row")
     )

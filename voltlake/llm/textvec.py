@@ -23,9 +23,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words ([^\\x20\\x09-\\x0D]+) of all texts in order, the text of each, and its line (\\n-split) in that text."""
-    raw = [t.encode() if t else b"" for t in texts]
+    raw = [t if isinstance(t, bytes) else t.encode() if t else b"" for t in texts]
     starts = np.cumsum([0] + [len(r) + 1 for r in raw])
     buf = b"\n".join(raw) + b"\n" * 16
     if lower:
