@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm.common import held_out, saved, small
-from voltlake.llm.decontam import MOST_CHUNKS, decontaminate, n_chunks, searcher
+from voltlake.llm.decontam import MOST_CHUNKS, hit_texts, n_chunks, searcher
 from voltlake.llm.jaccard import near_duplicates
 from voltlake.llm.linededup import dedup_lines
 from voltlake.llm.packing import pack
@@ -32,25 +32,31 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of every group of near duplicates."""
+    """The document of smallest doc_id of every group of near duplicates.
+
+    Of rows that share a doc_id the one of least text stays. Rows of null doc_id, which are in no group, stay.
+    """
     near = saved(near_duplicates(docs), "near")
     others = near.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(small(others, others.count(), 16), "doc_id", "left_anti")
-    repeated = near.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = near.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     n = repeated.count()
     if n:  # rows that share a doc_id are one document
         repeated = small(repeated, n, 16)
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        one = kept.select(F.struct("*").alias("row")).join(repeated, F.col("row.doc_id") == F.col("doc_id"), "left_semi")
+        one = one.groupBy(F.col("row.doc_id").alias("_id")).agg(F.min_by("row", F.struct("row.text", F.xxhash64("row"))).alias("row")).select("row.*")
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(one)
     return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
+    """Documents whose text holds no window of the benchmark, whatever their doc_id, however many chunks the benchmark has."""
     benchmark = table(spark, sf_dir, "benchmark")
     if n_chunks(benchmark, CHUNK) <= MOST_CHUNKS:
         return docs.where(searcher(benchmark, chunk_bytes=CHUNK)(F.col("text").cast("string"))["n_hit"] == 0)
-    hit = saved(decontaminate(docs, benchmark, chunk_bytes=CHUNK).where("n_hit > 0").select("doc_id").distinct(), "hit")
-    return docs.join(small(hit, hit.count(), 16), "doc_id", "left_anti").select(*docs.columns)
+    hit = saved(hit_texts(docs.select(F.col("text").cast("string").alias("text")), benchmark, chunk_bytes=CHUNK).select("mark").distinct(), "hit")
+    hit = small(hit, hit.count(), 16)
+    return docs.join(hit, F.xxhash64(docs["text"].cast("string")) == hit["mark"], "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
