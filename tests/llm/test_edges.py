@@ -102,6 +102,18 @@ def test_near_duplicates(docs, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_ids_beside_nulls(spark):
+    """2^53 + 1 is no float: a null id in the same batch must not change it."""
+    ids = [2**53 + 1, None, 2**53 + 3, -(2**62) - 1]
+    text = "the cat is on the mat and the dog is at the door of the old house"
+    rows = spark.createDataFrame([(i, text, "en", "a", 9) for i in ids], SCHEMA).coalesce(1)
+    pages = rows.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/c").alias("url"), F.concat(F.lit("<p>"), "text").alias("html"), F.lit("2024-01-05").alias("fetched"))
+    entries = spark.createDataFrame([("a.b", "block", "2024-01-01")], "pattern string, action string, listed string")
+    made = [pack(rows, queries.tokenizer_path()), classify_quality(rows, labels(spark)), host_rules(rows), decontaminate(rows, benchmark(spark)), near_duplicates(rows), identify_language(rows, rows), dedup_lines(rows), find_personal_data(rows)]
+    for df in (*made, *(f.withColumnRenamed("page_id", "doc_id") for f in (extract_text(pages), temporal_url_filter(pages, entries)))):
+        assert {r.doc_id for r in df.collect()} == set(ids)
+
+
 def test_language(docs, none):
     by = {r.doc_id: r for r in identify_language(docs, docs).collect()}
     assert by[2].lang_pred == by[3].lang_pred == by[4].lang_pred == "und" and by[6].lang_pred == "la"
@@ -121,6 +133,25 @@ def test_personal_data(docs, none):
     assert find_personal_data(none).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [10, 1 << 20])
+def test_decontamination_stage_judges_rows(spark, tmp_path, monkeypatch, chunk):
+    """A contaminated row goes and a clean one stays, with equal or null doc_ids, in one pass or several."""
+    items = [(i, " ".join(f"b{i}w{k}" for k in range(12))) for i in range(12)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(corpus_pipeline, "CHUNK", chunk)
+    rows = [(5, "clean", "x"), (5, items[3][1], "y"), (None, items[4][1], "z"), (None, None, "n"), (6, "say " + items[7][1].upper(), "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.mark for r in got) == ["n", "x"]
+
+
+def test_near_duplicate_stage_keeps_one_row(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text + " b"), (5, text + " a"), (3, "other words"), (None, text), (None, text), (7, text), (3, "other words")]
+    got = corpus_pipeline.keep_one_of_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(5, text + " a"), (3, "other words"), (None, text), (None, text)], key=str)
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages(spark, docs, none, tmp_path, k):
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
