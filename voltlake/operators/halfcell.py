@@ -1,14 +1,17 @@
-"""Half-cell fits: how far a cell's electrodes have slipped and shrunk, by a search that Spark spreads over cells and candidates.
+"""Half-cell fits: how far a cell's electrodes have slipped and shrunk, by a search that Spark spreads over cells.
 
 A full-cell curve is the positive electrode's potential minus the negative's, each over its own scaled and
-shifted capacity. Candidates are rows: every round joins the measured points of a cell with its candidates,
-computes the errors of all, and draws a finer grid around the best few. There is no per-cell solver.
+shifted capacity. A cell's curve is one row; a task computes the errors of all candidates of a cell at
+once, and draws a finer grid around the best few, round by round.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,25 +39,34 @@ def fit_electrodes(cells: DataFrame, pe: list[tuple[float, float]], ne: list[tup
 
     pe, ne: reference curves on even grids of 0 to 1. bounds: of each parameter. Each round spreads n values
     of each parameter around the ``keep`` best candidates of a cell and shrinks the spread to 0.35. A
-    candidate that leaves points undefined pays 1 V for each.
+    candidate that leaves points undefined pays 1 V for each. Points with a null are left out.
     """
-    keys = ["run_id", "cycle_index"]
-    steps = [i / (n - 1) - 0.5 for i in range(n)]
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(p) for p, v in zip(PARAMETERS, c)]) for c in itertools.product(steps, repeat=len(PARAMETERS))])
-    points = cells.groupBy(*keys).agg(F.collect_list(F.struct("q", "voltage")).alias("points"))
-    spread = {p: hi - lo for p, (lo, hi) in bounds.items()}
-    centre = points.select(*keys, *[F.lit((lo + hi) / 2).alias(p) for p, (lo, hi) in bounds.items()])
-    best = None
-    for _ in range(rounds):
-        tried = centre.withColumn("o", F.explode(offsets))
-        tried = tried.select(*keys, *[F.greatest(F.lit(bounds[p][0]), F.least(F.lit(bounds[p][1]), F.col(p) + F.col("o")[p] * spread[p])).alias(p) for p in PARAMETERS]).distinct()
-        off = lambda s: F.coalesce(F.pow(emulate(pe, ne, s["q"], F.col("lli"), F.col("q_pe"), F.col("q_ne")) - s["voltage"], F.lit(2)), F.lit(1.0))
-        error = F.sqrt(F.aggregate(F.transform("points", off), F.lit(0.0), lambda a, x: a + x) / F.size("points"))
-        scored = tried.join(points, keys).select(*keys, error.alias("error"), *PARAMETERS)
-        if best is not None:
-            scored = scored.unionByName(best)
-        best = scored.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_set(F.struct("error", *PARAMETERS))), 1, keep).alias("b")).select(*keys, F.explode("b").alias("b")).select(*keys, "b.*").persist()
-        centre = best.select(*keys, *PARAMETERS)
-        spread = {p: s * 0.35 for p, s in spread.items()}
-    found = F.min(F.struct("error", *PARAMETERS)).alias("b")
-    return best.groupBy(*keys).agg(found).select(*keys, *[F.col(f"b.{p}").alias(p) for p in PARAMETERS], F.col("b.error").alias("error"))
+    low, high = (np.array([bounds[p][i] for p in PARAMETERS], float) for i in (0, 1))
+    offsets = np.array(list(itertools.product(np.arange(n) / (n - 1) - 0.5, repeat=len(PARAMETERS))))
+    curves = [np.array(c, float).T for c in (pe, ne)]
+
+    def errors(c: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        at = ((q + c[:, :1]) / c[:, 1:2], q / c[:, 2:3])
+        plus, minus = (np.interp(x, *curve, left=np.nan, right=np.nan) for x, curve in zip(at, curves))
+        return np.sqrt(np.nan_to_num((plus - minus - v) ** 2, nan=1.0).mean(axis=1))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for points in pdf["points"]:
+                q, v = np.array([(p["q"], p["voltage"]) for p in points]).T
+                best, spread = ((low + high) / 2)[None, :], high - low
+                for _ in range(rounds):
+                    tried = np.clip(best[:, None, :] + offsets * spread, low, high).reshape(-1, len(PARAMETERS))
+                    tried = np.unique(np.concatenate((best, tried)), axis=0)
+                    off = errors(tried, q, v)
+                    first = np.argsort(off, kind="stable")[:keep]
+                    best, spread = tried[first], spread * 0.35
+                rows.append((*best[0], off[first[0]]))
+            yield pd.concat([pdf[["cell"]], pd.DataFrame(rows, columns=[*PARAMETERS, "error"], index=pdf.index)], axis=1)
+
+    cell = F.to_json(F.struct("run_id", "cycle_index"), {"ignoreNullFields": "false"}).alias("cell")
+    points = cells.where("q is not null and voltage is not null").groupBy("run_id", "cycle_index").agg(F.collect_list(F.struct("q", "voltage")).alias("points"))
+    schema = cells.select("run_id", "cycle_index").schema.simpleString()
+    found = points.select(cell, "points").mapInPandas(fit, "cell string, lli double, q_pe double, q_ne double, error double")
+    return found.select(F.from_json("cell", schema).alias("c"), *PARAMETERS, "error").select("c.*", *PARAMETERS, "error")

@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from .steps import STEP, classify_steps, waveform_steps, with_step_counter, with_step_order
 
 
-def grid(bounds: DataFrame, keys: list[str], n: int, x: str) -> DataFrame:
-    """n points from lo to hi for each row of bounds (keys, lo, hi): lo + i * ((hi - lo) / (n - 1)), and hi itself."""
-    i = F.col("_i")
+def grid(bounds: DataFrame, keys: list[str], n: int | None, x: str) -> DataFrame:
+    """n points (or as many as the column n of bounds says) from lo to hi for each row of bounds (keys, lo, hi): lo + i * ((hi - lo) / (n - 1)), and hi itself."""
+    i, n = F.col("_i"), F.col("n") if n is None else F.lit(n)
     point = F.when(i == n - 1, F.col("hi")).otherwise(F.col("lo") + i * ((F.col("hi") - F.col("lo")) / (n - 1)))
-    return bounds.where("lo is not null and hi is not null").select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i")).select(*keys, point.alias(x)).distinct()
+    bounds = bounds.where("lo is not null and hi is not null").withColumn("n", n)
+    return bounds.select(*keys, "lo", "hi", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_i")).select(*keys, point.alias(x)).distinct()
 
 
-def interpolate(samples: DataFrame, bounds: DataFrame, keys: list[str], x: str, columns: list[str], n: int) -> DataFrame:
+def interpolate(samples: DataFrame, bounds: DataFrame, keys: list[str], x: str, columns: list[str], n: int | None = None) -> DataFrame:
     """samples (keys, data_point, x, columns) at the grid of each row of bounds (keys, lo, hi): keys, x, columns."""
     samples = samples.where(F.col(x).isNotNull()).repartition(*keys)
     order = F.col("data_point")
@@ -88,20 +89,32 @@ def interpolate_steps(
 def interpolate_cycles(raw: DataFrame, v_range: tuple[float, float] | None = None, resolution: int = 1000, charge_axis: str = "charge_capacity", discharge_axis: str = "voltage", cycles: DataFrame | None = None) -> DataFrame:
     """Discharge and charge curves of the cycles, in long form with columns axis and x.
 
-    A run with a waveform step in one direction has that direction on the time axis.
+    A run with a waveform step in one direction has that direction on the time axis. Steps are told apart
+    once, and all are resampled in one pass: a step's axis is its x.
     """
-    waves = waveform_steps(raw).where("is_waveform")
-    driven = waves.join(classify_steps(raw), list(STEP)).select("run_id", "is_charge").distinct()
-    out = None
-    for charge, axis in ((False, discharge_axis), (True, charge_axis)):
-        waved = driven.where(F.col("is_charge") == charge).select("run_id")
-        parts = [(raw.join(waved, "run_id", "left_anti"), axis)]
-        if "_wf_chg_cap" in raw.columns:
-            parts.append((raw.join(waved, "run_id", "left_semi"), "test_time"))
-        for rows, on in parts:
-            one = interpolate_steps(rows, charge, on, v_range, resolution, cycles=cycles).withColumn("axis", F.lit(on))
-            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+    if v_range is None:
+        v_range = (2.8, 3.5)
+    steps = classify_steps(raw)
+    axis = F.when(F.col("is_charge"), F.lit(charge_axis)).otherwise(F.lit(discharge_axis))
+    if "_wf_chg_cap" in raw.columns:
+        waves = waveform_steps(raw).where("is_waveform").join(steps, list(STEP)).select("run_id", "is_charge", F.lit(True).alias("_wave")).distinct()
+        steps, axis = steps.join(waves, ["run_id", "is_charge"], "left"), F.when(F.col("_wave"), F.lit("test_time")).otherwise(axis)
+    steps = steps.where("n_points > 1").select(*STEP, F.when(F.col("is_charge"), "charge").otherwise("discharge").alias("step_type"), axis.alias("axis"))
+    if cycles is not None:
+        steps = steps.join(cycles.select("run_id", "cycle_index").distinct(), ["run_id", "cycle_index"], "left_semi")
+    axes = sorted({charge_axis, discharge_axis} | ({"test_time"} if "_wf_chg_cap" in raw.columns else set()))
+    of_axis = lambda choose: F.coalesce(*[F.when(F.col("axis") == a, choose(a)) for a in axes])
+    rows = raw.join(steps, list(STEP)).withColumn("_x", of_axis(F.col))
+    capacities = [a for a in axes if a in ("charge_capacity", "discharge_capacity")]
+    bounds = rows.groupBy(*STEP, "axis").agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1"))
+    if capacities:
+        bounds = bounds.join(raw.groupBy("run_id").agg(*[f(a).alias(f"{a}_{k}") for a in capacities for f, k in ((F.min, 0), (F.max, 1))]), "run_id")
+    end = lambda k: lambda a: F.lit(float(v_range[k])) if a == "voltage" else F.col(f"_x{k}") if a == "test_time" else F.col(f"{a}_{k}")
+    bounds = bounds.select(*STEP, of_axis(end(0)).alias("lo"), of_axis(end(1)).alias("hi"))
+    columns = ["current", "charge_capacity", "discharge_capacity", "temperature"]
+    out = interpolate(rows, bounds, list(STEP), "_x", columns, resolution).join(steps, list(STEP))
+    own = [F.when(F.col("axis") == c, F.col("_x")).otherwise(F.col(c) if c in columns else F.lit(None)).alias(c) if c in axes else F.col(c) for c in dict.fromkeys([*axes, *columns])]
+    return out.select(*STEP, *own, "step_type", "axis")
 
 
 def interpolate_diagnostic(raw: DataFrame, diagnostic: DataFrame, time_resolution: int = 1000, voltage_resolution: int = 1000, v_delta_min: float = 0.001, dv_fallback: tuple[float, float] | None = None) -> DataFrame:
@@ -117,22 +130,19 @@ def interpolate_diagnostic(raw: DataFrame, diagnostic: DataFrame, time_resolutio
         F.min("voltage").alias("v0"), F.max("voltage").alias("v1"), F.min("test_time").alias("t0"), F.max("test_time").alias("t1")
     )
     flat = (F.col("v1") - F.col("v0")) < v_delta_min
+    span = span.withColumn("_axis", F.when(flat, "test_time").when(~flat, "voltage")).where("_axis is not null")
+    timed = F.col("_axis") == "test_time"
+    lo, hi = F.col("v0"), F.col("v1")
+    if dv_fallback:
+        lo, hi = (F.when(F.col("cycle_type") == "hppc", v).otherwise(F.lit(float(f))) for v, f in ((lo, dv_fallback[0]), (hi, dv_fallback[1])))
+    bounds = span.select(*keys, F.when(timed, F.col("t0")).otherwise(lo).alias("lo"), F.when(timed, F.col("t1")).otherwise(hi).alias("hi"), F.when(timed, time_resolution).otherwise(voltage_resolution).alias("n"))
     columns = ["voltage", "current", "test_time", "charge_capacity", "discharge_capacity", "charge_energy", "discharge_energy", "internal_resistance", "temperature"]
-    out = None
-    for axis, chosen, n in (("test_time", flat, time_resolution), ("voltage", ~flat, voltage_resolution)):
-        some = span.where(F.coalesce(chosen, F.lit(False)))
-        if axis == "test_time":
-            bounds = some.select(*keys, F.col("t0").alias("lo"), F.col("t1").alias("hi"))
-        else:
-            lo, hi = F.col("v0"), F.col("v1")
-            if dv_fallback:
-                lo, hi = (F.when(F.col("cycle_type") == "hppc", v).otherwise(F.lit(float(f))) for v, f in ((lo, dv_fallback[0]), (hi, dv_fallback[1])))
-            bounds = some.select(*keys, lo.alias("lo"), hi.alias("hi"))
-        one = interpolate(rows.join(some.select(*keys), keys, "left_semi"), bounds, keys, axis, [c for c in columns if c != axis], n)
-        w = W.partitionBy(*keys).orderBy(axis)
-        for c in ("charge", "discharge"):
-            rise = F.col(f"{c}_capacity") - F.lag(f"{c}_capacity").over(w)
-            one = one.withColumn(f"{c}_dQdV", F.try_divide(rise, F.col("voltage") - F.lag("voltage").over(w)))
-        one = one.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).where("_n > 1").drop("_n")
-        out = one if out is None else out.unionByName(one)
-    return out.join(span.select(*keys, "cycle_type", "step_type"), keys)
+    # Each occurrence has one axis, so that all are resampled in one pass.
+    rows = rows.join(span.select(*keys, "_axis"), keys).withColumn("_x", F.when(timed, F.col("test_time")).otherwise(F.col("voltage")))
+    out = interpolate(rows, bounds, keys, "_x", columns).join(span.select(*keys, "cycle_type", "step_type", "_axis"), keys)
+    out = out.withColumns({"test_time": F.when(timed, F.col("_x")).otherwise(F.col("test_time")), "voltage": F.when(timed, F.col("voltage")).otherwise(F.col("_x"))})
+    w = W.partitionBy(*keys).orderBy("_x")
+    for c in ("charge", "discharge"):
+        rise = F.col(f"{c}_capacity") - F.lag(f"{c}_capacity").over(w)
+        out = out.withColumn(f"{c}_dQdV", F.try_divide(rise, F.col("voltage") - F.lag("voltage").over(w)))
+    return out.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).where("_n > 1").drop("_n", "_x", "_axis")

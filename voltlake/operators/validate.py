@@ -64,7 +64,7 @@ def validate(raw: DataFrame, rules: dict[str, dict]) -> DataFrame:
     reach it), min_is_below (the minimum must not be above it), monotonic 'increasing'. Nulls pass all
     rules but the integer type. The index in a message is the row of the run, from 0.
     """
-    at = F.col("data_point") - F.min("data_point").over(W.partitionBy("run_id"))
+    at = F.row_number().over(W.partitionBy("run_id").orderBy("data_point")) - 1
     lags = {f"_d_{c}": F.col(c) - F.lag(c).over(W.partitionBy("run_id").orderBy("data_point")) for c, r in rules.items() if r.get("monotonic") == "increasing"}
     rows = raw.withColumns({"_at": at, **lags})
     aggregates, checks = [], []

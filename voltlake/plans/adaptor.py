@@ -124,11 +124,12 @@ lcurves as (
 
 
 def hppc_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pulse tests for the runs of the life summaries: two diagnostics of nine windows of rest, discharge, rest and charge."""
-    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 20).alias("run_id")).distinct()
+    """Pulse tests for every user: two diagnostics of nine windows of rest, discharge, rest and charge."""
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id")).distinct()
     axis = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     rows = runs.select("run_id", axis(2, "p")).select("*", axis(9, "w")).select("*", axis(4, "s")).select("*", axis(12, "k"))
     p, w, s, k, r = (F.col(c) for c in ("p", "w", "s", "k", "run_id"))
+    r = r % 20
     dip = F.when(s == 1, -(r + 1 + k) * (2 + p) / F.lit(512.0)).when(s == 3, (r + 1 + k) * (4 + p) / F.lit(2048.0)).when(s == 2, k / F.lit(1024.0)).otherwise(-k / F.lit(4096.0))
     return rows.select(
         "run_id",
@@ -143,7 +144,7 @@ def hppc_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HPPC_SQL = """
 hp as (
-  select run_id, p, w, s, k, 3.5::double - w / 16.0::double - p / 64.0::double + case s when 1 then -(run_id + 1 + k) * (2 + p) / 512.0::double
-         when 3 then (run_id + 1 + k) * (4 + p) / 2048.0::double when 2 then k / 1024.0::double else -k / 4096.0::double end as v
-  from (select distinct user_id % 20 as run_id from events), generate_series(0, 1) a(p), generate_series(0, 8) b(w), generate_series(0, 3) c(s), generate_series(0, 11) d(k))
+  select run_id, p, w, s, k, 3.5::double - w / 16.0::double - p / 64.0::double + case s when 1 then -(run_id % 20 + 1 + k) * (2 + p) / 512.0::double
+         when 3 then (run_id % 20 + 1 + k) * (4 + p) / 2048.0::double when 2 then k / 1024.0::double else -k / 4096.0::double end as v
+  from (select distinct user_id as run_id from events), generate_series(0, 1) a(p), generate_series(0, 8) b(w), generate_series(0, 3) c(s), generate_series(0, 11) d(k))
 """

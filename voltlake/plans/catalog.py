@@ -18,9 +18,9 @@ def query(f):
 
 
 def diagnostic_cycles(raw: DataFrame) -> DataFrame:
-    """For the test tables: of runs divisible by 3, cycle 0 is a reset and cycle 3 an hppc."""
+    """For the test tables: cycle 0 of every run is a reset and cycle 3 an hppc."""
     kinds = F.when(F.col("cycle_index") == 0, "reset").when(F.col("cycle_index") == 3, "hppc")
-    return raw.where("run_id % 3 = 0").select("run_id", "cycle_index", kinds.alias("cycle_type")).where("cycle_type is not null").distinct()
+    return raw.select("run_id", "cycle_index", kinds.alias("cycle_type")).where("cycle_type is not null").distinct()
 
 
 def _text_time(df: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def clean_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = life_summary(spark, sf_dir).where("run_id < 4").select((F.col("run_id") * 1000 + F.col("cycle_index")).alias("run_id"), F.try_divide(F.lit(1.0), F.col("dc_internal_resistance")).alias("g"), "time_temperature_integrated", "charge_duration")
+    rows = life_summary(spark, sf_dir).select((F.col("run_id") * 1000 + F.col("cycle_index")).alias("run_id"), F.try_divide(F.lit(1.0), F.col("dc_internal_resistance")).alias("g"), "time_temperature_integrated", "charge_duration")
     return matrix.clean(rows, 0.5, 0.6, "median")
 
 
@@ -248,16 +248,18 @@ def linear_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def electrode_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells made from known electrodes, fitted back."""
+    """A cell for every user, made from known electrodes and fitted back: its true and its fitted parameters."""
     pe = [(i / 50, 3.4 + 0.9 * (1 - i / 50) ** 0.5) for i in range(51)][::-1]
     pe = [(1 - q, v) for q, v in pe]
     ne = [(i / 50, 0.6 * (1 - i / 50) ** 2 + 0.05) for i in range(51)]
-    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 8).alias("run_id")).distinct()
-    truth = runs.select("run_id", F.lit(0).alias("cycle_index"), (F.col("run_id") / 40.0).alias("lli"), (1.3 + F.col("run_id") / 80.0).alias("q_pe"), (1.2 + F.col("run_id") / 100.0).alias("q_ne"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("i"))
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id")).distinct()
+    k, m = F.col("run_id") % 8, F.col("run_id") % 5
+    truth = runs.select("run_id", F.lit(0).alias("cycle_index"), (k / 40.0).alias("lli"), (1.3 + m / 20.0).alias("q_pe"), (1.2 + k / 100.0).alias("q_ne"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("i"))
     cells = truth.withColumn("q", F.col("i") / 40.0)
     cells = cells.withColumn("voltage", halfcell.emulate(pe, ne, F.col("q"), F.col("lli"), F.col("q_pe"), F.col("q_ne")))
     fitted = halfcell.fit_electrodes(cells, pe, ne, {"lli": (0.0, 0.3), "q_pe": (1.2, 1.6), "q_ne": (1.1, 1.5)})
-    return fitted.select("run_id", "cycle_index", F.round("error", 2).alias("error"))
+    known = truth.select("run_id", *[F.col(p).alias(f"true_{p}") for p in halfcell.PARAMETERS]).distinct()
+    return fitted.select("run_id", "cycle_index", *[F.round(p, 3).alias(p) for p in halfcell.PARAMETERS], F.round("error", 4).alias("error")).join(known, "run_id")
 
 
 @query
@@ -288,6 +290,6 @@ def smoothed_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def smooth_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    knots = life_summary(spark, sf_dir).where("cycle_index % 10 < 3").select("run_id", F.col("cycle_index").cast("double").alias("cycle"), "discharge_capacity")
+    knots = life_summary(spark, sf_dir).select("run_id", F.col("cycle_index").cast("double").alias("cycle"), "discharge_capacity")
     bounds = knots.groupBy("run_id").agg(F.min("cycle").alias("lo"), F.max("cycle").alias("hi"))
     return smooth.monotone_cubic(knots, bounds, ["run_id"], "cycle", "discharge_capacity", 65).select("run_id", F.round("cycle", 6).alias("cycle"), F.round("discharge_capacity", 8).alias("discharge_capacity"))

@@ -6,7 +6,7 @@ from .adaptor import HPPC_SQL, LIFE_SQL, RAW_SQL
 
 DIAGNOSTIC = """
 diag as (select distinct run_id, cycle_index, case cycle_index when 0 then 'reset' else 'hppc' end as cycle_type
-         from raw where run_id % 3 = 0 and cycle_index in (0, 3))
+         from raw where cycle_index in (0, 3))
 """
 
 
@@ -335,7 +335,7 @@ ORACLES |= {
     + """ select run_id, any_value(a) as "cycle_20::Capacities", any_value(b) as "cycle_160::Capacities", max(cycle_life) filter (where threshold = 0.9::double)::double as "capacity_0.9::Trajectory",
            max(cycle_life) filter (where threshold = 0.8::double)::double as "capacity_0.8::Trajectory" from caps join lives using (run_id) group by run_id""",
     "clean_matrix": _life(
-        "m as (select run_id * 1000 + cycle_index as run_id, 1.0::double / nullif(dc_internal_resistance, 0) as g, time_temperature_integrated as t, charge_duration as c from life where run_id < 4)",
+        "m as (select run_id * 1000 + cycle_index as run_id, 1.0::double / nullif(dc_internal_resistance, 0) as g, time_temperature_integrated as t, charge_duration as c from life)",
         "k as (select * from m where (g is not null)::int + (t is not null)::int + (c is not null)::int >= 1.8)",
         "f as (select median(g) as g, median(t) as t, median(c) as c from k)",
     )
@@ -433,7 +433,7 @@ def _end(ha: str, sa: str, hb: str, sb: str) -> str:
 
 
 ORACLES["smooth_capacity"] = _life(
-    "kn as (select run_id, cycle_index::double as x, discharge_capacity as y from life where cycle_index % 10 < 3)",
+    "kn as (select run_id, cycle_index::double as x, discharge_capacity as y from life)",
     "k1 as (select *, lead(x) over w - x as h, (lead(y) over w - y) / (lead(x) over w - x) as s from kn window w as (partition by run_id order by x))",
     "k2 as (select *, lag(h) over w as h0, lag(s) over w as s0, lead(h) over w as h2, lead(s) over w as s2, lag(h, 2) over w as h00, lag(s, 2) over w as s00 from k1 window w as (partition by run_id order by x))",
     f"k3 as (select run_id, x, y, case when h0 is null then {_end('h', 's', 'h2', 's2')} when h is null then {_end('h0', 's0', 'h00', 's00')} when s0 * s <= 0 then 0 else (3 * h + 3 * h0) / ((2 * h + h0) / s0 + (h + 2 * h0) / s) end as d from k2)",

@@ -46,7 +46,9 @@ def structure(raw: DataFrame, diagnostic: DataFrame | None = None, v_range: tupl
 
 def run(spark: SparkSession, path: str, out: str, kind: str | None = None, rules: dict | None = None, **how) -> DataFrame:
     """Reads, validates, structures and writes all files under path; a run that fails validation is reported, not structured."""
-    raw = load(spark, path, kind)
+    # The files are decoded once; everything below reads the canonical table.
+    sinks.write_table(load(spark, path, kind), f"{out}/raw")
+    raw = spark.read.parquet(f"{out}/raw")
     report = validate.validate(raw, rules or {})
     valid = raw.join(report.where("valid").select("run_id"), "run_id", "left_semi")
     for name, table in structure(valid, **how).items():

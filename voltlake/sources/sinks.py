@@ -42,5 +42,8 @@ def counts_by_outcome(report: DataFrame) -> DataFrame:
 
 
 def write_waveform(steps: DataFrame, path: str) -> None:
-    """Waveform steps as a headerless tab-separated file."""
-    steps.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", "false").csv(path)
+    """Waveform steps as headerless tab-separated files, one for each wave_id (folders wave_id=...), or one file without such a column."""
+    if "wave_id" in steps.columns:
+        steps.repartition("wave_id").sortWithinPartitions("wave_id", "step").write.mode("overwrite").partitionBy("wave_id").option("sep", "\t").option("header", "false").csv(path)
+    else:
+        steps.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", "false").csv(path)
