@@ -68,6 +68,35 @@ def test_pack_keeps_proportions(spark):
     assert abs(total.a / total.length - 0.5) < 0.05
 
 
+def sequential_round_robin(queues, quanta):
+    """Deficit round-robin one packet at a time: queues of packets (row, start, length), in order of their names."""
+    left = {k: list(v) for k, v in queues.items()}
+    deficit, out = dict.fromkeys(left, 0.0), []
+    while any(left.values()):
+        for k in sorted(left):
+            deficit[k] += quanta[k]
+            while left[k] and left[k][0][2] <= deficit[k] + 1e-9:
+                deficit[k] -= left[k][0][2]
+                out.append(left[k].pop(0))
+    return out
+
+
+def test_pack_by_sequential_round_robin(spark):
+    """The closed form serves the packets of every queue in the order in which a sequential scheduler does."""
+    r = random.Random(6)
+    rows = [(i, "abc"[i % 3], "word " * r.randrange(1, 60)) for i in range(90)]
+    targets, window, packet = {"a": 0.5, "b": 0.25, "c": 0.25}, 256, 16
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3), queries.tokenizer_path(), window, packet, targets, rounds_a_bin=4, rows_a_block=7).toPandas()
+    pieces = pieces.sort_values(["sequence_id", "offset"])
+    order = {x: [d for d, q in zip(pieces.doc_id, pieces.source) if q == x] for x in "abc"}
+    size = dict(zip(pieces.doc_id, pieces.doc_tokens))
+    queues = {f"={x}": [(d, s, min(packet, size[d] - s)) for d in dict.fromkeys(order[x]) for s in range(0, size[d], packet)] for x in "abc"}
+    want = sequential_round_robin(queues, {f"={k}": v * window for k, v in targets.items()})
+    tokens = [(d, s + i) for d, s, n in want for i in range(n)]
+    got = [(d, s + i) for d, s, n in zip(pieces.doc_id, pieces.start, pieces.length) for i in range(n)]
+    assert got and got == tokens
+
+
 PAGE = """<html><head><title>No</title><style>p{}</style></head><body class="page"><nav><a href=x>Menu</a></nav>
 <div class="cookie-notice">We use cookies on this site and you should accept all of them now please.</div>
 <main><h1>Big &amp; small</h1><p>The quick fox is on the <b>hill</b> and it was  seen
@@ -147,8 +176,9 @@ def test_wu_manber_skips():
     h = lambda t: long.shift[long.slot(_block_hashes(word_hashes([t])[0], 3))].tolist()
     assert (short.m, short.block, long.m, long.block) == (2, 2, 10, 3) and len(long.starts) == 3
     assert h("j k l") == [0] and h("a b c") == [7] and h("q r s") == [8]
-    assert w.scan(b"x x a b c d e f g h i j k y".split()) == ([(2, 12), (3, 13)], {"1"})
-    assert w.scan(b"x x y".split()) == ([(1, 3)], {"2"}) and WuManber([]).scan([b"a"]) == ([], set())
+    texts = [b"x x a b c d e f g h i j k y", b"", b"a b", b"x x y"]
+    assert w.scan(texts, *word_hashes(texts)[:2]) == {0: ([(2, 12), (3, 13)], {"1"}), 3: ([(1, 3)], {"2"})}
+    assert WuManber([]).scan(texts, *word_hashes(texts)[:2]) == {}
 
 
 def test_wu_manber_tables_are_small():
@@ -391,6 +421,83 @@ def test_text_after_the_last_tag():
     assert text("<p>one</p><script>if (a < b") == ["one"] and text("<p>one</p><!-- a > b < c") == ["one"]
 
 
+def test_decoding_by_brute_force():
+    """The codeword of least weighted loss, one bit at a time."""
+    import math
+
+    from voltlake.llm import langid
+
+    r = random.Random(3)
+    texts = [("".join(r.choice(x) for _ in range(40)), x) for x in ("abc ", "bcd ", "xyz ") for _ in range(30)]
+    model = langid.fit(np.array([langid.features(t) for t, _ in texts]), np.array([x for _, x in texts]))
+    for t, _ in texts[::7]:
+        x = langid.features(t)
+        losses = []
+        for word in model["code"]:
+            f = [sum(float(a) * float(b) for a, b in zip(x, model["w"][:, k])) + float(model["b"][k]) for k in range(len(word))]
+            losses.append(sum(math.log1p(math.exp(-max(-30, min(30, c * v)))) * w for c, v, w in zip(word, f, model["bit_weight"])))
+        p = [math.exp(min(losses) - v) for v in losses]
+        best = min(range(len(losses)), key=losses.__getitem__)
+        lang, score_, ambiguous = langid.decode(model, x, 0.2)
+        assert lang == model["langs"][best] and abs(score_ - p[best] / sum(p)) < 1e-3
+        assert ambiguous == (p[best] / sum(p) - sorted(p)[-2] / sum(p) < 0.2)
+
+
+def test_quality_scores_by_plain_loop(spark):
+    """A score is the machine's value with every pair of inputs multiplied out."""
+    import math
+
+    from voltlake.llm import quality
+
+    texts = ["the cat sat on the mat and slept " * k for k in (1, 2, 3)] + ["BUY!!! $$$ NOW 123 " * k for k in (1, 2, 3)]
+    made = [quality.words_and_structure(t, len(t)) for t in texts]
+    words, stats = np.array([m[0] for m in made]), np.array([m[1] for m in made])
+    model = quality.fit(words, stats, np.array([1.0] * 3 + [0.0] * 3), epochs=5)
+    x = quality.encode(words, stats, model["scale"])
+    for row, got in zip(x, quality.score(model, x)):
+        on = [i for i in range(len(row)) if row[i]]
+        value = float(model["w0"][0]) + sum(float(model["w"][i]) * float(row[i]) for i in on)
+        value += sum(float(model["v"][i].astype(float) @ model["v"][j]) * float(row[i]) * float(row[j]) for i in on for j in on if j < i)
+        assert abs(got - 1 / (1 + math.exp(-value))) < 1e-4
+
+
+LAYOUTS = {
+    '<body><div class="page no-sidebar"><p>{a}</p></div></body>': True,
+    '<article class="post has-share-links"><p>{a}</p></article>': True,
+    '<div class="sidebar-layout"><main><p>{a}</p></main></div>': True,
+    '<div class="left-sidebar"><p>{a}</p></div><main><p>{b}</p></main>': False,
+    '<div id="site-footer"><p>{a}</p></div><article><p>{b}</p></article>': False,
+    '<section class="comments"><article class="comment"><p>{a}</p></article></section><article><p>{b}</p></article>': False,
+    '<article><p>{b}</p><p><a href="x">{a}</a></p><p>{b}</p></article>': True,
+    '<article><p>{b}</p><ul><li><a href="x">{a}</a></li></ul></article>': False,
+    '<article><p>{b}</p><div role="search">{a}</div></article>': False,
+    '<main id="content"><div class="with-ads"><p>{a}</p></div></main>': True,
+    '<div><nav><p>{a}</p></nav><p>{b}</p></div>': False,
+    '<article><header><p>{a}</p></header><p>{b}</p></article>': False,
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_html_layouts(layout):
+    a, b = ("the %s of the house is on the hill and it was seen by all of the people who are there in the morning" % x for x in ("roof", "door"))
+    assert (a in html.main_text(layout.format(a=a, b=b))) == LAYOUTS[layout]
+    assert "{b}" not in layout or b in html.main_text(layout.format(a=a, b=b))
+
+
+def test_second_pass_by_brute_force():
+    r = random.Random(1)
+    for _ in range(300):
+        labels = [r.choice((True, False, None, None)) for _ in range(r.randrange(1, 9))]
+        default, want = r.random() < 0.5, []
+        for i, x in enumerate(labels):
+            near = sorted((abs(i - j), y) for j, y in enumerate(labels) if y is not None)
+            least = {y for d, y in near if d == near[0][0]}
+            # Of two nearest neighbours on either side that disagree, neither decides.
+            sides = [next((y for y in side if y is not None), None) for side in (labels[i::-1], labels[i:])]
+            want.append(x if x is not None else least.pop() if len(least) == 1 and sides != [None, None] else default)
+        assert html.second_pass(labels, default) == want
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     p = {"w0": np.array([0.1]), "w": rng.normal(size=6), "v": rng.normal(size=(6, 3))}

@@ -17,14 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .textvec import mix, word_hashes
+from .textvec import chunks, mix, word_hashes
 
 #: A-Z become a-z; bytes outside 0-9, a-z and 0x80-0xFF part words (as code points: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+).
 _WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
+def plain(text: str | None) -> bytes:
+    """The words of a text in lower case, parted by spaces."""
+    return text.encode().translate(_WORDS) if text else b""
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode().translate(_WORDS).split() if text else []
+    return plain(text).split()
 
 
 class _Group:
@@ -64,39 +69,49 @@ class WuManber:
         size = np.array([len(x) + 1 for _, w in texts for x in w], np.int64)
         self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))  # where each word starts
         self.item = np.repeat(np.arange(len(n)), n)
-        h, first = _hashes(self.words), np.cumsum(n) - n
+        h, first = word_hashes([self.words])[0], np.cumsum(n) - n
         self.groups = []
         for m in np.unique(np.minimum(n, window)).tolist():
             own = np.minimum(n, window) == m
             starts = np.concatenate([np.arange(a, a + k - m + 1) for a, k in zip(first[own], n[own])])
             self.groups.append(_Group(m, block, h, starts))
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of words (end exclusive) where patterns occur, and the items they belong to."""
-        spans, found = [], set()
-        h = _hashes(b" ".join(words) + b" ") if words else np.zeros(0, np.uint64)
+    def scan(self, texts: list[bytes], h: np.ndarray, doc: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
+        """For each of the plain texts with an occurrence: the spans of words (end exclusive), and the items they belong to.
+
+        h, doc: the hashes of all words, and the text of each.
+        """
+        out: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+        size = np.bincount(doc, minlength=len(texts))
+        at = np.cumsum(size) - size
         for g in self.groups:
             blocks = _block_hashes(h, g.block)
-            steps = g.shift[g.slot(blocks)].tolist()
-            end, n, back = g.m, len(words), g.block
-            while end <= n:
-                step = steps[end - back]
-                if not step:
-                    text, hit, last = b" ".join(words[end - g.m : end]) + b" ", False, blocks[end - back]
-                    for k in range(int(np.searchsorted(g.last, last)), int(np.searchsorted(g.last, last, side="right"))):
-                        start = g.starts[k]
-                        if self.words[self.at[start] : self.at[start + g.m]] == text:
-                            hit = True
-                            found.add(int(self.item[start]))
-                    if hit:
-                        spans.append((end - g.m, end))
-                    step = 1
-                end += step
-        return spans, {self.names[i] for i in found}
-
-
-def _hashes(words: bytes) -> np.ndarray:
-    return word_hashes([words])[0]
+            steps = g.shift[g.slot(blocks)]
+            # A text none of whose blocks ends a pattern is skipped as a whole.
+            for d in np.unique(doc[np.flatnonzero(steps == 0)]).tolist():
+                words, own = texts[d].split(), blocks[at[d] :]
+                jump, end, n = steps[at[d] : at[d] + size[d]].tolist(), g.m, int(size[d])
+                while end <= n:
+                    step = jump[end - g.block]
+                    if not step:
+                        last = own[end - g.block]
+                        span, found = (end - g.m, end), self._compared(g, last, b" ".join(words[end - g.m : end]) + b" ")
+                        if found:
+                            spans, items = out.setdefault(d, ([], set()))
+                            spans.append(span)
+                            items |= found
+                        step = 1
+                    end += step
+        return out
+
+    def _compared(self, g: _Group, last: np.uint64, text: bytes) -> set[str]:
+        """The items of the patterns in a block's bucket that equal the text."""
+        found = set()
+        for k in range(int(np.searchsorted(g.last, last)), int(np.searchsorted(g.last, last, side="right"))):
+            start = g.starts[k]
+            if self.words[self.at[start] : self.at[start + g.m]] == text:
+                found.add(self.names[self.item[start]])
+        return found
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -130,35 +145,35 @@ def searcher(benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes
     only: (first chunk, last chunk + 1, number of chunks) to search for.
     """
     items = _items(benchmark)
-    chunks = only[2] if only else n_chunks(benchmark, chunk_bytes)
-    some = range(*only[:2]) if only else range(chunks)
+    parts = only[2] if only else n_chunks(benchmark, chunk_bytes)
+    some = range(*only[:2]) if only else range(parts)
     if len(some) > MOST_CHUNKS:
         raise ValueError(f"the benchmark has {len(some)} chunks of {chunk_bytes} bytes; search them in passes")
     tables = []
     for c in some:
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c).collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == c).collect()
         tables.append(benchmark.sparkSession.sparkContext.broadcast(WuManber([tuple(r) for r in rows], window, block)))
 
     @F.pandas_udf(FOUND)
     def search(text: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in text:
-            words = words_of(t)
-            spans, items = [], set()
-            for table in tables:
-                s, i = table.value.scan(words)
-                spans += s
-                items |= i
-            merged = _merged(spans)
-            rows.append((len(words), [{"from": a, "to": b} for a, b in merged], sum(b - a for a, b in merged), sorted(items)))
+        rows, texts = [], [plain(t) for t in text]
+        for start, end in chunks(texts):
+            some = texts[start:end]
+            h, doc, _ = word_hashes(some)
+            size = np.bincount(doc, minlength=len(some))
+            found = [table.value.scan(some, h, doc) for table in tables]
+            for d in range(len(some)):
+                hits = [f[d] for f in found if d in f]
+                merged = _merged([x for spans, _ in hits for x in spans])
+                rows.append((int(size[d]), [{"from": a, "to": b} for a, b in merged], sum(b - a for a, b in merged), sorted({x for _, items in hits for x in items})))
         return pd.DataFrame(rows, columns=["n_words", "hits", "n_hit", "items"])
 
     return search
 
 
 def _passes(benchmark: DataFrame, chunk_bytes: int) -> list[tuple[int, int, int]]:
-    chunks = n_chunks(benchmark, chunk_bytes)
-    return [(c, min(c + MOST_CHUNKS, chunks), chunks) for c in range(0, chunks, MOST_CHUNKS)]
+    parts = n_chunks(benchmark, chunk_bytes)
+    return [(c, min(c + MOST_CHUNKS, parts), parts) for c in range(0, parts, MOST_CHUNKS)]
 
 
 def hit_texts(texts: DataFrame, benchmark: DataFrame, window: int = 10, block: int = 3, chunk_bytes: int = 2 << 20) -> DataFrame:
