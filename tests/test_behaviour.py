@@ -120,6 +120,15 @@ def test_matrix_names_and_collisions(spark):
         matrix.feature_matrix([(df, "F", {}), (df, "F", {})])
 
 
+def test_exclusion_falls_back_above_one(spark):
+    """Where the last fraction is above 1, the one before it counts."""
+    summary = spark.createDataFrame([(r, i, float(i)) for r in (1, 2) for i in range(12)], "run_id long, cycle_index int, charge_throughput double")
+    left = spark.createDataFrame([(1, 0, 1.0), (1, 5, 0.7), (1, 9, 1.2), (2, 0, 1.0), (2, 5, 0.9), (2, 9, None)], "run_id long, cycle_index int, fractional_metric double")
+    got = {r.run_id: r for r in features.exclusion_criteria(summary, left, 1.0, n=5, throughput_cutoff=2.0, full_cycles_cutoff=3.0).collect()}
+    assert got[1].fractional_capacity_at_EOT == 0.7 and got[1].is_below_fractional_capacity_at_EOT and got[1].to_include
+    assert got[2].fractional_capacity_at_EOT == 0.9 and not got[2].to_include
+
+
 def test_group_folds_and_exclusion(spark):
     rows = spark.createDataFrame([(f"r{i}", f"g{i % 7}", i % 7 != 3 or i > 60) for i in range(70)], "run_id string, g string, is_ok boolean")
     got = matrix.folds(rows, 3, 1, "g").groupBy("g").agg(F.count_distinct("fold").alias("n")).collect()

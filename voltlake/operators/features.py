@@ -115,18 +115,23 @@ def exclusion_criteria(
 ) -> DataFrame:
     """Whether a run is fit for training, and why.
 
-    left: run_id, cycle_index, fractional_metric of one kind of diagnostic. early: run_id, is_not_early_CV
+    left: run_id, cycle_index, fractional_metric of one kind of diagnostic; the last value counts, or the
+    one before it where the last is above 1. early: run_id, is_not_early_CV
     where that is judged. to_include is true if all criteria are.
     """
     rows = with_position(summary)
     nth = rows.where(F.col("position") == n).select("run_id", F.coalesce("charge_throughput", F.lit(0.0)).alias("first_n_cycles_throughput"))
     order = W.partitionBy("run_id").orderBy("cycle_index")
     filled = left.withColumn("filled", F.last("fractional_metric", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    filled = filled.withColumn("_before", F.lag("filled").over(order))
     ends = filled.groupBy("run_id").agg(
-        F.max_by("filled", "cycle_index").alias("fractional_capacity_at_EOT"),
+        F.max_by("filled", "cycle_index").alias("_last"),
+        F.max_by("_before", "cycle_index").alias("_before"),
         F.min(F.when(F.col("fractional_metric") < end_of_life, F.col("cycle_index"))).alias("below_at"),
         F.max("cycle_index").alias("last_at"),
     )
+    value = F.when(F.col("_last") > 1, F.coalesce("_before", "_last")).otherwise(F.col("_last"))
+    ends = ends.withColumn("fractional_capacity_at_EOT", value).drop("_last", "_before")
     ends = ends.withColumn("is_below_fractional_capacity_at_EOT", F.col("fractional_capacity_at_EOT") < end_of_life)
     ends = ends.withColumn("cutoff", F.when(F.col("is_below_fractional_capacity_at_EOT"), F.col("below_at")).otherwise(F.col("last_at")))
     spent = rows.withColumn("spent", F.last("charge_throughput", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))

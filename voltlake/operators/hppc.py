@@ -40,6 +40,16 @@ def step_roles(curves: DataFrame, capacity: float, pulse_time: float = 120, puls
     return rows.select(*CYCLE, "step_index", role.alias("role"))
 
 
+def rpt_roles(curves: DataFrame, capacity: float) -> DataFrame:
+    """The role of every step of rpt and reset cycles (curves with cycle_type): run_id, cycle_index, step_index, role.
+
+    A step charges or discharges by the sign of its median rate, to two places; null where that is 0.
+    """
+    rates = curves.where(F.col("cycle_type").rlike("^(rpt_|reset)")).groupBy(*CYCLE, "step_index", "cycle_type").agg(F.bround(F.median("current") / capacity, 2).alias("median"))
+    side = F.when(F.col("median") > 0, "_charge").when(F.col("median") < 0, "_discharge")
+    return rates.select(*CYCLE, "step_index", F.concat("cycle_type", side).alias("role"))
+
+
 def windows_of(curves: DataFrame, roles: DataFrame) -> DataFrame:
     """Adds role, position, and window: the number of a step's occurrence in its cycle, from 0 (a state of charge)."""
     rows = with_position(curves.where(F.col("current").isNotNull())).join(roles.where("role is not null"), [*CYCLE, "step_index"])

@@ -188,6 +188,12 @@ def pulse_resistances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hppc.resistances(hppc.windows_of(curves, hppc.step_roles(curves, 2.0)))
 
 
+@query
+def rpt_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_samples(spark, sf_dir)
+    return hppc.rpt_roles(raw.join(diagnostic_cycles(raw), ["run_id", "cycle_index"]), 2.0)
+
+
 @query
 def pulse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     curves = hppc_curves(spark, sf_dir)

@@ -324,7 +324,9 @@ ORACLES |= {
     "exclusion": _life(
         FRACTIONS,
         "f as (select * from nx where cycle_type = 'rpt_0.2C')",
-        "e as (select run_id, max_by(fractional_metric, cycle_index) filter (where fractional_metric is not null) as frac, min(cycle_index) filter (where fractional_metric < 0.8) as below, max(cycle_index) as last_at from f group by run_id)",
+        "g as (select *, last_value(fractional_metric ignore nulls) over (partition by run_id order by cycle_index) as filled from f)",
+        "h as (select *, lag(filled) over (partition by run_id order by cycle_index) as before from g)",
+        "e as (select run_id, case when arg_max_null(filled, cycle_index) > 1 then coalesce(arg_max_null(before, cycle_index), arg_max_null(filled, cycle_index)) else arg_max_null(filled, cycle_index) end as frac, min(cycle_index) filter (where fractional_metric < 0.8) as below, max(cycle_index) as last_at from h group by run_id)",
         "c as (select *, case when frac < 0.8 then below else last_at end as cutoff from e)",
         "x as (select c.*, (select charge_throughput from life l where l.run_id = c.run_id and position = 80) as t80, (select max_by(charge_throughput, cycle_index) from life l where l.run_id = c.run_id and l.cycle_index <= c.cutoff) / 1.0 as efc from c)",
     )
@@ -442,3 +444,8 @@ ORACLES["smooth_capacity"] = _life(
     "g as (select distinct run_id, case when i = 64 then hi else lo + i * ((hi - lo) / 64) end as c from b, generate_series(0, 64) t(i))",
     "j as (select g.run_id, c, k4.*, (c - x) / (x1 - x) as t from g asof join k4 on g.run_id = k4.run_id and g.c >= k4.x)",
 ) + """ select run_id, round(c, 6) as cycle, round(case when c = x then y else (1 + 2 * t) * (1 - t) * (1 - t) * y + t * (1 - t) * (1 - t) * (x1 - x) * d + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * (x1 - x) * d1 end, 8) as discharge_capacity from j"""
+
+ORACLES["rpt_roles"] = (
+    _with(DIAGNOSTIC, "rates as (select run_id, cycle_index, step_index, round_even(median(current) / 2.0, 2) as m from raw semi join (select * from diag where cycle_type = 'reset') d using (run_id, cycle_index) group by all)")
+    + " select run_id, cycle_index, step_index, case when m > 0 then 'reset_charge' when m < 0 then 'reset_discharge' end as role from rates"
+)
