@@ -33,6 +33,39 @@ def from_step_numbers(raw: DataFrame, criteria: dict[str, tuple[str, Iterable[It
     return found.where(F.size("kinds") > 0).select("run_id", "cycle_index", one.alias("cycle_type"))
 
 
+#: The cycles of a diagnostic, in order.
+HPPC_RPT = ("reset", "hppc", "rpt_0.2C", "rpt_1C", "rpt_2C")
+
+
+def from_patterns(raw: DataFrame, runs: DataFrame, types: tuple[str, ...] = HPPC_RPT) -> DataFrame:
+    """The diagnostic cycles of each run by the steps of its first two diagnostics: run_id, cycle_index, cycle_type.
+
+    runs: run_id and diagnostic_start_cycle (the regular cycles before the second diagnostic; the first
+    starts at cycle 1). A diagnostic starts wherever a cycle has the same set of steps as the first cycle of
+    one of the two, and, among the last cycles, where the numbers of steps of as many cycles are the same
+    (a final diagnostic). One array of step sets is kept for each run.
+    """
+    n = len(types)
+    sets = raw.groupBy("run_id", "cycle_index").agg(F.array_sort(F.collect_set("step_index")).alias("steps"))
+    w = W.partitionBy("run_id").orderBy("cycle_index")
+    # Cycles that a run does not have count 0 steps.
+    near = F.collect_list(F.struct(F.col("cycle_index").alias("c"), F.size("steps").alias("n"))).over(w.rangeBetween(0, n - 1))
+    rows = sets.withColumn("_near", near)
+    rows = rows.withColumn("sizes", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.aggregate("_near", F.lit(None).cast("int"), lambda a, s: F.when(s["c"] == F.col("cycle_index") + i, s["n"]).otherwise(a)), F.lit(0)))).drop("_near")
+    rows = rows.join(runs.select("run_id", (F.col("diagnostic_start_cycle") + 1 + n).alias("_second")), "run_id")
+    run = W.partitionBy("run_id")
+    at = lambda c, here: F.max(F.when(here, F.col(c))).over(run)
+    first, second = F.col("cycle_index") == 1, F.col("cycle_index") == F.col("_second")
+    rows = rows.withColumns({"s0": at("steps", first), "s1": at("steps", second), "n0": at("sizes", first), "n1": at("sizes", second), "last": F.max("cycle_index").over(run)})
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    final = (F.col("cycle_index") >= F.col("last") - n - 1) & (same("sizes", "n0") | same("sizes", "n1"))
+    starts = rows.where(same("steps", "s0") | same("steps", "s1") | final)
+    marked = starts.select("run_id", F.col("cycle_index").alias("_start"), F.posexplode(F.array(*map(F.lit, types))).alias("_i", "cycle_type")).withColumn("cycle_index", F.col("_start") + F.col("_i"))
+    # Where starts overlap the later one counts; only cycles that there are.
+    marked = marked.groupBy("run_id", "cycle_index").agg(F.max_by("cycle_type", "_start").alias("cycle_type"))
+    return marked.join(sets.select("run_id", "cycle_index"), ["run_id", "cycle_index"], "left_semi")
+
+
 def without_stray_finals(curves: DataFrame, late: float = 1e6, early_cycle: int = 6) -> DataFrame:
     """Leaves out points after ``late`` seconds in cycles before early_cycle (a final diagnostic misnumbered), and step occurrences without any time."""
     kept = curves.where(~((F.col("test_time") > late) & (F.col("cycle_index") < early_cycle)) | F.col("test_time").isNull() | F.col("cycle_index").isNull())

@@ -34,20 +34,76 @@ def emulate(pe: list, ne: list, q: Column, lli: Column, q_pe: Column, q_ne: Colu
     return potential(pe, (q + lli) / q_pe) - potential(ne, q / q_ne)
 
 
-def fit_electrodes(cells: DataFrame, pe: list[tuple[float, float]], ne: list[tuple[float, float]], bounds: dict[str, tuple[float, float]], rounds: int = 5, n: int = 9, keep: int = 3) -> DataFrame:
+def blend(first: list[tuple[float, float]], second: list[tuple[float, float]], share: float, n: int = 1001) -> list[tuple[float, float]]:
+    """The reference curve of an electrode of two materials, the second holding ``share`` of it, on an even grid of 0 to 1.
+
+    At each potential (n even steps over both curves) the shares of capacity are averaged; beyond a curve's
+    end its last piece goes on. Then the parts within 0 to 1 are stretched to fill it.
+    """
+    a, b = (np.array(sorted(c, key=lambda p: p[1]), float) for c in (first, second))
+    volts = np.linspace(min(a[0, 1], b[0, 1]), max(a[-1, 1], b[-1, 1]), n)
+    q = (1 - share) * _extended(volts, a[:, 1], a[:, 0]) + share * _extended(volts, b[:, 1], b[:, 0])
+    order = np.argsort(q, kind="stable")
+    grid = np.linspace(0, 1, n)
+    v = np.interp(grid, q[order], volts[order], left=np.nan, right=np.nan)
+    known = grid[~np.isnan(v)]
+    full = np.linspace(known[0], known[-1], n)
+    return list(zip((full / known[-1]).tolist(), np.interp(full, known, v[~np.isnan(v)]).tolist()))
+
+
+def _extended(at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    i = np.clip(np.searchsorted(x, at) - 1, 0, len(x) - 2)
+    return y[i] + (at - x[i]) * (y[i + 1] - y[i]) / (x[i + 1] - x[i])
+
+
+def halfcell_voltages(curves: DataFrame, keys: list[str], upper: float = 4.2, lower: float = 2.7) -> DataFrame:
+    """Where the electrodes of each cell stand at the cell's upper and lower voltage.
+
+    curves: keys, soc, pe, ne (aligned potentials, null where an electrode does not reach). Returns keys,
+    <electrode>_<end>_voltage and _soc (percent of that electrode's own span), <electrode>_mass (its span),
+    soc_upper, soc_lower and li_mass (the span of both). Of equally near points the one of lower soc counts.
+    """
+    gap, soc = F.col("pe") - F.col("ne"), F.col("soc")
+    near = lambda v: F.min(F.when(gap.isNotNull(), F.struct(F.abs(gap - v).alias("off"), soc.alias("soc"), F.col("pe").alias("pe"), F.col("ne").alias("ne"))))
+    spans = {e: (F.min(F.when(F.col(e).isNotNull(), soc)), F.max(F.when(F.col(e).isNotNull(), soc))) for e in ("pe", "ne")}
+    found = curves.groupBy(*keys).agg(
+        near(upper).alias("upper"),
+        near(lower).alias("lower"),
+        (F.max(F.when(gap.isNotNull(), soc)) - F.min(F.when(gap.isNotNull(), soc))).alias("li_mass"),
+        *[s.alias(f"{e}_{i}") for e, ends in spans.items() for i, s in enumerate(ends)],
+    )
+    out = []
+    for e in ("pe", "ne"):
+        lo, span = F.col(f"{e}_0"), F.col(f"{e}_1") - F.col(f"{e}_0")
+        for end in ("upper", "lower"):
+            out += [F.col(end)[e].alias(f"{e}_{end}_voltage"), (F.try_divide(F.col(end)["soc"] - lo, span) * 100).alias(f"{e}_{end}_soc")]
+        out.append(span.alias(f"{e}_mass"))
+    return found.select(*keys, *out, F.col("upper.soc").alias("soc_upper"), F.col("lower.soc").alias("soc_lower"), "li_mass")
+
+
+def fit_electrodes(
+    cells: DataFrame, pe: list[tuple[float, float]], ne: list[tuple[float, float]], bounds: dict[str, tuple[float, float]], rounds: int = 5, n: int = 9, keep: int = 3, ne_2: list[tuple[float, float]] | None = None
+) -> DataFrame:
     """cells (run_id, cycle_index, q, voltage) as run_id, cycle_index, lli, q_pe, q_ne, error (root mean square, V).
 
     pe, ne: reference curves on even grids of 0 to 1. bounds: of each parameter. Each round spreads n values
     of each parameter around the ``keep`` best candidates of a cell and shrinks the spread to 0.35. A
-    candidate that leaves points undefined pays 1 V for each. Points with a null are left out.
+    candidate that leaves points undefined pays 1 V for each. Points with a null are left out. With ne_2
+    the negative electrode is a blend, and its share x_ne_2 (in bounds too) is fitted with the others.
     """
-    low, high = (np.array([bounds[p][i] for p in PARAMETERS], float) for i in (0, 1))
-    offsets = np.array(list(itertools.product(np.arange(n) / (n - 1) - 0.5, repeat=len(PARAMETERS))))
+    names = PARAMETERS + (("x_ne_2",) if ne_2 is not None else ())
+    low, high = (np.array([bounds[p][i] for p in names], float) for i in (0, 1))
+    offsets = np.array(list(itertools.product(np.arange(n) / (n - 1) - 0.5, repeat=len(names))))
     curves = [np.array(c, float).T for c in (pe, ne)]
 
     def errors(c: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-        at = ((q + c[:, :1]) / c[:, 1:2], q / c[:, 2:3])
-        plus, minus = (np.interp(x, *curve, left=np.nan, right=np.nan) for x, curve in zip(at, curves))
+        plus = np.interp((q + c[:, :1]) / c[:, 1:2], *curves[0], left=np.nan, right=np.nan)
+        at = q / c[:, 2:3]
+        minus = np.empty_like(at)
+        for share in np.unique(c[:, 3]) if ne_2 is not None else [None]:
+            own = c[:, 3] == share if share is not None else slice(None)
+            curve = np.array(blend(ne, ne_2, share, 201)).T if share is not None else curves[1]
+            minus[own] = np.interp(at[own], *curve, left=np.nan, right=np.nan)
         return np.sqrt(np.nan_to_num((plus - minus - v) ** 2, nan=1.0).mean(axis=1))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,16 +113,16 @@ def fit_electrodes(cells: DataFrame, pe: list[tuple[float, float]], ne: list[tup
                 q, v = np.array([(p["q"], p["voltage"]) for p in points]).T
                 best, spread = ((low + high) / 2)[None, :], high - low
                 for _ in range(rounds):
-                    tried = np.clip(best[:, None, :] + offsets * spread, low, high).reshape(-1, len(PARAMETERS))
+                    tried = np.clip(best[:, None, :] + offsets * spread, low, high).reshape(-1, len(names))
                     tried = np.unique(np.concatenate((best, tried)), axis=0)
                     off = errors(tried, q, v)
                     first = np.argsort(off, kind="stable")[:keep]
                     best, spread = tried[first], spread * 0.35
                 rows.append((*best[0], off[first[0]]))
-            yield pd.concat([pdf[["cell"]], pd.DataFrame(rows, columns=[*PARAMETERS, "error"], index=pdf.index)], axis=1)
+            yield pd.concat([pdf[["cell"]], pd.DataFrame(rows, columns=[*names, "error"], index=pdf.index)], axis=1)
 
     cell = F.to_json(F.struct("run_id", "cycle_index"), {"ignoreNullFields": "false"}).alias("cell")
     points = cells.where("q is not null and voltage is not null").groupBy("run_id", "cycle_index").agg(F.collect_list(F.struct("q", "voltage")).alias("points"))
     schema = cells.select("run_id", "cycle_index").schema.simpleString()
-    found = points.select(cell, "points").mapInPandas(fit, "cell string, lli double, q_pe double, q_ne double, error double")
-    return found.select(F.from_json("cell", schema).alias("c"), *PARAMETERS, "error").select("c.*", *PARAMETERS, "error")
+    found = points.select(cell, "points").mapInPandas(fit, "cell string, " + ", ".join(f"{p} double" for p in names) + ", error double")
+    return found.select(F.from_json("cell", schema).alias("c"), *names, "error").select("c.*", *names, "error")

@@ -122,8 +122,8 @@ def diffusion_change(found: DataFrame, position: int, n_windows: int = 9) -> Dat
     return found.groupBy("run_id").agg(*[F.try_divide(at(position, w) - at(0, w), at(0, w)).alias(f"D_{w}") for w in range(1, n_windows)])
 
 
-def hppc_features(curves: DataFrame, capacity: float, position: int = 1) -> DataFrame:
+def hppc_features(curves: DataFrame, capacity: float, position: int = 1, digits: int | None = None) -> DataFrame:
     """Resistance, rest voltage and diffusion features of each run, from diagnostic curves of its hppc cycles."""
     rows = windows_of(curves, step_roles(curves, capacity))
     out = resistance_change(resistances(rows), position)
-    return out.join(rest_voltage_change(rows, position), "run_id", "full").join(diffusion_change(diffusion(rows), position), "run_id", "full")
+    return out.join(rest_voltage_change(rows, position, digits=digits), "run_id", "full").join(diffusion_change(diffusion(rows), position), "run_id", "full")

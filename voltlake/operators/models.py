@@ -16,6 +16,18 @@ from pyspark.sql import functions as F
 from .matrix import folds
 
 
+def curve_vectors(curves: DataFrame, quantity: str = "discharge_capacity", x: str = "voltage", cycles: tuple[int, ...] = tuple(range(10, 101, 10))) -> DataFrame:
+    """Discharge curves of the chosen cycles as vectors for Components: run_id, cycle_index, embedding (quantity in the order of x).
+
+    The curves of a run have a common grid. Nulls stay nulls; a step_type column, if there is one, tells discharges.
+    """
+    rows = curves.where(F.col("cycle_index").isin(*cycles))
+    if "step_type" in curves.columns:
+        rows = rows.where("step_type = 'discharge'")
+    points = F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(quantity).cast("double").alias("y"))))
+    return rows.groupBy("run_id", "cycle_index").agg(F.transform(points, lambda p: p["y"]).alias("embedding"))
+
+
 class Components:
     """A fitted scaler and PCA, and the least number of components that explain enough."""
 

@@ -148,3 +148,34 @@ hp as (
          when 3 then (run_id % 20 + 1 + k) * (4 + p) / 2048.0::double when 2 then k / 1024.0::double else -k / 4096.0::double end as v
   from (select distinct user_id as run_id from events), generate_series(0, 1) a(p), generate_series(0, 8) b(w), generate_series(0, 3) c(s), generate_series(0, 11) d(k))
 """
+
+
+def soc_discharges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discharges between states of charge, with their roles: two tests of three windows of 33 points for every user; voltages are cubic in capacity."""
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id")).distinct()
+    rows = runs.select("run_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("position")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("window")).select("*", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("k"))
+    r, p, k = F.col("run_id") % 23, F.col("position"), F.col("k")
+    q = F.col("window") + (k * F.lit(1.0) - 4 * p) / F.lit(32.0)
+    x = F.col("discharge_capacity")
+    dip = p * (k * k / F.lit(9973.0) + r / F.lit(997.0) * F.when(k % 3 == 0, 1).otherwise(-1))
+    return rows.withColumn("discharge_capacity", q).select("run_id", "position", "window", F.lit("hppc_discharge_to_next_soc").alias("role"), k.cast("double").alias("test_time"), "discharge_capacity", (F.lit(4.1) - x / 7 + r * x * x / 911 - x * x * x / 301 - dip).alias("voltage"))
+
+
+SOC_SQL = """
+sp as (select run_id, w, k, w + (k - 4) / 32.0::double as q, k * k / 9973.0::double + (run_id % 23) / 997.0::double * case when k % 3 = 0 then 1 else -1 end as d
+       from (select distinct user_id as run_id from events), generate_series(0, 2) a(w), generate_series(0, 32) b(k))
+"""
+
+
+def electrode_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned potentials of both electrodes of a cell for every user, on 101 states of charge; each electrode ends somewhere."""
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id")).distinct()
+    rows = runs.select("run_id", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("s"))
+    s, r = F.col("s"), F.col("run_id") % 11
+    return rows.select("run_id", (s - 5.0).alias("soc"), F.when(s <= 95 - r, 3.5 + s * s / 11003.0).alias("pe"), F.when(s >= 3 + r, 0.9 - s / 119.0).alias("ne"))
+
+
+ELECTRODE_SQL = """
+ec as (select run_id, s - 5.0::double as soc, case when s <= 95 - run_id % 11 then 3.5::double + s * s / 11003.0::double end as pe, case when s >= 3 + run_id % 11 then 0.9::double - s / 119.0::double end as ne
+       from (select distinct user_id as run_id from events), generate_series(0, 100) t(s))
+"""

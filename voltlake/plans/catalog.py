@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cycles, diagnostics, features, halfcell, hppc, interpolate, life, matrix, models, protocols, smooth, steps, validate, waveform
+from ..operators import cycles, diagnostics, features, halfcell, hppc, interpolate, life, matrix, models, protocols, smooth, splines, steps, validate, waveform
+from ..sources import vendors
 from ..streaming import pauses
-from .adaptor import hppc_curves, life_curves, life_diagnostics, life_summary, raw_samples
+from .adaptor import electrode_curves, hppc_curves, life_curves, life_diagnostics, life_summary, raw_samples, soc_discharges
 
 QUERIES = {}
 
@@ -299,3 +300,94 @@ def smooth_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     knots = life_summary(spark, sf_dir).select("run_id", F.col("cycle_index").cast("double").alias("cycle"), "discharge_capacity")
     bounds = knots.groupBy("run_id").agg(F.min("cycle").alias("lo"), F.max("cycle").alias("hi"))
     return smooth.monotone_cubic(knots, bounds, ["run_id"], "cycle", "discharge_capacity", 65).select("run_id", F.round("cycle", 6).alias("cycle"), F.round("discharge_capacity", 8).alias("discharge_capacity"))
+
+
+@query
+def excluded_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries without the diagnostic cycles and without those that are marked as not wanted."""
+    raw = raw_samples(spark, sf_dir)
+    unwanted = raw.where("cycle_index = 2").select("run_id", "cycle_index")
+    return _text_time(cycles.summarize_cycles(raw, diagnostic_cycles(raw), unwanted, complete_vmin=2.1, complete_vmax=2.5, complete_ratio=0.1))
+
+
+@query
+def stray_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = steps.with_step_counter(raw_samples(spark, sf_dir)).withColumn("test_time", F.when(F.col("event_id") % 3 > 0, F.col("test_time")))
+    return diagnostics.without_stray_finals(raw, 1e6, 4).select("run_id", "data_point", "cycle_index", "step_index", "step_index_counter", "test_time")
+
+
+@query
+def waveform_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.waveform_steps(raw_samples(spark, sf_dir).withColumn("_wf_chg_cap", F.when(F.col("event_id") % 50 == 0, F.col("charge_capacity"))))
+
+
+@query
+def protocol_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id")).distinct().select("run_id", F.lit("P").alias("project_name"), F.col("run_id").alias("seq_num"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size % 4 <> 0")
+    parameters = part.select(F.lit("P").alias("project_name"), F.col("p_partkey").alias("seq_num"), (F.col("p_size") / 16.0).alias("charge_constant_current_1"), (3.5 + F.col("p_size") / 64.0).alias("charge_cutoff_voltage"))
+    return features.charging_protocol(runs, parameters, ("charge_constant_current_1", "charge_cutoff_voltage"))
+
+
+@query
+def structuring_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capacity and voltage range of runs of five projects, by the parameters of their projects."""
+    name = lambda k: F.concat(F.lit("P"), (F.col(k) % 5).cast("string"))
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(name("user_id"), F.lit("_"), F.col("user_id").cast("string"), F.lit("_x.csv")).alias("run_id")).distinct()
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size % 4 <> 0")
+    size = F.col("p_size")
+    parameters = part.select(name("p_partkey").alias("project_name"), F.col("p_partkey").cast("int").alias("seq_num"), (size / 16.0).alias("capacity_nominal"), (2.5 + size / 128.0).alias("discharge_cutoff_voltage"), (3.5 + size / 64.0).alias("charge_cutoff_voltage"))
+    return vendors.structuring_parameters(runs, parameters).select("run_id", "nominal_capacity", "v_min", "v_max")
+
+
+@query
+def diagnostic_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnostics of two cycles, found by the steps of the first two; steps are thinned out so that cycles differ."""
+    raw = raw_samples(spark, sf_dir).where((F.col("step_index") + F.col("run_id")) % 4 != F.col("cycle_index") % 3)
+    return diagnostics.from_patterns(raw, raw.select("run_id", F.lit(1).alias("diagnostic_start_cycle")).distinct(), ("reset", "hppc"))
+
+
+@query
+def diagnostic_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw diagnostic curves as channels, a row for each value."""
+    raw = steps.with_step_order(steps.with_step_counter(raw_samples(spark, sf_dir)))
+    rows = raw.join(diagnostic_cycles(raw), ["run_id", "cycle_index"])
+    found = features.raw_curves(rows, ["reset", "hppc"], (0,), ("capacity", "test_time"))
+    return found.select("run_id", "channel", F.posexplode("values").alias("place", "value"))
+
+
+@query
+def hppc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hppc.hppc_features(hppc_curves(spark, sf_dir), 2.0, 1, digits=6)
+    return found.select(*[F.round(c, 6).alias(c) if c.startswith("D_") else F.col(c) for c in found.columns])
+
+
+@query
+def voltage_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splines.v_diff(soc_discharges(spark, sf_dir), 1, digits=6)
+
+
+@query
+def curve_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discharge curves of three cycles as vectors of 21 values, a column each."""
+    found = models.curve_vectors(life_curves(life_summary(spark, sf_dir)), cycles=(10, 55, 100))
+    return found.select("run_id", "cycle_index", *[F.col("embedding")[i].alias(f"v{i}") for i in range(21)])
+
+
+@query
+def electrode_voltages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = halfcell.halfcell_voltages(electrode_curves(spark, sf_dir), ["run_id"])
+    return found.select(*[F.round(c, 9).alias(c) if c != "run_id" else F.col(c) for c in found.columns])
+
+
+@query
+def diagnostic_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reset, pulse and rate test steps of every part, as if its size set the parameters."""
+    size = F.col("p_size")
+    rates = {"reset_cycle_current": 16, "reset_cycle_cutoff_current": 64, "HPPC_baseline_constant_current": 32, "diagnostic_cutoff_current": 128, "HPPC_pulse_current_1": 8, "HPPC_pulse_current_2": 4, "RPT_charge_constant_current": 16, "RPT_discharge_constant_current_1": 64, "RPT_discharge_constant_current_2": 32, "RPT_discharge_constant_current_3": 8}
+    times = {"HPPC_rest_time": 1, "HPPC_pulse_duration_1": 2, "HPPC_pulse_rest_time": 3, "HPPC_pulse_duration_2": 4}
+    volts = {"diagnostic_charge_cutoff_voltage": 4.25, "diagnostic_discharge_cutoff_voltage": 2.75, "HPPC_pulse_cutoff_voltage": 4.5}
+    parameters = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.col("p_partkey").alias("seq_num"), F.lit(4.5).alias("capacity_nominal"), F.lit(10).alias("HPPC_interval"), *[(size / float(k)).alias(n) for n, k in rates.items()], *[(size * k).alias(n) for n, k in times.items()], *[F.lit(v).alias(n) for n, v in volts.items()]
+    )
+    return protocols.diagnostic_blocks(parameters).select("seq_num", "block", "step", "kind", "mode", "value", "limit", F.split("ends", "[=;]")[0].alias("end_type"), F.split("ends", "[=;]")[1].alias("end_value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .adaptor import HPPC_SQL, LIFE_SQL, RAW_SQL
+from .adaptor import ELECTRODE_SQL, HPPC_SQL, LIFE_SQL, RAW_SQL, SOC_SQL
 
 DIAGNOSTIC = """
 diag as (select distinct run_id, cycle_index, case cycle_index when 0 then 'reset' else 'hppc' end as cycle_type
@@ -449,3 +449,108 @@ ORACLES["rpt_roles"] = (
     _with(DIAGNOSTIC, "rates as (select run_id, cycle_index, step_index, round_even(median(current) / 2.0, 2) as m from raw semi join (select * from diag where cycle_type = 'reset') d using (run_id, cycle_index) group by all)")
     + " select run_id, cycle_index, step_index, case when m > 0 then 'reset_charge' when m < 0 then 'reset_discharge' end as role from rates"
 )
+
+ORACLES["excluded_cycles"] = _with("diag as (select distinct run_id, cycle_index from raw where cycle_index in (0, 2, 3))", SUMMARY) + f" select * exclude (date_time), {_TIME} from summary"
+
+ORACLES["stray_finals"] = (
+    _with(OCCURRENCES, "thin as (select * replace (case when event_id % 3 > 0 then test_time end as test_time) from occ)")
+    + """, kept as (select * from thin where test_time is null or test_time <= 1000000 or cycle_index >= 4)
+    select run_id, data_point, cycle_index, step_index, step_index_counter, test_time from kept
+    qualify count(test_time) over (partition by run_id, cycle_index, step_index, step_index_counter) > 0"""
+)
+
+ORACLES["waveform_flags"] = _with() + " select run_id, cycle_index, step_index, count(*) filter (where event_id % 50 = 0) > 0 as is_waveform from raw group by all"
+
+ORACLES["protocol_of_runs"] = """
+select run_id, p_size / 16.0::double as charge_constant_current_1, 3.5::double + p_size / 64.0::double as charge_cutoff_voltage
+from (select distinct user_id as run_id from events) r left join (select * from part where p_size % 4 <> 0) p on run_id = p_partkey
+"""
+
+ORACLES["structuring_ranges"] = """
+with p as (select * from part where p_size % 4 <> 0),
+spans as (select p_partkey % 5 as project, min(2.5::double + p_size / 128.0::double) as lo, max(3.5::double + p_size / 64.0::double) as hi from p group by 1)
+select 'P' || u % 5 || '_' || u || '_x.csv' as run_id, coalesce(p_size / 16.0::double, 1.1::double) as nominal_capacity, case when p_size is not null then lo end as v_min, case when p_size is not null then hi end as v_max
+from (select distinct user_id as u from events) r left join p on u = p_partkey left join spans on u % 5 = project
+"""
+
+ORACLES["diagnostic_patterns"] = (
+    _with(
+        "sets as (select run_id, cycle_index, list_sort(list_distinct(list(step_index))) as s from raw where (step_index + run_id) % 4 <> cycle_index % 3 group by all)",
+        "sized as (select a.*, [len(a.s), coalesce(len(b.s), 0)] as n, max(a.cycle_index) over (partition by a.run_id) as last from sets a left join sets b on a.run_id = b.run_id and b.cycle_index = a.cycle_index + 1)",
+        "known as (select run_id, s, n from sized where cycle_index in (1, 4))",
+        "starts as (select distinct a.run_id, a.cycle_index from sized a join known k using (run_id) where a.s = k.s or (a.cycle_index >= last - 3 and a.n = k.n))",
+        "marked as (select run_id, cycle_index + i as cycle_index, cycle_index as start, case i when 0 then 'reset' else 'hppc' end as cycle_type from starts, generate_series(0, 1) t(i))",
+    )
+    + " select run_id, cycle_index, max_by(cycle_type, start) as cycle_type from marked semi join sets using (run_id, cycle_index) group by run_id, cycle_index"
+)
+
+ORACLES["diagnostic_channels"] = (
+    _with(
+        OCCURRENCES,
+        DIAGNOSTIC,
+        """rows as (select occ.*, cycle_type, dense_rank() over (partition by run_id, cycle_index order by step_type) - 1 as step,
+                 least(charge_capacity, max(charge_capacity) over p - discharge_capacity) as q, test_time - min(test_time) over p as t
+          from occ join diag using (run_id, cycle_index) window p as (partition by run_id, cycle_index, step_index))""",
+        """both_kinds as (select run_id, 'diag_cycle_0_' || cycle_type || '_capacity_step_' || step as channel, step_index_counter as k, test_time, q as value from rows
+           union all select run_id, 'diag_cycle_0_' || cycle_type || '_test_time_step_' || step, step_index_counter, test_time, t from rows)""",
+    )
+    + " select run_id, channel, cast(row_number() over (partition by run_id, channel order by k, test_time, value) - 1 as integer) as place, value from both_kinds"
+)
+
+ORACLES["hppc_features"] = (
+    _hppc(
+        _RES,
+        "chg as (select run_id, " + ", ".join(_res_change(c, w) for c in _NAMES for w in range(9)) + " from res group by run_id)",
+        "ocv as (select run_id, w, max(v) filter (where p = 0) - max(v) filter (where p = 1) as d from hp where s = 0 and k = 2 group by all)",
+        f"st as (select run_id, round(var_pop(d), 6) as var_ocv, round(min(d), 6) as min_ocv, round(avg(d), 6) as mean_ocv, round({_G1}, 6) as skew_ocv, round(kurtosis(d) + 3, 6) as kurtosis_ocv, round(sum(abs(d)), 6) as sum_ocv, round(sum(d * d), 6) as sum_square_ocv from ocv group by run_id)",
+        "slopes as (select run_id, p, w, regr_slope(v - v0, sqrt(t + 22) - sqrt(t)) as slope from (select *, k * 2.0::double as t, min(v) over (partition by run_id, p, w) as v0 from hp where s = 2) where w > 0 and k >= 8 group by all)",
+        "dif as (select run_id, " + ", ".join(f"round(max(slope) filter (where p = 1 and w = {w}) / max(slope) filter (where p = 0 and w = {w}) - 1, 6) + 0.0::double as D_{w}" for w in range(1, 9)) + " from slopes group by run_id)",
+    )
+    + " select * from chg join st using (run_id) join dif using (run_id)"
+)
+
+ORACLES["voltage_differences"] = (
+    "with "
+    + SOC_SQL.strip()
+    + f""" select run_id, w as "window", round(var_pop(d), 6) as var_v_diff, round(min(d), 6) as min_v_diff, round(avg(d), 6) as mean_v_diff, round({_G1}, 6) as skew_v_diff, round(kurtosis(d) + 3, 6) as kurtosis_v_diff,
+           round(sum(abs(d)), 6) as sum_v_diff, round(sum(d * d), 6) as sum_square_v_diff from sp where q > w and q < w + 1 group by run_id, w"""
+)
+
+ORACLES["curve_vectors"] = _life() + " select run_id, cycle_index, " + ", ".join(f"max(discharge_capacity) filter (where voltage = {2.5 + i / 16}::double) as v{i}" for i in range(21)) + " from lcurves where cycle_index in (10, 55, 100) group by all"
+
+
+def _electrodes() -> str:
+    ends = {"upper": 4.2, "lower": 2.7}
+    near = ", ".join(f"min_by(struct_pack(soc, pe, ne), (abs(pe - ne - {v}::double), soc)) filter (where pe - ne is not null) as {e}" for e, v in ends.items())
+    spans = ", ".join(f"{f}(soc) filter (where {x} is not null) as {n}_{f}" for f in ("min", "max") for n, x in (("pe", "pe"), ("ne", "ne"), ("li", "pe - ne")))
+    out = [f"round({e}.{x}, 9) as {x}_{e}_voltage, round(({e}.soc - {x}_min) / ({x}_max - {x}_min) * 100, 9) as {x}_{e}_soc" for x in ("pe", "ne") for e in ends]
+    out += [f"{x}_max - {x}_min as {x}_mass" for x in ("pe", "ne", "li")] + [f"{e}.soc as soc_{e}" for e in ends]
+    return f"with {ELECTRODE_SQL.strip()}, found as (select run_id, {near}, {spans} from ec group by run_id) select run_id, {', '.join(out)} from found"
+
+
+ORACLES["electrode_voltages"] = _electrodes()
+
+
+def _blocks() -> str:
+    """block, step, kind, mode, value, limit, type and value of the first end, by the parameters of the query."""
+    amps = lambda k, places=3: f"round_even(4.5::double * (p_size / {k}.0::double), {places})"
+    time = lambda seconds: f"printf('%02d:%02d:%02d', ({seconds}) // 3600, ({seconds}) % 3600 // 60, ({seconds}) % 60)"
+    text = lambda x: f"cast({x} as varchar)"
+    cut, low, high = text(amps(128)), "2.75::double", "4.25::double"
+    rows = [
+        ("reset", 0, "Charge", "Current", amps(16, 4), high, "Current", text(amps(64, 4))),
+        ("reset", 1, "Dischrge", "Current", amps(16, 4), "null", "Voltage", "'2.75'"),
+        ("hppc", 0, "Charge", "Current", amps(32), high, "Current", cut),
+        ("hppc", 2, "Rest", "", "null", "null", "StepTime", time("60 * p_size")),
+        ("hppc", 3, "Dischrge", "Current", amps(8), "null", "StepTime", time("2 * p_size")),
+        ("hppc", 4, "Rest", "", "null", "null", "StepTime", time("3 * p_size")),
+        ("hppc", 5, "Charge", "Current", amps(4), "null", "StepTime", time("4 * p_size")),
+        ("hppc", 6, "Dischrge", "Current", amps(32), "null", "StepTime", time("cast(round_even(360 / (p_size / 32.0::double) - 1, 0) as bigint)")),
+        ("hppc", 8, "Dischrge", "Voltage", low, amps(32), "Current", cut),
+    ]
+    for i, k in enumerate((64, 32, 8)):
+        rows += [("rpt", 3 * i, "Charge", "Current", amps(16), high, "Current", cut), ("rpt", 3 * i + 1, "Dischrge", "Current", amps(k), "null", "Voltage", "'2.75'")]
+    return " union all ".join(f"select p_partkey as seq_num, '{b}' as block, {n} as step, '{kind}' as kind, '{mode}' as mode, {v} as value, {limit} as \"limit\", '{t}' as end_type, {e} as end_value from part" for b, n, kind, mode, v, limit, t, e in rows)
+
+
+ORACLES["diagnostic_protocols"] = _blocks()

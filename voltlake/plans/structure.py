@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cycles, interpolate, validate
 from ..sources import sinks, vendors
+from . import learn
 
 READERS = {"arbin": vendors.read_arbin, "maccor": vendors.read_maccor, "archive": vendors.read_archive, "biologic": vendors.read_biologic, "neware": vendors.read_neware, "novonix": vendors.read_novonix}
 
@@ -59,7 +61,7 @@ def run(spark: SparkSession, path: str, out: str, kind: str | None = None, rules
 
 
 def main(argv: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(prog="voltlake", description="Structure cycler files, or inspect a table.")
+    p = argparse.ArgumentParser(prog="voltlake", description="Structure cycler files, make features of them, fit and use models, or inspect a table.")
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("structure")
     s.add_argument("path")
@@ -69,10 +71,31 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--nominal-capacity", type=float, default=1.1)
     i = sub.add_parser("inspect")
     i.add_argument("path")
+    f = sub.add_parser("featurize")
+    f.add_argument("path")
+    f.add_argument("out")
+    f.add_argument("--with", dest="wanted", action="append", required=True, metavar="NAME[={JSON}]", help="a featurizer, or package.module.function, with parameters")
+    t = sub.add_parser("train")
+    t.add_argument("x")
+    t.add_argument("y")
+    t.add_argument("out")
+    t.add_argument("--target", required=True)
+    t.add_argument("--kind", choices=("elastic", "lasso", "ridge"), default="elastic")
+    r = sub.add_parser("predict")
+    r.add_argument("x")
+    r.add_argument("model")
+    r.add_argument("out")
     a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "structure":
         sinks.counts_by_outcome(run(spark, a.path, a.out, a.format, resolution=a.resolution, nominal_capacity=a.nominal_capacity)).show()
+    elif a.command == "featurize":
+        named = dict(w.partition("=")[::2] for w in a.wanted)
+        learn.featurize(spark, a.path, a.out, {k: json.loads(v) if v else None for k, v in named.items()}).show()
+    elif a.command == "train":
+        print(json.dumps(learn.train(spark, a.x, a.y, a.out, a.target, a.kind)))
+    elif a.command == "predict":
+        learn.predict(spark, a.x, a.model, a.out).show()
     else:
         df = spark.read.parquet(a.path)
         df.printSchema()

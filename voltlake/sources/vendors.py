@@ -199,6 +199,40 @@ def read_biologic(spark: SparkSession, path: str | list[str], search: int = 200)
     return _imputed(rows.drop("cycle_number", "date_time_text"))
 
 
+def _shown(line: Column) -> Column:
+    """A Latin-1 line as its bytes are written in ASCII: backslash and tab escaped, other bytes beyond as \\xNN."""
+    text = F.replace(F.replace(line, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t"))
+    odd = lambda c: F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(c))), 2, "0"))
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.ascii(c) > 126, odd(c)).otherwise(c)), "")
+
+
+def read_biologic_metadata(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """run_id, channel_id, barcode and protocol (md5 of its text, in hex) of BioLogic settings files.
+
+    A channel A1 is 11. The protocol is the text from the line of its cycle definition (which is counted
+    twice, as in existing digests) to the first empty line or the end; what a file lacks is null.
+    """
+    rows = lines(spark, path, "ISO-8859-1")
+    key, last = F.element_at(F.split(F.trim("line"), " : "), 1), F.element_at(F.split(F.trim("line"), " : "), -1)
+    rows = rows.withColumns({"begins": F.when(F.contains(key, F.lit("Cycle Definition")), F.col("line_no")), "key": key, "last": last, "shown": _shown(F.col("line"))})
+    start = F.min("begins").over(W.partitionBy("file"))
+    rows = rows.withColumn("start", start)
+    rows = rows.withColumn("end", F.min(F.when((F.col("line") == "") & (F.col("line_no") > F.col("start")), F.col("line_no"))).over(W.partitionBy("file")))
+    inside = (F.col("line_no") >= F.col("start")) & (F.col("end").isNull() | (F.col("line_no") < F.col("end")))
+    text = F.concat("shown", F.lit("\n"))
+    text = F.when(F.col("begins").isNotNull(), F.concat(text, text)).otherwise(text)
+    text = F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct("line_no", text.alias("t"))))), lambda s: s["t"])
+    channel = F.split(F.element_at(F.split(F.trim("line"), " : "), 2), " ")[0]
+    number = F.concat((F.ascii(channel) - 64).cast("string"), F.substring(channel, 2, 9)).try_cast("int")
+    first = lambda value, here: F.max_by(value, F.when(here, -F.col("line_no")))
+    found = rows.groupBy("file").agg(
+        first(number, F.col("key") == "Run on channel").alias("channel_id"),
+        first(F.col("last"), F.contains(F.col("key"), F.lit("Comments"))).alias("barcode"),
+        F.when(F.max("start").isNotNull(), F.md5(F.array_join(text, ""))).alias("protocol"),
+    )
+    return _keyed(found)
+
+
 def read_novonix(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Novonix exports: amounts are split by the kind of step, and discharge counts down from the cycle's maximum.
 
@@ -300,3 +334,24 @@ def with_parameters(runs: DataFrame, parameters: DataFrame, diagnostics: DataFra
         out = out.join(diagnostics.select("diagnostic_type", "diagnostic_parameter_set", F.col("diagnostic_discharge_cutoff_voltage").alias("_lo"), F.col("diagnostic_charge_cutoff_voltage").alias("_hi")), ["diagnostic_type", "diagnostic_parameter_set"], "left")
         out = out.withColumns({"v_min": F.coalesce("_lo", F.lit(2.7)), "v_max": F.coalesce("_hi", F.lit(4.2))}).drop("_lo", "_hi")
     return out
+
+
+def structuring_parameters(runs: DataFrame, parameters: DataFrame, nominal_capacity: float = 1.1) -> DataFrame:
+    """Adds to runs (run_id: a file name) what their structuring needs: nominal_capacity, v_min, v_max, and the diagnostic's columns.
+
+    parameters: project_name, seq_num, and of capacity_nominal, discharge_cutoff_voltage, charge_cutoff_voltage,
+    diagnostic_type, diagnostic_parameter_set, diagnostic_start_cycle and diagnostic_interval those that there
+    are. The voltage range is that of the whole project. A run without parameters has the default capacity
+    and a null range.
+    """
+    have = set(parameters.columns)
+    project, number = project_and_number(F.col("run_id"))
+    own = [c for c in ("capacity_nominal", "diagnostic_type", "diagnostic_parameter_set", "diagnostic_start_cycle", "diagnostic_interval") if c in have]
+    rows = runs.withColumns({"project_name": project, "seq_num": number}).join(parameters.select("project_name", "seq_num", *own, F.lit(True).alias("_known")), ["project_name", "seq_num"], "left")
+    if {"discharge_cutoff_voltage", "charge_cutoff_voltage"} <= have:
+        spans = parameters.groupBy("project_name").agg(F.min("discharge_cutoff_voltage").alias("v_min"), F.max("charge_cutoff_voltage").alias("v_max"))
+        rows = rows.join(spans, "project_name", "left").withColumns({c: F.when(F.col("_known"), F.col(c)) for c in ("v_min", "v_max")})
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("v_min", "v_max")})
+    capacity = F.coalesce(F.col("capacity_nominal"), F.lit(nominal_capacity)) if "capacity_nominal" in have else F.lit(nominal_capacity)
+    return rows.withColumn("nominal_capacity", capacity).drop("capacity_nominal", "_known")
