@@ -226,3 +226,91 @@ def test_monotone_cubic(spark):
     assert all(b >= a for a, b in zip(inside[:13], inside[1:13])) and got[0.5] == 0 and got[3.5] == 3
     # Slopes 0 and 4/3 at the ends of the piece from 1 to 2, by hand at its middle.
     assert math.isclose(got[1.5], 0.5 * 0 + 0.125 * 1 * 0 + 0.5 * 1 - 0.125 * (2 / (1 / 1 + 1 / 2)))
+
+
+def test_splines(spark):
+    from voltlake.operators import splines
+
+    x = np.sort(np.random.default_rng(3).random(40)) * 4
+    at = np.linspace(x[0] - 0.2, x[-1] + 0.2, 101)
+    for degree in (2, 3):
+        p = np.polynomial.Polynomial(np.arange(1, degree + 2) / 3)
+        assert np.allclose(splines.spline(x, p(x), at, degree), p(at), atol=1e-9)
+        assert np.allclose(splines.spline(x, np.sin(x), x, degree), np.sin(x))
+        assert np.isnan(splines.spline(x[:degree], x[:degree], at, degree)).all()
+    # Against the whole system: values, equal third derivatives beside the second and the last but one point.
+    y, h = np.cos(3 * x[:9]), np.diff(x[:9])
+    a = np.zeros((9, 9))
+    b = np.zeros(9)
+    for i in range(1, 8):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    a[0, :3] = -1 / h[0], 1 / h[0] + 1 / h[1], -1 / h[1]
+    a[8, 6:] = -1 / h[6], 1 / h[6] + 1 / h[7], -1 / h[7]
+    m = np.linalg.solve(a, b)
+    mids = (x[:8] + x[1:9]) / 2
+    want = (y[:-1] + y[1:]) / 2 - (m[:-1] + m[1:]) * h**2 / 16
+    assert np.allclose(splines.spline(x[:9], y, mids), want)
+    rows = [("a", float(v), float(v**3)) for v in (0, 1, 2, 3, 4)] + [("a", 4.0, 64.0), ("a", None, 1.0), ("b", 1.0, 1.0)]
+    got = splines.interpolate_spline(spark.createDataFrame(rows, "run_id string, x double, y double"), ["run_id"], "x", "y", 9).collect()
+    a = sorted((r.x, r.y) for r in got if r.run_id == "a")
+    assert len(a) == 9 and all(math.isclose(v, k**3, abs_tol=1e-9) for k, v in a) and all(r.y is None or r.y != r.y for r in got if r.run_id == "b")
+
+
+def test_blends(spark):
+    from voltlake.operators import halfcell
+
+    grid = [i / 50 for i in range(51)]
+    pe = [(q, 3.4 + 0.9 * q**0.5) for q in grid]
+    first = [(q, 0.6 * (1 - q) ** 2 + 0.05) for q in grid]
+    second = [(q, 0.65 - 0.6 * q) for q in grid]
+    alone = np.array(halfcell.blend(first, second, 0.0)).T
+    assert np.allclose(np.interp(grid, *alone), [v for _, v in first], atol=1e-3)
+    mixed = halfcell.blend(first, second, 0.3, 201)
+    v = 0.35
+    share = 0.7 * (1 - ((v - 0.05) / 0.6) ** 0.5) + 0.3 * (0.65 - v) / 0.6
+    assert math.isclose(np.interp(share, *np.array(mixed).T), v, abs_tol=2e-3)
+    cells = spark.range(1, 41).select(F.lit("r").alias("run_id"), F.lit(0).alias("cycle_index"), (F.col("id") / 40.0).alias("q"))
+    cells = cells.withColumn("voltage", halfcell.emulate(pe, mixed, F.col("q"), F.lit(0.1), F.lit(1.4), F.lit(1.2)))
+    bounds = {"lli": (0.0, 0.2), "q_pe": (1.3, 1.5), "q_ne": (1.1, 1.3), "x_ne_2": (0.0, 0.6)}
+    got = halfcell.fit_electrodes(cells, pe, first, bounds, rounds=4, n=5, ne_2=second).first()
+    assert got.error < 0.005 and abs(got.x_ne_2 - 0.3) < 0.1 and abs(got.q_ne - 1.2) < 0.03
+
+
+def own_featurizer(tables, cycle):
+    return tables.summary.where(F.col("cycle_index") == cycle).select("run_id", F.col("discharge_capacity").alias("q"), F.col("charge_duration").alias("c"))
+
+
+own_featurizer.defaults = {"cycle": 0}
+
+
+def test_features_models_and_predictions(spark, tmp_path):
+    from voltlake.plans import learn, structure
+
+    rows = spark.range(40).select(F.format_string("r%d", "id").alias("run_id"), F.explode(F.sequence(F.lit(0), F.lit(60))).alias("cycle_index"), (F.col("id") / 400.0).alias("k"))
+    summary = rows.select("run_id", F.col("cycle_index").cast("int").alias("cycle_index"), (1.0 - F.col("k") - F.col("cycle_index") * (0.002 + F.col("k") / 20)).alias("discharge_capacity"), (600 + 500 * F.col("k")).alias("charge_duration"))
+    summary.write.parquet(str(tmp_path / "s" / "summary"))
+    place = lambda name: str(tmp_path / name)
+    x = learn.featurize(spark, place("s"), place("x"), {f"{__name__}.own_featurizer": {"cycle": 1}, "capacities": {"positions": [5, 10]}})
+    assert x.count() == 40 and {c.rpartition("::")[0] for c in x.columns} == {"", "q::own_featurizer", "c::own_featurizer", "cycle_5::capacities", "cycle_10::capacities"}
+    learn.featurize(spark, place("s"), place("y"), {"cycle_life": None})
+    errors = learn.train(spark, place("x/matrix"), place("y/matrix"), place("m"), "cycle_life::cycle_life", alphas=[0.001], ratios=[0.5], n_folds=3)
+    assert errors["r2"] > 0.8
+    structure.main(["predict", place("x/matrix"), place("m"), place("p")])
+    got = spark.read.parquet(place("p"))
+    assert got.count() == 40 and got.where("prediction is null or target <> 'cycle_life::cycle_life'").count() == 0
+    with pytest.raises(ValueError, match="no table diagnostic_summary"):
+        learn.featurize(spark, place("s"), place("z"), {"summary_differences": None})
+    with pytest.raises(ValueError, match="neither a featurizer"):
+        learn.featurizer("odd")
+    with pytest.raises(ValueError, match="not a column"):
+        learn.train(spark, place("x/matrix"), place("y/matrix"), place("n"), "odd")
+
+
+def test_curve_vectors_in_components(spark):
+    rows = spark.range(30).select(F.format_string("r%d", "id").alias("run_id"), F.lit(10).alias("cycle_index"), F.lit("discharge").alias("step_type"), F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"))
+    curves = rows.select("run_id", "cycle_index", "step_type", (F.col("i") / 8.0).alias("voltage"), ((F.col("k") % 7) * F.col("i") + F.col("k") * F.col("i") * F.col("i") + F.sin(F.col("k") * 9 + F.col("i")) / 50).alias("discharge_capacity"))
+    vectors = models.curve_vectors(curves)
+    assert {len(r.embedding) for r in vectors.collect()} == {9}
+    fitted = models.Components(vectors, n=4, explain=0.99)
+    assert fitted.least <= 2 and fitted.embed(vectors).agg(F.max("error")).first()[0] < 0.2

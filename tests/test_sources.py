@@ -125,3 +125,16 @@ def test_structure_of_files(spark, tmp_path):
     docs = sinks.column_lists(summary.select("run_id", "cycle_index", "charge_capacity"), "cycle_index")
     back = sinks.from_column_lists(docs, {"cycle_index": "int", "charge_capacity": "double"})
     assert sorted(map(tuple, back.collect())) == sorted((r.run_id, r.cycle_index, r.charge_capacity) for r in summary.collect())
+
+
+def test_biologic_metadata(spark, tmp_path):
+    import hashlib
+
+    lines = ["EC-LAB SETTING FILE", "Run on channel : B12 (SN 0419)", "Comments : cell\xb07", "Cycle Definition : Charge\talternance", "Ns\t0", "I \\ mA\xb2", "", "Comments : later"]
+    (tmp_path / "t_C.mps").write_bytes("\r\n".join(lines).encode("latin-1") + b"\r\n")
+    (tmp_path / "u_C.mps").write_bytes(b"Run on channel : A1 (SN 1)\r\nCycle Definition : x\r\ny\r\n")
+    got = {r.run_id: r for r in vendors.read_biologic_metadata(spark, str(tmp_path)).collect()}
+    shown = [repr(x.encode("latin-1"))[2:-1] for x in lines[3:6]]
+    text = "\n".join([shown[0], *shown]) + "\n"
+    assert (got["t_C.mps"].channel_id, got["t_C.mps"].barcode, got["t_C.mps"].protocol) == (212, "cell\xb07", hashlib.md5(text.encode()).hexdigest())
+    assert (got["u_C.mps"].channel_id, got["u_C.mps"].barcode, got["u_C.mps"].protocol) == (11, None, hashlib.md5(b"Cycle Definition : x\nCycle Definition : x\ny\n").hexdigest())
