@@ -314,3 +314,16 @@ def test_curve_vectors_in_components(spark):
     assert {len(r.embedding) for r in vectors.collect()} == {9}
     fitted = models.Components(vectors, n=4, explain=0.99)
     assert fitted.least <= 2 and fitted.embed(vectors).agg(F.max("error")).first()[0] < 0.2
+
+
+def test_percentiles_by_brackets(spark):
+    from voltlake.functions.quantiles import percentiles
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=5001), rng.integers(0, 4, 5001).astype(float)
+    rows = spark.createDataFrame([(float(a), float(b) if i % 3 else None, None) for i, (a, b) in enumerate(zip(x, y))], "x double, y double, z double")
+    columns, shares = {c: F.col(c) for c in "xyz"}, [0.0, 0.05, 0.5, 0.95, 1.0]
+    want = {"x": np.percentile(x, [100 * s for s in shares]), "y": np.percentile(y[[i for i in range(5001) if i % 3]], [100 * s for s in shares])}
+    for limit in (0, 100_000):
+        got = percentiles(rows, columns, shares, one_task=limit, accuracy=200)
+        assert np.allclose(got["x"], want["x"], atol=1e-12) and np.allclose(got["y"], want["y"]) and got["z"] == [None] * 5

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import percentiles
+
 
 def feature_name(feature: str, featurizer: str, parameters: dict) -> str:
     """feature::featurizer::sha256 of its parameters."""
@@ -51,8 +53,12 @@ def clean(matrix: DataFrame, column_share: float = 0.75, row_share: float = 0.75
     rows = finite.select("run_id", *[q(c) for c in kept]).where(have >= row_share * len(kept))
     if impute == "none" or not kept:
         return rows
-    how = {"median": F.median, "mean": F.avg}[impute]
-    fill = rows.agg(*[how(q(c)).alias(c) for c in kept]).first()
+    if impute == "median":
+        fill = {c: v[0] for c, v in percentiles(rows, {c: q(c) for c in kept}, [0.5]).items()}
+    elif impute == "mean":
+        fill = rows.agg(*[F.avg(q(c)).alias(c) for c in kept]).first()
+    else:
+        raise ValueError(f"{impute!r} is not median, mean or none")
     return rows.select("run_id", *[F.coalesce(q(c), F.lit(fill[c]).cast("double")).alias(c) for c in kept])
 
 

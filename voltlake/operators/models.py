@@ -13,6 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import percentiles
 from .matrix import folds
 
 
@@ -46,10 +47,9 @@ class Components:
         self.fix = math.sqrt(self.n_rows / (self.n_rows - 1)) if self.n_rows > 1 else 1.0
         self.loadings = self.model.stages[1].pc.toArray()[:, : self.least]
         fitted = self.embed(train)
-        part = [F.percentile(F.col("z")[i], F.array(F.lit(0.05), F.lit(0.95))).alias(str(i)) for i in range(self.least)]
-        bounds = fitted.agg(*part, F.max("error").alias("error"), *[F.stddev_pop(F.col("z")[i]).alias(f"s{i}") for i in range(self.least)]).first()
-        self.low, self.high = [bounds[str(i)][0] for i in range(self.least)], [bounds[str(i)][1] for i in range(self.least)]
-        self.most_error = 1.5 * bounds["error"]
+        bounds = percentiles(fitted, {str(i): F.col("z")[i] for i in range(self.least)}, [0.05, 0.95])
+        self.low, self.high = ([bounds[str(i)][k] for i in range(self.least)] for k in (0, 1))
+        self.most_error = 1.5 * fitted.agg(F.max("error")).first()[0]
 
     def embed(self, df: DataFrame) -> DataFrame:
         """Adds z (components) and error (mean absolute error of the standardised row rebuilt from them)."""
