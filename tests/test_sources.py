@@ -138,3 +138,19 @@ def test_biologic_metadata(spark, tmp_path):
     text = "\n".join([shown[0], *shown]) + "\n"
     assert (got["t_C.mps"].channel_id, got["t_C.mps"].barcode, got["t_C.mps"].protocol) == (212, "cell\xb07", hashlib.md5(text.encode()).hexdigest())
     assert (got["u_C.mps"].channel_id, got["u_C.mps"].barcode, got["u_C.mps"].protocol) == (11, None, hashlib.md5(b"Cycle Definition : x\nCycle Definition : x\ny\n").hexdigest())
+
+
+def test_tester_files_of_spliced_runs(spark, tmp_path):
+    from voltlake.operators import waveform
+    from voltlake.sources import sinks
+
+    columns = {"data_point": "Rec#", "cycle_index": "Cyc#", "test_time": "Test (Sec)", "voltage": "Volts"}
+    schema = "run_id string, data_point int, cycle_index int, test_time double, voltage double"
+    first = spark.createDataFrame([("a", 1, 0, 0.5, 3.0), ("a", 2, 1, 9.0, None), ("b", 1, 0, 0.0, 3.5)], schema)
+    second = spark.createDataFrame([("a", 1, 0, 1.0, 3.2), ("a", 2, 0, 2.0, 3.3)], schema)
+    heads = spark.createDataFrame([("a", "Today's Date\t1/1/2020"), ("b", "x")], "run_id string, line string")
+    sinks.write_tester_files(heads, waveform.splice(first, second), columns, str(tmp_path / "out"))
+    text = [f.read_text().splitlines() for f in (tmp_path / "out" / "run_id=a").glob("part-*")]
+    assert text == [["Today's Date\t1/1/2020", "Rec#\tCyc#\tTest (Sec)\tVolts", "1\t0\t0.5\t3.0", "2\t1\t9.0\t", "3\t1\t10.0\t3.2", "4\t1\t11.0\t3.3"]]
+    rows = sorted((r.data_point, r.voltage) for r in vendors.read_maccor(spark, str(tmp_path / "out" / "run_id=a")).collect())
+    assert [r[0] for r in rows] == [1, 2, 3, 4] and rows[1][1] is None

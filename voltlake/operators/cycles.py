@@ -69,13 +69,8 @@ def cycle_aggregates(raw: DataFrame, full_charge: float) -> DataFrame:
     )
 
 
-def constant_voltage(raw: DataFrame, charging: Column, dt_tol: float = 1.0, dv_tol: float = 1e-5, di_tol: float = 1e-4) -> DataFrame:
-    """The constant-voltage segment of each cycle's charge: CV_time, CV_current and CV_capacity.
-
-    The segment begins one sample before the first whose next is at least dt_tol later, moves by at most
-    dv_tol volts and at least di_tol amperes a second; without one, at the second last sample; if it is
-    the very first sample, at the last one.
-    """
+def _segment(raw: DataFrame, charging: Column, dt_tol: float = 1.0, dv_tol: float = 1e-5, di_tol: float = 1e-4) -> DataFrame:
+    """The samples of each cycle's charge with from_time, where its constant-voltage segment begins."""
     w = by_cycle()
     part = W.partitionBy(*CYCLE)
     dt = F.lead("test_time").over(w) - F.col("test_time")
@@ -86,7 +81,17 @@ def constant_voltage(raw: DataFrame, charging: Column, dt_tol: float = 1.0, dv_t
     i = F.coalesce(F.min(F.when(~F.col("moves") & (F.col("rn") < F.col("n") - 1), F.col("rn"))).over(part), F.col("n") - 1)
     rows = rows.withColumn("i", i)
     start = F.when(F.col("i") == 0, F.col("n") - 1).otherwise(F.col("i") - 1)
-    rows = rows.withColumn("from_time", F.max(F.when(F.col("rn") == start, F.col("test_time"))).over(part))
+    return rows.withColumn("from_time", F.max(F.when(F.col("rn") == start, F.col("test_time"))).over(part))
+
+
+def constant_voltage(raw: DataFrame, charging: Column, **tolerances) -> DataFrame:
+    """The constant-voltage segment of each cycle's charge: CV_time, CV_current and CV_capacity.
+
+    The segment begins one sample before the first whose next is at least dt_tol later, moves by at most
+    dv_tol volts and at least di_tol amperes a second; without one, at the second last sample; if it is
+    the very first sample, at the last one.
+    """
+    rows = _segment(raw, charging, **tolerances)
     ends = lambda c: F.max_by(c, "rn") - F.min_by(c, "rn")
     return (
         rows.where("test_time >= from_time")
@@ -95,6 +100,13 @@ def constant_voltage(raw: DataFrame, charging: Column, dt_tol: float = 1.0, dv_t
     )
 
 
+def constant_voltage_onset(raw: DataFrame, charging: Column, **tolerances) -> DataFrame:
+    """run_id, cycle_index and onset: the share of the cycle's time that is over when its constant-voltage segment begins."""
+    begins = _segment(raw, charging, **tolerances).groupBy(*CYCLE).agg(F.max("from_time").alias("from_time"))
+    spans = raw.groupBy(*CYCLE).agg(F.min("test_time").alias("t0"), F.max("test_time").alias("t1"))
+    return spans.join(begins, list(CYCLE)).select(*CYCLE, F.try_divide(F.col("from_time") - F.col("t0"), F.col("t1") - F.col("t0")).alias("onset"))
+
+
 def summarize_cycles(
     raw: DataFrame,
     diagnostic: DataFrame | None = None,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import log_abs, summary_columns
+from .cycles import constant_voltage_onset
 from .life import cycle_life, thresholds, with_position
 
 
@@ -103,6 +104,39 @@ def summary_differences(diagnostic: DataFrame, metrics: tuple[str, ...] = ("disc
     return rows.groupBy("run_id").agg(*columns)
 
 
+def _ends(left: DataFrame, end_of_life: float) -> DataFrame:
+    """What is left at the end of each run, whether that is below end_of_life, and the cycle up to which it counts (cutoff)."""
+    order = W.partitionBy("run_id").orderBy("cycle_index")
+    filled = left.withColumn("filled", F.last("fractional_metric", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    filled = filled.withColumn("_before", F.lag("filled").over(order))
+    ends = filled.groupBy("run_id").agg(
+        F.max_by("filled", "cycle_index").alias("_last"),
+        F.max_by("_before", "cycle_index").alias("_before"),
+        F.min(F.when(F.col("fractional_metric") < end_of_life, F.col("cycle_index"))).alias("below_at"),
+        F.max("cycle_index").alias("last_at"),
+    )
+    value = F.when(F.col("_last") > 1, F.coalesce("_before", "_last")).otherwise(F.col("_last"))
+    ends = ends.withColumn("fractional_capacity_at_EOT", value).drop("_last", "_before")
+    ends = ends.withColumn("is_below_fractional_capacity_at_EOT", F.col("fractional_capacity_at_EOT") < end_of_life)
+    ends = ends.withColumn("cutoff", F.when(F.col("is_below_fractional_capacity_at_EOT"), F.col("below_at")).otherwise(F.col("last_at")))
+    return ends
+
+
+def not_early_cv(rows: DataFrame, charging: Column, parameters: DataFrame, left: DataFrame | None = None, end_of_life: float = 0.8, early: float = 0.3) -> DataFrame:
+    """run_id and is_not_early_CV: no cycle's constant-voltage segment begins before the share ``early`` of its time.
+
+    Only runs whose first charge current is above the second can fail. parameters: run_id,
+    charge_constant_current_1 and _2. left (as in exclusion_criteria) ends the cycles at the run's end of life.
+    """
+    onset = constant_voltage_onset(rows, charging)
+    if left is not None:
+        onset = onset.join(_ends(left, end_of_life).select("run_id", "cutoff"), "run_id").where("cycle_index <= cutoff")
+    found = onset.groupBy("run_id").agg(F.bool_or(F.coalesce(F.col("onset") < early, F.lit(False))).alias("_early"))
+    faster = F.col("charge_constant_current_1") > F.col("charge_constant_current_2")
+    out = parameters.select("run_id", faster.alias("_faster")).join(found, "run_id")
+    return out.select("run_id", (~(F.coalesce("_faster", F.lit(False)) & F.col("_early"))).alias("is_not_early_CV"))
+
+
 def exclusion_criteria(
     summary: DataFrame,
     left: DataFrame,
@@ -117,23 +151,12 @@ def exclusion_criteria(
 
     left: run_id, cycle_index, fractional_metric of one kind of diagnostic; the last value counts, or the
     one before it where the last is above 1. early: run_id, is_not_early_CV
-    where that is judged. to_include is true if all criteria are.
+    (of not_early_cv) where that is judged. to_include is true if all criteria are.
     """
     rows = with_position(summary)
     nth = rows.where(F.col("position") == n).select("run_id", F.coalesce("charge_throughput", F.lit(0.0)).alias("first_n_cycles_throughput"))
     order = W.partitionBy("run_id").orderBy("cycle_index")
-    filled = left.withColumn("filled", F.last("fractional_metric", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    filled = filled.withColumn("_before", F.lag("filled").over(order))
-    ends = filled.groupBy("run_id").agg(
-        F.max_by("filled", "cycle_index").alias("_last"),
-        F.max_by("_before", "cycle_index").alias("_before"),
-        F.min(F.when(F.col("fractional_metric") < end_of_life, F.col("cycle_index"))).alias("below_at"),
-        F.max("cycle_index").alias("last_at"),
-    )
-    value = F.when(F.col("_last") > 1, F.coalesce("_before", "_last")).otherwise(F.col("_last"))
-    ends = ends.withColumn("fractional_capacity_at_EOT", value).drop("_last", "_before")
-    ends = ends.withColumn("is_below_fractional_capacity_at_EOT", F.col("fractional_capacity_at_EOT") < end_of_life)
-    ends = ends.withColumn("cutoff", F.when(F.col("is_below_fractional_capacity_at_EOT"), F.col("below_at")).otherwise(F.col("last_at")))
+    ends = _ends(left, end_of_life)
     spent = rows.withColumn("spent", F.last("charge_throughput", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
     at_end = spent.join(ends.select("run_id", "cutoff"), "run_id").where("cycle_index <= cutoff").groupBy("run_id").agg((F.max_by("spent", "cycle_index") / capacity).alias("equivalent_full_cycles_at_EOL"))
     out = ends.join(nth, "run_id", "left").join(at_end, "run_id", "left")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import kurtosis_unbiased
+from .splines import v_diff
 
 CYCLE = ("run_id", "cycle_index")
 OCCURRENCE = (*CYCLE, "step_index", "step_index_counter")
@@ -122,8 +123,16 @@ def diffusion_change(found: DataFrame, position: int, n_windows: int = 9) -> Dat
     return found.groupBy("run_id").agg(*[F.try_divide(at(position, w) - at(0, w), at(0, w)).alias(f"D_{w}") for w in range(1, n_windows)])
 
 
-def hppc_features(curves: DataFrame, capacity: float, position: int = 1, digits: int | None = None) -> DataFrame:
-    """Resistance, rest voltage and diffusion features of each run, from diagnostic curves of its hppc cycles."""
+def hppc_features(curves: DataFrame, capacity: float, position: int = 1, digits: int | None = None, soc_window: int | None = None) -> DataFrame:
+    """Resistance, rest voltage and diffusion features of each run, from diagnostic curves of its hppc cycles.
+
+    soc_window: also the change of voltage over capacity (splines.v_diff) in that window; needs discharge_capacity.
+    """
     rows = windows_of(curves, step_roles(curves, capacity))
     out = resistance_change(resistances(rows), position)
-    return out.join(rest_voltage_change(rows, position, digits=digits), "run_id", "full").join(diffusion_change(diffusion(rows), position), "run_id", "full")
+    parts = [rest_voltage_change(rows, position, digits=digits), diffusion_change(diffusion(rows), position)]
+    if soc_window is not None:
+        parts.append(v_diff(rows.where(F.col("window") == soc_window), position, digits).drop("window"))
+    for part in parts:
+        out = out.join(part, "run_id", "full")
+    return out

@@ -391,3 +391,10 @@ def diagnostic_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("seq_num"), F.lit(4.5).alias("capacity_nominal"), F.lit(10).alias("HPPC_interval"), *[(size / float(k)).alias(n) for n, k in rates.items()], *[(size * k).alias(n) for n, k in times.items()], *[F.lit(v).alias(n) for n, v in volts.items()]
     )
     return protocols.diagnostic_blocks(parameters).select("seq_num", "block", "step", "kind", "mode", "value", "limit", F.split("ends", "[=;]")[0].alias("end_type"), F.split("ends", "[=;]")[1].alias("end_value"))
+
+
+@query
+def early_constant_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_samples(spark, sf_dir)
+    parameters = raw.select("run_id").distinct().select("run_id", (F.col("run_id") % 3).cast("double").alias("charge_constant_current_1"), F.lit(1.0).alias("charge_constant_current_2"))
+    return features.not_early_cv(raw, F.col("current") > 0, parameters)

@@ -58,7 +58,7 @@ FEATURIZERS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "cycle_life": (lambda t, **p: features.cycle_life_feature(t.summary, **p), {"threshold": 0.8}),
     "capacities": (lambda t, **p: life.capacities_at(t.summary, **p), {"positions": [20, 40, 60, 80, 100]}),
     "summary_differences": (lambda t, **p: features.summary_differences(t.diagnostic_summary, **p), {"pos": [0, 1]}),
-    "hppc": (lambda t, **p: hppc.hppc_features(t.diagnostic_curves.where("cycle_type = 'hppc'"), **p), {"capacity": 4.84, "position": 1}),
+    "hppc": (lambda t, **p: hppc.hppc_features(t.diagnostic_curves.where("cycle_type = 'hppc'"), **p), {"capacity": 4.84, "position": 1, "soc_window": 8}),
 }
 
 

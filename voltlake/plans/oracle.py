@@ -554,3 +554,12 @@ def _blocks() -> str:
 
 
 ORACLES["diagnostic_protocols"] = _blocks()
+
+ORACLES["early_constant_voltage"] = (
+    _with(
+        _cv("raw", "current > 0"),
+        "span as (select run_id, cycle_index, min(test_time) as t0, max(test_time) as t1 from raw group by all)",
+        "onset as (select run_id, cycle_index, (from_time - t0) / nullif(t1 - t0, 0) as x from span join start using (run_id, cycle_index))",
+    )
+    + " select run_id, not (run_id % 3 > 1 and bool_or(coalesce(x < 0.3, false))) as \"is_not_early_CV\" from onset group by run_id"
+)

@@ -50,6 +50,11 @@ def run(spark: SparkSession, path: str, out: str, kind: str | None = None, rules
     """Reads, validates, structures and writes all files under path; a run that fails validation is reported, not structured."""
     # The files are decoded once; everything below reads the canonical table.
     sinks.write_table(load(spark, path, kind), f"{out}/raw")
+    return restructure(spark, out, rules, **how)
+
+
+def restructure(spark: SparkSession, out: str, rules: dict | None = None, **how) -> DataFrame:
+    """Validates and structures the raw table of a folder again, with other parameters; its structured tables are replaced."""
     raw = spark.read.parquet(f"{out}/raw")
     report = validate.validate(raw, rules or {})
     valid = raw.join(report.where("valid").select("run_id"), "run_id", "left_semi")

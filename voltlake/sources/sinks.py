@@ -41,6 +41,20 @@ def counts_by_outcome(report: DataFrame) -> DataFrame:
     return report.groupBy("valid", "structured").agg(F.count("*").alias("files"))
 
 
+def write_tester_files(heads: DataFrame, rows: DataFrame, columns: dict[str, str], path: str, order: str = "data_point") -> None:
+    """Tab-separated files with a first line of metadata and a header, one for each run (folders run_id=...).
+
+    heads: run_id, line. rows: run_id and the columns (canonical name -> the file's), written in the order of
+    ``order``; nulls are empty. With waveform.splice this joins the files of a run that was split in two.
+    """
+    value = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    body = rows.select("run_id", F.lit(2).alias("_part"), F.col(order).cast("double").alias("_order"), value.alias("line"))
+    top = heads.select("run_id", F.lit(0).alias("_part"), F.lit(0.0).alias("_order"), "line")
+    names = heads.select("run_id", F.lit(1).alias("_part"), F.lit(0.0).alias("_order"), F.lit("\t".join(columns.values())).alias("line"))
+    parts = top.unionByName(names).unionByName(body).repartition("run_id").sortWithinPartitions("run_id", "_part", "_order")
+    parts.select("run_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("run_id").text(path)
+
+
 def write_waveform(steps: DataFrame, path: str) -> None:
     """Waveform steps as headerless tab-separated files, one for each wave_id (folders wave_id=...), or one file without such a column."""
     if "wave_id" in steps.columns:
