@@ -327,3 +327,17 @@ def test_percentiles_by_brackets(spark):
     for limit in (0, 100_000):
         got = percentiles(rows, columns, shares, one_task=limit, accuracy=200)
         assert np.allclose(got["x"], want["x"], atol=1e-12) and np.allclose(got["y"], want["y"]) and got["z"] == [None] * 5
+
+
+def test_pulse_features_with_voltage_differences(spark):
+    rows = []
+    for p in (0, 30):
+        t = 0.0
+        for w in range(2):
+            for s, (current, length) in enumerate([(0.0, 3600), (-4.0, 30), (0.0, 40), (3.0, 10), (-1.0, 900)]):
+                n = 12
+                rows += [("r", p, s, w * 5 + s, t + length * k / n, 3.5 - w / 10 + current / 50 - (0.01 * k if s == 4 else 0) - p / 3000, current, w + k / n * (s == 4)) for k in range(n)]
+                t += length + 1
+    df = spark.createDataFrame(rows, "run_id string, cycle_index int, step_index int, step_index_counter int, test_time double, voltage double, current double, discharge_capacity double")
+    got = hppc.hppc_features(df, 4.0, 1, soc_window=1).first()
+    assert math.isclose(got.mean_v_diff, 0.01, abs_tol=1e-9) and math.isclose(got.sum_v_diff, 0.1, abs_tol=1e-9) and got.var_v_diff < 1e-12 and "mean_ocv" in got.asDict()
