@@ -19,7 +19,7 @@ def test_sql(spark, small_tables, name):
 
 
 def test_every_query_is_there():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and len(STAGES) == 5
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and len(STAGES) == 5
 
 
 def test_pipeline(spark, small_tables):

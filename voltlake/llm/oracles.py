@@ -103,4 +103,16 @@ select d.doc_id, coalesce(n.n, 0) as n_lines, coalesce(n.n, 0) - coalesce(kept.n
 from documents d left join n using (doc_id) left join kept using (doc_id)
 """
 
-ORACLES = {"op3_url_filter": OP3, "op5_host_rules": OP5, "op6_decontaminate": OP6, "op7_near_duplicates": OP7, "op9_line_dedup": OP9}
+OP12 = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as units, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+        cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from d),
+c as (select *, cast(len(units) as bigint) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b from u),
+p as (select *, case when t = '' or regexp_matches(t, '<P>|<S>|<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+        array_to_string(units[1:a], '') as pre, array_to_string(units[a + 1:b], '') as mid, array_to_string(units[b + 1:], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(t) as restored_sha256
+from p"""
+
+ORACLES = {"op3_url_filter": OP3, "op5_host_rules": OP5, "op6_decontaminate": OP6, "op7_near_duplicates": OP7, "op9_line_dedup": OP9, "op12_fill_in_middle": OP12}

@@ -115,6 +115,30 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined_spans("base"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"), "n_id", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle import fill_in_middle, restored
+
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import best_run, periodic_runs, planted_order
+
+    out = periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), order=planted_order)
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    out = out.withColumn("best", best_run(F.col("runs")))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(listed, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_main_text": op2_main_text,
@@ -126,4 +150,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_personal_data": op10_personal_data,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
