@@ -115,6 +115,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined_spans("base"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"), "n_id", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import drop_repeated_strings
+
+    out = drop_repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.reduce("spans", F.lit(0).cast("long"), lambda x, s: x + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .middle import fill_in_middle, restored
 
@@ -150,6 +158,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_personal_data": op10_personal_data,
+    "op11_repeated_strings": op11_repeated_strings,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_periodic_runs": op13_periodic_runs,
 }
