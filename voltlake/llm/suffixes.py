@@ -3,8 +3,9 @@
 A start of a string of ``least`` bytes has a rank among all starts. Ranks of 8 bytes are given at once; ranks of
 twice as many bytes are those of pairs (rank at p, rank at p + h), at offsets h = 8, 16, 32, ... A rank is a
 64-bit name that equal strings share in every task, so pairs are named where the text is, and only what must
-be compared is moved: Spark sorts and counts the names, starts whose rank is unique leave, the rest are ranked
-again with more bytes, until the threshold is passed.
+be compared is moved. Names have no order among strings: instead of sorting all pairs (rank, rank at the offset),
+which would move some 16 bytes for each byte of text and round, Spark counts equal names by hash aggregates.
+Starts whose rank is unique leave, the rest are ranked again with more bytes, until the threshold is passed.
 
 Starts are not moved one by one. All windows of ``least`` bytes whose first smallest rank of ``anchor`` bytes stands
 at the same place form a block of neighbouring starts (at most least - anchor + 1). All of them contain the
