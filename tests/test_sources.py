@@ -1,6 +1,7 @@
 """Readers on files made here in each vendor's format."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +155,96 @@ def test_tester_files_of_spliced_runs(spark, tmp_path):
     assert text == [["Today's Date\t1/1/2020", "Rec#\tCyc#\tTest (Sec)\tVolts", "1\t0\t0.5\t3.0", "2\t1\t9.0\t", "3\t1\t10.0\t3.2", "4\t1\t11.0\t3.3"]]
     rows = sorted((r.data_point, r.voltage) for r in vendors.read_maccor(spark, str(tmp_path / "out" / "run_id=a")).collect())
     assert [r[0] for r in rows] == [1, 2, 3, 4] and rows[1][1] is None
+
+
+def cycle_rows(cycles, steps):
+    """Arbin rows of cycles, each with the numbers of steps that steps(cycle) tells."""
+    out, n = [], 0
+    for c in cycles:
+        for s in steps(c):
+            for k in range(4):
+                i, v = (1.0, 3.0 + 0.2 * k) if s % 2 else (-1.0, 3.7 - 0.2 * k)
+                q = 0.25 * (k + 1)
+                out.append(f"{n},{n * 10.0},{1494645243 + n * 10},{k * 10.0},{s},{c},{i},{v:.2f},{q if i > 0 else 1.0},{q if i < 0 else 0.0},{q * 3},{q * 3},0.0,0.016")
+                n += 1
+    return ARBIN.splitlines()[0] + "\n" + "\n".join(out) + "\n"
+
+
+def fleet(path):
+    """Good files, and one of each kind of bad one."""
+    (path / "in" / "deeper").mkdir(parents=True)
+    diagnosed = cycle_rows(range(0, 20), lambda c: (1, 2, 3, 4) if c in (1, 9) else (5, 6, 7, 8, 9, 10) if c in (2, 10) else (1, 2) if c > 2 else (1, 4))
+    write(path / "in", "FastCharge_000001_CH1.csv", cycle_rows(range(3), lambda c: (1, 2)))
+    write(path / "in", "PreDiag_000002_CH2.csv", diagnosed)
+    write(path / "in", "FastCharge_000003_CH3.csv", cycle_rows(range(3), lambda c: (1, 2)).replace(",3.20,", ",9.20,"))
+    write(path / "in", "FastCharge_000004_CH4.csv", cycle_rows(range(3), lambda c: (1, 2)).replace(",3.20,", ",3.2O,", 1))
+    write(path / "in", "FastCharge_000005_CH5.csv", "")
+    write(path / "in", "FastCharge_000006_CH6.csv", "no such header\n")
+    (path / "in" / "FastCharge_000007_CH7.csv").write_bytes(b"\xff\xfe\x00bad")
+    write(path / "in", "notes.bin", "x")
+    write(path / "in", "cell.h5", "x")
+    write(path / "in" / "deeper", "FastCharge_000001_CH1.csv", cycle_rows(range(2), lambda c: (1, 2)))
+    (path / "p").mkdir()
+    write(path / "p", "PreDiag_parameters v1.csv", "seq_num,capacity_nominal,discharge_cutoff_voltage,charge_cutoff_voltage,diagnostic_type,diagnostic_parameter_set,diagnostic_start_cycle,diagnostic_interval\n2,2.5,3.1,3.7,HPPC+RPT,Tesla21700,3,8\n9,1.0,3.0,3.8,,,,\n")
+    write(path / "p", "FastCharge_parameters.csv", "project_name,seq_num,capacity_nominal\nFastCharge,1,1.5\n")
+
+
+def test_bad_files_stop_no_other(spark, tmp_path):
+    fleet(tmp_path)
+    place = lambda name: str(tmp_path / name)
+    status = structure.run(spark, place("in"), place("out"), rules="auto", resolution=5, tags=("a", "b"))
+    got = {r.file.split("/in/")[1]: r for r in status.collect()}
+    why = {k: r.error or r.reason for k, r in got.items()}
+    assert len(got) == 10
+    assert [k for k, r in sorted(got.items()) if r.structured] == ["FastCharge_000001_CH1.csv", "PreDiag_000002_CH2.csv"]
+    assert why["FastCharge_000003_CH3.csv"].startswith("voltage is higher than allowed max 3.8 at index 1")
+    assert why["FastCharge_000004_CH4.csv"] == "1 bad rows: line 3: voltage is no float: 3.2O" and got["FastCharge_000004_CH4.csv"].n_bad == 1
+    assert why["FastCharge_000005_CH5.csv"] == "the file is empty" and why["FastCharge_000006_CH6.csv"] == "no header or no rows"
+    assert why["FastCharge_000007_CH7.csv"] == "its bytes are no UTF-8 text"
+    assert why["notes.bin"] == "no known format by its name" and why["cell.h5"] == "no reader for format indigo"
+    assert why["deeper/FastCharge_000001_CH1.csv"].startswith("another file of this name") and not got["deeper/FastCharge_000001_CH1.csv"].valid
+    one = got["FastCharge_000001_CH1.csv"]
+    assert one.raw_md5 == hashlib.md5((tmp_path / "in" / "FastCharge_000001_CH1.csv").read_bytes()).hexdigest()
+    assert (one.schema, one.valid, one.error, one.n_rows, one.tags) == ("arbin-lfp", True, None, 24, ["a", "b"]) and one.seconds > 0
+    # A share of bad rows may be allowed; they are left out.
+    again = structure.restructure(spark, place("out"), bad_share=0.1, resolution=5)
+    assert {r.run_id for r in again.where("structured").collect()} >= {"FastCharge_000004_CH4.csv"}
+
+
+def test_structure_by_parameters(spark, tmp_path):
+    fleet(tmp_path)
+    place = lambda name: str(tmp_path / name)
+    structure.main(["structure", place("in"), place("out"), "--rules", "auto", "--parameters", place("p"), "--resolution", "5", "--diagnostic-resolution", "7", "--tag", "t"])
+    table = lambda name: spark.read.parquet(place(f"out/{name}"))
+    diagnostic = sorted((r.cycle_index, r.cycle_type) for r in table("diagnostic_cycles").collect())
+    assert diagnostic[:5] == [(1, "reset"), (2, "hppc"), (3, "rpt_0.2C"), (4, "rpt_1C"), (5, "rpt_2C")] and (9, "reset") in diagnostic and len(diagnostic) == 10
+    assert {r.run_id for r in table("diagnostic_summary").collect()} == {"PreDiag_000002_CH2.csv"}
+    regular = {r.cycle_index for r in table("summary").where("run_id like 'Pre%'").collect()}
+    assert not regular & {c for c, _ in diagnostic} and {0, 6, 7, 8} <= regular
+    # The voltage range is the whole project's, 3.0 to 3.8; that of runs without one is the default.
+    ends = lambda run: table("curves").where(F.col("run_id").startswith(run) & (F.col("axis") == "voltage")).agg(F.min("voltage"), F.max("voltage")).first()
+    assert tuple(ends("PreDiag")) == (3.0, 3.8) and tuple(ends("FastCharge")) == (2.8, 3.5)
+    used = {r.run_id: r.structuring_parameters for r in spark.read.schema(sinks.STATUS).json(place("out/status")).where("structured").collect()}
+    assert '"nominal_capacity":2.5' in used["PreDiag_000002_CH2.csv"] and '"nominal_capacity":1.5' in used["FastCharge_000001_CH1.csv"]
+    # Structured again without diagnostics, no row of them is left, and the cycles are regular ones.
+    structure.restructure(spark, place("out"), "auto", resolution=5)
+    assert table("diagnostic_summary").count() == table("diagnostic_curves").count() == table("diagnostic_cycles").count() == 0
+    assert {c for c, _ in diagnostic} <= {r.cycle_index for r in table("summary").where("run_id like 'Pre%'").collect()} | {19}
+    with pytest.raises(SystemExit):
+        structure.main(["structure", place("in"), place("v"), "--validation-only", "--halt-on-error"])
+    assert not (tmp_path / "v" / "summary").exists()
+
+
+def test_files_are_decoded_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "A_CH1.csv", cycle_rows(range(5), lambda c: (1, 2)))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    files, samples = structure.load(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    sinks.write_table(samples.mapInArrow(counted, samples.schema), str(tmp_path / "out" / "raw"))
+    assert seen.value == 40 == spark.read.parquet(str(tmp_path / "out" / "raw")).count()

@@ -86,11 +86,12 @@ def interpolate_steps(
     return out.withColumn("step_type", F.lit("charge" if charge else "discharge"))
 
 
-def interpolate_cycles(raw: DataFrame, v_range: tuple[float, float] | None = None, resolution: int = 1000, charge_axis: str = "charge_capacity", discharge_axis: str = "voltage", cycles: DataFrame | None = None) -> DataFrame:
+def interpolate_cycles(raw: DataFrame, v_range: tuple | None = None, resolution: int = 1000, charge_axis: str = "charge_capacity", discharge_axis: str = "voltage", cycles: DataFrame | None = None) -> DataFrame:
     """Discharge and charge curves of the cycles, in long form with columns axis and x.
 
     A run with a waveform step in one direction has that direction on the time axis. Steps are told apart
-    once, and all are resampled in one pass: a step's axis is its x.
+    once, and all are resampled in one pass: a step's axis is its x. v_range: two numbers, or two columns of
+    raw that are the same in all rows of a run.
     """
     if v_range is None:
         v_range = (2.8, 3.5)
@@ -106,10 +107,11 @@ def interpolate_cycles(raw: DataFrame, v_range: tuple[float, float] | None = Non
     of_axis = lambda choose: F.coalesce(*[F.when(F.col("axis") == a, choose(a)) for a in axes])
     rows = raw.join(steps, list(STEP)).withColumn("_x", of_axis(F.col))
     capacities = [a for a in axes if a in ("charge_capacity", "discharge_capacity")]
-    bounds = rows.groupBy(*STEP, "axis").agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1"))
+    volts = [F.min(v if isinstance(v, Column) else F.lit(float(v))).alias(f"_v{k}") for k, v in enumerate(v_range)]
+    bounds = rows.groupBy(*STEP, "axis").agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), *volts)
     if capacities:
         bounds = bounds.join(raw.groupBy("run_id").agg(*[f(a).alias(f"{a}_{k}") for a in capacities for f, k in ((F.min, 0), (F.max, 1))]), "run_id")
-    end = lambda k: lambda a: F.lit(float(v_range[k])) if a == "voltage" else F.col(f"_x{k}") if a == "test_time" else F.col(f"{a}_{k}")
+    end = lambda k: lambda a: F.col(f"_v{k}") if a == "voltage" else F.col(f"_x{k}") if a == "test_time" else F.col(f"{a}_{k}")
     bounds = bounds.select(*STEP, of_axis(end(0)).alias("lo"), of_axis(end(1)).alias("hi"))
     columns = ["current", "charge_capacity", "discharge_capacity", "temperature"]
     out = interpolate(rows, bounds, list(STEP), "_x", columns, resolution).join(steps, list(STEP))

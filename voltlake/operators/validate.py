@@ -52,9 +52,32 @@ PROJECTS = {
 }
 
 
+#: The rules of a vendor's files in other projects.
+DEFAULTS = {"arbin": "arbin-lfp", "maccor": "maccor-lfp", "novonix": "novonix"}
+
+
 def rules_of(project: str, vendor: str) -> dict[str, dict]:
     """The rules of a project's files of one vendor; the vendor's default where the project has none."""
-    return RULES[PROJECTS.get(project, {}).get(vendor, {"arbin": "arbin-lfp", "maccor": "maccor-lfp"}.get(vendor, vendor))]
+    return RULES[PROJECTS.get(project, {}).get(vendor, DEFAULTS.get(vendor, vendor))]
+
+
+def validate_by_project(raw: DataFrame) -> DataFrame:
+    """validate with each run's own rules, by the project of its name and its column format; adds schema, the name of those rules.
+
+    Runs of formats without rules are valid, with a null schema. Rule sets are few (RULES), so each that is
+    needed takes one pass over its own runs.
+    """
+    project = F.split(F.element_at(F.split("run_id", r"\."), 1), "_")[0]
+    own = F.create_map(*[F.lit(x) for p, kinds in PROJECTS.items() for kind, name in kinds.items() for x in (f"{p}|{kind}", name)])
+    usual = F.create_map(*[F.lit(x) for pair in DEFAULTS.items() for x in pair])
+    schema = F.coalesce(F.try_element_at(own, F.concat_ws("|", project, F.col("format"))), F.try_element_at(usual, F.col("format")))
+    rows = raw.withColumn("_schema", schema)
+    out = None
+    for name in [None, *sorted(r[0] for r in rows.select("_schema").where("_schema is not null").distinct().collect())]:
+        part = rows.where(F.col("_schema").eqNullSafe(F.lit(name))).drop("_schema")
+        one = validate(part, RULES[name] if name else {}).withColumn("schema", F.lit(name).cast("string"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def validate(raw: DataFrame, rules: dict[str, dict]) -> DataFrame:
@@ -65,7 +88,7 @@ def validate(raw: DataFrame, rules: dict[str, dict]) -> DataFrame:
     rules but the integer type. The index in a message is the row of the run, from 0.
     """
     at = F.row_number().over(W.partitionBy("run_id").orderBy("data_point")) - 1
-    lags = {f"_d_{c}": F.col(c) - F.lag(c).over(W.partitionBy("run_id").orderBy("data_point")) for c, r in rules.items() if r.get("monotonic") == "increasing"}
+    lags = {f"_d_{c}": F.col(c) - F.lag(c).over(W.partitionBy("run_id").orderBy("data_point")) for c, r in rules.items() if r.get("monotonic") == "increasing" and c in raw.columns}
     rows = raw.withColumns({"_at": at, **lags})
     aggregates, checks = [], []
 
@@ -74,6 +97,9 @@ def validate(raw: DataFrame, rules: dict[str, dict]) -> DataFrame:
         return F.col(name)
 
     for c, r in rules.items():
+        if c not in raw.columns:
+            checks.append((F.lit(True), F.lit(f"Column {c}: missing")))
+            continue
         x, kind = F.col(c), raw.schema[c].dataType
         if "type" in r:
             numeric = isinstance(kind, T.NumericType)

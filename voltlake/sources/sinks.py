@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
     """Parquet; by: a column of few values to partition by. Runs are many and small, so run_id is clustered, not partitioned."""
-    writer = (df.repartitionByRange("run_id").sortWithinPartitions("run_id") if by is None and "run_id" in df.columns else df).write.mode(mode)
+    # Rows are dealt by a hash: ranges would have to run the plan once more to find their bounds. Large runs may be split over files.
+    clustered = df.hint("rebalance", F.col("run_id")).sortWithinPartitions("run_id") if by is None and "run_id" in df.columns else df
+    writer = clustered.write.mode(mode)
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
@@ -31,10 +34,40 @@ def from_column_lists(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
     return zipped.select("run_id", *[F.col("r").getField(c).alias(c) for c in fields])
 
 
-def status_report(files: DataFrame, validation: DataFrame, structured: DataFrame) -> DataFrame:
-    """One row for each file: whether it was valid and why not, whether it was structured."""
-    done = structured.select("run_id").distinct().withColumn("structured", F.lit(True))
-    return files.join(validation, "run_id", "left").join(done, "run_id", "left").withColumn("structured", F.coalesce("structured", F.lit(False)))
+def clear_table(spark: SparkSession, path: str) -> None:
+    """Leaves an empty table of the same columns where there is a table."""
+    try:
+        schema = spark.read.parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+#: Columns of a status file.
+STATUS = "run_id string, file string, format string, raw_md5 string, bytes long, modified timestamp, n_rows long, n_bad long, error string, schema string, valid boolean, reason string, structured boolean, finished timestamp, seconds double, tags array<string>, structuring_parameters string"
+
+
+def status_report(files: DataFrame, problems: DataFrame, validation: DataFrame, structured: DataFrame | None, seconds: float | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each file: its digest, size and time, why it could not be read, whether it was valid and why not, whether it was structured.
+
+    files: file, run_id and what is known of each; problems: file, n_rows, n_bad, error; validation: run_id,
+    valid, reason, schema; structured: a table with the runs that were structured (None: none was). seconds:
+    of the whole job, as files are structured together.
+    """
+    rows = files.join(problems.drop("run_id"), "file", "left")
+    # A file that is not read has the name of another, maybe.
+    read = F.col("error").isNull()
+    rows = rows.join(validation, "run_id", "left").withColumns({c: F.when(read, F.col(c)) for c in ("valid", "reason", "schema")})
+    if structured is None:
+        rows = rows.withColumn("structured", F.lit(False))
+    else:
+        done = structured.select("run_id").distinct().withColumn("structured", F.lit(True))
+        rows = rows.join(done, "run_id", "left").withColumn("structured", F.coalesce("structured", F.lit(False)) & read)
+    rows = rows.withColumn("valid", F.coalesce("valid", F.lit(False)))
+    tagged = F.array(*map(F.lit, tags)) if tags else F.array().cast("array<string>")
+    return rows.withColumns({"finished": F.current_timestamp(), "seconds": F.lit(seconds).cast("double"), "tags": tagged})
 
 
 def counts_by_outcome(report: DataFrame) -> DataFrame:

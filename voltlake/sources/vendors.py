@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.steps import accumulate
-from .text import base_name, canonical, lines, records
+from .text import base_name, canonical, files, lines, records
 
 # Vendor column -> canonical name, type and scale.
 ARBIN = {
@@ -133,6 +133,10 @@ def vendor_time(text: Column) -> Column:
     return F.to_utc_timestamp(F.coalesce(F.try_to_timestamp(text, F.lit(form)), F.try_to_timestamp(F.concat(text, F.lit(" 00:00:00")), F.lit(form))), "America/Los_Angeles")
 
 
+def _first_line(line: Column, i: Column) -> Column:
+    return i == 0
+
+
 def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("run_id", base_name()).drop("file")
 
@@ -144,14 +148,14 @@ def _imputed(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_arbin(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    rows = canonical(records(lines(spark, path), F.col("line_no") == 0, ",", lower=True), ARBIN)
+def read_arbin(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
+    rows = canonical(records(files(spark, path), _first_line, ",", lower=True), ARBIN)
     return _imputed(_keyed(rows.withColumn("date_time", F.timestamp_micros((F.col("epoch") * 1e6).cast("long"))).drop("epoch", "line_no")))
 
 
-def read_arbin_metadata(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_arbin_metadata(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
     """The first row of each metadata file as run_id (without its suffix) and a map."""
-    rows = records(lines(spark, path), F.col("line_no") == 0, ",", lower=True).where("line_no = 1")
+    rows = records(files(spark, path), _first_line, ",", lower=True).where("line_no = 1")
     return _keyed(rows.select("file", F.col("fields").alias("metadata"))).withColumn("run_id", F.regexp_replace("run_id", r"_Metadata\.csv$", ".csv"))
 
 
@@ -159,16 +163,16 @@ def read_arbin_metadata(spark: SparkSession, path: str | list[str]) -> DataFrame
 MACCOR_FIELDS = ("Today's Date", "Date of Test:", "Filename:", "Procedure:", "Comment/Barcode:")
 
 
-def read_maccor_metadata(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_maccor_metadata(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
     first = lines(spark, path).where("line_no = 0")
     pattern = "".join(rf"{f}(.*?)" for f in MACCOR_FIELDS[:-1]) + rf"{MACCOR_FIELDS[-1]}(.*)$"
     parts = {n: F.trim(F.regexp_replace(F.regexp_extract("line", pattern, i + 1), r"\t", "")).alias(n) for i, n in enumerate(("_today_datetime", "start_datetime", "filename", "protocol", "barcode"))}
     return _keyed(first.select("file", *parts.values(), F.regexp_extract(base_name(), r"\.(\d{3})$", 1).try_cast("int").alias("channel_id")))
 
 
-def read_maccor(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_maccor(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
     """Maccor tables, with capacities and energies summed over the steps of a cycle."""
-    raw = _keyed(canonical(records(lines(spark, path), F.lower("line").startswith("rec#"), "\t", lower=True), MACCOR)).drop("line_no")
+    raw = _keyed(canonical(records(files(spark, path), lambda line, i: F.lower(line).startswith("rec#"), "\t", lower=True), MACCOR)).drop("line_no")
     raw = raw.withColumn("date_time", vendor_time(F.col("date_time_text"))).drop("date_time_text")
     for side, state, wave in (("charge", "C", "chg"), ("discharge", "D", "dis")):
         raw = accumulate(raw, "_capacity", state, f"_wf_{wave}_cap", f"{side}_capacity")
@@ -176,9 +180,9 @@ def read_maccor(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _imputed(raw)
 
 
-def read_archive(spark: SparkSession, path: str | list[str], rest: float = 1e-6) -> DataFrame:
+def read_archive(spark: SparkSession, path: str | list[str] | DataFrame, rest: float = 1e-6) -> DataFrame:
     """Battery Archive tables; steps 1, 2, 3 are rest, charge, discharge by the current, and times count within each."""
-    rows = _keyed(canonical(records(lines(spark, path), F.col("line_no") == 0, ",", lower=True), ARCHIVE)).withColumnRenamed("line_no", "data_point")
+    rows = _keyed(canonical(records(files(spark, path), _first_line, ",", lower=True), ARCHIVE)).withColumnRenamed("line_no", "data_point")
     rows = rows.withColumn("step_index", F.when(F.abs("current") < rest, 1).when(F.col("current") > 0, 2).otherwise(3))
     w = W.partitionBy("run_id").orderBy("data_point")
     change = F.coalesce((F.col("step_index") != F.lag("step_index").over(w)).cast("int"), F.lit(0))
@@ -187,12 +191,12 @@ def read_archive(spark: SparkSession, path: str | list[str], rest: float = 1e-6)
     return _imputed(rows.withColumn("step_time", F.col("test_time") - start).withColumn("date_time", F.try_to_timestamp("date_time_text")).drop("_change", "_island", "date_time_text"))
 
 
-def read_biologic(spark: SparkSession, path: str | list[str], search: int = 200) -> DataFrame:
+def read_biologic(spark: SparkSession, path: str | list[str] | DataFrame, search: int = 200) -> DataFrame:
     """BioLogic exports: ';' in .csv (UTF-8), tabs in .txt (Latin-1); the header is the first line with Ecell/V within ``search`` lines."""
     parts = []
     for glob, separator, encoding in (("*.csv", ";", "UTF-8"), ("*.txt", "\t", "ISO-8859-1")):
-        head = F.contains(F.col("line"), F.lit("Ecell/V")) & ~F.contains(F.col("line"), F.lit("Variables")) & (F.col("line_no") < search)
-        parts.append(canonical(records(lines(spark, path, encoding, glob), head, separator), BIOLOGIC))
+        head = lambda line, i: F.contains(line, F.lit("Ecell/V")) & ~F.contains(line, F.lit("Variables")) & (i < search)
+        parts.append(canonical(records(files(spark, path, encoding, glob), head, separator), BIOLOGIC))
     rows = _keyed(parts[0].unionByName(parts[1])).withColumnRenamed("line_no", "data_point")
     seconds = F.col("date_time_text").try_cast("double")
     rows = rows.withColumns({"cycle_index": F.coalesce("cycle_index", "cycle_number"), "test_time": seconds, "date_time": F.coalesce(F.try_to_timestamp("date_time_text", F.lit("MM/dd/yyyy HH:mm:ss.SSSS")), F.try_to_timestamp("date_time_text", F.lit("MM/dd/yyyy HH:mm:ss")))})
@@ -206,7 +210,7 @@ def _shown(line: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.ascii(c) > 126, odd(c)).otherwise(c)), "")
 
 
-def read_biologic_metadata(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_biologic_metadata(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
     """run_id, channel_id, barcode and protocol (md5 of its text, in hex) of BioLogic settings files.
 
     A channel A1 is 11. The protocol is the text from the line of its cycle definition (which is counted
@@ -233,15 +237,17 @@ def read_biologic_metadata(spark: SparkSession, path: str | list[str]) -> DataFr
     return _keyed(found)
 
 
-def read_novonix(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_novonix(spark: SparkSession, path: str | list[str] | DataFrame, strict: bool = True) -> DataFrame:
     """Novonix exports: amounts are split by the kind of step, and discharge counts down from the cycle's maximum.
 
-    A step code that is not known is an error.
+    A step code that is not known is an error: of the query if strict, else of its row (column error).
     """
-    rows = _keyed(canonical(records(lines(spark, path), F.contains(F.col("line"), F.lit("Cycle Number")), ","), NOVONIX)).withColumnRenamed("line_no", "data_point")
+    rows = _keyed(canonical(records(files(spark, path), lambda line, i: F.contains(line, F.lit("Cycle Number")), ","), NOVONIX)).withColumnRenamed("line_no", "data_point")
     names = F.create_map(*[F.lit(x) for pair in NOVONIX_STEPS.items() for x in pair])
-    name = F.coalesce(F.try_element_at(names, F.col("step_index")), F.raise_error(F.concat(F.lit("unknown step "), F.coalesce(F.col("step_index").cast("string"), F.lit("null")))).cast("string"))
-    rows = rows.withColumn("step_type_name", name)
+    name, unknown = F.try_element_at(names, F.col("step_index")), F.concat(F.lit("unknown step "), F.coalesce(F.col("step_index").cast("string"), F.lit("null")))
+    if strict:
+        name = F.coalesce(name, F.raise_error(unknown).cast("string"))
+    rows = rows.withColumns({"step_type_name": name, "error": F.coalesce("error", F.when(name.isNull(), unknown))})
     charges = F.col("step_type_name").isin(*NOVONIX_CHARGES)
     cycle = W.partitionBy("run_id", "cycle_index")
     rows = rows.withColumn("step_type", F.when(charges, "charge").otherwise("discharge"))
@@ -256,7 +262,7 @@ def read_novonix(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _imputed(rows.withColumn("date_time", F.coalesce(*times)).drop("_top_capacity", "_top_energy", "date_time_text"))
 
 
-def read_novonix_metadata(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_novonix_metadata(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
     """Channel, cell and barcode from the summary section of each file."""
     rows = lines(spark, path)
     ends = rows.groupBy("file").agg(F.min(F.when(F.contains(F.col("line"), F.lit("[End Summary]")), F.col("line_no"))).alias("end"))
@@ -272,7 +278,7 @@ def clock_seconds(text: Column) -> Column:
     return p[0].try_cast("double") * 3600 + p[1].try_cast("double") * 60 + p[2].try_cast("double")
 
 
-def read_neware(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_neware(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
     """Neware exports, in which rows of cycles, steps and records are interleaved.
 
     A record takes cycle and step of the last rows above it, and the step's resistance, else the nearest
@@ -308,11 +314,11 @@ def read_neware(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _imputed(_keyed(out.drop("_r", "_rise", "step_time_text", "date_time_text", "line_no")))
 
 
-def read_impedance(spark: SparkSession, path: str | list[str], glob: str = "*.EDA*") -> DataFrame:
+def read_impedance(spark: SparkSession, path: str | list[str] | DataFrame, glob: str = "*.EDA*") -> DataFrame:
     """Maccor impedance spectra: run_id, point, and the columns of the table that follows ten lines of settings."""
-    rows = lines(spark, path, "ISO-8859-1", glob)
+    rows = files(spark, path, "ISO-8859-1", glob)
     names = {"Freq(Hz)": ("frequency", "double"), "Polar(V)": ("polarisation", "double"), "time(sec)": ("time", "double"), "Z'(a)": ("z_real", "double"), "Z''(b)": ("z_imag", "double"), "Phase_Angle": ("phase", "double"), "Z-Mag": ("z_magnitude", "double"), "C(F)": ("capacitance", "double"), "Status": ("status", "string")}
-    out = canonical(records(rows, F.contains(F.col("line"), F.lit("Freq(Hz)")), "\t"), names)
+    out = canonical(records(rows, lambda line, i: F.contains(line, F.lit("Freq(Hz)")), "\t"), names)
     return _keyed(out.withColumn("point", F.row_number().over(W.partitionBy("file").orderBy("line_no")) - 1).drop("line_no"))
 
 
