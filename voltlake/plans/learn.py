@@ -16,7 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, hppc, life, matrix, models
+from ..operators import features, grams, hppc, life, matrix, models
 
 
 class Structured:
@@ -93,23 +93,36 @@ def featurize(spark: SparkSession, path: str, out: str, wanted: dict[str, dict |
     return spark.read.parquet(f"{out}/matrix")
 
 
-def train(spark: SparkSession, x: str, y: str, out: str, target: str, kind: str = "elastic", column_share: float = 0.75, row_share: float = 0.75, impute: str = "median", drop_hash: bool = True, **how) -> dict:
+def train(spark: SparkSession, x: str, y: str, out: str, target: str | list[str], kind: str = "elastic", column_share: float = 0.75, row_share: float = 0.75, impute: str = "median", drop_hash: bool = True, **how) -> dict:
     """A linear model of column target of the matrix y on the clean matrix x: writes out/model and out/model_metadata; returns its errors.
 
     Runs are joined by run_id, so both matrices may have runs that the other lacks. drop_hash: features are
-    named without the hash of their parameters, so that a model fits matrices of other parameters.
+    named without the hash of their parameters, so that a model fits matrices of other parameters. Several
+    targets (kind elastic only) share their features; their model is in the metadata, and errors are by target.
     """
     left, right = spark.read.parquet(x), spark.read.parquet(y)
     if drop_hash:
         left, right = matrix.without_hash(left), matrix.without_hash(right)
-    if target not in right.columns:
-        raise ValueError(f"{target!r} is not a column of {y}: {right.columns}")
+    targets = [target] if isinstance(target, str) else list(target)
+    missing = [t for t in targets if t not in right.columns]
+    if missing:
+        raise ValueError(f"{', '.join(map(repr, missing))} is not a column of {y}: {right.columns}")
+    if len(targets) > 1 and kind != "elastic":
+        raise ValueError(f"a model of kind {kind} has one target")
     clean = matrix.clean(left, column_share, row_share, impute)
-    rows = clean.join(right.select("run_id", F.col(f"`{target}`").alias("_target")), "run_id")
+    rows = clean.join(right.select("run_id", *[F.col(f"`{t}`").alias(f"_target{i}") for i, t in enumerate(targets)]), "run_id")
     names = [c for c in clean.columns if c != "run_id"]
-    model, columns, errors = models.train_linear(rows, names, "_target", kind, **how)
-    model.write().overwrite().save(f"{out}/model")
-    _write_json(spark, {"features": columns, "target": target, "kind": kind, "errors": errors, "x": x, "y": y, "drop_hash": drop_hash}, f"{out}/model_metadata")
+    about = {"target": target, "kind": kind, "x": x, "y": y, "drop_hash": drop_hash}
+    if len(targets) > 1:
+        fitted, found = grams.train_targets(rows, names, [f"_target{i}" for i in range(len(targets))], **how)
+        fitted.targets = targets
+        errors = {t: found[f"_target{i}"] for i, t in enumerate(targets)}
+        about |= {"features": names, "model": fitted.to_dict()}
+    else:
+        model, columns, errors = models.train_linear(rows, names, "_target0", kind, **how)
+        model.write().overwrite().save(f"{out}/model")
+        about["features"] = columns
+    _write_json(spark, {**about, "errors": errors}, f"{out}/model_metadata")
     return errors
 
 
@@ -122,6 +135,11 @@ def predict(spark: SparkSession, x: str, model: str, out: str) -> DataFrame:
     for c in about["features"]:
         if c in rows.columns:
             whole = whole & F.col(f"`{c}`").isNotNull()
+    if "model" in about:
+        found = grams.TargetsModel(**about["model"]).predict(rows.where(whole))
+        pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"`prediction::{t}`").alias("prediction")) for t in about["target"]]))
+        found.select("run_id", pairs.alias("p")).select("run_id", "p.*").write.mode("overwrite").parquet(out)
+        return spark.read.parquet(out)
     found = models.predict_linear(PipelineModel.load(f"{model}/model"), about["features"], rows.where(whole))
     found.select("run_id", F.lit(about["target"]).alias("target"), "prediction").write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)

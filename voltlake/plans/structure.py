@@ -190,7 +190,7 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("x")
     t.add_argument("y")
     t.add_argument("out")
-    t.add_argument("--target", required=True)
+    t.add_argument("--target", action="append", required=True, help="several targets share their features")
     t.add_argument("--kind", choices=("elastic", "lasso", "ridge"), default="elastic")
     r = sub.add_parser("predict")
     r.add_argument("x")
@@ -212,7 +212,7 @@ def main(argv: list[str] | None = None) -> None:
         named = dict(w.partition("=")[::2] for w in a.wanted)
         learn.featurize(spark, a.path, a.out, {k: json.loads(v) if v else None for k, v in named.items()}).show()
     elif a.command == "train":
-        print(json.dumps(learn.train(spark, a.x, a.y, a.out, a.target, a.kind)))
+        print(json.dumps(learn.train(spark, a.x, a.y, a.out, a.target[0] if len(a.target) == 1 else a.target, a.kind)))
     elif a.command == "predict":
         learn.predict(spark, a.x, a.model, a.out).show()
     else:
