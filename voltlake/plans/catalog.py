@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cycles, diagnostics, features, halfcell, hppc, interpolate, life, matrix, models, protocols, smooth, splines, steps, validate, waveform
+from ..operators import cycles, diagnostics, features, grams, halfcell, hppc, interpolate, life, matching, matrix, models, protocols, smooth, splines, steps, validate, waveform
 from ..sources import vendors
 from ..streaming import pauses
 from .adaptor import electrode_curves, hppc_curves, life_curves, life_diagnostics, life_summary, raw_samples, soc_discharges
@@ -398,3 +398,19 @@ def early_constant_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_samples(spark, sf_dir)
     parameters = raw.select("run_id").distinct().select("run_id", (F.col("run_id") % 3).cast("double").alias("charge_constant_current_1"), F.lit(1.0).alias("charge_constant_current_2"))
     return features.not_early_cv(raw, F.col("current") > 0, parameters)
+
+
+@query
+def imposed_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Electrode curves of a cell for every user after losses that its number tells, on 1001 points."""
+    curves, r = electrode_curves(spark, sf_dir), F.col("run_id")
+    losses = curves.select("run_id").distinct().select("run_id", (r % 5 / F.lit(2.0)).alias("lli"), (r % 7).cast("double").alias("lam_pe"), (r % 9 * 1.5).alias("lam_ne"))
+    found = matching.impose_degradation(curves, losses, ["run_id"])
+    return found.select("run_id", *[F.round(c, 6).alias(c) for c in ("soc", "pe", "ne")])
+
+
+@query
+def gram_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of products of four columns of all cycles, a matrix for each of five groups of runs; column -1 is 1."""
+    rows = life_summary(spark, sf_dir).select((F.col("run_id") % 5).cast("int").alias("fold"), "discharge_capacity", "charge_duration", "temperature_maximum", "time_temperature_integrated")
+    return grams.gram_cells(rows, rows.columns[1:], "fold")

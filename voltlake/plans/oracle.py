@@ -563,3 +563,30 @@ ORACLES["early_constant_voltage"] = (
     )
     + " select run_id, not (run_id % 3 > 1 and bool_or(coalesce(x < 0.3, false))) as \"is_not_early_CV\" from onset group by run_id"
 )
+
+
+def _degraded() -> str:
+    def curve(e: str) -> str:
+        return f"""{e}_p as (select run_id, s_{e} as s, {e} as v, lead(s_{e}) over w as s2, lead({e}) over w as v2 from sh where {e} is not null window w as (partition by run_id order by s_{e})),
+{e}_g as (select g.run_id, g.i, g.x, case when p.s = g.x then p.v when p.s2 is not null then p.v + (p.v2 - p.v) * ((g.x - p.s) / (p.s2 - p.s)) end as v from g asof left join {e}_p p on p.run_id = g.run_id and g.x >= p.s)"""
+
+    return f"""with {ELECTRODE_SQL.strip()},
+ends as (select run_id, min_by(soc, (abs(pe - ne - 4.2::double), soc)) filter (where pe - ne is not null) as top, min_by(soc, (pe - ne, soc)) filter (where pe - ne is not null) as bottom from ec group by run_id),
+loss as (select run_id, top, bottom, (run_id % 5) / 2.0::double as lli, cast(run_id % 7 as double) as lam_pe, (run_id % 9) * 1.5::double as lam_ne from ends where top is not null),
+sh as (select run_id, pe, ne, soc * (1 - lam_pe / 100) + lam_pe * top / 100 as s_pe, soc * (1 - lam_ne / 100) + lam_ne * bottom / 100 + lli as s_ne from ec join loss using (run_id)),
+g0 as (select run_id, least(min(s_pe), min(s_ne)) as lo, greatest(max(s_pe), max(s_ne)) as hi from sh group by run_id),
+g as (select run_id, i, case when i = 1000 then hi else lo + i * ((hi - lo) / 1000) end as x from g0, generate_series(0, 1000) t(i)),
+{curve("pe")}, {curve("ne")}
+select run_id, round(pe_g.x, 6) as soc, round(pe_g.v, 6) as pe, round(ne_g.v, 6) as ne from pe_g join ne_g using (run_id, i)"""
+
+
+ORACLES["imposed_degradation"] = _degraded()
+
+
+def _gram() -> str:
+    names = ["1.0::double", "discharge_capacity", "charge_duration", "temperature_maximum", "time_temperature_integrated"]
+    cells = " union all ".join(f"select fold, {i - 1} as i, {j - 1} as j, sum({a} * {b}) as total from whole group by fold" for i, a in enumerate(names) for j, b in enumerate(names) if i <= j)
+    return _life() + f", whole as (select *, cast(run_id % 5 as integer) as fold from life where time_temperature_integrated is not null) {cells}"
+
+
+ORACLES["gram_matrices"] = _gram()
