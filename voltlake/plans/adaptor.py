@@ -64,10 +64,10 @@ raw as (
 
 
 def life_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as cycle summaries of long lives: a run for every user, a cycle for every four hours in which it has events."""
+    """events as cycle summaries of long lives: a run for every five users (who have some 150 cycles, as early-life features need), a cycle for every four hours in which they have events."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
     cycle = F.floor((F.unix_micros("ts") - F.lit(1704067200000000)) / 14400000000).cast("int")
-    rows = e.groupBy(F.col("user_id").alias("run_id"), cycle.alias("cycle_index")).agg(F.min("ts").alias("date_time"), (F.sum(F.round(F.col("value") * 100).cast("long")) % 64).alias("s"))
+    rows = e.groupBy(F.floor(F.col("user_id") / 5).cast("long").alias("run_id"), cycle.alias("cycle_index")).agg(F.min("ts").alias("date_time"), (F.sum(F.round(F.col("value") * 100).cast("long")) % 64).alias("s"))
     s, c, q = F.col("s"), F.col("cycle_index"), F.col("discharge_capacity")
     rows = rows.withColumn("discharge_capacity", 1.125 - c / F.lit(512.0) - s / F.lit(4096.0))
     rows = rows.withColumns(
@@ -103,7 +103,7 @@ def life_curves(summary: DataFrame) -> DataFrame:
 
 LIFE_SQL = """
 life0 as (
-  select user_id as run_id, cast(floor((epoch_us(ts) - 1704067200000000) / 14400000000) as integer) as cycle_index, min(ts) as date_time,
+  select user_id // 5 as run_id, cast(floor((epoch_us(ts) - 1704067200000000) / 14400000000) as integer) as cycle_index, min(ts) as date_time,
          cast(sum(cast(round(value * 100) as bigint)) % 64 as bigint) as s from events group by 1, 2),
 life1 as (select *, 1.125::double - cycle_index / 512.0::double - s / 4096.0::double as discharge_capacity from life0),
 life as (
