@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, saved, small, trimmed
@@ -205,6 +205,16 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int
     return by_doc(removed).select(F.col("_a").alias("doc_id"), F.col("_mark").alias("mark"), F.array_distinct("places").alias("lines"))
 
 
+def _without(text: str, gone: str) -> Column:
+    """The lines of a text but those whose numbers (from 0, distinct) are in gone, in time linear in both."""
+    lines = F.split(text, "\n", -1)
+    # Numbers in order, with ends on both sides: what lies between two neighbours stays.
+    bounds = lambda size: F.concat(F.array(F.lit(-1).cast("long")), F.array_sort(gone), F.array(size.cast("long")))
+    between = lambda all_, at: F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda a, b: F.slice(all_, (a + 2).cast("int"), (b - a - 1).cast("int")))
+    one = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    return one(lines, lambda all_: one(bounds(F.size(all_)), lambda at: F.flatten(between(all_, at))))
+
+
 def dedup_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int = 2000) -> DataFrame:
     """Removes from docs (doc_id: an integer, text) every line whose words are similar to an earlier line's.
 
@@ -229,7 +239,8 @@ def dedup_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int =
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     rows = rows.select("doc", F.col("doc")["doc_id"].cast("long").alias("doc_id"), F.col("doc")["text"].cast("string").alias("text"))
     joined = rows.withColumn("mark", mark).join(removed, ["doc_id", "mark"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("lines", i.cast("long"))), "\n")
+    # Lines to keep are the runs between those that go, so that a text is cut at its removed lines only, in one pass over both.
+    kept = F.array_join(_without("text", "lines"), "\n")
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept)
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     n_lines = F.coalesce(breaks + 1, F.lit(0)).cast("long")
