@@ -1,11 +1,13 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are the identifiers that fixed patterns find (email, ip, card, phone) and long runs of letters and
-digits that a name is set to (``token = "..."``). The two words before an identifier are a lexical pattern,
-and so are the two after it. Patterns and the identifier-like tokens beside them form a graph that is
-scored in rounds: a pattern is as good as the share of its occurrences that are beside known identifiers,
-an unseen token is as good as its best pattern, and tokens found in one round support patterns in the
-next. Labelled seeds and tokens of high-confidence patterns are added as kind 'id'.
+Seeds are the identifiers that fixed patterns find (email, ip, card, phone) and, of the long runs of letters
+and digits that a name is set to (``token = "..."``), a share. The two words before an identifier are a
+lexical pattern, and so are the two after it. Patterns and the identifier-like tokens beside them form a
+graph that is scored in rounds. A pattern is as good as the share of its occurrences in the corpus that are
+beside known identifiers, or beside tokens of the same shape as one that is known beside this very pattern;
+anything else there, plain words too, speaks against it. An unseen token is as good as its best pattern,
+and tokens found in one round support patterns in the next. Labelled seeds and tokens of high-confidence
+patterns are added as kind 'id'.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ TOKEN = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+"
 
 
 #: A seed of kind id: so long a run of letters and digits, at least one of each, in a token that a name is set to.
-RUN = r"[A-Za-z0-9+/_-]{20,}"
-LABELLED = rf"^[^\s=:]*[A-Za-z][^\s=:]*[=:][\"']?{RUN}"
+RUN = r"[A-Za-z0-9+/_-]{20,}+"
+#: Such a run at the end; runs are entered at their start only.
+LAST_RUN = rf"(?<![A-Za-z0-9+/_-]){RUN}$"
+LABELLED = rf"^[^A-Za-z\s=:]*+[A-Za-z][^\s=:]*+[=:][\"']?{RUN}"
 BLOCK = 64
 
 
@@ -136,6 +140,13 @@ def _context_after(after: Column) -> Column:
     return F.when(two.rlike(r"^\S*\p{L}"), F.concat(F.lit(">"), F.regexp_replace(two, r"\s+", " ")))
 
 
+def shape(value: Column) -> Column:
+    """What a token looks like: its runs of letters, digits and +/_- as one sign, what it is made of, and the power of two of its length."""
+    plain = F.left(F.regexp_replace(value, r"[\p{L}0-9+/_-]++", "x"), F.lit(40))
+    made = F.concat(F.when(value.rlike(r"\p{L}"), "L").otherwise(""), F.when(value.rlike("[0-9]"), "D").otherwise(""))
+    return F.concat_ws(":", plain, made, F.floor(F.log2(F.length(value))).cast("string"))
+
+
 def occurrences(texts: DataFrame, patterns: DataFrame, most_literals: int = 5000) -> DataFrame:
     """How often the two words of each of the given patterns occur in the texts: pattern, occurs.
 
@@ -156,12 +167,13 @@ def occurrences(texts: DataFrame, patterns: DataFrame, most_literals: int = 5000
     return patterns.select("pattern", F.substring("pattern", 2, 1 << 20).alias("said")).join(counts, "said").select("pattern", "occurs")
 
 
-def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3, confidence: float = 0.8, smoothing: float = 1.0) -> DataFrame:
+def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3, confidence: float = 0.8, smoothing: float = 1.0, seed_share: float = 1.0) -> DataFrame:
     """Finds personal data in docs (doc_id, text).
 
     A pattern needs ``least_support`` different identifiers known beside it and a share of known
-    identifiers of at least ``confidence`` among all its occurrences in the corpus (plus
-    ``smoothing``), whatever is beside it there.
+    identifiers, and of tokens of the shape of one of them, of at least ``confidence`` among all its
+    occurrences in the corpus (plus ``smoothing``), whatever is beside it there. seed_share: the share of
+    labelled runs (by a hash of their value) that are seeds; the others are found by patterns or not at all.
 
     Returns a row per document: doc_id, n_email, n_ip, n_card, n_phone, n_id (long), base and spans (arrays
     of kind, start, end, by kind and start; code points, end exclusive; spans has the labelled seeds and
@@ -184,9 +196,11 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3,
         head = F.length(F.regexp_extract(t["hit"], r"^[^\p{L}0-9+]{1,9}", 0))
         value = F.regexp_replace(F.substring(t["hit"], head + 1, F.length(t["hit"])), r"[^\p{L}0-9]{1,9}$", "")
         before = _context(t["before"])
-        run = F.regexp_extract(value, RUN + "$", 0)
+        run = F.regexp_extract(value, LAST_RUN, 0)
         named = F.coalesce(before.rlike("[=:]$") & value.rlike(f"^{RUN}$"), F.lit(False)) | value.rlike(LABELLED)
         seed = named & run.rlike("[0-9]") & run.rlike("[A-Za-z]")
+        if seed_share < 1:
+            seed = seed & (F.pmod(F.xxhash64(F.lower(value)), F.lit(1 << 20)) < int(seed_share * (1 << 20)))
         start = t["start"] + head
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), F.lower(value).alias("value"), touched.alias("base"), (seed & ~touched).alias("seed"), (touched | seed).alias("known"), F.array_compact(F.array(before, _context_after(t["after"]))).alias("patterns"))
 
@@ -202,11 +216,12 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3,
     support = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.max("open").alias("open"), F.sum("n").alias("before_ids"))
     able = support.where(F.col("open") & (F.col("values") >= least_support) & (cut_words | (F.col("before_ids") / (F.col("before_ids") + smoothing) >= confidence)))
     edges = edges.join(able.select("pattern", "before_ids"), "pattern").join(known, "value", "left")
-    edges = saved(edges.select("pattern", "value", "n", "before_ids", F.coalesce("score", F.lit(0.0)).alias("score")), "edges")
+    edges = saved(edges.select("pattern", "value", shape(F.col("value")).alias("shape"), "n", "before_ids", F.coalesce("score", F.lit(0.0)).alias("score")), "edges")
     # Upper bound of what each round can find: as if every pattern with support were trusted.
     reached, wanted = edges.where("score > 0").select("value").distinct(), edges.select("pattern", "before_ids").limit(0)
     for k in range(rounds):
-        hopeful = edges.join(reached, "value").groupBy("pattern", "before_ids").agg(F.count("*").alias("support"), F.sum("n").alias("seen"))
+        hopeful = edges.join(reached.withColumn("near", F.lit(1)), "value", "left").groupBy("pattern", "before_ids", "shape").agg(F.count("near").alias("support"), F.sum("n").alias("n"))
+        hopeful = hopeful.where("support > 0").groupBy("pattern", "before_ids").agg(F.sum("support").alias("support"), F.sum("n").alias("seen"))
         hopeful = hopeful.where((F.col("support") >= least_support) & (cut_words | (F.col("seen") / (F.col("before_ids") + smoothing) >= confidence)))
         wanted = saved(hopeful.select("pattern", "before_ids"), "patterns")
         if k < rounds - 1:
@@ -223,7 +238,9 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 3,
         edges = edges.drop("score")
         for _ in range(rounds):
             graph = edges.join(scores, "value")
-            patterns = graph.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.max("occurs") + smoothing)).alias("p"), F.count_if(F.col("score") >= confidence).alias("support"))
+            shapes = graph.groupBy("pattern", "shape").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score")).alias("sure"), F.count_if(F.col("score") >= confidence).alias("support"), F.max("occurs").alias("occurs"))
+            alike = F.when(F.col("support") > 0, F.col("n")).otherwise(F.col("sure"))
+            patterns = shapes.groupBy("pattern").agg((F.sum(alike) / (F.max("occurs") + smoothing)).alias("p"), F.sum("support").alias("support"))
             good = patterns.where((F.col("p") >= confidence) & (F.col("support") >= least_support)).select("pattern", "p")
             best = edges.join(good, "pattern").groupBy("value").agg(F.max("p").alias("p"))
             scores = saved(scores.join(best, "value", "left").select("value", F.greatest("score", F.coalesce("p", F.lit(0.0))).alias("score")), "scores")
