@@ -41,6 +41,11 @@ NOISE_WORDS = frozenset(
 )
 #: First parts of class names that only describe an element which is not such a thing itself.
 FLAG_WORDS = frozenset("no not non has have with without is hide show layout page body wrap wrapper container".split())
+#: First parts of class names of a headline's element, and noise words that no amount of text makes an article.
+ARTICLE_WORDS = frozenset("article post entry story".split())
+NEVER_ARTICLE = frozenset("comment comments disqus replies cookie cookies consent gdpr newsletter".split())
+#: Elements around each other that may be pardoned on one page; it is read once more for each.
+MOST_WRAPPERS = 40
 _RAW = "script|style|title|textarea|iframe|xmp|noembed|noframes"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-z!?/][^>]*>|<[!?][^>]*>",
@@ -54,35 +59,67 @@ _WORD = re.compile(r"\w+")
 
 
 class Block:
-    __slots__ = ("parts", "links", "noise", "region", "item")
+    __slots__ = ("parts", "links", "root", "region", "item")
 
-    def __init__(self, noise: bool, region: bool, item: bool):
-        self.parts, self.links, self.noise, self.region, self.item = [], 0, noise, region, item
+    def __init__(self, root: int, region: bool, item: bool):
+        self.parts, self.links, self.root, self.region, self.item = [], 0, root, region, item
 
 
-def _noisy(tag: str, attrs: str) -> bool:
-    """Is an element boilerplate by its tag, or by a class, id or role that is a noise word or begins or ends with one?"""
-    if tag in NOISE_TAGS:
-        return True
+def _noisy(tag: str, attrs: str) -> str:
+    """Why an element is boilerplate: 'never' and 'tag' hold whatever is in it, 'whole' (a class, id or role is a noise word, or a form)
+    unless no long text is elsewhere, 'part' (one begins or ends with such a word) unless most long text is in it; '' if it is none.
+    """
+    why = "" if tag not in NOISE_TAGS else "whole" if tag == "form" else "tag"
     if "=" not in attrs:
-        return False
+        return why
     for value in _ATTR.findall(attrs):
         for name in value.strip("\"'").lower().split():
             parts = _NAME.findall(name)
-            if parts and parts[0] not in FLAG_WORDS and (parts[0] in NOISE_WORDS or parts[-1] in NOISE_WORDS):
-                # An article is itself, whatever its classes are called, unless one is nothing but a comment.
-                if tag not in ("article", "main") or tag == "article" and name in ("comment", "comments"):
-                    return True
-    return False
+            if not parts or parts[0] in FLAG_WORDS or parts[0] in ARTICLE_WORDS and parts[-1] == "header":
+                continue
+            hit = [w for w in (parts[0], parts[-1]) if w in NOISE_WORDS]
+            # An article is itself, whatever its classes are called, unless one is nothing but a noise word.
+            if not hit or tag == "main" or tag == "article" and name not in NOISE_WORDS:
+                continue
+            new = "never" if NEVER_ARTICLE.intersection(hit) else "whole" if name in NOISE_WORDS else "part"
+            why = max(why, new, key=("", "part", "whole", "tag", "never").index)
+    return why
 
 
 def blocks_of(html: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """Non-empty blocks in page order: text, share of its characters in links, in boilerplate markup, in an article, a list item."""
+    """Non-empty blocks in page order: text, share of its characters in links, in boilerplate markup, in an article, a list item.
+
+    An element that its name condemns is read as any other if it holds the page's long text (see _noisy);
+    what is boilerplate within it stays so.
+    """
+    pardoned: frozenset[int] = frozenset()
+    for _ in range(MOST_WRAPPERS + 1):
+        blocks, reasons = _scan(html, pardoned)
+        long = [(len(t), root) for t, links, root, _, _ in blocks if links <= 0.5 and _is_long(t)]
+        free, total = sum(n for n, root in long if root < 0), sum(n for n, _ in long)
+        inside: dict[int, int] = {}
+        for n, root in long:
+            inside[root] = inside.get(root, 0) + n
+        holds = [r for r, n in inside.items() if r >= 0 and (reasons[r] == "part" and 2 * n > total or reasons[r] in ("part", "whole") and not free)]
+        if not holds:
+            break
+        # Each round pardons one more element, the one with most text.
+        pardoned |= {max(holds, key=lambda r: (inside[r], -r))}
+    return [(t, links, root >= 0, region, item) for t, links, root, region, item in blocks]
+
+
+def _is_long(text: str, words: int = 20, chars: int = 100) -> bool:
+    return len(text) >= chars and (len(text.split()) >= words or not text.isascii() and len(text) >= chars)
+
+
+def _scan(html: str, pardoned: frozenset[int]) -> tuple[list[tuple[str, float, int, bool, bool]], dict[int, str]]:
+    """The blocks of a page, each with the place of the boilerplate element around it (-1: none), and why those elements are boilerplate. Pardoned ones are none."""
     end = html.rfind(">") + 1
     tail = _TAIL.search(html, end)
     html, rest = html[:end], html[end : tail.start() if tail else None]
-    out: list[Block] = [Block(False, False, False)]
-    noise_tag, noise_depth, region, link, at = "", 0, 0, 0, 0
+    out: list[Block] = [Block(-1, False, False)]
+    noise_tag, noise_depth, root, region, link, at = "", 0, -1, 0, 0, 0
+    reasons: dict[int, str] = {}
 
     def add(text: str) -> None:
         if text:
@@ -106,33 +143,36 @@ def blocks_of(html: str) -> list[tuple[str, float, bool, bool, bool]]:
             if tag == noise_tag:
                 noise_depth += -1 if closing else 1
                 if not noise_depth:
-                    noise_tag = ""
+                    noise_tag, root = "", -1
             elif main and not closing and not region and not _noisy(tag, m["attrs"]):
-                noise_tag = ""  # an element left open does not swallow the article
-        elif not closing and tag not in VOID_TAGS and tag not in ("html", "body") and _noisy(tag, m["attrs"]):
-            noise_tag, noise_depth = tag, 1
+                noise_tag, root = "", -1  # an element left open does not swallow the article
+        elif not closing and tag not in VOID_TAGS and tag not in ("html", "body") and m.start() not in pardoned and (why := _noisy(tag, m["attrs"])):
+            noise_tag, noise_depth, root = tag, 1, m.start()
+            reasons[root] = why
         if main and not noise_tag:
             region = max(0, region + (-1 if closing else 1))
         if tag == "br":
             add(" ")
         elif tag not in INLINE_TAGS or (bool(noise_tag), region > 0) != before:
             link = 0
-            out.append(Block(bool(noise_tag), region > 0, tag in ITEM_TAGS and not closing))
+            out.append(Block(root if noise_tag else -1, region > 0, tag in ITEM_TAGS and not closing))
     add(html[at:] + rest)
     found = []
     for b in out:
         text = " ".join(unescape("".join(b.parts)).split())
         if text:
-            found.append((text, min(1.0, b.links / len(text)), b.noise, b.region, b.item))
-    return found
+            found.append((text, min(1.0, b.links / len(text)), b.root, b.region, b.item))
+    return found, reasons
 
 
-def first_pass(text: str, links: float, noise: bool, region: bool, item: bool, has_region: bool, long_words: int = 20, stop_high: float = 0.25, stop_low: float = 0.1, link_most: float = 0.5) -> bool | None:
-    """True: article text; False: boilerplate; None: ambiguous."""
+def first_pass(text: str, links: float, noise: bool, region: bool, item: bool, has_region: bool, long_words: int = 20, stop_high: float = 0.25, stop_low: float = 0.1, link_most: float = 0.5, has_stop: bool = True) -> bool | None:
+    """True: article text; False: boilerplate; None: ambiguous. has_stop: does the page have stop words? If not, length decides."""
     if noise or has_region and not region:
         return False
     if links > link_most:
         return None if region and not item else False  # a linked paragraph of an article goes with its neighbours
+    if not has_stop:
+        return True if _is_long(text, long_words) else None
     words = _WORD.findall(text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
     if len(words) < long_words:
@@ -170,7 +210,8 @@ def main_text(html: str | None) -> str:
     has_region = any(b[3] and not b[2] for b in blocks)
     if has_region:
         blocks = [b for b in blocks if b[3]]
-    labels = [first_pass(*b, has_region) for b in blocks]
+    has_stop = any(w in STOP_WORDS for b in blocks if not b[2] for w in _WORD.findall(b[0].lower()))
+    labels = [first_pass(*b, has_region, has_stop=has_stop) for b in blocks]
     # Markup noise inside an article says nothing about the text beside it.
     kept = [i for i, b in enumerate(blocks) if not (has_region and b[2])]
     final = second_pass([labels[i] for i in kept], has_region)
