@@ -87,7 +87,7 @@ def cycles_from_rules(raw: DataFrame, rules: DataFrame, on_start: int = 0, on_lo
     """
     w = W.partitionBy("run_id").orderBy("data_point")
     rows = raw.withColumn("_from", F.lag("sequence").over(w))
-    rows = rows.join(F.broadcast(rules.select(F.col("source").alias("_from"), F.col("target").alias("sequence"), "advance")), ["_from", "sequence"], "left")
+    rows = rows.join(rules.select(F.col("source").alias("_from"), F.col("target").alias("sequence"), "advance"), ["_from", "sequence"], "left")
     step = F.when(F.col("_from").isNull() | (F.col("_from") == F.col("sequence")), 0).otherwise(F.coalesce("advance", F.lit(0)))
     if loop:
         before = F.lag(loop).over(w)

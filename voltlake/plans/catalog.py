@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cycles, diagnostics, features, grams, halfcell, hppc, interpolate, life, matching, matrix, models, protocols, smooth, splines, steps, validate, waveform
+from ..operators import cycle_rules, cycles, diagnostics, features, grams, halfcell, hppc, interpolate, life, matching, matrix, models, protocols, smooth, splines, steps, validate, waveform
 from ..sources import vendors
 from ..streaming import pauses
 from .adaptor import electrode_curves, hppc_curves, life_curves, life_diagnostics, life_summary, raw_samples, soc_discharges
@@ -414,3 +414,27 @@ def gram_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of products of four columns of all cycles, a matrix for each of five groups of runs; column -1 is 1."""
     rows = life_summary(spark, sf_dir).select((F.col("run_id") % 5).cast("int").alias("fold"), "discharge_capacity", "charge_duration", "temperature_maximum", "time_temperature_integrated")
     return grams.gram_cells(rows, rows.columns[1:], "fold")
+
+
+@query
+def cycles_across_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycle numbers of every run, as if it were written as three files with rules of their own."""
+    raw = raw_samples(spark, sf_dir)
+    rows = raw.select("run_id", F.least(F.floor(F.col("data_point") / 20), F.lit(2)).cast("int").alias("technique"), "data_point", F.col("step_index").alias("sequence"), F.col("cycle_index").alias("loop"))
+    pairs = lambda t: F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.lit((a + 2 * b + t) % 3).alias("advance")) for a in range(5) for b in range(5) if a != b])
+    rules = None
+    for t in range(3):
+        one = spark.range(1).select(F.lit(t).alias("technique"), F.lit(t % 2).alias("on_start"), F.lit(2 - t).alias("on_loop"), pairs(t).alias("transitions"))
+        rules = one if rules is None else rules.unionByName(one)
+    return cycle_rules.cycles_across_files(rows, rules).select("run_id", "technique", "data_point", "cycle_index")
+
+
+@query
+def rules_of_step_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of two techniques of ten steps for every part: a loop from the third to the eighth, advances where its size tells."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("protocol"), "p_size")
+    rows = part.select("protocol", "p_size", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("technique")).select("*", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("step"))
+    kind = F.when(F.col("step") == 3, "loop_open").when(F.col("step") == 8, "loop_close").when(F.col("p_size") * F.col("step") % (2 + F.col("technique")) == 0, "advance").otherwise("measured")
+    rules, _ = cycle_rules.rules_from_steps(rows.select("protocol", "technique", "step", kind.alias("kind")))
+    listed = F.transform("transitions", lambda t: F.concat(t["source"], F.lit(">"), t["target"], F.lit(":"), t["advance"]))
+    return rules.select("protocol", "technique", F.col("on_start").cast("long").alias("on_start"), F.col("on_loop").cast("long").alias("on_loop"), F.array_join(listed, " ").alias("transitions"))

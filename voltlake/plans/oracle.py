@@ -590,3 +590,31 @@ def _gram() -> str:
 
 
 ORACLES["gram_matrices"] = _gram()
+
+ORACLES["cycles_across_files"] = (
+    _with(
+        "f0 as (select run_id, cast(least(data_point // 20, 2) as integer) as technique, data_point, step_index as s, cycle_index as l from raw)",
+        "f1 as (select *, lag(s) over w as s0, lag(l) over w as l0 from f0 window w as (partition by run_id, technique order by data_point))",
+        "f2 as (select *, case when l0 is null then 0 when l0 <> l then 2 - technique when s0 <> s then (s0 + 2 * s + technique) % 3 else 0 end as step from f1)",
+    )
+    # Starts count once a file that the run has: of the three only the second's is 1.
+    + """ select run_id, technique, data_point, cast(1 + sum(step) over (partition by run_id order by technique, data_point rows unbounded preceding)
+             + case when technique >= 1 and bool_or(technique = 1) over (partition by run_id) then 1 else 0 end as bigint) as cycle_index from f2"""
+)
+
+ORACLES["rules_of_step_tables"] = """
+with s0 as (select p_partkey as protocol, t.i as technique, s.i as step, case when s.i = 3 then 'o' when s.i = 8 then 'c' when (p_size * s.i) % (2 + t.i) = 0 then 'a' else 'm' end as kind
+            from part, generate_series(1, 2) t(i), generate_series(1, 10) s(i)),
+m as (select * from s0 where kind = 'm'), a as (select * from s0 where kind = 'a'),
+-- Straight ways: from a measured step to the next one, by the advances between them.
+line as (select protocol, technique, step as source, lead(step) over (partition by protocol, technique order by step) as target from m),
+ways as (select l.protocol, l.technique, source, target, count(*) as advance, 0 as i from line l join a on a.protocol = l.protocol and a.technique = l.technique and a.step between source and target group by all),
+-- Back from the loop's last measured step to its first.
+loops as (select protocol, technique, min(step) as target, max(step) as source from m where step between 4 and 7 group by all having min(step) < max(step)),
+backs as (select l.protocol, l.technique, source, target, count(*) as advance, 1 as i from loops l join a on a.protocol = l.protocol and a.technique = l.technique and (a.step between source and 8 or a.step between 3 and target) group by all),
+one as (select protocol, technique, source, target, max_by(advance, i) as advance from (select * from ways union all select * from backs) group by all),
+listed as (select protocol, technique, string_agg(source || '>' || target || ':' || advance, ' ' order by source, target) as transitions from one group by all),
+ends as (select k.protocol, k.technique, (select count(*) from a where a.protocol = k.protocol and a.technique = k.technique and a.step < k.low) as lead, (select count(*) from a where a.protocol = k.protocol and a.technique = k.technique and a.step > k.high) as rest
+         from (select protocol, technique, min(step) filter (where kind = 'm') as low, coalesce(max(step) filter (where kind = 'm'), 0) as high from s0 group by all) k)
+select protocol, technique, coalesce(lag(rest) over (partition by protocol order by technique), 0) + lead as on_start, rest as on_loop, coalesce(transitions, '') as transitions
+from ends left join listed using (protocol, technique)"""
