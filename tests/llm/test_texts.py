@@ -177,3 +177,22 @@ def test_long_tokens_take_linear_time(spark):
         took.append(time.time() - start)
         assert got == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0}
     assert took[1] < 8 * took[0] + 10
+
+
+def test_prior_without_the_noise_of_small_hosts(spark):
+    """10,000 hosts of one page each, one in twenty of which fails, and a large host of which three in ten do."""
+    from voltlake.llm.rules import MOST_WEIGHT, host_rules, prior_weight
+
+    good, bad = " ".join(f"w{i}" for i in range(60)), "too short"
+    rows = [(i, f"h{i}", bad if i % 20 == 0 else good) for i in range(10_000)] + [(20_000 + i, "large", bad if i % 10 < 3 else good) for i in range(500)] + [(30_000 + i, "fair", bad if i % 20 == 0 else good) for i in range(500)]
+    out = host_rules(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert {r.host for r in out.where("host_rejected").select("host").distinct().collect()} == {"large"}
+    kept = out.where("kept").groupBy().count().first()[0]
+    assert kept == sum(t == good and h != "large" for _, h, t in rows)
+    # Rates of a known beta distribution: its weight is found again.
+    r = np.random.default_rng(0)
+    n = r.integers(1, 60, 20_000)
+    x = r.binomial(n, r.beta(0.8, 7.2, len(n)))
+    weight, spread = prior_weight(len(n), int(n.sum()), float((n * n).sum()), int(x.sum()), float((x * x / n).sum()))
+    assert spread and 6.5 < weight < 9.5
+    assert prior_weight(1, 10, 100.0, 3, 0.9) == (MOST_WEIGHT, False) and prior_weight(5, 50, 500.0, 0, 0.0) == (MOST_WEIGHT, False) and prior_weight(0, 0, 0.0, 0, 0.0) == (MOST_WEIGHT, False)

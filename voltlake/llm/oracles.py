@@ -46,11 +46,11 @@ counts as (
   from base left join covered using (doc_id)),
 rules as (select *, n_words < 50 as f1, 100 * n_repeat_words > 50 * n_words as f2, 100 * n_symbols > 50 * n_words as f3 from counts),
 hosts as (select source, count(*) as n, sum(f1::int) as a, sum(f2::int) as b, sum(f3::int) as c from rules group by source),
-prior as (select avg(a / n) as ma, var_pop(a / n) as va, avg(b / n) as mb, var_pop(b / n) as vb, avg(c / n) as mc, var_pop(c / n) as vc from hosts),
-weight as (select *, case when va > 0 then least(greatest(ma * (1 - ma) / va - 1, 2), 1e6) else 1e6 end as wa, case when vb > 0 then least(greatest(mb * (1 - mb) / vb - 1, 2), 1e6) else 1e6 end as wb,
-                   case when vc > 0 then least(greatest(mc * (1 - mc) / vc - 1, 2), 1e6) else 1e6 end as wc from prior),
-most as (select *, case when va > 0 then least(0.5, ma + 3 * sqrt(ma * (1 - ma) / (wa + 1))) else 0.5 end as la, case when vb > 0 then least(0.5, mb + 3 * sqrt(mb * (1 - mb) / (wb + 1))) else 0.5 end as lb,
-                 case when vc > 0 then least(0.5, mc + 3 * sqrt(mc * (1 - mc) / (wc + 1))) else 0.5 end as lc from weight),
+sums as (select count(*) as k, sum(n) as nn, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) as fr, avg(a / n) as ma, avg(b / n) as mb, avg(c / n) as mc,
+         sum(a) / sum(n) as pa, sum(b) / sum(n) as pb, sum(c) / sum(n) as pc, sum(a * a / n) as qa, sum(b * b / n) as qb, sum(c * c / n) as qc from hosts),
+spread as (select *, qa - nn * pa * pa as sa, qb - nn * pb * pb as sb, qc - nn * pc * pc as sc, k > 1 and pa > 0 and pa < 1 as fa, k > 1 and pb > 0 and pb < 1 as fb, k > 1 and pc > 0 and pc < 1 as fc from sums),
+weight as (select *, case when fa and sa > 1e-9 * nn and (sa - pa * (1 - pa) * (k - 1)) > 0 and fr > 0 then least(greatest(pa * (1 - pa) * fr / (sa - pa * (1 - pa) * (k - 1)) - 1, 2), 100) else 100 end as wa, case when fb and sb > 1e-9 * nn and (sb - pb * (1 - pb) * (k - 1)) > 0 and fr > 0 then least(greatest(pb * (1 - pb) * fr / (sb - pb * (1 - pb) * (k - 1)) - 1, 2), 100) else 100 end as wb, case when fc and sc > 1e-9 * nn and (sc - pc * (1 - pc) * (k - 1)) > 0 and fr > 0 then least(greatest(pc * (1 - pc) * fr / (sc - pc * (1 - pc) * (k - 1)) - 1, 2), 100) else 100 end as wc from spread),
+most as (select *, case when fa and sa > 1e-9 * nn then least(0.5, ma + 3 * sqrt(ma * (1 - ma) / (wa + 1))) else 0.5 end as la, case when fb and sb > 1e-9 * nn then least(0.5, mb + 3 * sqrt(mb * (1 - mb) / (wb + 1))) else 0.5 end as lb, case when fc and sc > 1e-9 * nn then least(0.5, mc + 3 * sqrt(mc * (1 - mc) / (wc + 1))) else 0.5 end as lc from weight),
 verdict as (select source, (a + ma * wa) / (n + wa) > la or (b + mb * wb) / (n + wb) > lb or (c + mc * wc) / (n + wc) > lc as rejected from hosts, most)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 or f2 as base_failed, not (f1 or f2) and not rejected as kept
 from rules join verdict on rules.source is not distinct from verdict.source

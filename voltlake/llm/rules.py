@@ -1,8 +1,8 @@
 """Quality rules with verdicts by host.
 
 Documents fail rules on their own text. Failures are counted by host, the host's rate of each rule is
-shrunk towards an empirical beta prior (moments over all hosts), so that a host of few documents is
-not judged by chance. A host whose shrunk rate stands out from that prior is rejected, and the verdict
+shrunk towards an empirical beta prior (its mean that of all hosts, its weight from their spread beyond
+chance), so that a host of few documents is not judged by chance. A host whose shrunk rate stands out from that prior is rejected, and the verdict
 is joined back to its documents.
 """
 
@@ -59,6 +59,26 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([pdf[["row", "doc_id", "host"]], found.astype("int64")], axis=1)
 
 
+#: A prior counts as at least and at most so many documents: 2 are those of a uniform one.
+LEAST_WEIGHT, MOST_WEIGHT = 2.0, 100.0
+
+
+def prior_weight(hosts: int, docs: int, squares: float, fails: int, squared_fails: float) -> tuple[float, bool]:
+    """The documents that a beta prior of the hosts' rates counts as, and whether rates differ at all.
+
+    squares: the sum of n^2 over hosts; squared_fails: that of (failures of a host)^2 / n. Hosts are
+    weighed by their documents, and what rates of n documents differ by chance is taken off the spread, so
+    hosts of one page, whose rates are 0 or 1, do not pass for hosts that differ.
+    """
+    p = fails / docs if docs else 0.0
+    between = squared_fails - docs * p * p
+    if hosts < 2 or not 0 < p < 1 or between <= 1e-9 * docs:
+        return MOST_WEIGHT, False
+    free = docs - squares / docs - (hosts - 1)
+    share = (between - p * (1 - p) * (hosts - 1)) / (p * (1 - p) * free) if free > 0 else 0.0
+    return (min(max(1 / share - 1, LEAST_WEIGHT), MOST_WEIGHT) if share > 0 else MOST_WEIGHT), True
+
+
 def host_rules(docs: DataFrame, host: str = "source", least_words: int = 50, most_repeated: int = 50, most_symbols: int = 50, limit: float = 0.5, deviations: float = 3.0, salts: int = 16) -> DataFrame:
     """Counts and verdicts for docs (doc_id, text and the column named by ``host``).
 
@@ -86,14 +106,13 @@ def host_rules(docs: DataFrame, host: str = "source", least_words: int = 50, mos
         "symbols": 100 * F.col("n_symbols") > most_symbols * F.col("n_words"),
     }
     hosts = counts.groupBy("host").agg(F.count("*").alias("n"), *[F.count_if(fails[r]).alias(r) for r in RULES])
-    moments = hosts.agg(*[f(F.col(r) / F.col("n")).alias(f"{r}_{k}") for r in RULES for k, f in (("mean", F.avg), ("var", F.var_pop))])
-    row = moments.first()
-    over = []
+    n, x = F.col("n"), F.col
+    sums = hosts.agg(F.count("*").alias("k"), F.sum(n).alias("all"), F.sum(n * n / F.lit(1.0)).alias("squares"), *[e.alias(f"{r}_{c}") for r in RULES for c, e in (("mean", F.avg(x(r) / n)), ("sum", F.sum(r)), ("square", F.sum(x(r) * x(r) / n)))])
+    row, over = sums.first(), []
     for r in RULES:
-        mean, var = row[f"{r}_mean"] or 0.0, row[f"{r}_var"] or 0.0
-        weight = mean * (1 - mean) / var - 1 if var > 0 else 1e6
-        weight = min(max(weight, 2.0), 1e6)  # at least as strong as a uniform prior
-        most = min(limit, mean + deviations * math.sqrt(mean * (1 - mean) / (weight + 1))) if var > 0 else limit
+        mean = row[f"{r}_mean"] or 0.0
+        weight, spread = prior_weight(row["k"], row["all"] or 0, row["squares"] or 0.0, row[f"{r}_sum"] or 0, row[f"{r}_square"] or 0.0)
+        most = min(limit, mean + deviations * math.sqrt(mean * (1 - mean) / (weight + 1))) if spread else limit
         over.append((F.col(r) + mean * weight) / (F.col("n") + weight) > most)
     bad = over[0]
     for x in over[1:]:
