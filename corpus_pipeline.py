@@ -19,13 +19,21 @@ CHUNK = 2 << 20
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts are scored as empty ones; a null doc_id is as good as any, and equal rows stay or
+    go together. Texts are read whole. An empty table gives none.
+    """
     scorer = quality_scorer(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
     return docs.where(scorer(*inputs(docs)) >= 0.3)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are similar to earlier ones; those of which no word is left go."""
+    """Documents without lines that are similar to earlier ones; those of which no word is left go.
+
+    Documents that lose no line stay as they are, without words too, and so do null texts (their n_chars
+    also) and rows of null doc_id. n_chars of the others is counted again. Equal rows come out alike.
+    """
     out = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(*docs.columns)
@@ -60,7 +68,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens.
+
+    Null and empty texts are one piece, of the end mark alone; rows of null or equal doc_id are documents of their own.
+    """
     return pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
 
 
@@ -72,7 +83,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The stages learn models, tokenize and follow links; SQL can't express that. tests/llm has brute-force versions.
+#: The stages learn models, tokenize and follow links; SQL can't express that. tests/llm/test_pipeline.py does the chain one document after the other (scores are taken from the classifier, which has tests of its own).
 ORACLE_SQL = None
 
 
