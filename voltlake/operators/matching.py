@@ -237,11 +237,11 @@ def impose_degradation(curves: DataFrame, losses: DataFrame, keys: list[str], up
     shrunk = lambda share, at: F.col("soc") * (1 - F.col(share) / 100) + F.col(share) * F.col(at) / 100
     rows = rows.withColumns({"soc_pe": shrunk("lam_pe", "_top"), "soc_ne": shrunk("lam_ne", "_bottom") + F.col("lli")})
     ends = rows.groupBy(*keys).agg(F.least(F.min("soc_pe"), F.min("soc_ne")).alias("lo"), F.greatest(F.max("soc_pe"), F.max("soc_ne")).alias("hi"))
-    out = None
-    for e in ("pe", "ne"):
-        points = rows.where(F.col(e).isNotNull()).select(*keys, F.monotonically_increasing_id().alias("data_point"), F.col(f"soc_{e}").alias("soc"), e)
-        last = points.groupBy(*keys).agg(F.max("soc").alias("_last"))
-        one = interpolate(points, ends, keys, "soc", [e], n).join(last, keys, "left")
-        one = one.select(*keys, "soc", F.when(F.col("soc") <= F.col("_last"), F.col(e)).alias(e))
-        out = one if out is None else out.join(one, [*keys, "soc"])
-    return out
+    # Points of both electrodes are one set of samples, in which each has nulls where the other has points: one pass for both.
+    points = None
+    for e, other in (("pe", "ne"), ("ne", "pe")):
+        one = rows.where(F.col(e).isNotNull()).select(*keys, F.col("soc").alias("data_point"), F.col(f"soc_{e}").alias("soc"), e, F.lit(None).cast("double").alias(other))
+        points = one if points is None else points.unionByName(one)
+    last = points.groupBy(*keys).agg(*[F.max(F.when(F.col(e).isNotNull(), F.col("soc"))).alias(f"_last_{e}") for e in ("pe", "ne")])
+    found = interpolate(points, ends, keys, "soc", ["pe", "ne"], n).join(last, keys)
+    return found.select(*keys, "soc", *[F.when(F.col("soc") <= F.col(f"_last_{e}"), F.col(e)).alias(e) for e in ("pe", "ne")])
