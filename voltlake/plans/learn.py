@@ -16,7 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, grams, hppc, life, matrix, models
+from ..operators import diagnostic_features, features, grams, hppc, life, matrix, models
 
 
 class Structured:
@@ -58,10 +58,17 @@ FEATURIZERS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "cycle_life": (lambda t, **p: features.cycle_life_feature(t.summary, **p), {"threshold": 0.8}),
     "capacities": (lambda t, **p: life.capacities_at(t.summary, **p), {"positions": [20, 40, 60, 80, 100]}),
     "summary_differences": (lambda t, **p: features.summary_differences(t.diagnostic_summary, **p), {"pos": [0, 1]}),
+    "diagnostic_statistics": (lambda t, **p: diagnostic_features.diagnostic_statistics(t.diagnostic_curves, t.diagnostic_summary, **p), {"capacity": 4.84, "cycle_type": "rpt_0.2C", "pos": [0, 1]}),
+    "diagnostic_properties": (lambda t, **p: diagnostic_features.diagnostic_properties(t.summary, t.diagnostic_summary, **p), {"metric": "discharge_energy", "cycle_type": "rpt_1C", "threshold": 0.8, "extrapolate": True}),
+    "electrodes": (lambda t, **p: diagnostic_features.electrode_features(t.diagnostic_curves, **p), {}),
     "hppc": (lambda t, **p: hppc.hppc_features(t.diagnostic_curves.where("cycle_type = 'hppc'"), **p), {"capacity": 4.84, "position": 1, "soc_window": 8}),
 }
 
 
+#: Names for several featurizers at once.
+ALL = {"all_features": ("hppc", "delta_q", "diagnostic_statistics", "cycle_statistics"), "all_targets": ("trajectory", "diagnostic_properties")}
+
+
 def featurizer(name: str) -> tuple[Callable[..., DataFrame], dict]:
     """The featurizer of that name, or the function at the dotted path; its defaults are its attribute ``defaults``."""
     if name in FEATURIZERS:
@@ -82,8 +89,12 @@ def _read_json(spark: SparkSession, path: str) -> dict:
 
 
 def featurize(spark: SparkSession, path: str, out: str, wanted: dict[str, dict | None]) -> DataFrame:
-    """wanted: featurizer -> parameters (over its defaults). Writes out/matrix and out/matrix_metadata; returns the matrix."""
+    """wanted: featurizer -> parameters (over its defaults). Writes out/matrix and out/matrix_metadata; returns the matrix.
+
+    all_features and all_targets stand for those in ALL, with their defaults where they are not named too.
+    """
     tables, parts = Structured(spark, path), []
+    wanted = {n: wanted.get(n) for name in wanted for n in ALL.get(name, (name,))}
     for name, given in wanted.items():
         f, defaults = featurizer(name)
         p = {**defaults, **(given or {})}
