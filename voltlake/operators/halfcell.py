@@ -37,18 +37,16 @@ def emulate(pe: list, ne: list, q: Column, lli: Column, q_pe: Column, q_ne: Colu
 def blend(first: list[tuple[float, float]], second: list[tuple[float, float]], share: float, n: int = 1001) -> list[tuple[float, float]]:
     """The reference curve of an electrode of two materials, the second holding ``share`` of it, on an even grid of 0 to 1.
 
-    At each potential (n even steps over both curves) the shares of capacity are averaged; beyond a curve's
-    end its last piece goes on. Then the parts within 0 to 1 are stretched to fill it.
+    At each potential the shares of capacity are averaged; beyond a curve's end its last piece goes on. The
+    average is a line between the potentials at which either curve bends, so its inverse is exact there.
+    What lies within 0 to 1 is read off at n even steps, and stretched so that it ends at 1.
     """
     a, b = (np.array(sorted(c, key=lambda p: p[1]), float) for c in (first, second))
-    volts = np.linspace(min(a[0, 1], b[0, 1]), max(a[-1, 1], b[-1, 1]), n)
-    q = (1 - share) * _extended(volts, a[:, 1], a[:, 0]) + share * _extended(volts, b[:, 1], b[:, 0])
+    bends = np.union1d(a[:, 1], b[:, 1])
+    q = (1 - share) * _extended(bends, a[:, 1], a[:, 0]) + share * _extended(bends, b[:, 1], b[:, 0])
     order = np.argsort(q, kind="stable")
-    grid = np.linspace(0, 1, n)
-    v = np.interp(grid, q[order], volts[order], left=np.nan, right=np.nan)
-    known = grid[~np.isnan(v)]
-    full = np.linspace(known[0], known[-1], n)
-    return list(zip((full / known[-1]).tolist(), np.interp(full, known, v[~np.isnan(v)]).tolist()))
+    at = np.linspace(max(q.min(), 0.0), min(q.max(), 1.0), n)
+    return list(zip((at / at[-1]).tolist(), np.interp(at, q[order], bends[order]).tolist()))
 
 
 def _extended(at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -23,6 +23,7 @@ def with_position(curves: DataFrame) -> DataFrame:
 
 def step_roles(curves: DataFrame, capacity: float, pulse_time: float = 120, pulse_rate: float = 0.5, long_rest: float = 600, soc_change: float = 0.05) -> DataFrame:
     """The role of every step of an hppc cycle: run_id, cycle_index, step_index, role (null where no rule fits)."""
+    # The limits of the rules (seconds, rate, share of capacity), above, and the rounding of rates to two places.
     each = curves.groupBy(*OCCURRENCE).agg((F.max("test_time") - F.min("test_time")).alias("duration"))
     each = each.groupBy(*CYCLE, "step_index").agg(F.median("duration").alias("duration"), (F.count("*") > 1).alias("recurring"))
     rates = curves.groupBy(*CYCLE, "step_index").agg(F.bround(F.median("current") / capacity, 2).alias("median"), F.bround(F.avg("current") / capacity, 2).alias("mean"), F.max("test_time").alias("t1"))
