@@ -15,6 +15,8 @@ block's core (its last start to its first end) and lie in its hull (its first st
 * otherwise the block is cut into smaller ones, aligned at the anchor, whose cores are longer, for the next round.
 In the last round a block is one start, whose core and hull are the string itself. Of settled blocks whose core still
 occurs in open ones, one for each hull stays in the rounds, for the open ones to meet.
+
+Nothing is broadcast or gathered: the joins are the same shuffles at every size.
 """
 
 from __future__ import annotations
@@ -23,16 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small, trimmed
+from .common import saved, trimmed
 from .textvec import mix
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Starts ranked at once in a task; longer texts are ranked in pieces that overlap.
 PIECE = 1 << 18
-ROWS = "core long, hull long, key long, of int, at int, n int, anchor int, times long"
+FIRST_ROWS = "core long, hull long, key long, at int, n int, anchor int, times int"
+SMALLER_ROWS = "core long, hull long, key long, of int, at int, n int"
 
 
 def _pair(x: np.ndarray, offset: int) -> np.ndarray:
@@ -138,9 +141,9 @@ def _first_rows(texts: DataFrame, least: int, anchor: int) -> DataFrame:
             key, raw, times = _distinct(pdf)
             for b in _blocks(raw, least, anchor, True):
                 row, core, hull = b["row"], b["core"].view(np.int64), b["hull"].view(np.int64)
-                yield pd.DataFrame({"core": core, "hull": hull, "key": key[row], "of": b["at"], "at": b["at"], "n": b["n"], "anchor": b["anchor"], "times": times[row]})
+                yield pd.DataFrame({"core": core, "hull": hull, "key": key[row], "at": b["at"], "n": b["n"], "anchor": b["anchor"], "times": times[row]})
 
-    return texts.mapInPandas(lambda b: trimmed(rows(b)), ROWS)
+    return texts.mapInPandas(lambda b: trimmed(rows(b)), FIRST_ROWS)
 
 
 def _smaller_rows(opened: DataFrame, least: int, block: int) -> DataFrame:
@@ -171,37 +174,33 @@ def _smaller_rows(opened: DataFrame, least: int, block: int) -> DataFrame:
                 s, e, who, a, j = p[new], p[last], who[new], a[new], j[new]
                 core = mix(ranks[inner][a - block * j] + j.astype(np.uint64)) if block > 1 else ranks[least][s]
                 shift = at[who] - begin[who]
-                yield pd.DataFrame(
-                    {"core": core.view(np.int64), "hull": _hulls(ranks[least], s, e).view(np.int64), "key": part["key"].to_numpy()[who], "of": at[who], "at": s + shift, "n": e - s + 1, "anchor": a + shift, "times": 1}
-                )
+                yield pd.DataFrame({"core": core.view(np.int64), "hull": _hulls(ranks[least], s, e).view(np.int64), "key": part["key"].to_numpy()[who], "of": at[who], "at": s + shift, "n": e - s + 1})
 
-    return opened.mapInPandas(lambda b: trimmed(rows(b)), ROWS)
+    return opened.mapInPandas(lambda b: trimmed(rows(b)), SMALLER_ROWS)
 
 
 def _met(rows: DataFrame, cores: DataFrame) -> DataFrame:
-    """rows whose core occurs more than once, with its count."""
-    cores = saved(cores.groupBy("core").agg(F.sum("times").alias("cores")).where("cores > 1"), "cores")
-    return rows.join(small(cores, cores.count(), 24), "core")
+    """rows whose core occurs more than once, with its count. cores: core and times."""
+    return rows.join(cores.groupBy("core").agg(F.sum("times").alias("cores")).where("cores > 1"), "core")
 
 
-def _settled(met: DataFrame) -> DataFrame:
+def _settled(met: DataFrame, times: Column, keep: list[str]) -> DataFrame:
     """Blocks with ``shared`` (every start is repeated) and ``open`` (to be cut); both for those that open ones may have to meet."""
     met = saved(met, "met")
-    hulls = met.groupBy("core", "hull").agg(F.sum("times").alias("hulls"), F.min(F.struct("key", "at")).alias("one")).where("hulls > 1")
-    hulls = saved(hulls, "hulls")
-    both = met.join(small(hulls, hulls.count(), 48), ["core", "hull"], "left")
+    place = F.xxhash64("key", "at")
+    hulls = met.groupBy("core", "hull").agg(F.sum(times).alias("hulls"), F.min(place).alias("one")).where("hulls > 1")
+    both = met.join(hulls, ["core", "hull"], "left")
     shared = F.col("hulls").isNotNull()
-    stays = ~shared | ((F.col("cores") > F.col("hulls")) & (F.struct("key", "at") == F.col("one")))
-    return saved(both.select("key", "of", "at", "n", "anchor", shared.alias("shared"), stays.alias("open")), "settled")
+    stays = ~shared | ((F.col("cores") > F.col("hulls")) & (place == F.col("one")))
+    return saved(both.select(*keep, shared.alias("shared"), stays.alias("open")), "settled")
 
 
 def repeated_starts(texts: DataFrame, least: int, anchor: int, blocks: tuple[int, ...]) -> DataFrame:
     """(key, at, n) of blocks of starts of strings of least bytes that start anywhere else; texts has key (long, of the text) and text."""
-    settled = _settled(_met(_first_rows(texts, least, anchor), _first_cores(texts, least, anchor)))
+    settled = _settled(_met(_first_rows(texts, least, anchor), _first_cores(texts, least, anchor)), F.col("times"), ["key", "at", "n", "anchor"])
     found = settled.where("shared").select("key", "at", "n")
-    wanted = settled.where("open").groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("at", "n", "anchor")).alias("parts"))
-    size = wanted.agg(F.count("*"), F.sum(F.size("parts"))).first()
-    chosen = texts.join(small(wanted, 1, 32 * (size[0] + (size[1] or 0))), F.col("key") == F.col("_key")).select("key", "text", "parts")
+    wanted = settled.where("open").groupBy("key").agg(F.collect_set(F.struct("at", "n", "anchor")).alias("parts"))
+    chosen = texts.join(wanted, "key").select("key", "text", "parts")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done = set()  # copies of a text in one task are cut once
@@ -216,14 +215,13 @@ def repeated_starts(texts: DataFrame, least: int, anchor: int, blocks: tuple[int
     named = opened.withColumn("parts", F.lit(None).cast("array<struct<at: int, n: int>>"))
     for block in (*blocks, 1):
         rows = _smaller_rows(named, least, block)
-        met = _met(rows, rows.select("core", "times"))
+        met = _met(rows, rows.select("core", F.lit(1).alias("times")))
         if block == 1:  # a block is its core
             return found.union(met.select("key", "at", "n"))
-        settled = _settled(met)
+        settled = _settled(met, F.lit(1), ["key", "of", "at", "n"])
         found = found.union(settled.where("shared").select("key", "at", "n"))
         wanted = settled.where("open").groupBy("key", F.col("of").alias("at")).agg(F.collect_set(F.struct("at", "n")).alias("parts"))
-        size = wanted.agg(F.count("*"), F.sum(F.size("parts"))).first()
-        named = opened.join(small(wanted, 1, 32 * (size[0] + (size[1] or 0))), ["key", "at"]).select("key", "at", "n", "anchor", "raw", "parts")
+        named = opened.join(wanted, ["key", "at"]).select("key", "at", "n", "anchor", "raw", "parts")
 
 
 def drop_repeated_strings(docs: DataFrame, least: int = 200, anchor: int = 64, blocks: tuple[int, ...] = (8,)) -> DataFrame:
@@ -272,8 +270,7 @@ def drop_repeated_strings(docs: DataFrame, least: int = 200, anchor: int = 64, b
         return pd.Series(out)
 
     spans = saved(found.select(F.col("key").alias("_key"), merge("starts").alias("spans")), "spans")
-    size = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    rows = rows.join(small(spans, 1, 40 * size[0] + 16 * (size[1] or 0)), F.col("key") == F.col("_key"), "left")
+    rows = rows.join(spans, F.col("key") == F.col("_key"), "left")
     cut = F.col("spans").isNotNull() & (F.octet_length("text") >= least)
     rows = rows.withColumn("kept", without(F.when(cut, F.col("text")), F.when(cut, F.col("spans"))))
     return rows.select(
