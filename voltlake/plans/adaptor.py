@@ -123,9 +123,25 @@ lcurves as (
 """
 
 
+#: How many rows a task makes, about. Fixed value.
+ROWS_A_TASK = 250_000
+
+
+def dealt(rows: DataFrame, key: str, n: int, each: int) -> DataFrame:
+    """n rows, of which ``each`` are made of one, dealt out by key: tasks grow in number and not in size, and what is
+    computed by key stays where it is. Without a number Spark would take one task for them, as keys alone are small."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * each // ROWS_A_TASK)), key)
+
+
+def user_runs(spark: SparkSession, sf_dir: str, each: int) -> DataFrame:
+    """The users as run_id, dealt out for ``each`` rows of one."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id"))
+    return dealt(users.distinct(), "run_id", users.agg(F.approx_count_distinct("run_id")).first()[0], each)
+
+
 def hppc_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pulse tests for every user: two diagnostics of nine windows of rest, discharge, rest and charge."""
-    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id")).distinct()
+    runs = user_runs(spark, sf_dir, 2 * 9 * 4 * 12)
     axis = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     rows = runs.select("run_id", axis(2, "p")).select("*", axis(9, "w")).select("*", axis(4, "s")).select("*", axis(12, "k"))
     p, w, s, k, r = (F.col(c) for c in ("p", "w", "s", "k", "run_id"))

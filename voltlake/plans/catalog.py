@@ -204,8 +204,7 @@ def pulse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def diffusion_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curves = hppc_curves(spark, sf_dir)
-    found = hppc.diffusion(hppc.windows_of(curves, hppc.step_roles(curves, 2.0)))
+    found = hppc.diffusion(hppc.windows_by_rules(hppc_curves(spark, sf_dir), 2.0))
     return found.select("run_id", "position", "window", F.round("slope", 6).alias("slope"))
 
 
