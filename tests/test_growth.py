@@ -35,3 +35,18 @@ def test_a_rest_of_one_sample_has_no_slope(spark):
     rows = [(1, 0, 1, "hppc_discharge_pulse", 10.0 + k, 3.0, -1.0) for k in range(3)] + [(1, 0, 1, "hppc_short_rest", 20.0, 3.1, 0.0)]
     df = spark.createDataFrame(rows, "run_id long, position int, window int, role string, test_time double, voltage double, current double")
     assert hppc.diffusion(df).isEmpty()
+
+
+def test_pulse_features_are_one_pass(spark, small_tables):
+    """Curves are made once, nothing is broadcast, and the pass gives what its parts give."""
+    once = plan(adaptor.hppc_curves(spark, small_tables)).count("Generate explode")
+    found = plan(catalog.hppc_features(spark, small_tables))
+    assert "Broadcast" not in found and found.count("Generate explode") == once + 1  # and one of nine rest voltages a run
+    rows = hppc.windows_by_rules(adaptor.hppc_curves(spark, small_tables).where((F.col("run_id") % 3 > 0) | (F.col("cycle_index") == 0)), 2.0).where((F.col("run_id") % 5 > 0) | (F.col("role") != "hppc_long_rest"))
+    got = hppc.pulse_changes(rows, 1, digits=6)
+    want = hppc.resistance_change(hppc.resistances(rows), 1)
+    for part in (hppc.rest_voltage_change(rows, 1, digits=6), hppc.diffusion_change(hppc.diffusion(rows), 1)):
+        want = want.join(part, "run_id", "full")
+    assert got.columns == want.columns and got.count() == want.count()
+    near = [F.round(c, 9).alias(c) for c in want.columns]
+    assert got.select(near).exceptAll(want.select(near)).isEmpty()
