@@ -50,3 +50,7 @@ def test_pulse_features_are_one_pass(spark, small_tables):
     assert got.columns == want.columns and got.count() == want.count()
     near = [F.round(c, 9).alias(c) for c in want.columns]
     assert got.select(near).exceptAll(want.select(near)).isEmpty()
+
+
+def test_pulse_features_are_not_broadcast(spark, small_tables):
+    assert "Broadcast" not in plan(catalog.pulse_features(spark, small_tables))

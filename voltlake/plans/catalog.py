@@ -197,9 +197,9 @@ def rpt_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pulse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curves = hppc_curves(spark, sf_dir)
-    rows = hppc.windows_of(curves, hppc.step_roles(curves, 2.0))
-    return hppc.resistance_change(hppc.resistances(rows), 1, 3).join(hppc.rest_voltage_change(rows, 1, digits=6), "run_id")
+    rows = hppc.windows_by_rules(hppc_curves(spark, sf_dir), 2.0)
+    found = hppc.pulse_changes(rows, 1, digits=6)
+    return found.select("run_id", *[f"{c}_{w}0" for c in hppc.RESISTANCES for w in range(3)], *[c for c in found.columns if c.endswith("_ocv")])
 
 
 @query
