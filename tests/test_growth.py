@@ -54,3 +54,9 @@ def test_pulse_features_are_one_pass(spark, small_tables):
 
 def test_pulse_features_are_not_broadcast(spark, small_tables):
     assert "Broadcast" not in plan(catalog.pulse_features(spark, small_tables))
+
+
+def test_resistances_move_no_rows(spark, small_tables):
+    """Only users are shuffled: to be made distinct, and to be dealt out."""
+    found = plan(catalog.pulse_resistances(spark, small_tables))
+    assert "Broadcast" not in found and found.count("Exchange ") <= 2

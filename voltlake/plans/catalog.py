@@ -185,8 +185,7 @@ def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pulse_resistances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curves = hppc_curves(spark, sf_dir)
-    return hppc.resistances(hppc.windows_of(curves, hppc.step_roles(curves, 2.0)))
+    return hppc.resistances(hppc.windows_by_rules(hppc_curves(spark, sf_dir), 2.0))
 
 
 @query
