@@ -60,3 +60,9 @@ def test_resistances_move_no_rows(spark, small_tables):
     """Only users are shuffled: to be made distinct, and to be dealt out."""
     found = plan(catalog.pulse_resistances(spark, small_tables))
     assert "Broadcast" not in found and found.count("Exchange ") <= 2
+
+
+def test_no_frame_is_read_anew_for_every_row(spark, small_tables):
+    """A frame that ends with its curve takes quadratic time."""
+    found = plan(catalog.imposed_degradation(spark, small_tables))
+    assert "unboundedfollowing" not in found and "Broadcast" not in found

@@ -37,12 +37,13 @@ def interpolate(samples: DataFrame, bounds: DataFrame, keys: list[str], x: str,
     points = points.withColumns({c: F.when(F.col(c)["before"].isNotNull(), F.col(c)) for c in columns}).withColumn("_grid", F.lit(0))
     wanted = grid(bounds, keys, n, x).withColumn("_grid", F.lit(1))
     rows = points.unionByName(wanted, allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy(x, "_grid")
-    left, right = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    # What follows is looked up in descending order: a frame to the end of the curve would be read anew for every row.
+    w, back = W.partitionBy(*keys).orderBy(x, "_grid"), W.partitionBy(*keys).orderBy(F.desc(x), F.desc("_grid"))
+    left, right = (o.rowsBetween(W.unboundedPreceding, -1) for o in (w, back))
     sides = {}
     for c in columns:
         sides[f"_l_{c}"] = F.last(c, ignorenulls=True).over(left)
-        sides[f"_r_{c}"] = F.first(c, ignorenulls=True).over(right)
+        sides[f"_r_{c}"] = F.last(c, ignorenulls=True).over(right)
     rows = rows.withColumns(sides).where("_grid = 1")
 
     def value(c: str) -> Column:

@@ -233,7 +233,7 @@ def impose_degradation(curves: DataFrame, losses: DataFrame, keys: list[str], up
     gap = F.col("pe") - F.col("ne")
     near = lambda off: F.min(F.when(gap.isNotNull(), F.struct(off.alias("off"), F.col("soc").alias("soc"))))["soc"]
     fixed = curves.groupBy(*keys).agg(near(F.abs(gap - upper)).alias("_top"), near(gap).alias("_bottom"))
-    rows = curves.join(fixed.where("_top is not null").join(losses.select(*keys, "lli", "lam_pe", "lam_ne"), keys), keys)
+    rows = curves.join(fixed.where("_top is not null").join(losses.select(*keys, "lli", "lam_pe", "lam_ne").hint("merge"), keys).hint("merge"), keys)
     shrunk = lambda share, at: F.col("soc") * (1 - F.col(share) / 100) + F.col(share) * F.col(at) / 100
     rows = rows.withColumns({"soc_pe": shrunk("lam_pe", "_top"), "soc_ne": shrunk("lam_ne", "_bottom") + F.col("lli")})
     ends = rows.groupBy(*keys).agg(F.least(F.min("soc_pe"), F.min("soc_ne")).alias("lo"), F.greatest(F.max("soc_pe"), F.max("soc_ne")).alias("hi"))
@@ -243,5 +243,5 @@ def impose_degradation(curves: DataFrame, losses: DataFrame, keys: list[str], up
         one = rows.where(F.col(e).isNotNull()).select(*keys, F.col("soc").alias("data_point"), F.col(f"soc_{e}").alias("soc"), e, F.lit(None).cast("double").alias(other))
         points = one if points is None else points.unionByName(one)
     last = points.groupBy(*keys).agg(*[F.max(F.when(F.col(e).isNotNull(), F.col("soc"))).alias(f"_last_{e}") for e in ("pe", "ne")])
-    found = interpolate(points, ends, keys, "soc", ["pe", "ne"], n).join(last, keys)
+    found = interpolate(points, ends, keys, "soc", ["pe", "ne"], n).join(last.hint("merge"), keys)
     return found.select(*keys, "soc", *[F.when(F.col("soc") <= F.col(f"_last_{e}"), F.col(e)).alias(e) for e in ("pe", "ne")])

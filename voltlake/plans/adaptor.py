@@ -183,9 +183,9 @@ sp as (select run_id, w, k, w + (k - 4) / 32.0::double as q, k * k / 9973.0::dou
 """
 
 
-def electrode_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned potentials of both electrodes of a cell for every user, on 101 states of charge; each electrode ends somewhere."""
-    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id")).distinct()
+def electrode_curves(spark: SparkSession, sf_dir: str, each: int = 101) -> DataFrame:
+    """Aligned potentials of both electrodes of a cell for every user, on 101 states of charge; each electrode ends somewhere. each: how many rows come of a cell."""
+    runs = user_runs(spark, sf_dir, each)
     rows = runs.select("run_id", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("s"))
     s, r = F.col("s"), F.col("run_id") % 11
     return rows.select("run_id", (s - 5.0).alias("soc"), F.when(s <= 95 - r, 3.5 + s * s / 11003.0).alias("pe"), F.when(s >= 3 + r, 0.9 - s / 119.0).alias("ne"))

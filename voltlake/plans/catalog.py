@@ -401,7 +401,7 @@ def early_constant_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def imposed_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Electrode curves of a cell for every user after losses that its number tells, on 1001 points."""
-    curves, r = electrode_curves(spark, sf_dir), F.col("run_id")
+    curves, r = electrode_curves(spark, sf_dir, 1001 + 2 * 101), F.col("run_id")
     losses = curves.select("run_id").distinct().select("run_id", (r % 5 / F.lit(2.0)).alias("lli"), (r % 7).cast("double").alias("lam_pe"), (r % 9 * 1.5).alias("lam_ne"))
     found = matching.impose_degradation(curves, losses, ["run_id"])
     return found.select("run_id", *[F.round(c, 6).alias(c) for c in ("soc", "pe", "ne")])
