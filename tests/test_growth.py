@@ -1,6 +1,5 @@
 """What the plans of queries over made curves may not hold, and steps that took more than linear time, against plain versions."""
 
-import pytest
 from pyspark.sql import functions as F
 from voltlake.operators import hppc
 from voltlake.plans import adaptor, catalog
@@ -66,3 +65,22 @@ def test_no_frame_is_read_anew_for_every_row(spark, small_tables):
     """A frame that ends with its curve takes quadratic time."""
     found = plan(catalog.imposed_degradation(spark, small_tables))
     assert "unboundedfollowing" not in found and "Broadcast" not in found
+
+
+def test_electrodes_are_read_once_for_their_own_parameters(spark, monkeypatch):
+    """A round has some thousand candidates of a cell; their electrodes have some hundred different curves."""
+    import numpy as np
+    import pandas as pd
+    from voltlake.operators import halfcell
+
+    pe, ne = [(i / 50, 3.4 + 0.9 * (i / 50) ** 0.5) for i in range(51)], [(i / 50, 0.6 * (1 - i / 50) ** 2 + 0.05) for i in range(51)]
+    kept, asked, interp = [], [], np.interp
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda self, f, schema: kept.append(f) or spark.createDataFrame([], schema))
+    cells = spark.createDataFrame([], "run_id long, cycle_index int, q double, voltage double")
+    halfcell.fit_electrodes(cells, pe, ne, {"lli": (0.0, 0.3), "q_pe": (1.2, 1.6), "q_ne": (1.1, 1.5)})
+    monkeypatch.setattr(np, "interp", lambda x, *more, **ends: asked.append(np.size(x)) or interp(x, *more, **ends))
+    q = np.arange(1, 41) / 40
+    points = [{"q": x, "voltage": y} for x, y in zip(q, interp((q + 0.1) / 1.4, *zip(*pe)) - interp(q / 1.25, *zip(*ne)))]
+    got = next(kept[0](iter([pd.DataFrame({"cell": ["a"], "points": [points]})])))
+    assert abs(got.lli[0] - 0.1) < 0.02 and abs(got.q_pe[0] - 1.4) < 0.02 and abs(got.q_ne[0] - 1.25) < 0.02
+    assert sum(asked) < 5 * 400 * len(q)

@@ -7,7 +7,6 @@ once, and draws a finer grid around the best few, round by round.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,18 +90,27 @@ def fit_electrodes(
     """
     names = PARAMETERS + (("x_ne_2",) if ne_2 is not None else ())
     low, high = (np.array([bounds[p][i] for p in names], float) for i in (0, 1))
-    offsets = np.array(list(itertools.product(np.arange(n) / (n - 1) - 0.5, repeat=len(names))))
+    offsets = np.arange(n) / (n - 1) - 0.5
     curves = [np.array(c, float).T for c in (pe, ne)]
 
-    def errors(c: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-        plus = np.interp((q + c[:, :1]) / c[:, 1:2], *curves[0], left=np.nan, right=np.nan)
-        at = q / c[:, 2:3]
-        minus = np.empty_like(at)
-        for share in np.unique(c[:, 3]) if ne_2 is not None else [None]:
-            own = c[:, 3] == share if share is not None else slice(None)
-            curve = np.array(blend(ne, ne_2, share, 201)).T if share is not None else curves[1]
-            minus[own] = np.interp(at[own], *curve, left=np.nan, right=np.nan)
-        return np.sqrt(np.nan_to_num((plus - minus - v) ** 2, nan=1.0).mean(axis=1))
+    def minus(q: np.ndarray, q_ne: np.ndarray, share: float | None) -> np.ndarray:
+        curve = np.array(blend(ne, ne_2, share, 201)).T if share is not None else curves[1]
+        return np.interp(q / q_ne[:, None], *curve, left=np.nan, right=np.nan)
+
+    def errors(axes: list[np.ndarray], q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Of all combinations of the axes' values. An electrode is read once for each of its own parameters' values."""
+        lli, q_pe, q_ne = axes[:3]
+        plus = np.interp((q + lli[:, None, None]) / q_pe[:, None], *curves[0], left=np.nan, right=np.nan)
+        less = np.stack([minus(q, q_ne, share) for share in (axes[3] if ne_2 is not None else [None])], axis=1)
+        off = plus[:, :, None, None] - less
+        off -= v
+        off *= off
+        off[np.isnan(off)] = 1.0
+        return np.sqrt(off.mean(axis=-1)).ravel()
+
+    def combinations(axes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        places = np.unravel_index(at, [len(x) for x in axes])
+        return np.stack([x[i] for x, i in zip(axes, places)], axis=1)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,13 +118,21 @@ def fit_electrodes(
             for points in pdf["points"]:
                 q, v = np.array([(p["q"], p["voltage"]) for p in points]).T
                 best, spread = ((low + high) / 2)[None, :], high - low
+                off = errors([*best.T], q, v)
                 for _ in range(rounds):
-                    tried = np.clip(best[:, None, :] + offsets * spread, low, high).reshape(-1, len(names))
-                    tried = np.unique(np.concatenate((best, tried)), axis=0)
-                    off = errors(tried, q, v)
-                    first = np.argsort(off, kind="stable")[:keep]
-                    best, spread = tried[first], spread * 0.35
-                rows.append((*best[0], off[first[0]]))
+                    tried, found = [best], [off]
+                    for centre in best:
+                        axes = [np.unique(np.clip(c + offsets * s, lo, hi)) for c, s, lo, hi in zip(centre, spread, low, high)]
+                        own = errors(axes, q, v)
+                        # Candidates that are equally good as the last of the best stay in; no two of one centre are the same.
+                        at = np.flatnonzero(own <= np.partition(own, min(keep, len(own)) - 1)[min(keep, len(own)) - 1])
+                        tried.append(combinations(axes, at))
+                        found.append(own[at])
+                    candidates, first = np.unique(np.concatenate(tried), axis=0, return_index=True)
+                    off = np.concatenate(found)[first]
+                    order = np.argsort(off, kind="stable")[:keep]
+                    best, off, spread = candidates[order], off[order], spread * 0.35
+                rows.append((*best[0], off[0]))
             yield pd.concat([pdf[["cell"]], pd.DataFrame(rows, columns=[*names, "error"], index=pdf.index)], axis=1)
 
     cell = F.to_json(F.struct("run_id", "cycle_index"), {"ignoreNullFields": "false"}).alias("cell")

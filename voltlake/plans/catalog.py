@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import cycle_rules, cycles, diagnostics, features, grams, halfcell, hppc, interpolate, life, matching, matrix, models, protocols, smooth, splines, steps, validate, waveform
 from ..sources import vendors
 from ..streaming import pauses
-from .adaptor import electrode_curves, hppc_curves, life_curves, life_diagnostics, life_summary, raw_samples, soc_discharges
+from .adaptor import electrode_curves, hppc_curves, life_curves, life_diagnostics, life_summary, raw_samples, soc_discharges, user_runs
 
 QUERIES = {}
+#: A cell is searched for some milliseconds; it counts as this many rows when cells are dealt out. Fixed value.
+CELL_WORK = 2500
 
 
 def query(f):
@@ -257,14 +259,14 @@ def electrode_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pe = [(i / 50, 3.4 + 0.9 * (1 - i / 50) ** 0.5) for i in range(51)][::-1]
     pe = [(1 - q, v) for q, v in pe]
     ne = [(i / 50, 0.6 * (1 - i / 50) ** 2 + 0.05) for i in range(51)]
-    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id")).distinct()
+    runs = user_runs(spark, sf_dir, CELL_WORK)
     k, m = F.col("run_id") % 8, F.col("run_id") % 5
     truth = runs.select("run_id", F.lit(0).alias("cycle_index"), (k / 40.0).alias("lli"), (1.3 + m / 20.0).alias("q_pe"), (1.2 + k / 100.0).alias("q_ne"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("i"))
     cells = truth.withColumn("q", F.col("i") / 40.0)
     cells = cells.withColumn("voltage", halfcell.emulate(pe, ne, F.col("q"), F.col("lli"), F.col("q_pe"), F.col("q_ne")))
     fitted = halfcell.fit_electrodes(cells, pe, ne, {"lli": (0.0, 0.3), "q_pe": (1.2, 1.6), "q_ne": (1.1, 1.5)})
     known = truth.select("run_id", *[F.col(p).alias(f"true_{p}") for p in halfcell.PARAMETERS]).distinct()
-    return fitted.select("run_id", "cycle_index", *[F.round(p, 3).alias(p) for p in halfcell.PARAMETERS], F.round("error", 4).alias("error")).join(known, "run_id")
+    return fitted.select("run_id", "cycle_index", *[F.round(p, 3).alias(p) for p in halfcell.PARAMETERS], F.round("error", 4).alias("error")).join(known.hint("merge"), "run_id")
 
 
 @query
