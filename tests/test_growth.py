@@ -84,3 +84,34 @@ def test_electrodes_are_read_once_for_their_own_parameters(spark, monkeypatch):
     got = next(kept[0](iter([pd.DataFrame({"cell": ["a"], "points": [points]})])))
     assert abs(got.lli[0] - 0.1) < 0.02 and abs(got.q_pe[0] - 1.4) < 0.02 and abs(got.q_ne[0] - 1.25) < 0.02
     assert sum(asked) < 5 * 400 * len(q)
+
+
+def test_curves_of_a_batch_are_solved_at_once(spark, monkeypatch):
+    """Groups that batches cut, equal capacities, missing values and runs without a number, against a curve at a time."""
+    import numpy as np
+    from voltlake.operators import splines
+
+    r = np.random.default_rng(4)
+    rows = []
+    for run in (None, *range(40)):
+        for window in range(2):
+            for position in range(2):
+                n = int(r.integers(0, 30))
+                q = np.sort(r.choice(np.arange(100), n)) / 16.0
+                rows += [(run, window, "hppc_discharge_to_next_soc", position, float(k), float(q[k]) if r.random() > 0.05 else None, float(r.normal()) if r.random() > 0.05 else None) for k in range(n)]
+    df = spark.createDataFrame(rows, "run_id long, window int, role string, position int, test_time double, discharge_capacity double, voltage double")
+    want = []
+    for key in sorted({x[:2] for x in rows}, key=repr):
+        own = [x for x in rows if x[:2] == key and x[5] is not None and x[6] is not None]
+        first = dict(sorted((q, v) for q, v in {x[5]: x[6] for x in own if x[3] == 0}.items()))
+        later = [x for x in own if x[3] == 1 and first and min(first) < x[5] < max(first)]
+        d = splines.spline(np.array([*first]), np.array([*first.values()]), np.array([x[5] for x in later])) - np.array([x[6] for x in later])
+        want += [(*map(repr, key), round(float(x), 6)) for x in d if np.isfinite(x)]
+    calls = []
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", lambda *a: calls.append(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = sorted((repr(x.run_id), repr(x.window), round(x.d, 6)) for x in splines.voltage_differences(df, 1).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not calls and got == sorted(want) and len(got) > 100

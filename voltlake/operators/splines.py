@@ -1,11 +1,13 @@
 """Interpolating splines of degree 2 and 3, a curve at a time, and what is computed with them.
 
-A spline's coefficients depend on all points of its curve at once, so they are solved in numpy, one group
-of applyInPandas for each curve (a curve is one step of one run, some thousand points).
+A spline's coefficients depend on all points of its curve at once, so they are solved in numpy (a curve is one step of
+one run, some thousand points): interpolate_spline takes one curve a group, voltage_differences all curves of a batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,49 +16,78 @@ from pyspark.sql import functions as F
 from ..functions.stats import SUMMARY, summary_columns
 
 
-def _basis(t: np.ndarray, at: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each point the first basis function that is not 0 there, and the values of its degree + 1 ones."""
-    first = np.clip(np.searchsorted(t, at, side="right") - 1, degree, len(t) - degree - 2)
+def _basis(t: np.ndarray, curve: np.ndarray, first: np.ndarray, at: np.ndarray, degree: int) -> np.ndarray:
+    """For each point the values of the degree + 1 basis functions of its curve that are not 0 there. t: knots, a row a curve."""
     values = np.ones((len(at), 1))
     for d in range(1, degree + 1):
         nxt = np.zeros((len(at), d + 1))
         for i in range(d):
-            lo, hi = t[first - d + 1 + i], t[first + 1 + i]
+            lo, hi = t[curve, first - d + 1 + i], t[curve, first + 1 + i]
             part = values[:, i] / (hi - lo)
             nxt[:, i] += part * (hi - at)
             nxt[:, i + 1] += part * (at - lo)
         values = nxt
-    return first - degree, values
+    return values
 
 
-def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, degree: int = 3) -> np.ndarray:
-    """The spline through (x, y), x strictly ascending, at the points ``at``; its end pieces go on outside of x.
+def splines(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, at: np.ndarray, wanted: np.ndarray, degree: int = 3) -> np.ndarray:
+    """The splines through curves that stand one after another in (x, y), ``sizes`` points each, x strictly ascending in a curve,
+    at the points ``at``, ``wanted`` for each curve; their end pieces go on outside of x.
 
     Knots are the points themselves but for the second and the last but one (degree 3), or the middles
-    between them but for the outer two (degree 2). NaN with fewer than degree + 1 points.
+    between them but for the outer two (degree 2). NaN with fewer than degree + 1 points. All curves are solved at
+    once, point by point; a shorter curve goes on as ones on the diagonal.
     """
-    n = len(x)
-    if n <= degree:
-        return np.full(len(at), np.nan)
-    inner = x[2:-2] if degree == 3 else (x[2:-1] + x[1:-2]) / 2
-    t = np.concatenate((np.full(degree + 1, x[0]), inner, np.full(degree + 1, x[-1])))
-    start, rows = _basis(t, x, degree)
-    # The matrix is banded and totally positive: elimination needs no exchange of rows.
-    band = np.zeros((n, 2 * degree + 1))
+    out = np.full(len(at), np.nan)
+    have = np.flatnonzero(sizes > degree)
+    if not len(have):
+        return out
+    number = np.full(len(sizes), -1)
+    number[have] = np.arange(len(have))
+    of_x, of_at = number[np.repeat(np.arange(len(sizes)), sizes)], number[np.repeat(np.arange(len(sizes)), wanted)]
+    x, y, of_x = x[of_x >= 0].astype(float), y[of_x >= 0].astype(float), of_x[of_x >= 0]
+    asked = of_at >= 0
+    at, of_at = at[asked].astype(float), of_at[asked]
+    sizes, wanted = sizes[have], wanted[have]
+    m, n = len(have), int(sizes.max())
+    x0, at0 = np.cumsum(sizes) - sizes, np.cumsum(wanted) - wanted
+    t = np.full((m, n + degree + 1), np.inf)
+    first_x, first_at = np.empty(len(x), int), np.empty(len(at), int)
+    for k, (lo, size, la, w) in enumerate(zip(x0, sizes, at0, wanted)):
+        own = x[lo : lo + size]
+        t[k, : degree + 1], t[k, size : size + degree + 1] = own[0], own[-1]
+        t[k, degree + 1 : size] = own[2:-2] if degree == 3 else (own[2:-1] + own[1:-2]) / 2
+        knots = t[k, : size + degree + 1]
+        for first, points, start in ((first_x, own, lo), (first_at, at[la : la + w], la)):
+            first[start : start + len(points)] = np.clip(np.searchsorted(knots, points, side="right") - 1, degree, size - 1)
+    # The matrices are banded and totally positive: elimination needs no exchange of rows.
+    row = np.arange(len(x)) - x0[of_x]
+    band, c = np.zeros((m, n, 2 * degree + 1)), np.zeros((m, n))
+    band[:, :, degree] = 1.0
+    band[of_x, row, degree] = 0.0
+    values = _basis(t, of_x, first_x, x, degree)
     for k in range(degree + 1):
-        band[np.arange(n), start + k - np.arange(n) + degree] = rows[:, k]
-    c = y.astype(float).copy()
-    for i in range(n):
-        for j in range(i + 1, min(i + degree + 1, n)):
-            f = band[j, i - j + degree] / band[i, degree]
-            if f:
-                band[j, i - j + degree : i - j + 2 * degree + 1] -= f * band[i, degree:]
-                c[j] -= f * c[i]
-    for i in range(n - 1, -1, -1):
-        m = min(degree, n - 1 - i)
-        c[i] = (c[i] - band[i, degree + 1 : degree + 1 + m] @ c[i + 1 : i + 1 + m]) / band[i, degree]
-    start, rows = _basis(t, at, degree)
-    return (rows * c[start[:, None] + np.arange(degree + 1)]).sum(1)
+        band[of_x, row, first_x - degree + k - row + degree] = values[:, k]
+    c[of_x, row] = y
+    with np.errstate(invalid="ignore"):
+        for i in range(n):
+            for j in range(i + 1, min(i + degree + 1, n)):
+                f = band[:, j, i - j + degree] / band[:, i, degree]
+                band[:, j, i - j + degree : i - j + 2 * degree + 1] -= f[:, None] * band[:, i, degree:]
+                c[:, j] -= np.where(f != 0, f * c[:, i], 0.0)
+        for i in range(n - 1, -1, -1):
+            for k in range(min(degree, n - 1 - i), 0, -1):
+                f = band[:, i, degree + k]
+                c[:, i] -= np.where(f != 0, f * c[:, i + k], 0.0)
+            c[:, i] /= band[:, i, degree]
+    values = _basis(t, of_at, first_at, at, degree)
+    out[asked] = (values * c[of_at[:, None], first_at[:, None] - degree + np.arange(degree + 1)]).sum(1)
+    return out
+
+
+def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, degree: int = 3) -> np.ndarray:
+    """splines of one curve."""
+    return splines(x, y, np.array([len(x)]), at, np.array([len(at)]), degree)
 
 
 def _clean(x: pd.Series, y: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -90,16 +121,48 @@ def voltage_differences(rows: DataFrame, position: int, most_capacity: float = 8
     rows = rows.where((F.col("role") == "hppc_discharge_to_next_soc") & q.isNotNull() & F.col("position").isin(0, position))
     rows = rows.where((F.col("position") != 0) | (q < most_capacity)).select("run_id", "window", "position", "test_time", q.alias("q"), F.col("voltage").alias("v"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("test_time")
-        first, later = pdf[pdf["position"] == 0], pdf[pdf["position"] == position]
-        x, y = _clean(first["q"], first["v"])
-        later = later[(later["q"] > x[0]) & (later["q"] < x[-1]) & later["v"].notna()] if len(x) else later[:0]
-        d = spline(x, y, later["q"].to_numpy(float)) - later["v"].to_numpy(float)
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "window": pdf["window"].iloc[0], "d": d[np.isfinite(d)]}, columns=["run_id", "window", "d"])
-
-    kind = dict(rows.dtypes)
-    return rows.groupBy("run_id", "window").applyInPandas(one, f"run_id {kind['run_id']}, window {kind['window']}, d double")
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of whole groups, one after another: key, d."""
+        key = pdf["key"].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+        q, v, p = pdf["q"].to_numpy(float), pdf["v"].to_numpy(float), pdf["position"].to_numpy()
+        have = ~np.isnan(q) & ~np.isnan(v)
+        first = np.flatnonzero((p == 0) & have)
+        # In ascending q; of equal ones the last counts.
+        first = first[np.lexsort((q[first], group[first]))]
+        g, x = group[first], q[first]
+        last = np.append((g[1:] != g[:-1]) | (x[1:] != x[:-1]), True)[: len(first)]
+        g, x, y = g[last], x[last], v[first][last]
+        sizes = np.bincount(g, minlength=len(starts))
+        low, high = np.full(len(starts), np.inf), np.full(len(starts), -np.inf)
+        np.minimum.at(low, g, x)
+        np.maximum.at(high, g, x)
+        later = np.flatnonzero((p == position) & have & (q > low[group]) & (q < high[group]))
+        d = splines(x, y, sizes, q[later], np.bincount(group[later], minlength=len(starts))) - v[later]
+        fine = np.isfinite(d)
+        ends = np.cumsum(np.bincount(group[later][fine], minlength=len(starts)))
+        return pd.DataFrame({"key": key[starts], "d": np.split(d[fine], ends[:-1])})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches cut where a group ends; its rows stand together."""
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
+            key = pdf["key"].to_numpy()
+            other = np.flatnonzero(key != key[-1]) if len(key) else key
+            cut = other[-1] + 1 if len(other) else 0
+            held = pdf.iloc[cut:]
+            if cut:
+                yield found(pdf.iloc[:cut])
+        if held is not None and len(held):
+            yield found(held)
+
+    # Rows come in the order of their curves, in batches of bounded size, and all curves of a batch are solved at once.
+    schema = rows.select("run_id", "window").schema.simpleString()
+    keyed = rows.select(F.to_json(F.struct("run_id", "window"), {"ignoreNullFields": "false"}).alias("key"), "position", "test_time", "q", "v")
+    sorted_ = keyed.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("test_time")).select("key", "position", "q", "v")
+    return sorted_.mapInPandas(whole, "key string, d array<double>").select(F.from_json("key", schema).alias("k"), F.explode("d").alias("d")).select("k.*", "d")
 
 
 def v_diff(rows: DataFrame, position: int, digits: int | None = None, most_capacity: float = 8.0) -> DataFrame:

@@ -168,7 +168,7 @@ hp as (
 
 def soc_discharges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discharges between states of charge, with their roles: two tests of three windows of 33 points for every user; voltages are cubic in capacity."""
-    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id")).distinct()
+    runs = user_runs(spark, sf_dir, 2 * 3 * 33)
     rows = runs.select("run_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("position")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("window")).select("*", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("k"))
     r, p, k = F.col("run_id") % 23, F.col("position"), F.col("k")
     q = F.col("window") + (k * F.lit(1.0) - 4 * p) / F.lit(32.0)
