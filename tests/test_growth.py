@@ -115,3 +115,11 @@ def test_curves_of_a_batch_are_solved_at_once(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert not calls and got == sorted(want) and len(got) > 100
+
+
+def test_step_tables_are_dealt_out_by_their_size(spark, small_tables, monkeypatch):
+    """A task makes rows of a bounded number of parts, however many there are, and no side of a join is broadcast."""
+    monkeypatch.setattr(adaptor, "ROWS_A_TASK", 400)
+    n = spark.read.parquet(f"{small_tables}/part.parquet").count()
+    found = plan(catalog.rules_of_step_tables(spark, small_tables))
+    assert f"{-(-n * 20 // 400)}), REPARTITION_BY_NUM" in found and "Broadcast" not in found

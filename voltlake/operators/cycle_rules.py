@@ -115,7 +115,7 @@ def rules_from_steps(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     carried = F.coalesce(F.lag(rest).over(W.partitionBy("protocol").orderBy("technique")), F.lit(0))
     techniques = ends.select(*keys, (carried + F.coalesce("_first", F.lit(0))).alias("on_start"), rest.alias("on_loop"))
     kind = "array<struct<source: int, target: int, advance: int>>"
-    rules = techniques.join(pairs, keys, "left").withColumn("transitions", F.coalesce(F.col("transitions").cast(kind), F.array().cast(kind)))
+    rules = techniques.join(pairs.hint("merge"), keys, "left").withColumn("transitions", F.coalesce(F.col("transitions").cast(kind), F.array().cast(kind)))
     open_now = F.coalesce(F.col("opened.kind") == OPEN, F.lit(False))
     alone = closing.where(~many & (F.col("advance") > 0)).select(*keys, "step", F.when(F.col("inside"), "the loop advances, but has one measured step").otherwise("the loop advances, but has no measured step").alias("problem"))
     wrong = rows.select(*keys, "step", F.when(is_kind(CLOSE) & ~open_now, "the loop was not opened").when(is_kind(OPEN) & open_now, "the loop before was not closed").alias("problem")).where("problem is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cycle_rules, cycles, diagnostics, features, grams, halfcell, hppc, interpolate, life, matching, matrix, models, protocols, smooth, splines, steps, validate, waveform
 from ..sources import vendors
 from ..streaming import pauses
-from .adaptor import electrode_curves, hppc_curves, life_curves, life_diagnostics, life_summary, raw_samples, soc_discharges, user_runs
+from .adaptor import dealt, electrode_curves, hppc_curves, life_curves, life_diagnostics, life_summary, raw_samples, soc_discharges, user_runs
 
 QUERIES = {}
 #: A cell is searched for some milliseconds; it counts as this many rows when cells are dealt out. Fixed value.
@@ -433,6 +433,7 @@ def cycles_across_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rules_of_step_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of two techniques of ten steps for every part: a loop from the third to the eighth, advances where its size tells."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("protocol"), "p_size")
+    part = dealt(part, "protocol", part.count(), 2 * 10)
     rows = part.select("protocol", "p_size", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("technique")).select("*", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("step"))
     kind = F.when(F.col("step") == 3, "loop_open").when(F.col("step") == 8, "loop_close").when(F.col("p_size") * F.col("step") % (2 + F.col("technique")) == 0, "advance").otherwise("measured")
     rules, _ = cycle_rules.rules_from_steps(rows.select("protocol", "technique", "step", kind.alias("kind")))
