@@ -51,6 +51,14 @@ def test_pulse_features_are_one_pass(spark, small_tables):
     assert got.select(near).exceptAll(want.select(near)).isEmpty()
 
 
+def test_pulse_tests_are_dealt_out_by_users(spark, small_tables, monkeypatch):
+    """A task makes the curves of a bounded number of users and finds their features, too; only users are shuffled."""
+    monkeypatch.setattr(adaptor, "ROWS_A_TASK", 400)
+    n = spark.read.parquet(f"{small_tables}/events.parquet").select("user_id").distinct().count()
+    found = plan(catalog.hppc_features(spark, small_tables))
+    assert f"{-(-n * 2 * 9 * 4 * 12 // 400)}), REPARTITION_BY_NUM" in found and found.count("Exchange ") <= 2
+
+
 def test_pulse_features_are_not_broadcast(spark, small_tables):
     assert "Broadcast" not in plan(catalog.pulse_features(spark, small_tables))
 
