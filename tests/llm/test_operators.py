@@ -313,6 +313,48 @@ def test_line_dedup_keeps_repeated_rows(spark, hot):
     assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == [(1, f"{first}\n{second}", 0)] * 3 + [(2, "new words are in this line", 1)] * 2 + [(3, "", 1)]
 
 
+@pytest.mark.parametrize(("hot", "most"), [(2000, 10**6), (20, 3), (2, 0)])
+def test_line_dedup_of_split_lists(spark, monkeypatch, hot, most):
+    """Lists are split by second tokens from 3 lines on, some lines are too large to have seconds, and few classes of equal lines are told."""
+    largest = linededup._largest
+    monkeypatch.setattr(linededup, "_largest", lambda copies, _: largest(copies, most))
+    r, words, lines = random.Random(3), [f"w{i}" for i in range(200)], []
+    for _ in range(420):
+        if lines and r.random() < 0.6:
+            w = list(r.choice(lines))
+            for _ in range(r.randrange(2 + len(w) // 5)):
+                w[r.randrange(len(w))] = r.choice(words)
+        else:
+            w = [r.choice(words) for _ in range(r.choice((2, 3, 5, 8, 12, 40)))] if r.random() < 0.9 else [f"v{r.randrange(400)}" for _ in range(r.choice((200, 250, 300, 400)))]
+        lines.append(w)
+    docs = [(i, "\n".join(" ".join(w) for w in lines[7 * i : 7 * i + 7])) for i in range(60)]
+    gone = brute_lines(docs)
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), hot=hot, long=2).collect()
+    assert gone and {r.doc_id: r.text for r in got} == {i: "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in gone) for i, t in docs}
+
+
+def test_line_dedup_compares_few_lines_of_long_lists(spark, monkeypatch):
+    """12,000 lines of 16 of 400 words: lists are long, but of lines that share a second token as well there are few."""
+    compared = spark.sparkContext.accumulator(0)
+
+    def counted(of, size):
+        def f(*args):
+            compared.add(size(*args))
+            return of(*args)
+
+        return f
+
+    monkeypatch.setattr(lists, "similar", counted(lists.similar, lambda pairs, share: len(pairs[0])))
+    monkeypatch.setattr(lists, "_similar_at", counted(lists._similar_at, lambda e, i, j, share: len(i)))
+    r, words = random.Random(5), [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.sample(words, 16)) for _ in range(12_000)]
+    near = [" ".join([f"new{i}", *t.split()[1:]]) for i, t in enumerate(texts[:300])]
+    docs = [(i, "\n".join(t)) for i, t in enumerate([*(texts[k : k + 10] for k in range(0, len(texts), 10)), near])]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), long=64).collect()}
+    assert got[len(docs) - 1] == len(near) and sum(got.values()) == len(near)
+    assert 0 < compared.value < 200 * len(texts)
+
+
 def test_word_hashes():
     texts = ["A b\n\nc  b", None, "", "  b c ", "x y z w v"]
     h, doc, line = textvec.word_hashes(texts, lower=True)

@@ -9,7 +9,7 @@ the full sets. A line that is similar to an earlier line, by (doc_id, place), is
 that only an equal one is similar (of one or two words) are in no list.
 
 Equal lines are joined by a hash aggregate first. The lists of the tokens are dealt out in blocks of
-columns and joined with numpy. One match removes a line, so in each block a line is first verified
+columns and joined with numpy; in long lists only lines that share a second token are compared. One match removes a line, so in each block a line is first verified
 against the likeliest of its earlier candidates; only if that fails are the others. A list that grows
 beyond ``hot`` lines is not expanded: its lines are compared with one of them, then those left with the
 earliest of them, until a round removes few; only what is still left is compared with all earlier lines.
@@ -25,10 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, saved, small, trimmed
-from .lists import Counts, candidate_pairs, distinct_sorted, least_overlap, rarity, sum_by, summed, tokens
+from .lists import Counts, candidate_pairs, distinct_sorted, frequent, least_overlap, rarity, seconds_of, sum_by, summed, tokens
 from .textvec import chunks, mix, word_hashes
 
 _SALT = np.uint64(0x51ED270B9F2C4A3D)
+#: Without the class of rarity.
+_LOW = np.uint64((1 << 56) - 1)
+#: A class of equal lines: a hash of the set, and the first line.
+CLASS = [("d", "<u8"), ("a", "<i8"), ("b", "<i8")]
 #: A line's place: 24 bits of its text's hash (parts rows of one doc_id), then its number.
 LINE_BITS = 32
 #: Numbers of 64 bits in the larger bitmaps, for lists that were not expanded.
@@ -40,11 +44,10 @@ def _odd_by(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total[at + n] ^ total[at]
 
 
-def _lines(pdf: pd.DataFrame, classes: np.ndarray | None, only: bool | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+def _lines(pdf: pd.DataFrame, classes: np.ndarray | None, only: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """For every chunk of texts: row and place of each line with words, its tokens (ascending), sizes and first positions.
 
-    classes: of rarity; without, tokens are plain hashes. only: True for the lines whose numbers are in
-    the column places, False for those that are not.
+    classes: of rarity; without, tokens are plain hashes. only: just the lines whose numbers are in the column places.
     """
     texts, mark = pdf["text"].tolist(), pdf["mark"].to_numpy()
     for start, end in chunks(texts):
@@ -54,14 +57,12 @@ def _lines(pdf: pd.DataFrame, classes: np.ndarray | None, only: bool | None = No
         new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])))
         group = np.cumsum(new) - 1
         row, place = doc[new] + start, (mark[doc[new] + start] << LINE_BITS) | line[new]
-        if only is not None:
-            listed = [p for p in pdf["places"].iloc[start:end]]
-            count = [len(p) if p is not None else 0 for p in listed]
-            if sum(count) or only:
-                named = np.repeat(np.arange(start, end), count) << LINE_BITS | np.concatenate([p for p, c in zip(listed, count) if c] or [np.zeros(0, np.int64)]).astype(np.int64)
-                chosen = np.isin(row << LINE_BITS | line[new], named) == only
-                h, group = h[chosen[group]], (np.cumsum(chosen) - 1)[group[chosen[group]]]
-                row, place = row[chosen], place[chosen]
+        if only:
+            listed = pdf["places"].iloc[start:end]
+            named = np.repeat(np.arange(start, end), [len(p) for p in listed]) << LINE_BITS | np.concatenate(list(listed)).astype(np.int64)
+            chosen = np.isin(row << LINE_BITS | line[new], named)
+            h, group = h[chosen[group]], (np.cumsum(chosen) - 1)[group[chosen[group]]]
+            row, place = row[chosen], place[chosen]
             if not len(h):
                 continue
         t, group = distinct_sorted(h if classes is None else tokens(h, classes), group)
@@ -69,9 +70,25 @@ def _lines(pdf: pd.DataFrame, classes: np.ndarray | None, only: bool | None = No
         yield row, place, t, n, np.cumsum(n) - n
 
 
-def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], wide: bool = False) -> Iterator[dict[str, np.ndarray]]:
-    """The entries of the prefix tokens of the lines that are not in places; keys still have 64 bits. wide: with larger bitmaps too."""
-    for row, place, t, n, at in _lines(pdf, classes, only=False):
+def _sums(t: np.ndarray, at: np.ndarray, n: np.ndarray, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """A hash of each set, from 56 bits of its tokens."""
+    return sum_by(mix(t ^ salt), at, n)
+
+
+def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], known: np.ndarray, wide: bool = False, least: int = 0) -> Iterator[dict[str, np.ndarray]]:
+    """The entries of the prefix tokens of all lines but the later ones of the classes in known; keys still have 64 bits.
+
+    wide: with larger bitmaps too, and without seconds; the others have them if the token's class is ``least`` or more.
+    """
+    for row, place, t, n, at in _lines(pdf, classes):
+        if len(known):
+            d = _sums(t & _LOW, at, n)
+            first = known[np.minimum(np.searchsorted(known["d"], d), len(known) - 1)]
+            fresh = (first["d"] != d) | (first["a"] == pdf["doc_id"].to_numpy()[row]) & (first["b"] == place)
+            if not fresh.any():
+                continue
+            t, row, place, n = t[np.repeat(fresh, n)], row[fresh], place[fresh], n[fresh]
+            at = np.cumsum(n) - n
         spread = mix(t ^ _SALT)
         bit = np.uint64(1) << (spread >> np.uint64(58))
         half = (spread >> np.uint64(57)) & np.uint64(1) == 1
@@ -82,10 +99,31 @@ def _entries(pdf: pd.DataFrame, classes: np.ndarray, share: tuple[int, int], wid
         p = n[use] - least_overlap(n[use], share) + 1
         pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
         line = np.repeat(use, p)
-        yield {"key": mix(t[at[line] + pos]), "a": pdf["doc_id"].to_numpy()[row[line]], "b": place[line], "n": n[line], "pos": pos, "x": x[line], "y": y[line]} | {c: v[line] for c, v in more.items()}
+        m, seconds = seconds_of(not wide, t[at[line] + pos] >> np.uint64(56) >= np.uint64(least), n[line], np.repeat(p, p), pos, at[line], spread, share)
+        yield {"m": m, "seconds": seconds, "key": mix(t[at[line] + pos]), "a": pdf["doc_id"].to_numpy()[row[line]], "b": place[line], "n": n[line], "pos": pos, "x": x[line], "y": y[line]} | {c: v[line] for c, v in more.items()}
+
+
+def _largest(copies: DataFrame, most: int) -> np.ndarray:
+    """The classes of more than one line, sorted by hash; of more than ``most`` those of the most lines."""
+    several = copies.where("size > 1")
+    sizes = sorted(several.groupBy(F.least("size", F.lit(1 << 10)).alias("size")).count().collect(), reverse=True)
+    least, total = 1 << 11, 0
+    for size, count in sizes:
+        total += count
+        if total > most:
+            break
+        least = size
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"t": [np.rec.fromarrays([pdf["d1"].to_numpy(np.int64).view(np.uint64), pdf["a"], pdf["b"]], dtype=CLASS).tobytes()]})
+
+    rows = several.where(F.least("size", F.lit(1 << 10)) >= least).select("d1", "a", "b").mapInPandas(packed, "t binary").collect() if least <= 1 << 10 else []
+    found = np.frombuffer(b"".join(r.t for r in rows), CLASS)
+    return found[np.argsort(found["d"])]
 
 
-def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int = 2000, rounds: int = 8, few_left: int = 50) -> DataFrame:
+def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int = 2000, long: int = 512, rounds: int = 8, few_left: int = 50, classes_bytes: int = BROADCAST_BYTES // 2) -> DataFrame:
     """The lines to remove from docs (doc_id: long, text, mark): doc_id, mark and lines (their numbers, from 0)."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,7 +131,8 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int
         for pdf in batches:
             for row, place, t, n, at in _lines(pdf, None):
                 counts.add(t)
-                d1, d2 = sum_by(mix(t), at, n).view(np.int64), sum_by(mix(t ^ _SALT), at, n).view(np.int64)
+                low = t >> np.uint64(8)
+                d1, d2 = _sums(low, at, n).view(np.int64), _sums(low, at, n, _SALT).view(np.int64)
                 yield pd.DataFrame({"a": pdf["doc_id"].to_numpy()[row], "b": place, "n": n, "d1": d1, "d2": d2, "t": None})
         yield pd.DataFrame({"a": [0], "b": [0], "n": [0], "d1": [0], "d2": [0], "t": [counts.packed()]})
 
@@ -101,26 +140,29 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int
     lines = described.where("t is null").drop("t")
     # A word counts once a line here, in equal lines too.
     shared = docs.sparkSession.sparkContext.broadcast(rarity(summed(described.where("t is not null").select("t"))))
-    copies = saved(lines.groupBy("d1", "d2").agg(F.min(F.struct("a", "b")).alias("first"), F.max("n").alias("n")).select("d1", "d2", "first.*", "n"), "firsts")
+    copies = saved(lines.groupBy("d1", "d2").agg(F.min(F.struct("a", "b")).alias("first"), F.max("n").alias("n"), F.count("*").alias("size")).select("d1", "d2", "first.*", "n", "size"), "firsts")
     n_entries = copies.agg(F.sum(F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1)).first()[0] or 0
     firsts = copies.select("d1", "d2", F.col("a").alias("a0"), F.col("b").alias("b0"))
     low = F.col("b").bitwiseAND(F.lit((1 << LINE_BITS) - 1))
     by_doc = lambda df: df.groupBy(F.col("a").alias("_a"), F.shiftright("b", LINE_BITS).alias("_mark")).agg(F.collect_list(low).alias("places"))
 
-    def with_places(places: DataFrame, how: str) -> DataFrame:
+    def with_places(places: DataFrame) -> DataFrame:
         size = places.agg(F.count("*"), F.sum(F.size("places"))).first()
         places = small(places, 1, 64 * size[0] + 8 * (size[1] or 0))
-        return docs.join(places, (docs["doc_id"] == places["_a"]) & (docs["mark"] == places["_mark"]), how).select("doc_id", "text", "mark", "places")
+        return docs.join(places, (docs["doc_id"] == places["_a"]) & (docs["mark"] == places["_mark"])).select("doc_id", "text", "mark", "places")
 
     lines = saved(lines.join(firsts, ["d1", "d2"]).select("a", "b", "a0", "b0"), "classes")
-    again = saved(by_doc(lines.where("a <> a0 or b <> b0")), "again")
-    fresh = with_places(again, "left")
-    found = saved(candidate_pairs(fresh, lambda pdf: _entries(pdf, shared.value, share), int(n_entries), share, hot), "pairs")
+    # Of equal lines only the first need be in the lists. The largest classes are told to all tasks; where others of
+    # an equal set come up, they are compared like any lines, which changes no result: what is similar to one is
+    # similar to the first.
+    known = docs.sparkSession.sparkContext.broadcast(_largest(copies, classes_bytes // np.dtype(CLASS).itemsize))
+    least_class = frequent(long)
+    found = saved(candidate_pairs(docs, lambda pdf: _entries(pdf, shared.value, share, known.value, least=least_class), int(n_entries), share, hot, long), "pairs")
     ids = ["a1", "b1", "a2", "b2"]
     pairs, packed, keys = found.where("more >= 0"), found.where("more = -1"), found.where("more = -2")
 
     def sets_of(named: DataFrame) -> DataFrame:
-        chosen = with_places(saved(by_doc(named), "met"), "inner")
+        chosen = with_places(saved(by_doc(named), "met"))
 
         def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -164,7 +206,7 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int
 
         def hot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for e in _entries(pdf, shared.value, share, wide=True):
+                for e in _entries(pdf, shared.value, share, known.value, wide=True):
                     low = e["key"].astype(np.uint32).astype(np.int64)
                     use = np.flatnonzero(np.isin(low, wanted.value)) if wanted.value is not None else np.arange(len(low))
                     bucket = ((e["key"][use] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -174,7 +216,7 @@ def similar_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int
         buckets = keys.first()["b2"]
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(keys.select("b1").toPandas()["b1"].to_numpy(np.int64)) if 8 * n_hot <= BROADCAST_BYTES else None)
         named = small(keys.select(F.col("b1").alias("low"), F.col("a2").alias("bucket")), n_hot, 24)
-        rows = fresh.mapInPandas(lambda b: trimmed(hot_rows(b)), "bucket long, low long, a long, b long, n long, pos long, " + ", ".join(f"{c} long" for c in bits))
+        rows = docs.mapInPandas(lambda b: trimmed(hot_rows(b)), "bucket long, low long, a long, b long, n long, pos long, " + ", ".join(f"{c} long" for c in bits))
         rows = saved(rows.join(named, ["bucket", "low"], "left_semi"), "hot")
         full = sets_of(rows.select("a", "b").distinct())
         cols = ["a", "b", "n", "pos", *bits]
@@ -215,7 +257,7 @@ def _without(text: str, gone: str) -> Column:
     return one(lines, lambda all_: one(bounds(F.size(all_)), lambda at: F.flatten(between(all_, at))))
 
 
-def dedup_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int = 2000) -> DataFrame:
+def dedup_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int = 2000, long: int = 512) -> DataFrame:
     """Removes from docs (doc_id: an integer, text) every line whose words are similar to an earlier line's.
 
     Similar: Jaccard similarity of the sets of words ([^\\x20\\x09-\\x0D]+) >= share[0] / share[1]. Earlier: of
@@ -232,7 +274,7 @@ def dedup_lines(docs: DataFrame, share: tuple[int, int] = (75, 100), hot: int =
     kind = dict(docs.dtypes)["doc_id"]
     mark = F.pmod(F.xxhash64("text"), F.lit(1 << 24))
     base = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", mark)
-    removed = saved(similar_lines(base, share, hot), "removed")
+    removed = saved(similar_lines(base, share, hot, long), "removed")
     size = removed.agg(F.count("*"), F.sum(F.size("lines"))).first()
     removed = small(removed, 1, 48 * size[0] + 8 * (size[1] or 0))
     # docs' own columns travel in a struct, so that none of them clashes with a name used here.

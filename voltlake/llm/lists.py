@@ -122,8 +122,11 @@ def least_overlap(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     return -(-a * n // b)
 
 
-#: The columns of an entry of a list: key, document, place, size, position of the token, bitmap.
-ENTRY = (("key", "<u4"), ("a", "<i8"), ("b", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("x", "<u8"), ("y", "<u8"))
+#: The columns of an entry of a list: key, document, place, size, position of the token, bitmap, number of its seconds.
+ENTRY = (("key", "<u4"), ("a", "<i8"), ("b", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("x", "<u8"), ("y", "<u8"), ("m", "u1"))
+#: m of the entries of frequent tokens in sets of more than MOST tokens, which have no seconds.
+TOO_LARGE = 255
+MOST = 192
 PAIR = "a1 long, b1 long, a2 long, b2 long, more int, rest binary"
 
 
@@ -210,20 +213,73 @@ def runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(head), np.cumsum(head) - 1
 
 
-def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterator[dict[str, np.ndarray]]], n_entries: int, share: tuple[int, int], hot: int, a_bucket: int = 300_000, a_task: int = 300_000) -> DataFrame:
+def ragged(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, given the start and the size of each."""
+    size = size.astype(np.int64)
+    return np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def packed_entries(e: dict[str, np.ndarray]) -> bytes:
+    """The ENTRY columns byte by byte of each number (the upper ones hardly differ), for Spark to compress."""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(e[c].astype(k)).view(np.uint8).reshape(-1, np.dtype(k).itemsize).T).tobytes() for c, k in ENTRY)
+
+
+def unpacked_entries(rows: Iterator[tuple[int, bytes]]) -> dict[str, np.ndarray]:
+    parts: dict[str, list[np.ndarray]] = {c: [np.zeros(0, k)] for c, k in ENTRY}
+    for size, raw in rows:
+        at = 0
+        for c, k in ENTRY:
+            width = np.dtype(k).itemsize
+            parts[c].append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size).T).view(k).ravel())
+            at += width * size
+    return {c: np.concatenate(v) for c, v in parts.items()}
+
+
+def frequent(long: int) -> int:
+    """The least class of rarity that a token of more than ``long`` sets may have."""
+    return int(rarity(np.array([long + 1]))[0])
+
+
+def seconds_of(use: np.ndarray, frequent: np.ndarray, n: np.ndarray, p: np.ndarray, pos: np.ndarray, at: np.ndarray, spread: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """m of each entry, and the seconds of all: 16 bits of the tokens after the entry's own, up to the one after its prefix of p.
+
+    use: whether seconds are wanted at all. If the first common token of two sets is the entry's, the
+    second one is among them: at positions i of n tokens at most n - i - 1 can follow. With half of the
+    tokens in common or less, sets may share a single one; there are no seconds then.
+    """
+    if not use or 2 * share[0] <= share[1]:
+        return np.zeros(len(n), np.uint8), np.zeros(0, np.uint16)
+    m = np.where(frequent, np.where(n <= MOST, p - pos, TOO_LARGE), 0)
+    few = np.where(m < TOO_LARGE, m, 0)
+    return m.astype(np.uint8), (spread[ragged(at + pos + 1, few)] & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterator[dict[str, np.ndarray]]], n_entries: int, share: tuple[int, int], hot: int, long: int = 512, a_bucket: int = 300_000, a_task: int = 300_000) -> DataFrame:
     """Pairs (PAIR) of sets that meet in a list and pass the filters.
 
-    entries_of gives the ENTRY columns of sets (keys of 64 bits). A pair is looked for from its smaller set,
+    entries_of gives the ENTRY columns of sets (keys of 64 bits) and their ``seconds``. A pair is looked for from its smaller set,
     in the lists of the first n - ceil(2t / (1 + t) n) + 1 positions of that set. Given are
     the likeliest for each later set (by a, b; more = 1 if it has others), and the others packed in rows of
-    more = -1. Lists of more than ``hot`` sets are not expanded: their sets are paired with one of them, and
-    the keys are told in rows of more = -2 (b1, in bucket a2 of b2). A task folds such lists before it deals them out, so that a list of
+    more = -1.
+
+    Lists grow with the input, and their pairs with its square. So in a list of more than ``long`` sets
+    two sets meet only if they share a second token, one of the next few of both: the list is split into
+    those of the seconds, which are shorter by the share of sets that a token is in. Sets of more than
+    MOST tokens have no seconds (there would be half the square of their prefix); pairs with one of them
+    are looked for in the list itself.
+
+    Lists of more than ``hot`` sets that are no shorter for being split, or have a list of a second (or of sets
+    near or above MOST tokens) with more than ``hot`` of them, are not expanded: their sets are paired with one of them, and
+    the keys are told in rows of more = -2 (b1, in bucket a2 of b2). A task folds lists of more than ``hot`` before it deals them out, so that a list of
     any length sends one entry a task.
     """
     buckets = max(12, math.ceil(n_entries / a_bucket))
 
     def deal(held: list[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
         e = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        seconds = e.pop("seconds")
+        few = np.where(e["m"] < TOO_LARGE, e["m"], 0).astype(np.int64)
+        e["at"] = np.cumsum(few) - few
         order = np.argsort(e["key"])
         e = {c: v[order] for c, v in e.items()}
         first, run = runs_of(e["key"])
@@ -240,19 +296,26 @@ def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterat
             found.add(lead[run[at]], at)
             pairs = np.ascontiguousarray(found.named(np.unique(np.concatenate(found.codes)))).astype("<i8").tobytes()
             keys = e["key"][first[length > hot]].view(np.int64).astype("<i8")
+        home = int(e["a"][0]) % buckets
         bucket = ((e["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         chosen = np.flatnonzero(send)
-        chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
+        # Within a bucket in the order of the sets, whose numbers are alike then.
+        chosen = chosen[np.argsort(bucket[chosen] * len(order) + order[chosen])]
         cuts = np.searchsorted(bucket[chosen], np.arange(buckets + 1))
+        e = {c: v[chosen] for c, v in e.items()}
+        few = np.where(e["m"] < TOO_LARGE, e["m"], 0)
+        seconds = seconds[ragged(e["at"], few)]
+        second_cuts = np.concatenate(([0], np.cumsum(few, dtype=np.int64)))[cuts]
         rows = []
         for x in range(buckets):
-            mine = chosen[cuts[x] : cuts[x + 1]]
+            mine = slice(cuts[x], cuts[x + 1])
+            size = int(cuts[x + 1] - cuts[x])
             here = keys[(keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets) == x].tobytes() if len(keys) else b""
-            if len(mine) or here:
-                rows.append((x, len(mine), b"".join(e[c][mine].astype(k).tobytes() for c, k in ENTRY), here, b""))
+            if size or here:
+                rows.append((x, size, packed_entries({c: e[c][mine] for c, _ in ENTRY}), seconds[second_cuts[x] : second_cuts[x + 1]].astype("<u2").tobytes(), here, b""))
         if pairs:
-            rows.append((int(e["a"][0]) % buckets, 0, b"", b"", pairs))
-        yield pd.DataFrame(rows, columns=["bucket", "size", "entries", "hot", "pairs"])
+            rows.append((home, 0, b"", b"", b"", pairs))
+        yield pd.DataFrame(rows, columns=["bucket", "size", "entries", "seconds", "hot", "pairs"])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -267,44 +330,81 @@ def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterat
         if held:
             yield from deal(held)
 
+    def compared(e: dict[str, np.ndarray], found: _Pairs, shorter: np.ndarray, start: np.ndarray, upto: np.ndarray, other: np.ndarray, pos: np.ndarray, base: np.ndarray) -> None:
+        """Adds the pairs of each row ``shorter`` with those from start to upto; rows stand for the entries ``other``, with tokens at ``pos``, after ``base`` common ones."""
+        count = np.maximum(upto - start, 0)
+        shorter, start, count = shorter[count > 0], start[count > 0], count[count > 0]
+        ends, begin = np.cumsum(count), 0
+        while begin < len(shorter):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 250_000, side="right")))
+            c = count[begin:stop]
+            i, j = np.repeat(shorter[begin:stop], c), ragged(start[begin:stop], c)
+            one, two = other[i], other[j]
+            keep = similar((e["n"][one], pos[i] - base, e["x"][one], e["y"][one], e["n"][two], pos[j] - base, e["x"][two], e["y"][two]), share) & (one != two)
+            found.add(one[keep], two[keep])
+            begin = stop
+
+    def probes(n: np.ndarray) -> np.ndarray:
+        """The size of the prefix from which a set looks for larger ones."""
+        return n + (-2 * share[0] * n // (share[0] + share[1])) + 1
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in ENTRY}
-        for size, raw in zip(pdf["size"], pdf["entries"]):
-            at = 0
-            for c, k in ENTRY:
-                width = np.dtype(k).itemsize * size
-                parts[c].append(np.frombuffer(raw[at : at + width], k))
-                at += width
-        e = {c: np.concatenate(v) for c, v in parts.items()}
-        order = np.lexsort((e["n"], e["key"]))
-        e = {c: v[order] for c, v in e.items()}
-        first, run = runs_of(e["key"])
-        length = np.diff(np.append(first, len(run)))
-        told = np.frombuffer(b"".join(pdf["hot"]), "<i8")
-        warm = (length > hot) | np.isin(e["key"][first], told.view(np.uint64).astype(np.uint32))
+        e = unpacked_entries(zip(pdf["size"], pdf["entries"]))
+        seconds = np.frombuffer(b"".join(pdf["seconds"]), "<u2")
+        few = np.where(e["m"] < TOO_LARGE, e["m"], 0).astype(np.int64)
+        e["at"] = np.cumsum(few) - few
+        # Sorted by size within a list. Few tokens share a key; those with and without seconds don't share a list.
+        key = (e["key"].astype(np.uint64) << np.uint64(1)) | (e["m"] > 0)
+        order = np.argsort((key << np.uint64(31)) | e["n"].astype(np.uint64))
+        e, key = {c: v[order] for c, v in e.items()}, key[order]
+        first, run = runs_of(key)
+        ends = np.append(first[1:], len(run))
+        length = ends - first
+        n = e["n"].astype(np.int64)
+        scale = np.int64(1) << 31
+        begins = lambda least: np.searchsorted(run * scale + n, np.arange(len(first)) * scale + least)
+        told = np.isin(e["key"][first], np.frombuffer(b"".join(pdf["hot"]), "<i8").view(np.uint64).astype(np.uint32))
+        split = (e["m"][first] > 0) & (length > long) & ~told if len(first) else np.zeros(0, bool)
+        # Pairs with a set that has no seconds: of one that may be as small as the share allows.
+        warm = told | (length > hot) & (~split | (ends - begins(-(-share[0] * MOST // share[1])) > hot))
+        split &= ~warm
         found, keys = _Pairs(e), []
+        some = np.flatnonzero(split[run] & (e["m"] < TOO_LARGE))
+        made = np.cumsum(e["m"][some].astype(np.int64))
+        begin = 0
+        while begin < len(some):  # whole lists, of some 500,000 seconds
+            stop = int(np.searchsorted(made, (made[begin - 1] if begin else 0) + 500_000, side="right"))
+            stop = int(np.searchsorted(run[some], run[some[min(max(stop, begin + 1), len(some)) - 1]], side="right"))
+            mine = some[begin:stop]
+            begin = stop
+            m = e["m"][mine].astype(np.int64)
+            owner, pos = np.repeat(mine, m), ragged(e["pos"][mine].astype(np.int64) + 1, m)
+            code = (run[owner] << 16) | seconds[ragged(e["at"][mine], m)]
+            order = np.argsort((code << 8) | n[owner])
+            owner, pos, code = owner[order], pos[order], code[order]
+            head, sub = runs_of(code)
+            size = np.diff(np.append(head, len(code)))
+            # Sets that are alike share many tokens: their list is not split if that makes no fewer pairs.
+            cost = np.bincount(run[owner[head]], size.astype(float) ** 2, len(first))
+            most = np.zeros(len(first), np.int64)
+            np.maximum.at(most, run[owner[head]], size)
+            whole = split & ((cost >= length.astype(float) ** 2) | (most > hot) & (length > hot))
+            split &= ~whole
+            warm |= whole & (length > hot)
+            sized = sub << 8 | n[owner]
+            look = np.flatnonzero((size[sub] > 1) & split[run[owner]] & (e["pos"][owner] < probes(n[owner])) & (pos <= probes(n[owner])))
+            upto = np.searchsorted(sized, (sub[look] << 8) + np.minimum(n[owner[look]] * share[1] // share[0], 255), side="right")
+            compared(e, found, look, look + 1, upto, owner, pos, np.int64(1))
         if warm.any():
             lead, at = _leads(e, run, first, share, warm), np.flatnonzero(warm[run])
             at = at[_similar_at(e, lead[run[at]], at, share)]
             found.add(lead[run[at]], at)
             keys = [(0, int(k), int(pdf["bucket"].iloc[0]), buckets, -2, None) for k in e["key"][first[warm]]]
-        # Sorted by size within a list: the shorter line first, up to the size that t allows.
-        n = e["n"].astype(np.int64)
-        shorter = np.flatnonzero(~warm[run] & (e["pos"] < n + (-2 * share[0] * n // (share[0] + share[1])) + 1))
-        scale = np.int64(1) << 31
+        # The shorter line first, up to the size that t allows; in lists that were split only those without seconds.
+        shorter = np.flatnonzero(~warm[run] & (e["pos"] < probes(n)))
         upto = np.searchsorted(run * scale + n, run[shorter] * scale + n[shorter] * share[1] // share[0], side="right")
-        count = upto - shorter - 1
-        ends = np.cumsum(count)
-        start = 0
-        while start < len(shorter):
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + 250_000, side="right")))
-            c = count[start:stop]
-            i = np.repeat(shorter[start:stop], c)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-            keep = _similar_at(e, i, j, share)
-            found.add(i[keep], j[keep])
-            start = stop
+        start = np.maximum(shorter + 1, np.where(split, begins(MOST + 1), 0)[run[shorter]])
+        compared(e, found, shorter, start, upto, np.arange(len(run)), e["pos"].astype(np.int64), np.int64(0))
         best, more, rest = found.best()
         stars = [np.frombuffer(p, "<i8").reshape(4, -1) for p in pdf["pairs"] if p]
         if stars:
@@ -315,7 +415,7 @@ def candidate_pairs(sets: DataFrame, entries_of: Callable[[pd.DataFrame], Iterat
             keys.append((0, 0, 0, 0, -1, np.ascontiguousarray(rest).tobytes()))
         return pd.concat([rows, pd.DataFrame(keys, columns=rows.columns)]) if keys else rows
 
-    dealt = sets.mapInPandas(lambda b: trimmed(fold(b)), "bucket long, size long, entries binary, hot binary, pairs binary")
+    dealt = sets.mapInPandas(lambda b: trimmed(fold(b)), "bucket long, size long, entries binary, seconds binary, hot binary, pairs binary")
     return dealt.groupBy("bucket").applyInPandas(lambda pdf: pd.concat(trimmed([merge(pdf)])), PAIR)
 
 
